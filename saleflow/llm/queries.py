@@ -33,6 +33,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import tag
+
+    return tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("toxic_words")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import groups
 
@@ -45,6 +51,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
