@@ -3,11 +3,12 @@
 1. Rows with the same shingle set form a class; only classes are compared.
 2. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any common order. Rare shingles come
    first: a fixed array of SLOTS counters over all documents gives each shingle a frequency level, so a passage that
-   many documents share stays out of the prefixes. Classes that share a prefix shingle are connected (a star per
-   shingle, never all pairs), and the components are blocks: every link lies inside one block.
-3. In a block, a signature tree is built over its sets by rising size: a node holds the OR of its members' token
+   many documents share stays out of the prefixes. Classes that share a prefix shingle form a bucket.
+3. In a bucket, a signature tree is built over its sets by rising size: a node holds the OR of its members' token
    bitmaps, their size range and most bitmap collisions. The dual traversal drops node pairs whose greatest possible
-   overlap can't reach t. Sets left are compared exactly; pairs already connected are skipped.
+   overlap can't reach t. The pairs left connect their classes (enough of them to connect all, never all pairs), and
+   the components over all buckets are blocks: every link lies inside one block.
+   In a block the traversal is done again, now with exact comparison of the sets; pairs already connected are skipped.
    Blocks beyond BLOCK_SETS sets or BLOCK_SHINGLES shingles are cut in parts, and every pair of parts is a task.
 4. The links' components are the groups.
 
@@ -33,6 +34,8 @@ from .tokens import text_slices
 SLOTS, CHUNKS = 1 << 20, 64
 BLOCK_SETS, BLOCK_SHINGLES = 3000, 6_000_000
 FANOUT = 16
+#: Larger buckets of one shingle are connected as they are, without looking at bitmaps.
+BUCKET = 20_000
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], text: int, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -73,48 +76,49 @@ def _needed(n: np.ndarray | int, percent: int):
 
 
 def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, class_key (hash of the set; null without shingles) and prefix (its rarest shingles)."""
+    """Per row: doc_id, n, class_key (hash of the set; null without shingles), prefix (its rarest shingles), bitmap."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value.astype(np.uint64)
         for part, sets in sets_of(batches, 1, k):
-            keys, prefixes = [], []
+            keys, prefixes, bitmaps = [], [], []
             for s in sets:
                 if not len(s):
-                    keys.append(None)
-                    prefixes.append(None)
+                    for x in (keys, prefixes, bitmaps):
+                        x.append(None)
                     continue
+                bitmaps.append(bitmap(s, width(len(s))).tobytes())
                 keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 p = len(s) - _needed(len(s), percent) + 1
                 order = (level[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
                 prefixes.append(s[np.argpartition(order, p - 1)[:p]].view(np.int64))
-            columns = [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class_key", "prefix"])
+            columns = [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class_key", "prefix", "bitmap"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return saved(narrow.mapInArrow(describe, "doc_id long, n long, class_key long, prefix array<bigint>"), "sets")
+    return saved(narrow.mapInArrow(describe, "doc_id long, n long, class_key long, prefix array<bigint>, bitmap binary"), "sets")
 
 
-def prefix_edges(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that connect all classes with a common prefix shingle."""
-    tokens = sets.where("class_key is not null").select("class_key", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("class_key").alias("b"), F.max("class_key").alias("top")).where("b < top")
-    pairs = tokens.join(hubs, "token").where("class_key > b")
-    return pairs.select(F.col("class_key").alias("a"), "b").distinct()
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n shingles: a power of two of at least n."""
+    return min(1 << 15, max(256, 1 << (n - 1).bit_length()))
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    flags = np.zeros(bits, np.uint8)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little")
 
 
 class SignatureTree:
-    """Bitmaps, size ranges and collisions of sorted sets, level by level (level 0: the sets themselves)."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        size = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << int(np.clip(2 * np.percentile(size, 90), 256, 1 << 15) - 1).bit_length()
-        maps = np.zeros((len(sets), bits // 8), np.uint8)
-        for row, s in zip(maps, sets, strict=True):
-            flags = np.zeros(bits, np.uint8)
-            flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-            row[:] = np.packbits(flags)
+    """Bitmaps, size ranges and collisions of sets sorted by size, level by level (level 0: the sets themselves).
+
+    A collision is a shingle beyond one per bit. A set's overlap with another is at most the bits they share and the
+    lesser of their collisions.
+    """
+
+    def __init__(self, maps: np.ndarray, size: np.ndarray) -> None:
         maps = maps.view(np.uint64)
         spare = size - np.bitwise_count(maps).sum(1, dtype=np.int64)
         self.levels = [(maps, size, size, spare)]
@@ -127,21 +131,28 @@ class SignatureTree:
     def may_link(self, level: int, a: int, b: np.ndarray, percent: int) -> np.ndarray:
         """Which nodes of `b` could hold a set that links with one under node `a`."""
         maps, low, high, spare = self.levels[level]
+        fits = (100 * high[b] >= percent * low[a]) & (100 * high[a] >= percent * low[b])
         common = np.bitwise_count(maps[a] & maps[b]).sum(1, dtype=np.int64) + np.minimum(spare[a], spare[b])
         common = np.minimum(common, np.minimum(high[a], high[b]))
-        fits = (100 * high[b] >= percent * low[a]) & (100 * high[a] >= percent * low[b])
         return fits & ((100 + percent) * common >= percent * (low[a] + low[b]))
 
-    def partners(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each set the later sets that it may link with, by a dual traversal from the top."""
+    def partners(self, percent: int, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """For each set the later sets that it may link with, by a dual traversal from the top.
+
+        Sets of one `group` (updated by the caller as it goes) aren't told to each other.
+        """
         top = len(self.levels) - 1
         stack = [(top, a, np.arange(a, len(self.levels[top][0]))) for a in range(len(self.levels[top][0]))]
         while stack:
             level, a, b = stack.pop()
-            b = b[self.may_link(level, a, b, percent)]
             if level == 0:
-                yield a, b[b != a]
+                b = b[b != a]
+                if group is not None:
+                    b = b[group[b] != group[a]]
+                if len(b):
+                    yield a, b[self.may_link(0, a, b, percent)]
                 continue
+            b = b[self.may_link(level, a, b, percent)]
             n = len(self.levels[level - 1][0])
             below = (b[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             below = below[below < n]
@@ -149,6 +160,77 @@ class SignatureTree:
                 stack.append((level - 1, child, below[below >= child]))
 
 
+def bucket_edges(keys: list[int], size: np.ndarray, maps: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that connect all classes of a bucket that a bitmap lets link; at most one less than classes for each width."""
+    if len(keys) > BUCKET:
+        yield from ((keys[0], k) for k in keys[1:])
+        return
+    order = np.argsort(size, kind="stable")
+    if len(keys) <= 6:
+        bits = [int.from_bytes(maps[i], "little") for i in order]
+        for i, a in enumerate(order):
+            for j in range(i + 1, len(order)):
+                b = order[j]
+                if 100 * size[a] < percent * size[b]:
+                    break
+                x, y = bits[i], bits[j]
+                if len(maps[a]) < len(maps[b]):
+                    w = 8 * len(maps[a])
+                    y = (y | y >> w) & ((1 << w) - 1)
+                common = (x & y).bit_count() + min(size[a] - x.bit_count(), size[b] - y.bit_count())
+                if (100 + percent) * min(common, size[a]) >= percent * (size[a] + size[b]):
+                    yield keys[a], keys[b]
+        return
+    for w in sorted({len(m) for m in maps}):
+        mine = [i for i in order if len(maps[i]) in (w, 2 * w)]
+        rows = np.zeros((len(mine), w), np.uint8)
+        for row, i in zip(rows, mine, strict=True):
+            m = np.frombuffer(maps[i], np.uint8)
+            row[:] = m if len(m) == w else m[:w] | m[w:]
+        group = np.arange(len(mine))
+        for a, b in SignatureTree(rows, size[mine]).partners(percent, group):
+            while len(b):
+                yield keys[mine[a]], keys[mine[b[0]]]
+                group[group == group[b[0]]] = group[a]
+                b = b[group[b] != group[a]]
+
+
+def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that connect all those with a common prefix shingle that their bitmaps let link."""
+    classes = sets.where("class_key is not null").groupBy("class_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    classes = saved(classes, "classes")
+    tokens = classes.select("class_key", F.explode("prefix").alias("token"))
+    hubs = tokens.groupBy("token").agg(F.min("class_key").alias("b"), F.max("class_key").alias("top")).where("b < top").select("token")
+    shared = tokens.join(hubs, "token").join(classes.select("class_key", "n", "bitmap"), "class_key")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, keys, size, maps = None, [], [], []
+        found: set[tuple[int, int]] = set()
+
+        def told() -> pa.RecordBatch:
+            pairs = [(max(p), min(p)) for p in found]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for t, k, n, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != token:
+                    if len(keys) > 1:
+                        found.update(bucket_edges(keys, np.array(size), maps, percent))
+                    token, keys, size, maps = t, [], [], []
+                    if len(found) > 200_000:
+                        yield told()
+                keys.append(k)
+                size.append(n)
+                maps.append(m)
+        if len(keys) > 1:
+            found.update(bucket_edges(keys, np.array(size), maps, percent))
+        yield told()
+
+    rows = shared.select("token", "class_key", "n", "bitmap").repartition("token").sortWithinPartitions("token", "class_key")
+    return rows.mapInArrow(search, "a long, b long").distinct()
+
+
 def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Links that connect all linked sets of a block. `side`: -1, or else only pairs of side 0 with side 1 count."""
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -159,10 +241,11 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Itera
     begins = ends - size
     group = np.arange(len(sets))
     mark = np.zeros(codes.max() + 1, np.int64)
-    for a, b in SignatureTree(sets).partners(percent):
+    bits = width(int(np.percentile(size, 90)))
+    tree = SignatureTree(np.array([bitmap(s, bits) for s in sets]), size)
+    for a, b in tree.partners(percent, group):
         if side[a] >= 0:
             b = b[side[b] != side[a]]
-        b = b[group[b] != group[a]]
         if not len(b):
             continue
         own = codes[begins[a] : ends[a]]
@@ -182,7 +265,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Itera
 
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes; enough of them to connect every two that are linked."""
-    blocks = components(prefix_edges(sets))
+    blocks = components(candidate_edges(sets, percent))
     classes = sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = blocks.join(classes, blocks["node"] == classes["class_key"]).select("class_key", "doc_id", "n", F.col("component").alias("block"))
     parts = members.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
