@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,21 @@ def saved(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Hash buckets of a key filter: at most so many longs are broadcast, whatever the input.
+BUCKETS = 1 << 20
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of `df` whose key may be in `keys`, the others), told by hash buckets.
+
+    Only the first part has to be shuffled to a join with `keys`. With very many keys all rows are in the first part.
+    """
+
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("_bucket")
+
+    some = F.broadcast(keys.select(bucket(other)).distinct())
+    marked = df.withColumn("_bucket", bucket(key))
+    return marked.join(some, "_bucket", "left_semi").select(*df.columns), marked.join(some, "_bucket", "left_anti").select(*df.columns)
