@@ -12,8 +12,8 @@
    Blocks beyond BLOCK_SETS sets or BLOCK_SHINGLES shingles are cut in parts, and every pair of parts is a task.
 4. The links' components are the groups.
 
-Sets are compared by 64-bit shingle hashes. Nulls and texts without words have no shingles and link with nothing; a null
-doc_id is no one's component. Repeated rows are in one class. Empty table: no rows. Other columns are ignored.
+Sets are compared by 64-bit shingle hashes. Nulls and texts without words have no shingles and link with nothing; rows
+with a null doc_id link with nothing and have a null component_id. Repeated rows are in one class. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, split_by_keys
 from .components import components
 from .shingles import shingle_sets
 from .tokens import text_slices
@@ -83,8 +83,8 @@ def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
         level = levels.value.astype(np.uint64)
         for part, sets in sets_of(batches, 1, k):
             keys, prefixes, bitmaps = [], [], []
-            for s in sets:
-                if not len(s):
+            for s, doc_id in zip(sets, part.column(0).to_pylist(), strict=True):
+                if not len(s) or doc_id is None:
                     for x in (keys, prefixes, bitmaps):
                         x.append(None)
                     continue
@@ -297,7 +297,8 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
                     held[key] = (s, own)
         yield from done()
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    members = saved(members, "members")
+    texts, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", members, "doc_id")
     rows = members.join(texts, "doc_id").select("class_key", "block", "i", "j", "own", "text")
     return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(verify, "a long, b long")
 
@@ -321,11 +322,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows that share a doc_id with each other and a group are one document; rows without words or doc_id all stay.
     """
     found = saved(groups(docs, k, percent), "groups")
-    stay = found.where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("most"))
-    stay = stay.select(F.col("doc_id").alias("stays"), ((F.col("rows") > 1) & (F.col("most") > 0) & F.col("doc_id").isNotNull()).alias("repeated"))
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]))
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
-        return rows.drop("stays", "repeated")
-    single = rows.where("repeated").dropDuplicates(["stays"])
-    return rows.where("not repeated").unionByName(single).drop("stays", "repeated")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.lit(True).alias("goes"))
+    again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of"), F.lit(False).alias("goes"))
+    touched = saved(gone.unionByName(again).groupBy("of").agg(F.max("goes").alias("goes")), "touched")
+    near, far = split_by_keys(docs, "doc_id", touched, "of")  # the others stay as they are, without a shuffle
+    rows = near.join(touched, near["doc_id"] == touched["of"], "left")
+    single = rows.where("not goes").dropDuplicates(["of"])
+    return rows.where("goes is null").unionByName(single).select(*docs.columns).unionByName(far)
