@@ -1,4 +1,7 @@
-"""Confirmation of sales, archives, code names and enrichments."""
+"""Confirmation of sales, archives, code names and enrichments.
+
+Masters carry no broadcast hint: Spark broadcasts them by their known size, and shuffles them when they are large.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """`df` marked for broadcast if its planned size is known to be at most `limit` bytes, else as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= limit else df
-
-
 def finalize_sold(props: DataFrame, results: DataFrame) -> DataFrame:
     """Deleted, open listings with a result become sold (amount above 0) or not sold; the others stay open."""
     amounts = results.groupBy("docid").agg(F.max(F.struct("sale_date", "sale_amount")).alias("r"))
@@ -31,7 +28,7 @@ def sale_archive(results: DataFrame, props: DataFrame) -> DataFrame:
 
 def resolve_code_names(props: DataFrame, courts: DataFrame, sgg: DataFrame) -> DataFrame:
     """Court and district names; a district code counts only with its province."""
-    return props.join(small(courts.select("court_code", "court_name")), "court_code", "left").join(small(sgg), ["sd_code", "sgg_code"], "left")
+    return props.join(courts.select("court_code", "court_name"), "court_code", "left").join(sgg, ["sd_code", "sgg_code"], "left")
 
 
 def canonical_sgg(sgg: DataFrame) -> DataFrame:
@@ -41,7 +38,7 @@ def canonical_sgg(sgg: DataFrame) -> DataFrame:
 
 
 def canonicalize_sgg(df: DataFrame, sgg: DataFrame) -> DataFrame:
-    moved = small(canonical_sgg(sgg))
+    moved = canonical_sgg(sgg)
     return df.join(moved, ["sd_code", "sgg_code"], "left").withColumn("sgg_code", F.coalesce("canonical", "sgg_code")).drop("canonical")
 
 
@@ -65,8 +62,8 @@ def region_stat_for(props: DataFrame, stats: DataFrame) -> DataFrame:
     exact = stats.where("usage_lcl_cd is not null").select(*keys, "usage_lcl_cd", "avg_rate", "total_count")
     order = F.struct("total_count", F.coalesce("usage_lcl_cd", F.lit("")))
     largest = stats.groupBy(*keys).agg(F.max_by(F.struct("avg_rate", "total_count"), order).alias("s")).select(*keys, "s.*")
-    with_usage = props.where("usage_lcl_cd is not null").join(small(exact), [*keys, "usage_lcl_cd"], "left")
-    without = props.where("usage_lcl_cd is null").join(small(largest), keys, "left")
+    with_usage = props.where("usage_lcl_cd is not null").join(exact, [*keys, "usage_lcl_cd"], "left")
+    without = props.where("usage_lcl_cd is null").join(largest, keys, "left")
     columns = ["docid", "avg_rate", "total_count"]
     return with_usage.select(*columns).unionByName(without.select(*columns))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from saleflow.functions import rules
 from saleflow.functions import scalars as sc
-from saleflow.operators import estimate, filters, joins, merge, stats, windows
+from saleflow.operators import estimate, filters, joins, merge, model, reports, stats, windows
+from saleflow.sources import scan
 
 from .shaping import AS_OF, AS_OF_YEAR, oracle, shape
 
@@ -267,9 +268,9 @@ def _(t):
 
 REGION = """, s as (select sd_code, sgg_code, usage_lcl_cd, count(*) as total_count, round(avg(case when sale_amount > 0 and appraisal_amount > 0
  then cast(sale_amount as double) / appraisal_amount * 100 end), 1) as avg_rate from results where sgg_code is not null group by 1, 2, 3),
- b as (select * from s qualify row_number() over (partition by sd_code, sgg_code order by total_count desc, coalesce(usage_lcl_cd, '') desc) = 1),
+ big as (select * from s qualify row_number() over (partition by sd_code, sgg_code order by total_count desc, coalesce(usage_lcl_cd, '') desc) = 1),
  rs as (select docid, avg_rate, total_count from props left join s using (sd_code, sgg_code, usage_lcl_cd) where usage_lcl_cd is not null union all
- select docid, avg_rate, total_count from props left join b using (sd_code, sgg_code) where props.usage_lcl_cd is null)"""
+ select docid, avg_rate, total_count from props left join big using (sd_code, sgg_code) where props.usage_lcl_cd is null)"""
 
 
 @query("d11_region_stat", REGION + " select * from rs", "props", "results")
@@ -534,3 +535,126 @@ def _(t):
 )
 def _(t):
     return estimate.simulate(t("tenants")).select("tenant", "opposable", "dividend", "assumed")
+
+
+@query(
+    "e10_run_summary",
+    "select strftime(seen_at + interval 9 hour, '%Y-%m-%d') as day, status, count(*) as rows, count(distinct user_id) as listings from scan group by 1, 2",
+    "scan",
+)
+def _(t):
+    return reports.run_summary(t("scan"))
+
+
+@query("e12_flag_audit", "select json_extract_string(props, '$.k') as value, count(*) as n from scan group by 1", "scan")
+def _(t):
+    return reports.flag_audit(t("scan"), "props", "$.k")
+
+
+MONEY = """case when {v} is null then '-' when {v} >= 100000000 and ({v} % 100000000) // 10000 > 0 then concat(cast({v} // 100000000 as string), '억 ', format('{{:,}}', ({v} % 100000000) // 10000), '만원')
+ when {v} >= 100000000 then concat(cast({v} // 100000000 as string), '억원') when {v} >= 10000 then concat(format('{{:,}}', {v} // 10000), '만원') else concat(format('{{:,}}', {v}), '원') end"""
+
+
+@query(
+    "a7_kr_report",
+    ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc) = 1), "
+    "r as (select docid, string_agg('| ' || seq || ' | ' || coalesce(cast(round_date as string), '-') || ' | ' || "
+    + MONEY.format(v="round_price")
+    + " || ' |', chr(10) order by seq) as lines from one group by 1) select docid, case_no || '.md' as filename, concat_ws(chr(10), '# ' || case_no, '- 용도: ' || coalesce(usage_nm, '-'), '- 감정가: ' || "
+    + MONEY.format(v="appraisal_amount")
+    + ", '- 최저가: ' || "
+    + MONEY.format(v="min_sale_price")
+    + """ || ' (' || case when coalesce(min_sale_price, 0) = 0 or appraisal_amount = 0 then '-' else concat(cast(cast(floor(cast(min_sale_price as double) / appraisal_amount * 100 + 0.5) as bigint) as string), '%') end || ')',
+ '## 기일' || chr(10) || lines) as markdown from props left join r using (docid)""",
+    "props", "rounds",
+)
+def _(t):
+    return reports.kr_report(t("props"), windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey"]))
+
+
+@query(
+    "b10_to_properties",
+    """select court_code, case_no, cast(1 as bigint) as item_no, docid, appraisal_amount, min_sale_price, cast(fail_count as bigint) as fail_count, cast(sale_date as string) as sale_date, usage_lcl_cd, usage_nm, sgg_code, conv_addr,
+ trim(regexp_replace(regexp_replace(regexp_replace(road_addr, '\\b0+([0-9]+)', '\\1', 'g'), '-0+\\b', '', 'g'), '\\s+', ' ', 'g')) || ' (A, B)' as road_addr from props""",
+    "props",
+)
+def _(t):
+    c = F.col
+    raw = t("props").select(
+        F.to_json(F.struct(
+            c("court_code").alias("boCd"), c("case_no").alias("srnSaNo"), F.lit("0").alias("maemulSer"), c("docid"), F.format_number("appraisal_amount", 0).alias("gamevalAmt"),
+            c("min_sale_price").cast("string").alias("minmaePrice"), c("fail_count").cast("string").alias("yuchalCnt"), F.date_format("sale_date", "yyyyMMdd").alias("maeGiil"),
+            F.coalesce("usage_lcl_cd", F.lit("00000")).alias("lclsUtilCd"), c("usage_nm").alias("dspslUsgNm"), F.lit("").alias("daepyoSiguCd"), c("sgg_code").alias("daepyoSggCd"),
+            c("conv_addr").alias("convAddr"), c("road_addr").alias("bgPlaceRdAllAddr"), F.lit("(A,B)").alias("rdAddrSub"),
+        )).alias("raw"), "o_orderkey",
+    )
+    rows = raw.select(F.from_json("raw", "map<string,string>").alias("row"), "o_orderkey")
+    props = scan.to_properties(rows, ["o_orderkey"]).withColumn("sale_date", text("sale_date"))
+    return props.select("court_code", "case_no", "item_no", "docid", "appraisal_amount", "min_sale_price", "fail_count", "sale_date", "usage_lcl_cd", "usage_nm", "sgg_code", "conv_addr", "road_addr")
+
+
+@query(
+    "b14_to_sale_rounds",
+    "select docid, cast(seq as bigint) as seq, cast(round_date as string) as round_date, round_price, result_cd, kind_cd from (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc) = 1)",
+    "rounds",
+)
+def _(t):
+    one = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey"])
+    item = F.struct(
+        F.col("seq").cast("string").alias("seq"), F.date_format("round_date", "yyyyMMdd").alias("dxdyYmd"), F.format_number("round_price", 0).alias("tsLwsDspslPrc"),
+        F.col("result_cd").alias("auctnDxdyRsltCd"), F.col("kind_cd").alias("auctnDxdyKndCd"),
+    )
+    details = one.groupBy("docid").agg(F.to_json(F.struct(F.collect_list(item).alias("gdsDspslDxdyLst"))).alias("detail"))
+    return scan.to_sale_rounds(details).select("docid", "seq", text("round_date"), "round_price", "result_cd", "kind_cd")
+
+
+@query("e6_score_distribution", "select cast(least(90, safety // 10 * 10) as int) as bucket, case when usage_nm is null then 'low' else 'high' end as confidence, count(*) as n from props group by 1, 2", "props")
+def _(t):
+    rows = t("props").select(F.col("safety").alias("score"), F.when(F.col("usage_nm").isNull(), "low").otherwise("high").alias("confidence"))
+    return stats.score_distribution(rows)
+
+
+JP = """, jp as (select docid, cast(o_orderkey % 4 + 1 as string) as sale_cls, lpad(cast(o_orderkey % 50 as string), 2, '0') as prefecture,
+ case o_orderkey % 5 when 0 then '軽井沢 別荘地' when 1 then '古民家 島' when 2 then 'リゾート' else '八王子市' end as address, concat('令和0', cast(o_orderkey % 9 + 1 as string), '年04月17日') as day,
+ concat(cast(o_orderkey % 900 + 1 as string), '万', case when o_orderkey % 2 = 0 then '5,000' else '' end, '円') as price, o_orderkey from props)"""
+
+
+@query(
+    "jp_listing",
+    JP + """ select docid, concat_ws(',', case when sale_cls = '2' and regexp_matches(address, '別荘|山荘|リゾート|別邸|リゾ') then 'bessou' end, case when sale_cls = '2' and address like '%古民家%' then 'akiya' end,
+ case when sale_cls = '2' and prefecture = '47' then 'rizoto' end, case when prefecture = '47' then 'tousho' end) as categories,
+ case when prefecture between '02' and '07' then '02' when prefecture between '08' and '14' then '03' when prefecture between '15' and '20' then '04' when prefecture between '21' and '24' then '05'
+ when prefecture between '25' and '30' then '06' when prefecture between '31' and '35' then '07' when prefecture between '36' and '39' then '08' when prefecture between '40' and '47' then '09' end as block,
+ concat(cast(2018 + o_orderkey % 9 + 1 as string), '-04-17') as day, cast((o_orderkey % 900 + 1) * 10000 + case when o_orderkey % 2 = 0 then 5000 else 0 end as bigint) as price from jp""",
+    "props",
+)
+def _(t):
+    c = F.col
+    k = c("o_orderkey")
+    jp = t("props").select(
+        "docid", (k % 4 + 1).cast("string").alias("sale_cls"), F.lpad((k % 50).cast("string"), 2, "0").alias("prefecture"),
+        F.when(k % 5 == 0, "軽井沢 別荘地").when(k % 5 == 1, "古民家 島").when(k % 5 == 2, "リゾート").otherwise("八王子市").alias("address"),
+        F.concat(F.lit("令和0"), (k % 9 + 1).cast("string"), F.lit("年04月17日")).alias("day"),
+        F.concat((k % 900 + 1).cast("string"), F.lit("万"), F.when(k % 2 == 0, "5,000").otherwise(""), F.lit("円")).alias("price"),
+    )
+    cats = rules.jp_categories(c("sale_cls"), c("prefecture"), c("address"))
+    return jp.select("docid", F.array_join(cats, ",").alias("categories"), sc.jp_block(c("prefecture")).alias("block"), sc.jp_date(c("day")).cast("string").alias("day"), sc.jp_price(c("price")).alias("price"))
+
+
+def _model_rows(t):
+    results = t("results").withColumn("target", estimate.target(F.col("sale_amount"), F.col("appraisal_amount")))
+    area = t("props").select("docid", sc.max_area(F.col("conv_addr")).alias("area"))
+    region = joins.region_stat_for(t("results"), stats.stats_by_region(t("results"), AS_OF))
+    return model.features(results.join(area, "docid", "left"), region)
+
+
+@query("k3_quantile_model")
+def _(t):
+    rows = _model_rows(t)
+    fitted = model.fit(rows)
+    return model.predict(*fitted, rows) if fitted else rows.select("docid").limit(0)
+
+
+@query("k6_evaluate")
+def _(t):
+    return model.evaluate(_model_rows(t), AS_OF, 200)
