@@ -6,7 +6,7 @@ documents that have it. A two-state CRF is trained on those tagged words by maxi
 the word, its leading and trailing parts and its neighbours. Scoring runs forward-backward over every whole text; words of
 marginal 0.5 or more are the offending ones, and a logistic layer over the marginals (highest, expected count) gives the score.
 
-Training uses at most TRAIN_ROWS labelled documents. Nulls, empty texts and texts without words have no marginals and
+Training uses at most TRAIN_ROWS labelled documents of each label; the logistic layer weighs them back to all labels. Nulls, empty texts and texts without words have no marginals and
 get the lowest score of the logistic layer. Without toxic labels every score is the smoothed share of toxic labels. Repeated rows
 are scored each; an empty table gives no rows; labels, lang, source and doc_id are no inputs of a score.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .labelled import fold, training_rows
 from .tokens import text_slices
 
-TRAIN_ROWS = 12_000
+#: Training documents by label: all the memory and time of a fit depend on.
+TRAIN_ROWS = {1: 1500, 0: 3000}
 DIM, WIDTH, STARTS, TAIL = 1 << 20, 16, (3, 4, 5, 6), 3
 LEAST_G, LEAST_SHARE, SEGMENT, STEPS = 20.0, 0.8, 48, 60
 EDGES = ".,!?;:\"'()[]{}#$%&*|-_<>"
@@ -44,15 +45,16 @@ def words_of(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     words = lists.flatten().dictionary_encode()
     plain = pc.utf8_trim(pc.utf8_lower(words.dictionary), EDGES)
-    chars = np.array(plain.to_pylist() or [""], f"U{WIDTH}").view(np.uint32).reshape(-1, WIDTH).astype(np.uint64)
+    chars = np.array(plain.to_pylist() or [""], f"U{WIDTH}").view(np.uint32).reshape(-1, WIDTH)
     length = (chars > 0).sum(1)
     with np.errstate(over="ignore"):
-        rolling = np.zeros((len(chars), WIDTH + 1), np.uint64)
+        rolling, starts = np.zeros(len(chars), np.uint64), {}
         for i in range(WIDTH):
-            rolling[:, i + 1] = (rolling[:, i] + chars[:, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            rolling[:, i + 1] ^= rolling[:, i + 1] >> np.uint64(29)
-        parts = [rolling[:, WIDTH]]
-        parts += [np.where(length >= n, rolling[:, n], np.uint64(0)) + np.uint64(n) for n in STARTS]
+            rolling = (rolling + chars[:, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            rolling ^= rolling >> np.uint64(29)
+            if i + 1 in STARTS:
+                starts[i + 1] = np.where(length > i, rolling, np.uint64(0)) + np.uint64(i + 1)
+        parts = [rolling, *starts.values()]
         tail = np.zeros(len(chars), np.uint64)
         for i in range(TAIL):
             tail = (tail + chars[np.arange(len(chars)), np.maximum(length - 1 - i, 0)]) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -146,9 +148,12 @@ def marked_features(w: Words, toxic: np.ndarray) -> np.ndarray:
     return (g >= LEAST_G) & (tox >= LEAST_SHARE * (tox + clean))
 
 
-def fit(texts: pa.Array, y: np.ndarray) -> Crf:
+def fit(texts: pa.Array, y: np.ndarray, totals: dict[int, int] | None = None) -> Crf:
+    """`totals`: labelled documents of each label, of which these are a part."""
     y = y.astype(np.int64)
-    base = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    have = {k: int((y == k).sum()) for k in (0, 1)}
+    totals = totals or have
+    base = np.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
     flat = Crf(np.zeros(DIM), np.zeros(DIM), 0.0, np.zeros((2, 2)), 0.0, np.array([base, 0.0, 0.0]))
     if not 0 < y.sum() < len(y):
         return flat
@@ -208,7 +213,7 @@ def fit(texts: pa.Array, y: np.ndarray) -> Crf:
     crf.weights[used], crf.near[used] = theta[:n_used], theta[n_used : 2 * n_used]
     crf.trans, crf.start, crf.bias = theta[-6:-2].reshape(2, 2), float(theta[-2]), float(theta[-1])
     x = summary(crf.marginals(crf.emissions(w), w.offsets), w.offsets)
-    crf.layer = _logistic(x, y)
+    crf.layer = _logistic(x, y, np.where(y == 1, totals[1] / have[1], totals[0] / have[0]))
     return crf
 
 
@@ -232,22 +237,25 @@ def _expected(e: np.ndarray, real: np.ndarray, trans: np.ndarray, start: float):
     return p, pair.sum(3), p[:, 0]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     theta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
-        theta += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * theta)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
+        theta += np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * theta)
     return theta
 
 
 TAGGED = "doc_id long, score double, predicted int, toxic_words array<int>"
 
 
-def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, limit: int = TRAIN_ROWS) -> DataFrame:
+def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, limits: dict[int, int] | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted and toxic_words (places of words of marginal 0.5 or more)."""
-    rows = training_rows(docs, labels, label, fold(F.col("doc_id"), folds) != held, limit).select("text", "y").toArrow()
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].combine_chunks(), rows["y"].to_numpy()))
+    usable = fold(F.col("doc_id"), folds) != held
+    kinds = [training_rows(docs, labels.where(F.col(label) == k), label, usable, n) for k, n in (limits or TRAIN_ROWS).items()]
+    rows = kinds[0].unionByName(kinds[1]).select("text", "y").toArrow()
+    totals = {r[0]: r[1] for r in labels.where(usable & F.col(label).isNotNull()).groupBy(label).count().collect()}
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].combine_chunks(), rows["y"].to_numpy(), totals))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.value
