@@ -288,13 +288,13 @@ def _(t):
     return windows.dedupe_last(rows, ["user_id"], ["seen_at", "event_id"]).select("user_id", "status", "price", "event_id")
 
 
-ROUNDS = ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc) = 1)"
+ROUNDS = ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc, round_price desc, round_date desc) = 1)"
 CURRENT = """, cur as (select docid, arg_min(round_price, seq) as current_price from props join one using (docid) where deleted_on is null and result_cd is null
  and round_price > 0 and kind_cd = '01' and round_date >= sale_date and year(round_date) = year(sale_date) group by 1)"""
 
 
 def _rounds(t):
-    one = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey"])
+    one = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"])
     dates = t("props").select("docid", "sale_date")
     same = one.join(dates, "docid").where("round_date >= sale_date and year(round_date) = year(sale_date)")
     return same.withColumn("round_date", F.col("sale_date")).drop("sale_date")
@@ -557,7 +557,7 @@ MONEY = """case when {v} is null then '-' when {v} >= 100000000 and ({v} % 10000
 
 @query(
     "a7_kr_report",
-    ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc) = 1), "
+    ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc, round_price desc, round_date desc) = 1), "
     "r as (select docid, string_agg('| ' || seq || ' | ' || coalesce(cast(round_date as string), '-') || ' | ' || "
     + MONEY.format(v="round_price")
     + " || ' |', chr(10) order by seq) as lines from one group by 1) select docid, case_no || '.md' as filename, concat_ws(chr(10), '# ' || case_no, '- 용도: ' || coalesce(usage_nm, '-'), '- 감정가: ' || "
@@ -569,7 +569,7 @@ MONEY = """case when {v} is null then '-' when {v} >= 100000000 and ({v} % 10000
     "props", "rounds",
 )
 def _(t):
-    return reports.kr_report(t("props"), windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey"]))
+    return reports.kr_report(t("props"), windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"]))
 
 
 @query(
@@ -595,11 +595,11 @@ def _(t):
 
 @query(
     "b14_to_sale_rounds",
-    "select docid, cast(seq as bigint) as seq, cast(round_date as string) as round_date, round_price, result_cd, kind_cd from (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc) = 1)",
+    "select docid, cast(seq as bigint) as seq, cast(round_date as string) as round_date, round_price, result_cd, kind_cd from (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc, round_price desc, round_date desc) = 1)",
     "rounds",
 )
 def _(t):
-    one = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey"])
+    one = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"])
     item = F.struct(
         F.col("seq").cast("string").alias("seq"), F.date_format("round_date", "yyyyMMdd").alias("dxdyYmd"), F.format_number("round_price", 0).alias("tsLwsDspslPrc"),
         F.col("result_cd").alias("auctnDxdyRsltCd"), F.col("kind_cd").alias("auctnDxdyKndCd"),
