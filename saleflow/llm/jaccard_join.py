@@ -34,8 +34,8 @@ from .tokens import text_slices
 SLOTS, CHUNKS = 1 << 20, 64
 BLOCK_SETS, BLOCK_SHINGLES = 3000, 6_000_000
 FANOUT = 16
-#: Larger buckets of one shingle are connected as they are, without looking at bitmaps.
-BUCKET = 20_000
+#: Buckets of one shingle beyond BUCKET are connected as they are; those up to SMALL are tried pair by pair.
+BUCKET, SMALL = 20_000, 6
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], text: int, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -162,25 +162,7 @@ class SignatureTree:
 
 def bucket_edges(keys: list[int], size: np.ndarray, maps: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
     """Edges that connect all classes of a bucket that a bitmap lets link; at most one less than classes for each width."""
-    if len(keys) > BUCKET:
-        yield from ((keys[0], k) for k in keys[1:])
-        return
     order = np.argsort(size, kind="stable")
-    if len(keys) <= 6:
-        bits = [int.from_bytes(maps[i], "little") for i in order]
-        for i, a in enumerate(order):
-            for j in range(i + 1, len(order)):
-                b = order[j]
-                if 100 * size[a] < percent * size[b]:
-                    break
-                x, y = bits[i], bits[j]
-                if len(maps[a]) < len(maps[b]):
-                    w = 8 * len(maps[a])
-                    y = (y | y >> w) & ((1 << w) - 1)
-                common = (x & y).bit_count() + min(size[a] - x.bit_count(), size[b] - y.bit_count())
-                if (100 + percent) * min(common, size[a]) >= percent * (size[a] + size[b]):
-                    yield keys[a], keys[b]
-        return
     for w in sorted({len(m) for m in maps}):
         mine = [i for i in order if len(maps[i]) in (w, 2 * w)]
         rows = np.zeros((len(mine), w), np.uint8)
@@ -195,17 +177,81 @@ def bucket_edges(keys: list[int], size: np.ndarray, maps: list[bytes], percent:
                 b = b[group[b] != group[a]]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+    """(starts and end of the runs of equal values in the first column, all columns, whether the first run goes on).
+
+    A run that reaches the end of a batch waits for the next, unless it is longer than BUCKET: then it is told so far,
+    and its first row stands for all of it when it goes on.
+    """
+    held: list[np.ndarray] | None = None
+    goes_on = False
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        heads = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
+        last = heads[-1]
+        if len(columns[0]) - last > BUCKET or goes_on and not last:
+            yield np.append(heads, len(columns[0])), columns, goes_on
+            held, goes_on = [c[last : last + 1] for c in columns], True
+        else:
+            yield heads, [c[:last] for c in columns], goes_on
+            held, goes_on = [c[last:] for c in columns], False
+    if held is not None:
+        yield np.array([0, len(held[0])]), held, goes_on
+
+
 def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that connect all those with a common prefix shingle that their bitmaps let link."""
+    """Edges (a, b) between classes that connect all those with a common prefix shingle that their bitmaps let link.
+
+    Prefix shingles are shuffled once. Buckets of up to SMALL classes give their pairs of fitting sizes, each of which is
+    tried on bitmaps once; of larger buckets the classes go on to the trees, but for those beyond BUCKET, a star.
+    """
     classes = sets.where("class_key is not null").groupBy("class_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     classes = saved(classes, "classes")
-    tokens = classes.select("class_key", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("class_key").alias("b"), F.max("class_key").alias("top")).where("b < top").select("token")
-    shared = tokens.join(hubs, "token").join(classes.select("class_key", "n", "bitmap"), "class_key")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, keys, size, maps = None, [], [], []
+    tokens = classes.select(F.explode("prefix").alias("token"), "class_key", F.col("n").cast("int").alias("n"))
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "a", "b"]
+        for bounds, (token, key, n), goes_on in _runs(batches):
+            size = np.diff(bounds)
+            pairs: set[tuple[int, int]] = set()
+            large = []
+            for first, count in zip(bounds[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                if count > SMALL or goes_on and not first:
+                    large.append((first, count))
+                    continue
+                k, m = key[first : first + count].tolist(), n[first : first + count].tolist()
+                for i in range(count):
+                    for j in range(i):
+                        if 100 * min(m[i], m[j]) >= percent * max(m[i], m[j]):
+                            pairs.add((max(k[i], k[j]), min(k[i], k[j])))
+            for first, count in large:
+                part = key[first : first + count]
+                t, b = (np.full(count, token[first]), None) if count <= BUCKET and not (goes_on and not first) else (None, np.full(count, part[0]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(count, pa.int64()) if x is None else pa.array(x) for x in (t, part, b)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
+
+    rows = tokens.repartition("token").sortWithinPartitions("token")
+    found = saved(rows.mapInArrow(buckets, "token long, a long, b long"), "buckets")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, y, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i, j = int.from_bytes(p, "little"), int.from_bytes(q, "little")
+                w = 8 * min(len(p), len(q))
+                i, j = ((v | v >> w) & ((1 << w) - 1) if 8 * len(m) > w else v for v, m in ((i, p), (j, q)))
+                common = (i & j).bit_count() + min(x - i.bit_count(), y - j.bit_count())
+                if (100 + percent) * min(common, x, y) >= percent * (x + y):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
+        token, keys, size, maps = None, [], [], []
 
         def told() -> pa.RecordBatch:
             pairs = [(max(p), min(p)) for p in found]
@@ -213,22 +259,26 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for t, k, n, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, k, m, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != token:
-                    if len(keys) > 1:
+                    if keys:
                         found.update(bucket_edges(keys, np.array(size), maps, percent))
                     token, keys, size, maps = t, [], [], []
                     if len(found) > 200_000:
                         yield told()
                 keys.append(k)
-                size.append(n)
-                maps.append(m)
-        if len(keys) > 1:
+                size.append(m)
+                maps.append(bits)
+        if keys:
             found.update(bucket_edges(keys, np.array(size), maps, percent))
         yield told()
 
-    rows = shared.select("token", "class_key", "n", "bitmap").repartition("token").sortWithinPartitions("token", "class_key")
-    return rows.mapInArrow(search, "a long, b long").distinct()
+    of = lambda c: classes.select(F.col("class_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"m_{c}"))
+    pairs = found.where("token is null").select("a", "b").where("a <> b").distinct()
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(prune, "a long, b long")
+    many = found.where("token is not null").join(of("a"), "a").select("token", "a", "n_a", "m_a")
+    many = many.repartition("token").sortWithinPartitions("token").mapInArrow(trees, "a long, b long")
+    return pairs.unionByName(many).distinct()
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:

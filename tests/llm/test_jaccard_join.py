@@ -33,6 +33,8 @@ def brute(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
 @pytest.mark.parametrize("block", [3000, 2])
 def test_equals_brute_force(docs, rows, k, percent, block, monkeypatch):
+    monkeypatch.setattr(j, "SMALL", 6 if block > 2 and k > 1 else 1)
+    monkeypatch.setattr(j, "BUCKET", 20_000 if k > 1 else 3)
     monkeypatch.setattr(j, "BLOCK_SETS", block)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in j.groups(docs, k, percent).collect()]
     assert Counter(got) == Counter(brute(rows, k, percent))
