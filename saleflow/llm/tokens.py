@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept by one worker in each of two generations; it bounds memory, never results.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 300_000
 #: UTF-8 bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 10 << 20
 
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
