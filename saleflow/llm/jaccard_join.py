@@ -214,7 +214,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     tokens = classes.select(F.explode("prefix").alias("token"), "class_key", F.col("n").cast("int").alias("n"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "a", "b"]
+        names = ["kind", "a", "b"]
         for bounds, (token, key, n), goes_on in _runs(batches):
             size = np.diff(bounds)
             pairs: set[tuple[int, int]] = set()
@@ -230,12 +230,13 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
                             pairs.add((max(k[i], k[j]), min(k[i], k[j])))
             for first, count in large:
                 part = key[first : first + count]
-                t, b = (np.full(count, token[first]), None) if count <= BUCKET and not (goes_on and not first) else (None, np.full(count, part[0]))
-                yield pa.RecordBatch.from_arrays([pa.nulls(count, pa.int64()) if x is None else pa.array(x) for x in (t, part, b)], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
+                star = count > BUCKET or goes_on and not first
+                other = np.full(count, part[0] if star else token[first])
+                yield pa.RecordBatch.from_arrays([pa.array(["star" if star else "large"] * count), pa.array(part), pa.array(other)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(pairs)), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
 
     rows = tokens.repartition("token").sortWithinPartitions("token")
-    found = saved(rows.mapInArrow(buckets, "token long, a long, b long"), "buckets")
+    found = saved(rows.mapInArrow(buckets, "kind string, a long, b long"), "buckets")  # b of large: the shingle
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +275,12 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
         yield told()
 
     of = lambda c: classes.select(F.col("class_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"m_{c}"))
-    pairs = found.where("token is null").select("a", "b").where("a <> b").distinct()
+    pairs = found.where("kind = 'pair'").select("a", "b").distinct()
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(prune, "a long, b long")
-    many = found.where("token is not null").join(of("a"), "a").select("token", "a", "n_a", "m_a")
+    many = found.where("kind = 'large'").join(of("a"), "a").select(F.col("b").alias("token"), "a", "n_a", "m_a")
     many = many.repartition("token").sortWithinPartitions("token").mapInArrow(trees, "a long, b long")
-    return pairs.unionByName(many).distinct()
+    stars = found.where("kind = 'star' and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.unionByName(many).unionByName(stars).distinct()
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
