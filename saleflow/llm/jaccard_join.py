@@ -232,8 +232,8 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
                 part = key[first : first + count]
                 star = count > BUCKET or goes_on and not first
                 other = np.full(count, part[0] if star else token[first])
-                yield pa.RecordBatch.from_arrays([pa.array(["star" if star else "large"] * count), pa.array(part), pa.array(other)], names)
-            yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(pairs)), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(["star" if star else "large"] * count, pa.string()), pa.array(part), pa.array(other)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(pairs), pa.string()), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
 
     rows = tokens.repartition("token").sortWithinPartitions("token")
     found = saved(rows.mapInArrow(buckets, "kind string, a long, b long"), "buckets")  # b of large: the shingle
