@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,13 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> tuple
     some = F.broadcast(keys.select(bucket(other)).distinct())
     marked = df.withColumn("_bucket", bucket(key))
     return marked.join(some, "_bucket", "left_semi").select(*df.columns), marked.join(some, "_bucket", "left_anti").select(*df.columns)
+
+
+#: Tables of at most so many estimated bytes are broadcast to a join.
+SMALL_BYTES = 64 << 20
+
+
+def if_small(written: DataFrame, row_bytes: Column) -> DataFrame:
+    """A written table, marked for broadcast if its rows come to at most SMALL_BYTES, else left to a shuffle join."""
+    n = written.agg(F.sum(row_bytes.cast("long")).alias("n")).first().n or 0
+    return F.broadcast(written) if n <= SMALL_BYTES else written

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, split_by_keys
+from .common import if_small, saved, split_by_keys
 from .components import components
 from .shingles import shingle_sets
 from .tokens import text_slices
@@ -351,7 +351,7 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
 
     members = saved(members, "members")
     texts, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", members, "doc_id")
-    rows = members.join(texts, "doc_id").select("class_key", "block", "i", "j", "own", "text")
+    rows = texts.join(if_small(members, F.lit(48)), "doc_id").select("class_key", "block", "i", "j", "own", "text")
     return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(verify, "a long, b long")
 
 
@@ -378,6 +378,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of"), F.lit(False).alias("goes"))
     touched = saved(gone.unionByName(again).groupBy("of").agg(F.max("goes").alias("goes")), "touched")
     near, far = split_by_keys(docs, "doc_id", touched, "of")  # the others stay as they are, without a shuffle
-    rows = near.join(touched, near["doc_id"] == touched["of"], "left")
+    rows = near.join(if_small(touched, F.lit(16)), F.col("doc_id") == F.col("of"), "left")
     single = rows.where("not goes").dropDuplicates(["of"])
     return rows.where("goes is null").unionByName(single).select(*docs.columns).unionByName(far)
