@@ -144,10 +144,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: floa
         for i, c in enumerate(cs)
     ]
     share = risk / len(CUTOFFS)
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    tested = counts.select("stratum", "n", F.explode(F.array(*cases)).alias("c")).select("stratum", "n", "c.*").crossJoin(F.broadcast(strata))
+    strata = max(1, counts.count())
+    tested = counts.select("stratum", "n", F.explode(F.array(*cases)).alias("c")).select("stratum", "n", "c.*")
     certain = (F.col("k") <= F.col("n") * share) & (
-        log_binomial_tail(F.col("k"), F.col("n"), share) <= F.log(F.lit(error / len(CUTOFFS)) / F.col("strata"))
+        log_binomial_tail(F.col("k"), F.col("n"), share) <= F.log(F.lit(error / len(CUTOFFS) / strata))
     )
     ends = tested.withColumn("ok", certain).groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"))
     return tested.join(ends, ["stratum", "rule"]).where("stop is null or step < stop").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))

@@ -61,6 +61,6 @@ def test_false_rejections_stay_within_the_risk(spark):
 
 def test_no_labels_and_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert q.score(docs, none).where("kept <> not base_failed").count() == 0
+    assert q.score(docs, none).where("kept <> (not base_failed)").count() == 0
     assert q.score(no_docs, none).count() == 0
     assert q.keep(docs, none).columns == docs.columns
