@@ -47,10 +47,10 @@ def fit(rows: DataFrame, least: int = 100, seed: int = 7) -> tuple[PipelineModel
 def predict(model: PipelineModel, bands: DataFrame, rows: DataFrame) -> DataFrame:
     """docid, rate, low_rate, high_rate, with low <= rate <= high, clipped to 0.1 and 2.0."""
     own = bands.where("usage <> '*'")
-    every = bands.where("usage = '*'").select(F.col("low").alias("low_all"), F.col("high").alias("high_all"))  # one row
-    out = model.transform(rows).join(F.broadcast(own), "usage", "left").crossJoin(F.broadcast(every))
+    every = bands.where("usage = '*'").select("low", "high").first()
+    out = model.transform(rows).join(own, "usage", "left")
     clip = lambda c: F.least(F.lit(2.0), F.greatest(F.lit(0.1), c))
-    low, high = F.least(F.lit(0.0), F.coalesce("low", "low_all")), F.greatest(F.lit(0.0), F.coalesce("high", "high_all"))
+    low, high = F.least(F.lit(0.0), F.coalesce("low", F.lit(every.low))), F.greatest(F.lit(0.0), F.coalesce("high", F.lit(every.high)))
     return out.select("docid", clip(F.col("rate")).alias("rate"), clip(F.col("rate") + low).alias("low_rate"), clip(F.col("rate") + high).alias("high_rate"))
 
 
