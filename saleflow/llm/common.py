@@ -44,11 +44,11 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> tuple
     """
 
     def bucket(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("_bucket")
+        return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("_saleflow_bucket")
 
     some = F.broadcast(keys.select(bucket(other)).distinct())
-    marked = df.withColumn("_bucket", bucket(key))
-    return marked.join(some, "_bucket", "left_semi").select(*df.columns), marked.join(some, "_bucket", "left_anti").select(*df.columns)
+    marked = df.withColumn("_saleflow_bucket", bucket(key))
+    return marked.join(some, "_saleflow_bucket", "left_semi").select(*df.columns), marked.join(some, "_saleflow_bucket", "left_anti").select(*df.columns)
 
 
 #: Tables of at most so many estimated bytes are broadcast to a join.

@@ -378,6 +378,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of"), F.lit(False).alias("goes"))
     touched = saved(gone.unionByName(again).groupBy("of").agg(F.max("goes").alias("goes")), "touched")
     near, far = split_by_keys(docs, "doc_id", touched, "of")  # the others stay as they are, without a shuffle
-    rows = near.join(if_small(touched, F.lit(16)), F.col("doc_id") == F.col("of"), "left")
+    rows = near.select(F.struct(*docs.columns).alias("row")).join(if_small(touched, F.lit(16)), F.col("row.doc_id") == F.col("of"), "left")
     single = rows.where("not goes").dropDuplicates(["of"])
-    return rows.where("goes is null").unionByName(single).select(*docs.columns).unionByName(far)
+    return rows.where("goes is null").unionByName(single).select("row.*").unionByName(far)

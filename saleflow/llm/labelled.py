@@ -18,4 +18,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "of")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["of"]).select("doc_id", F.col("text").cast("string"), "y")
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "text", "y")
