@@ -3,8 +3,8 @@
 Two kinds of paragraphs, both of whole texts:
 
 * Lines of at least LINE_WORDS words. Their five-word shingles get a MinHash signature in bands, tuned so that a pair of
-  similarity 0.8 collides with probability RECALL at least. Lines that collide are joined through the least of their
-  bucket (a star, never all pairs), kept if their exact Jaccard similarity is 0.8 or more, and clustered.
+  similarity 0.8 collides with probability RECALL at least. Of the lines that collide all those with an exact Jaccard
+  similarity of 0.8 or more are connected (by a signature tree for each bucket) and clustered.
 * Content-defined pieces, since a passage can stand inside a line or run over several: a text is cut where a shingle's
   hash is the least within RADIUS places either way, so the same words are cut alike wherever they stand. Pieces
   with the same shingles (similarity 1) are one cluster. Verbatim runs of some 25 words or more hold whole pieces.
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from .common import if_small, saved, split_by_keys
 from .components import components
+from .jaccard_join import BLOCK_SETS, BLOCK_SHINGLES, block_links
 from .shingles import _mix, shingle_hashes, word_hashes
 from .tokens import text_slices
 
@@ -130,41 +131,90 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return saved(narrow.mapInArrow(cut, UNITS), "units")
 
 
+def _connected(sets: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, int]]:
+    """Links that connect all lines of one task (key: shingles, side) that have similarity 0.8 or more."""
+    keys = list(sets)
+    if len(keys) == 2:
+        (x, _), (y, _) = sets.values()
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * common >= PERCENT * (len(x) + len(y) - common):
+            yield keys[0], keys[1]
+    elif len(keys) > 2:
+        side = np.array([x[1] for x in sets.values()])
+        for a, b in block_links([x[0] for x in sets.values()], side, PERCENT):
+            yield keys[a], keys[b]
+
+
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links (a, b) between the keys of lines that collide in a band and have similarity 0.8 or more."""
+    """Links (a, b) between keys of lines; enough to connect every two that collide in a band and have similarity 0.8 or more.
+
+    The lines of a band's bucket are compared by a signature tree; buckets of the same lines are one. Large buckets are
+    cut in parts, and every pair of parts is a task.
+    """
     distinct = lines.groupBy("key").agg(F.min(F.struct("doc_id", "first", "end", "bands")).alias("u"))
-    banded = distinct.select("key", F.explode("u.bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("key").alias("b"), F.max("key").alias("top")).where("b < top").drop("top")
-    pairs = banded.join(hubs, "band").where("key > b").select(F.col("key").alias("a"), "b").distinct()
-    pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = distinct.join(wanted, "key").select("key", "u.doc_id", "u.first", "u.end")
+    banded = distinct.select("key", F.explode("u.bands").alias("band"), (F.col("u.end") - F.col("u.first")).alias("n"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("key")).alias("of")).where("lines > 1")
+    parts = F.ceil(F.greatest(F.col("lines") / BLOCK_SETS, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("band", F.xxhash64("of", "lines", parts).alias("block"), parts.alias("parts"))
+    members = saved(banded.join(buckets, "band").select("key", "block", "parts").distinct(), "members")
+    wanted = members.groupBy("key").agg(F.collect_list(F.struct("block", "parts")).alias("blocks"))  # at most BANDS
+    places = distinct.join(wanted, "key").select("key", "u.doc_id", "u.first", "u.end", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each task of each line: the block and pair of parts, the line's side of the pair, its shingles."""
+        names = ["block", "i", "j", "side", "key", "s"]
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([x[c] for x in out], pa.int32() if 0 < c < 4 else pa.int64()) for c in range(5)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x[5] for x in out], pa.list_(pa.int64()))], names)
+
         for batch in batches:
             for start, n in text_slices(batch.column(0)):
                 part = batch.slice(start, n)
                 words, _, _, offsets = _lines(part.column(0))
-                keys, out = [], []
+                out, held = [], 0
                 for at, end, mine in zip(offsets[:-1], offsets[1:], part.column(1).to_pylist(), strict=True):
                     for x in mine:
                         if x["end"] > end - at:  # of another row with this doc_id
                             continue
                         windows = shingle_hashes(words[at + x["first"] : at + x["end"]], K)
                         with np.errstate(over="ignore"):
-                            if _mix(_mix(windows).sum(keepdims=True)).view(np.int64)[0] == x["key"]:
-                                keys.append(x["key"])
-                                out.append(np.unique(windows).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["key", "s"])
-
-    mine = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "end")).alias("mine"))  # a document's own lines
+                            if _mix(_mix(windows).sum(keepdims=True)).view(np.int64)[0] != x["key"]:
+                                continue
+                        s = np.unique(windows).view(np.int64)
+                        for block in x["blocks"]:
+                            own = x["key"] % block["parts"]
+                            for other in range(block["parts"]):
+                                i, j = min(own, other), max(own, other)
+                                out.append((block["block"], i, j, -1 if i == j else int(own == j), x["key"], s))
+                                held += len(s)
+                                if held > 1 << 20:
+                                    yield told()
+                                    out, held = [], 0
+                yield told()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, mine, found = None, {}, []
+        for batch in batches:
+            shingles = batch.column(5)
+            flat, ends = shingles.values.to_numpy().view(np.uint64), shingles.offsets.to_numpy()
+            for k, (*now, side, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                if now != task:
+                    found += _connected(mine)
+                    task, mine = now, {}
+                mine[key] = (flat[ends[k] : ends[k + 1]], side)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+            found = []
+        found += _connected(mine)
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    mine = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "end", "blocks")).alias("mine"))  # a document's own lines
     mine = saved(mine, "places")
     near, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", mine, "doc_id")
-    texts = near.join(if_small(mine, 16 + 24 * F.size("mine")), "doc_id").select("text", "mine")
-    found = saved(texts.mapInArrow(sets, "key long, s array<bigint>").groupBy("key").agg(F.first("s").alias("s")), "line-sets")
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
+    texts = near.join(if_small(mine, 16 + (24 + 16 * BANDS) * F.size("mine")), "doc_id").select("text", "mine")
+    tasks = texts.mapInArrow(sets, "block long, i int, j int, side int, key long, s array<bigint>")
+    tasks = tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return tasks.mapInArrow(compare, "a long, b long").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:

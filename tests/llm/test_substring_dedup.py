@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from saleflow.llm import substring_dedup as s
 
 from .conftest import passage, prose
@@ -39,3 +41,17 @@ def test_stage_keeps_columns_and_drops_emptied(spark, docs, no_docs):
 
 def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**s.ROWS) ** s.BANDS >= s.RECALL
+
+
+def test_similar_lines_of_a_mixed_bucket_are_linked(spark, monkeypatch):
+    rows = [(i, prose(500 + i, 40)) for i in range(30)]
+    for k in range(3):
+        words = prose(700 + k, 40).split()
+        rows += [(100 + 2 * k, " ".join(words)), (101 + 2 * k, " ".join([*words[:-1], "changed"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = s.unit_table(docs).where("bands is not null").withColumn("bands", F.array(F.lit(1).cast("long")))  # one bucket
+    keys = {r.key: r.doc_id for r in lines.collect()}
+    for sets in (3000, 5):  # whole, and in parts
+        monkeypatch.setattr(s, "BLOCK_SETS", sets, raising=False)
+        got = {tuple(sorted((keys[r.a], keys[r.b]))) for r in s.similar_lines(docs, lines).collect()}
+        assert got == {(100, 101), (102, 103), (104, 105)}
