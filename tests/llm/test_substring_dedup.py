@@ -55,3 +55,7 @@ def test_similar_lines_of_a_mixed_bucket_are_linked(spark, monkeypatch):
         monkeypatch.setattr(s, "BLOCK_SETS", sets, raising=False)
         got = {tuple(sorted((keys[r.a], keys[r.b]))) for r in s.similar_lines(docs, lines).collect()}
         assert got == {(100, 101), (102, 103), (104, 105)}
+
+
+def test_bands_collide_for_99_of_100_pairs():
+    assert 1 - (1 - 0.8**s.ROWS) ** s.BANDS >= 0.99
