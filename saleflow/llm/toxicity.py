@@ -3,7 +3,9 @@
 Labels are per document, so training first marks words: a word or a leading part of one (3 to 6 characters) that
 occurs in toxic documents far more than chance allows (a G-test over the training documents) marks the words of toxic
 documents that have it. A two-state CRF is trained on those tagged words by maximum likelihood, with features of
-the word, its leading and trailing parts and its neighbours. Scoring runs forward-backward over every whole text; words of
+the word, its leading and trailing parts and its neighbours. Words are parted by ASCII white space and hashed whole; a word
+with punctuation or other blanks inside is followed in the chain by its parts, a run of over WIDTH characters by its windows,
+and a run of a script without blanks by its pairs of characters, so toxic passages count wherever they stand. Scoring runs forward-backward over every whole text; words of
 marginal 0.5 or more are the offending ones, and a logistic layer over the marginals (highest, expected count) gives the score.
 
 Training uses at most TRAIN_ROWS labelled documents of each label; the logistic layer weighs them back to all labels. Nulls, empty texts and texts without words have no marginals and
@@ -13,55 +15,96 @@ are scored each; an empty table gives no rows; labels, lang, source and doc_id a
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
-from .tokens import text_slices
+from .tokens import ragged_gather, text_slices
 
 #: Training documents by label: all the memory and time of a fit depend on.
 TRAIN_ROWS = {1: 1500, 0: 3000}
 DIM, WIDTH, STARTS, TAIL = 1 << 20, 16, (3, 4, 5, 6), 3
 LEAST_G, LEAST_SHARE, SEGMENT, STEPS = 20.0, 0.8, 48, 60
 EDGES = ".,!?;:\"'()[]{}#$%&*|-_<>"
+#: Characters that part a word, and those of scripts that are written without blanks.
+_PARTING = r"\s!-/:-@\[-`{-~\x00-\x1f\xa1\xab\xb7\xbb\xbf\u2000-\u206f\u3000-\u3003\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_SCRIPTS = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_PLAIN = re.compile(f"[^{_PARTING}{_SCRIPTS}]{{0,{WIDTH}}}")
+_RUN, _UNSPACED = re.compile(f"[^{_PARTING}]+"), re.compile(f"[{_SCRIPTS}]")
 
 
 @dataclass
 class Words:
-    """The words of some texts: code per word, word offsets of the texts, and hashed features of each distinct word."""
+    """The units of some texts: code per unit, unit offsets of the texts, and hashed features of each distinct unit.
+
+    `word` and `word_offsets`: the word that each unit is of, over all texts, and the word offsets of the texts."""
 
     codes: np.ndarray
     offsets: np.ndarray
     hashed: np.ndarray = field(repr=False)
+    word: np.ndarray = field(repr=False)
+    word_offsets: np.ndarray = field(repr=False)
+
+
+def units(word: str) -> Iterator[str]:
+    """A word whole, then its parts between punctuation and the windows of runs without blanks."""
+    yield word
+    if _PLAIN.fullmatch(word):
+        return
+    for run in _RUN.findall(word):
+        if _UNSPACED.search(run):
+            yield from (run[i : i + 2] for i in range(len(run)))
+            continue
+        if run != word:
+            yield run
+        if len(run) > WIDTH:
+            yield from (run[i : i + STARTS[-1]] for i in range(1, len(run) - STARTS[0] + 1))
 
 
 def words_of(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     words = lists.flatten().dictionary_encode()
     plain = pc.utf8_trim(pc.utf8_lower(words.dictionary), EDGES)
-    chars = np.array(plain.to_pylist() or [""], f"U{WIDTH}").view(np.uint32).reshape(-1, WIDTH)
-    length = (chars > 0).sum(1)
+    known: dict[str, int] = {}
+    flat, count = array("q"), []
+    for word in plain.to_pylist():
+        before = len(flat)
+        flat.extend(known.setdefault(u, len(known)) for u in units(word))
+        count.append(len(flat) - before)
+    distinct = list(known) or [""]
+    length = np.array(list(map(len, distinct)))
+    heads = np.array([u[: STARTS[-1]] for u in distinct], f"U{STARTS[-1]}").view(np.uint32).reshape(len(distinct), -1)
+    tails = np.array([u[-TAIL:] for u in distinct], f"U{TAIL}").view(np.uint32).reshape(len(distinct), -1)
     with np.errstate(over="ignore"):
-        rolling, starts = np.zeros(len(chars), np.uint64), {}
-        for i in range(WIDTH):
-            rolling = (rolling + chars[:, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        rolling, starts = np.zeros(len(distinct), np.uint64), {}
+        for i in range(STARTS[-1]):
+            rolling = (rolling + heads[:, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             rolling ^= rolling >> np.uint64(29)
             if i + 1 in STARTS:
                 starts[i + 1] = np.where(length > i, rolling, np.uint64(0)) + np.uint64(i + 1)
-        parts = [rolling, *starts.values()]
-        tail = np.zeros(len(chars), np.uint64)
+        whole = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        parts = [whole, *starts.values()]
+        tail = np.zeros(len(distinct), np.uint64)
         for i in range(TAIL):
-            tail = (tail + chars[np.arange(len(chars)), np.maximum(length - 1 - i, 0)]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            tail = (tail + tails[np.arange(len(distinct)), np.clip(length, 1, TAIL) - 1 - np.minimum(i, np.clip(length, 1, TAIL) - 1)]) * np.uint64(0xC2B2AE3D27D4EB4F)
         parts.append(tail ^ (tail >> np.uint64(31)))
         hashed = np.column_stack([(p * np.uint64(2 * k + 1) >> np.uint64(40)) % np.uint64(DIM) for k, p in enumerate(parts)]).astype(np.int64)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    return Words(words.indices.to_numpy().astype(np.int64), offsets - offsets[0], hashed)
+    word_offsets = lists.offsets.to_numpy().astype(np.int64)
+    word_offsets -= word_offsets[0]
+    size = np.array(count, np.int64)
+    at = words.indices.to_numpy().astype(np.int64)
+    codes = ragged_gather(np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64), (np.cumsum(size) - size)[at], size[at])
+    ends = np.concatenate([[0], np.cumsum(size[at])]).astype(np.int64)
+    return Words(codes, ends[word_offsets], hashed, np.repeat(np.arange(len(at)), size[at]), word_offsets)
 
 
 @dataclass
@@ -265,9 +308,10 @@ def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
                 p = crf.marginals(crf.emissions(w), w.offsets)
                 s = crf.scores(p, w.offsets)
                 hit = np.flatnonzero(p >= 0.5) if crf.layer[1:].any() else np.zeros(0, np.int64)
-                ends = np.searchsorted(hit, w.offsets).astype(np.int32)
-                doc = np.searchsorted(w.offsets, hit, "right") - 1
-                places = pa.ListArray.from_arrays(pa.array(ends), pa.array((hit - w.offsets[doc]).astype(np.int32)))
+                hit = np.unique(w.word[hit])
+                ends = np.searchsorted(hit, w.word_offsets).astype(np.int32)
+                doc = np.searchsorted(w.word_offsets, hit, "right") - 1
+                places = pa.ListArray.from_arrays(pa.array(ends), pa.array((hit - w.word_offsets[doc]).astype(np.int32)))
                 columns = [batch.column(0).slice(first, n), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), places]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "toxic_words"])
 

@@ -70,3 +70,34 @@ def test_marginals_equal_enumeration():
                 total, on = total + w, on + w * np.array(y)
         if b > a:
             assert got[a:b] == pytest.approx(on / total)
+
+
+def test_long_words_differ_after_their_first_characters():
+    import pyarrow as pa
+
+    w = t.words_of(pa.array(["internationalizations internationalizationxyz"]))
+    first, second = w.hashed[w.codes[w.word == 0][0]], w.hashed[w.codes[w.word == 1][0]]
+    assert first[0] != second[0] and first[-1] != second[-1]
+
+
+@pytest.mark.parametrize("blank, bad", [("", "害虫"), ("\u3000", "害虫"), ("\u00a0", "vermin"), ("/", "vermin"), ("", "vermin")])
+def test_toxic_passages_in_texts_without_ascii_blanks(blank, bad):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    def text(i):
+        r = random.Random(i)
+        letters = "天地人山水火木金土日月星風雨雪花鳥魚" if bad == "害虫" else "acdfghjklopqstuwxyz"
+        words = ["".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(30)]
+        if i % 3 == 0:
+            words.insert(20 + i % 8, bad)
+        return blank.join(words)
+
+    texts = [text(i) for i in range(450)]
+    y = np.array([i % 3 == 0 for i in range(450)])
+    crf = t.fit(pa.array(texts[:300]), y[:300])
+    w = t.words_of(pa.array(texts[300:]))
+    p = crf.marginals(crf.emissions(w), w.offsets)
+    assert ((crf.scores(p, w.offsets) >= 0.5) == y[300:]).mean() > 0.95
