@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the session's `spark.checkpoint.dir`.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Without that setting only a local session, as in tests, gets a folder of its own; on a cluster it is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("saleflow.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-saleflow-")
         spark.conf.set("saleflow.shared.dir", root)
     return f"{root.rstrip('/')}/saleflow-{uuid.uuid4().hex}"
@@ -29,33 +31,62 @@ def saved(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*written: DataFrame) -> None:
+    """Delete tables of `saved` that nothing reads any more."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Hash buckets of a key filter: at most so many longs are broadcast, whatever the input.
-BUCKETS = 1 << 20
+#: Places of a key filter for each key (a power of two near it), the largest filter that is broadcast, in bytes, and the
+#: bits of one of its rows.
+PLACES, FILTER_BYTES, ROW_BITS = 12, 64 << 20, 1 << 15
 
 
-def split_by_keys(df: DataFrame, key: str, keys: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of `df` whose key may be in `keys`, the others), told by hash buckets.
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame, other: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of `df` whose key may be in `keys`, the others); only the first have to be shuffled to a join with `keys`.
 
-    Only the first part has to be shuffled to a join with `keys`. With very many keys all rows are in the first part.
+    `keys` is a written table: it is counted, and its keys' hashes set bits of a map with PLACES places a key, so some six
+    in seven of the other rows are told whatever the input. The map is broadcast; one beyond FILTER_BYTES isn't made, and
+    all rows are in the first part (the second is None). Null keys are in the second part, if there is one.
     """
+    bits = 1 << max(15, (keys.count() * PLACES - 1).bit_length())
+    if bits > 8 * FILTER_BYTES:
+        return df, None
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = keys.where(other.isNotNull()).select(place(other).alias("p")).select("p", F.floor(F.col("p") / ROW_BITS).cast("int").alias("_saleflow_row"))
+    at = at.repartition("_saleflow_row")  # places are narrower than the maps of all tasks
+    rows = at.groupBy("_saleflow_row").agg(F.bitmap_construct_agg(F.pmod("p", F.lit(ROW_BITS))).alias("_saleflow_bits"))
+    marked = df.withColumn("_saleflow_place", F.when(key.isNotNull(), place(key)))
+    marked = marked.withColumn("_saleflow_row", F.floor(F.col("_saleflow_place") / ROW_BITS).cast("int"))
+    marked = marked.join(F.broadcast(rows), "_saleflow_row", "left")
+    bit = F.pmod("_saleflow_place", F.lit(ROW_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("_saleflow_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))) == 1, F.lit(False))
+    marked = marked.withColumn("_saleflow_hit", hit)
+    return marked.where("_saleflow_hit").select(*_named(df)), marked.where("not _saleflow_hit").select(*_named(df))
 
-    def bucket(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("_saleflow_bucket")
 
-    some = F.broadcast(keys.select(bucket(other)).distinct())
-    marked = df.withColumn("_saleflow_bucket", bucket(key))
-    return marked.join(some, "_saleflow_bucket", "left_semi").select(*df.columns), marked.join(some, "_saleflow_bucket", "left_anti").select(*df.columns)
+def _named(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns]
 
 
-#: Tables of at most so many estimated bytes are broadcast to a join.
-SMALL_BYTES = 64 << 20
+#: A key is hot if it has more than this share of all rows (and of this count): there are fewer than 1 / share of them.
+HOT_SHARE, HOT_ROWS = 0.001, 1000
 
 
-def if_small(written: DataFrame, row_bytes: Column) -> DataFrame:
-    """A written table, marked for broadcast if its rows come to at most SMALL_BYTES, else left to a shuffle join."""
-    n = written.agg(F.sum(row_bytes.cast("long")).alias("n")).first().n or 0
-    return F.broadcast(written) if n <= SMALL_BYTES else written
+def join_on_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join with a written table of one row for each key; `n` is how many of the `total` rows have it.
+
+    The fewer than 1 / HOT_SHARE hot keys are broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    hot = F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))
+    few = one.where(hot).drop(n)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(one.where(~hot).drop(n).hint("merge"), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)

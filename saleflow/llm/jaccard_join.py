@@ -9,7 +9,8 @@
    overlap can't reach t. The pairs left connect their classes (enough of them to connect all, never all pairs), and
    the components over all buckets are blocks: every link lies inside one block.
    In a block the traversal is done again, now with exact comparison of the sets; pairs already connected are skipped.
-   Blocks beyond BLOCK_SETS sets or BLOCK_SHINGLES shingles are cut in parts, and every pair of parts is a task.
+   Blocks beyond BLOCK_SETS sets or BLOCK_SHINGLES shingles are cut in parts of like size, and every pair of parts whose
+   sizes allow a link is a task.
 4. The links' components are the groups.
 
 Sets are compared by 64-bit shingle hashes. Nulls and texts without words have no shingles and link with nothing; rows
@@ -19,6 +20,7 @@ with a null doc_id link with nothing and have a null component_id. Repeated rows
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, saved, split_by_keys
+from .common import HOT_ROWS, HOT_SHARE, saved, split_by_keys
 from .components import components
 from .shingles import shingle_sets
 from .tokens import text_slices
@@ -34,7 +36,7 @@ from .tokens import text_slices
 SLOTS, CHUNKS = 1 << 20, 64
 BLOCK_SETS, BLOCK_SHINGLES = 3000, 6_000_000
 FANOUT = 16
-#: Buckets of one shingle beyond BUCKET are connected as they are; those up to SMALL are tried pair by pair.
+#: Buckets of one shingle beyond BUCKET are connected by a star, without a tree: exact too, as blocks are compared whole; those up to SMALL are tried pair by pair.
 BUCKET, SMALL = 20_000, 6
 
 
@@ -46,28 +48,33 @@ def sets_of(batches: Iterator[pa.RecordBatch], text: int, k: int) -> Iterator[tu
 
 
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """log2 of the document count of each of SLOTS hash slots, over all documents (a megabyte, whatever the input)."""
+    """log2, rounded, of the document count of each of SLOTS hash slots, over all documents (a megabyte, whatever the input).
+
+    Each task sends its counts' logarithms, a byte a slot; they only order shingles, so that is exact enough.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for _, sets in sets_of(batches, 0, k):
             counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-        parts = [x.tobytes() for x in np.split(counts, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+        levels = np.rint(np.log2(counts + 1.0) * 4).astype(np.uint8)  # quarters of a power of two
+        parts = [x.tobytes() for x in np.split(levels, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "levels"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS // CHUNKS, np.int64)
+        total = np.zeros(SLOTS // CHUNKS)
         for batch in batches:
             for x in batch.column(1).to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+                total += np.exp2(np.frombuffer(x, np.uint8) / 4) - 1
+        level = np.rint(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
 
-    schema = "chunk int, counts binary"
+    schema = "chunk int, levels binary"
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-    counts = np.zeros((CHUNKS, SLOTS // CHUNKS), np.int64)
+    levels = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8)
     for r in rows:
-        counts[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return np.log2(np.maximum(counts.ravel(), 1)).astype(np.uint8)
+        levels[r.chunk] = np.frombuffer(r.levels, np.uint8)
+    return levels.ravel()
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -76,28 +83,33 @@ def _needed(n: np.ndarray | int, percent: int):
 
 
 def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, class_key (hash of the set; null without shingles), prefix (its rarest shingles), bitmap."""
+    """Per row: doc_id, n, class_key (hash of the set; null without shingles), its rarest shingles (`prefix`, and `often`
+    for those whose slot has so many documents that they may be in over BUCKET of them), bitmap."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value.astype(np.uint64)
         for part, sets in sets_of(batches, 1, k):
-            keys, prefixes, bitmaps = [], [], []
+            keys, prefixes, frequent, bitmaps = [], [], [], []
             for s, doc_id in zip(sets, part.column(0).to_pylist(), strict=True):
                 if not len(s) or doc_id is None:
-                    for x in (keys, prefixes, bitmaps):
+                    for x in (keys, prefixes, frequent, bitmaps):
                         x.append(None)
                     continue
                 bitmaps.append(bitmap(s, width(len(s))).tobytes())
                 keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 p = len(s) - _needed(len(s), percent) + 1
                 order = (level[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
-                prefixes.append(s[np.argpartition(order, p - 1)[:p]].view(np.int64))
-            columns = [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class_key", "prefix", "bitmap"])
+                rare = np.argpartition(order, p - 1)[:p]
+                often = order[rare] >> np.uint64(58) >= np.uint64(max(0, BUCKET.bit_length() - 2))  # levels are rounded
+                prefixes.append(s[rare[~often]].view(np.int64))
+                frequent.append(s[rare[often]].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, frequent)]
+            columns = [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.int64()), *lists, pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class_key", "prefix", "often", "bitmap"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return saved(narrow.mapInArrow(describe, "doc_id long, n long, class_key long, prefix array<bigint>, bitmap binary"), "sets")
+    return saved(narrow.mapInArrow(describe, "doc_id long, n long, class_key long, prefix array<bigint>, often array<bigint>, bitmap binary"), "sets")
 
 
 def width(n: int) -> int:
@@ -207,11 +219,16 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes that connect all those with a common prefix shingle that their bitmaps let link.
 
     Prefix shingles are shuffled once. Buckets of up to SMALL classes give their pairs of fitting sizes, each of which is
-    tried on bitmaps once; of larger buckets the classes go on to the trees, but for those beyond BUCKET, a star.
+    tried on bitmaps once; of larger buckets the classes go on to the trees, but for those beyond BUCKET, a star. Shingles
+    of over BUCKET classes and HOT_SHARE of all (so fewer than 1 / HOT_SHARE) aren't shuffled: their stars are made by a broadcast.
     """
-    classes = sets.where("class_key is not null").groupBy("class_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    classes = saved(classes, "classes")
-    tokens = classes.select(F.explode("prefix").alias("token"), "class_key", F.col("n").cast("int").alias("n"))
+    first = [F.first(c).alias(c) for c in ("n", "prefix", "often", "bitmap")]
+    classes = saved(sets.where("class_key is not null").groupBy("class_key").agg(*first), "classes")
+    of = lambda c: classes.select(F.explode(c).alias("token"), "class_key", F.col("n").cast("int").alias("n"))
+    centres = of("often").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("class_key").alias("least"))
+    centres = saved(centres.where(F.col("m") > max(BUCKET, HOT_ROWS, int(classes.count() * HOT_SHARE))).drop("m"), "hot")
+    hot = of("often").join(F.broadcast(centres), "token").select(F.lit("star").alias("kind"), F.col("class_key").alias("a"), F.col("least").alias("b"))
+    tokens = of("prefix").unionByName(of("often").join(F.broadcast(centres.select("token")), "token", "left_anti"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b"]
@@ -279,7 +296,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(prune, "a long, b long")
     many = found.where("kind = 'large'").join(of("a"), "a").select(F.col("b").alias("token"), "a", "n_a", "m_a")
     many = many.repartition("token").sortWithinPartitions("token").mapInArrow(trees, "a long, b long")
-    stars = found.where("kind = 'star' and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = found.where("kind = 'star'").unionByName(hot).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return pairs.unionByName(many).unionByName(stars).distinct()
 
 
@@ -315,17 +332,38 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Itera
         mark[own] = 0
 
 
+#: Parts of one size that a part's number has room for.
+PARTS = 1 << 32
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """Per block whether it is cut, and the parts that its sets are dealt to: a map from size class to a number of parts.
+
+    A block of up to BLOCK_SETS sets and BLOCK_SHINGLES shingles is one part, of size class 0. The sets of others are parted
+    by their size's logarithm, so that linked sets are of one size class or of two that follow each other: only such parts meet.
+    """
+    need = lambda sets, total: F.ceil(F.greatest(sets / BLOCK_SETS, total / BLOCK_SHINGLES)).cast("long")
+    sizes = members.groupBy("block", "size").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    blocks = sizes.groupBy("block").agg(  # at most one entry per size class
+        need(F.sum("sets"), F.sum("total")).alias("all"), F.map_from_entries(F.collect_list(F.struct("size", need(F.col("sets"), F.col("total"))))).alias("parts")
+    )
+    one = F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    return blocks.select("block", (F.col("all") > 1).alias("cut"), F.when(F.col("all") > 1, F.col("parts")).otherwise(one).alias("parts"))
+
+
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes; enough of them to connect every two that are linked."""
     blocks = components(candidate_edges(sets, percent))
     classes = sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = blocks.join(classes, blocks["node"] == classes["class_key"]).select("class_key", "doc_id", "n", F.col("component").alias("block"))
-    parts = members.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
-    parts = parts.select("block", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    members = members.join(parts, "block")
-    own = F.pmod(F.xxhash64("class_key"), F.col("parts")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("class_key", "doc_id", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    members = blocks.join(classes.hint("merge"), blocks["node"] == classes["class_key"]).select("class_key", "doc_id", "n", F.col("component").alias("block"))
+    members = saved(members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / (-math.log(percent / 100) * 1.0001)).cast("long")), "blocks")
+    dealt = members.join(_parts(members), "block")
+    size = F.when(F.col("cut"), F.col("size")).otherwise(0)
+    own = size * PARTS + F.pmod(F.xxhash64("class_key"), F.col("parts")[size])
+    meets = [F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at("parts", size + d), F.lit(0).cast("long"))), lambda i, d=d: (size + d) * PARTS + i) for d in (-1, 0, 1)]
+    meets = [F.slice(m, 1, F.size(m) - 1) for m in meets]  # a sequence from 0 to the number of parts, but for its last
+    dealt = dealt.select("class_key", "doc_id", "block", own.alias("own"), F.explode(F.concat(*meets)).alias("other"))
+    members = dealt.select("class_key", "doc_id", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -349,9 +387,9 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
                     held[key] = (s, own)
         yield from done()
 
-    members = saved(members, "members")
-    texts, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", members, "doc_id")
-    rows = texts.join(if_small(members, F.lit(48)), "doc_id").select("class_key", "block", "i", "j", "own", "text")
+    members = saved(members.withColumnRenamed("doc_id", "of"), "members")
+    texts, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("doc_id"), members, F.col("of"))
+    rows = texts.join(members.hint("merge"), F.col("doc_id") == F.col("of")).select("class_key", "block", "i", "j", "own", "text")
     return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(verify, "a long, b long")
 
 
@@ -377,7 +415,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.lit(True).alias("goes"))
     again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of"), F.lit(False).alias("goes"))
     touched = saved(gone.unionByName(again).groupBy("of").agg(F.max("goes").alias("goes")), "touched")
-    near, far = split_by_keys(docs, "doc_id", touched, "of")  # the others stay as they are, without a shuffle
-    rows = near.select(F.struct(*docs.columns).alias("row")).join(if_small(touched, F.lit(16)), F.col("row.doc_id") == F.col("of"), "left")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    near, far = split_by_keys(whole, F.col("row.doc_id").cast("long"), touched, F.col("of"))  # the others stay as they are, without a shuffle
+    rows = near.join(touched.hint("merge"), F.col("row.doc_id") == F.col("of"), "left")
     single = rows.where("not goes").dropDuplicates(["of"])
-    return rows.where("goes is null").unionByName(single).select("row.*").unionByName(far)
+    rows = rows.where("goes is null").unionByName(single).select("row")
+    return (rows if far is None else rows.unionByName(far)).select("row.*")

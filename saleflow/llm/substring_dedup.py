@@ -1,20 +1,26 @@
 """Removal of passages that repeat across documents: paragraph MinHash banding, exact checks, components.
 
-Two kinds of paragraphs, both of whole texts:
-
-* Lines of at least LINE_WORDS words. Their five-word shingles get a MinHash signature in bands, tuned so that a pair of
-  similarity 0.8 collides with probability RECALL at least. Of the lines that collide all those with an exact Jaccard
-  similarity of 0.8 or more are connected (by a signature tree for each bucket) and clustered.
-* Content-defined pieces, since a passage can stand inside a line or run over several: a text is cut where a shingle's
-  hash is the least within RADIUS places either way, so the same words are cut alike wherever they stand. Pieces
-  with the same shingles (similarity 1) are one cluster. Verbatim runs of some 25 words or more hold whole pieces.
-
-In each cluster the document with the least doc_id keeps its paragraph; the others lose theirs. Overlapping and adjacent
-removals are one span; spans under SPAN_WORDS words stay. Repeats inside one document stay. class_id is the least
-doc_id that a document reaches over such removals.
-
+Two kinds of paragraphs, both of whole texts and both treated alike:
+
+* Lines of at least LINE_WORDS words.
+* Windows of WINDOW words, since a passage can stand inside a line or run over several. They start where a five-word
+  shingle's hash is the least of some SPREAD neighbouring ones (winnowing), so the same words are cut alike wherever they
+  stand, and every verbatim passage of WINDOW + SPREAD - 1 words holds a window.
+
+1. The five-word shingles of a paragraph get a MinHash signature in bands of ROWS hashes: for lines as many as make a pair
+   of similarity 0.8 collide with probability RECALL, for windows, which only have to meet their verbatim copies, one.
+2. Bands that stand in one document only are dropped, by a grouped minimum and maximum.
+3. Of the paragraphs that collide all those with an exact Jaccard similarity of 0.8 or more are connected (by a signature
+   tree for each bucket); paragraphs of the same shingles are one from the start.
+4. Components of these links are the clusters. In each the document with the least doc_id keeps its paragraph; the others
+   lose theirs. Overlapping and adjacent removals are one span. Repeats inside one document stay. class_id is the least
+   doc_id that a document reaches over such removals.
+
+Paragraphs in very many documents are hot keys: they are counted before any shuffle of their rows, and met by broadcast
+(`join_on_hot`). Very long texts give more paragraphs, each handled alone. Ties: the least doc_id keeps.
 Nulls: a null text has no words and stays null; rows with a null doc_id take no part. Rows that share a doc_id count as
-one document for the clusters; each loses the spans found in any of them. Empty table: no rows. Other columns pass.
+one document for the clusters; each loses the spans found in any of them. Empty table: no rows. Other columns pass,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import if_small, saved, split_by_keys
+from .common import forget, join_on_hot, saved, split_by_keys
 from .components import components
 from .jaccard_join import BLOCK_SETS, BLOCK_SHINGLES, block_links
 from .shingles import _mix, shingle_hashes, word_hashes
 from .tokens import text_slices
 
-K, PERCENT, LINE_WORDS, RADIUS, SPAN_WORDS, RECALL = 5, 80, 20, 4, 16, 0.99
+K, PERCENT, LINE_WORDS, WINDOW, SPREAD, RECALL = 5, 80, 20, 20, 20, 0.99
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 3) -> int:
@@ -70,44 +75,66 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return words, lines, at, lines[at]
 
 
-def units(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Lines, then pieces: (row of the text, first word, end word, key, bands)."""
+def _signatures(windows: np.ndarray, first: np.ndarray, end: np.ndarray, n_bands: int) -> np.ndarray:
+    """MinHash bands of windows[first:end]."""
+    out = np.zeros((len(first), n_bands), np.uint64)
+    for b in range(n_bands):
+        band = np.full(len(first), b + 1, np.uint64)
+        for r in range(ROWS):
+            seed = np.uint64(0x9E3779B97F4A7C15 * (2 * (b * ROWS + r) + 1) & 0xFFFFFFFFFFFFFFFF)
+            band = _mix(band * np.uint64(31) + _reduce(np.minimum, (windows ^ seed) * (seed | np.uint64(1)), first, end))
+        out[:, b] = band
+    return out
+
+
+def _sliding(ufunc: np.ufunc, values: np.ndarray, n: int) -> np.ndarray:
+    """ufunc over values[i:i+n] for each i (fewer at the end)."""
+    out, have = values.copy(), 1
+    while have < n:
+        step = min(have, n - have)
+        out[:-step] = ufunc(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def anchors(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Places at which a window starts: hashes[p] is the least of some SPREAD places of its document (of all, if it has fewer).
+
+    `docs`: word offsets; a window at p ends in its document.
+    """
+    places = np.maximum(np.diff(docs) - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(places)), places)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(places) - places, places) + docs[:-1][doc]
+    if not len(at):
+        return at
+    h = hashes[at] >> np.uint64(1)
+    gap = SPREAD  # places between documents, so that no range spans two
+    spread = np.full(len(at) + gap * (len(places) + 1), np.uint64(0x7FFFFFFFFFFFFFFF))
+    mine = np.arange(len(at)) + gap * (doc + 1)
+    spread[mine] = h
+    least = _sliding(np.minimum, spread, SPREAD)
+    whole = np.zeros(len(spread), bool)  # ranges that lie in a document, and the first of those with fewer places
+    start = np.cumsum(places) - places
+    left = start[doc] + places[doc] - np.arange(len(at))
+    whole[mine] = (left >= SPREAD) | (np.arange(len(at)) == start[doc])
+    least[~whole] = 0
+    best = _sliding(np.maximum, least[::-1], SPREAD)[::-1]  # over the ranges that hold a place
+    return at[best[mine] == h]
+
+
+def units(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines, then windows: (row of the text, first word, end word, key, bands); `key` tells the bag of shingles."""
     words, lines, at, docs = _lines(texts)
     windows = shingle_hashes(words, K)
     mixed = _mix(windows)
-    size = np.diff(lines)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    long = np.flatnonzero(size >= LINE_WORDS)
+    long = np.flatnonzero(np.diff(lines) >= LINE_WORDS)
     first, end = lines[long], lines[long + 1] - K + 1
-    keys = _mix(_reduce(np.add, mixed, first, end))
-    bands = np.zeros((len(long), BANDS), np.uint64)
-    for b in range(BANDS):
-        band = np.full(len(long), b + 1, np.uint64)
-        for r in range(ROWS):
-            seed = np.uint64(0x9E3779B97F4A7C15 * (2 * (b * ROWS + r) + 1) & 0xFFFFFFFFFFFFFFFF)
-            band = _mix(band * np.uint64(31) + _reduce(np.minimum, (windows ^ seed) * (seed | np.uint64(1)), first, end))
-        bands[:, b] = band
-    yield row[long], first - docs[row[long]], lines[long + 1] - docs[row[long]], keys, bands
-
-    count = np.diff(docs)
-    spread = np.full(len(words) + RADIUS * (len(count) + 1), _TOP)  # RADIUS empty places between texts
-    places = np.arange(len(words)) + RADIUS * (np.repeat(np.arange(len(count)), count) + 1)
-    valid = np.arange(len(words)) + K <= np.repeat(docs[1:], count)
-    spread[places[valid]] = windows[np.flatnonzero(valid)]
-    least = spread.copy()
-    for shift in range(1, RADIUS + 1):
-        np.minimum(least[shift:], spread[:-shift], out=least[shift:])
-        np.minimum(least[:-shift], spread[shift:], out=least[:-shift])
-    cut = (spread[places] == least[places]) & valid
-    whole = count >= K
-    cut[docs[:-1][whole]] = True
-    first = np.flatnonzero(cut)
+    yield row[long], first - docs[row[long]], lines[long + 1] - docs[row[long]], _mix(_reduce(np.add, mixed, first, end)), _signatures(windows, first, end, BANDS)
+    first = anchors(mixed, docs)
+    end = first + WINDOW - K + 1
     doc = np.searchsorted(docs, first, "right") - 1
-    end = np.append(first[1:], 0)
-    last = np.append(doc[1:] != doc[:-1], True)
-    end[last] = docs[doc[last] + 1] - K + 1
-    keys = _mix(_reduce(np.add, mixed, first, end) + np.uint64(K))
-    yield doc, first - docs[doc], end + K - 1 - docs[doc], keys, None
+    yield doc, first - docs[doc], first + WINDOW - docs[doc], _mix(_reduce(np.add, mixed, first, end)), _signatures(windows, first, end, 1)
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
@@ -117,11 +144,8 @@ def unit_table(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(start, n)
                 with np.errstate(over="ignore"):
                     for row, first, end, keys, bands in units(batch.column(1).slice(start, n)):
-                        lists = (
-                            pa.array([None] * len(row), pa.list_(pa.int64()))
-                            if bands is None
-                            else pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                        )
+                        offsets = pa.array(np.arange(len(row) + 1) * bands.shape[1], pa.int32())
+                        lists = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))
                         yield pa.RecordBatch.from_arrays(
                             [ids.take(pa.array(row)), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(keys.view(np.int64)), lists],
                             ["doc_id", "first", "end", "key", "bands"],
@@ -131,6 +155,14 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return saved(narrow.mapInArrow(cut, UNITS), "units")
 
 
+def colliding(table: DataFrame) -> DataFrame:
+    """Paragraphs by band (doc_id, first, end, key, band), but for most of the bands that stand in one document alone."""
+    banded = table.select("doc_id", "first", "end", "key", F.explode("bands").alias("band"))
+    seen = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
+    shared = saved(seen.where("low < top").select(F.col("band").alias("of")), "bands")
+    return saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding")
+
+
 def _connected(sets: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, int]]:
     """Links that connect all lines of one task (key: shingles, side) that have similarity 0.8 or more."""
     keys = list(sets)
@@ -145,20 +177,22 @@ def _connected(sets: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, i
             yield keys[a], keys[b]
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links (a, b) between keys of lines; enough to connect every two that collide in a band and have similarity 0.8 or more.
+def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Links (a, b) between keys of `colliding` paragraphs; enough of them to connect every two that collide in a band and
+    have similarity 0.8 or more.
 
-    The lines of a band's bucket are compared by a signature tree; buckets of the same lines are one. Large buckets are
-    cut in parts, and every pair of parts is a task.
+    The paragraphs of a band's bucket are compared by a signature tree; buckets of the same paragraphs are one. Large
+    buckets are cut in parts, and every pair of parts is a task.
     """
-    distinct = lines.groupBy("key").agg(F.min(F.struct("doc_id", "first", "end", "bands")).alias("u"))
-    banded = distinct.select("key", F.explode("u.bands").alias("band"), (F.col("u.end") - F.col("u.first")).alias("n"))
+    banded = table.groupBy("band", "key").agg(F.max(F.col("end") - F.col("first")).alias("n"))  # copies combine before the shuffle
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("key")).alias("of")).where("lines > 1")
     parts = F.ceil(F.greatest(F.col("lines") / BLOCK_SETS, F.col("n") / BLOCK_SHINGLES)).cast("int")
     buckets = buckets.select("band", F.xxhash64("of", "lines", parts).alias("block"), parts.alias("parts"))
-    members = saved(banded.join(buckets, "band").select("key", "block", "parts").distinct(), "members")
-    wanted = members.groupBy("key").agg(F.collect_list(F.struct("block", "parts")).alias("blocks"))  # at most BANDS
-    places = distinct.join(wanted, "key").select("key", "u.doc_id", "u.first", "u.end", "blocks")
+    members = banded.join(buckets.hint("merge"), "band").groupBy("key").agg(F.collect_set(F.struct("block", "parts")).alias("blocks"))  # at most BANDS
+    members = saved(members, "members")
+    wanted, _ = split_by_keys(table.select("key", "doc_id", "first", "end"), F.col("key"), members.select(F.col("key").alias("of")), F.col("of"))
+    places = wanted.groupBy("key").agg(F.min(F.struct("doc_id", "first", "end")).alias("u"))
+    places = places.join(members.hint("merge"), "key").select("key", "u.doc_id", "u.first", "u.end", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each task of each line: the block and pair of parts, the line's side of the pair, its shingles."""
@@ -208,10 +242,10 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         found += _connected(mine)
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    mine = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "end", "blocks")).alias("mine"))  # a document's own lines
-    mine = saved(mine, "places")
-    near, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", mine, "doc_id")
-    texts = near.join(if_small(mine, 16 + (24 + 16 * BANDS) * F.size("mine")), "doc_id").select("text", "mine")
+    mine = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "end", "blocks")).alias("mine"))  # a document's own paragraphs
+    mine = saved(mine.withColumnRenamed("doc_id", "of"), "places")
+    near, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("doc_id"), mine, F.col("of"))
+    texts = near.join(mine.hint("merge"), F.col("doc_id") == F.col("of")).select("text", "mine")
     tasks = texts.mapInArrow(sets, "block long, i int, j int, side int, key long, s array<bigint>")
     tasks = tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     return tasks.mapInArrow(compare, "a long, b long").distinct()
@@ -220,13 +254,16 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """Per paragraph that goes: doc_id, first and end word, and the doc_id that keeps it (`source`)."""
     table = unit_table(docs)
-    lines, pieces = table.where("bands is not null"), table.where("bands is null")
-    clusters = saved(components(similar_lines(docs, lines)), "clusters")
-    lines = lines.join(if_small(clusters, F.lit(16)), F.col("key") == F.col("node"), "left")
-    lines = lines.select("doc_id", "first", "end", F.coalesce("component", "key").alias("key"))
-    both = lines.unionByName(pieces.select("doc_id", "first", "end", "key"))
-    kept = both.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("top")).where("source < top").drop("top")
-    return both.join(kept, "key").where("doc_id > source").select("doc_id", "first", "end", "source")
+    collided = colliding(table)
+    keys = saved(collided.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "keys")
+    named = keys.join(components(similar(docs, collided)).hint("merge"), F.col("key") == F.col("node"), "left")
+    named = saved(named.select("key", "low", "top", "n", F.coalesce("component", "key").alias("cluster")), "clusters")
+    forget(collided, keys)
+    sources = named.groupBy("cluster").agg(F.min("low").alias("source"), F.max("top").alias("last")).where("source < last")
+    kept = saved(named.join(sources.drop("last").hint("merge"), "cluster").select("key", "source", "n"), "kept")
+    rows, _ = split_by_keys(table.select("doc_id", "first", "end", "key"), F.col("key"), kept.select(F.col("key").alias("of")), F.col("of"))
+    total = kept.agg(F.sum("n").alias("n")).first().n or 0
+    return join_on_hot(rows, kept, "key", "n", total).where("doc_id > source").select("doc_id", "first", "end", "source")
 
 
 def _spans(parts: list[dict]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -237,17 +274,18 @@ def _spans(parts: list[dict]) -> tuple[list[tuple[int, int]], set[int]]:
             spans[-1][2].add(x["source"])
         else:
             spans.append([x["first"], x["end"], {x["source"]}])
-    long = [x for x in spans if x[1] - x[0] >= SPAN_WORDS]
-    return [(a, b) for a, b, _ in long], set().union(*(s for *_, s in long))
+    return [(a, b) for a, b, _ in spans], set().union(*(s for *_, s in spans))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Per document: `row` (its columns), text (what stays), n_words, n_removed (words), sources (doc_ids that keep them)."""
     parts = removals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end", "source")).alias("parts"))
     parts = saved(parts.withColumnRenamed("doc_id", "of"), "parts")  # a document's own paragraphs
-    near, far = split_by_keys(docs, "doc_id", parts, "of")  # documents that surely lose nothing aren't shuffled
-    near = near.select(F.struct(*docs.columns).alias("row")).join(if_small(parts, 16 + 24 * F.size("parts")), F.col("row.doc_id") == F.col("of"), "left").select("row", "parts")
-    state = near.unionByName(far.select(F.struct(*docs.columns).alias("row"), F.lit(None).cast(parts.schema["parts"].dataType).alias("parts")))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    near, far = split_by_keys(whole, F.col("row.doc_id").cast("long"), parts, F.col("of"))  # documents that surely lose nothing aren't shuffled
+    state = near.join(parts.hint("merge"), F.col("row.doc_id") == F.col("of"), "left").select("row", "parts")
+    if far is not None:
+        state = state.unionByName(far.select("row", F.lit(None).cast(parts.schema["parts"].dataType).alias("parts")))
     row = state.schema["row"].dataType
     at = row.fieldNames().index("text")
     found = "text string, n_words long, n_removed long, sources array<bigint>"
