@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_ROWS, HOT_SHARE, saved, split_by_keys
@@ -360,8 +360,12 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     dealt = members.join(_parts(members), "block")
     size = F.when(F.col("cut"), F.col("size")).otherwise(0)
     own = size * PARTS + F.pmod(F.xxhash64("class_key"), F.col("parts")[size])
-    meets = [F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at("parts", size + d), F.lit(0).cast("long"))), lambda i, d=d: (size + d) * PARTS + i) for d in (-1, 0, 1)]
-    meets = [F.slice(m, 1, F.size(m) - 1) for m in meets]  # a sequence from 0 to the number of parts, but for its last
+
+    def parts_of(size: Column) -> Column:  # a sequence from 0 to the number of parts, but for its last
+        some = F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at("parts", size), F.lit(0).cast("long")))
+        return F.transform(F.slice(some, 1, F.size(some) - 1), lambda i: size * PARTS + i)
+
+    meets = [parts_of(size + d) for d in (-1, 0, 1)]
     dealt = dealt.select("class_key", "doc_id", "block", own.alias("own"), F.explode(F.concat(*meets)).alias("other"))
     members = dealt.select("class_key", "doc_id", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 

@@ -7,8 +7,9 @@ Two kinds of paragraphs, both of whole texts and both treated alike:
   shingle's hash is the least of some SPREAD neighbouring ones (winnowing), so the same words are cut alike wherever they
   stand, and every verbatim passage of WINDOW + SPREAD - 1 words holds a window.
 
-1. The five-word shingles of a paragraph get a MinHash signature in bands of ROWS hashes: for lines as many as make a pair
-   of similarity 0.8 collide with probability RECALL, for windows, which only have to meet their verbatim copies, one.
+1. The five-word shingles of a paragraph get a MinHash signature in bands: for lines as many bands of ROWS hashes as make a
+   pair of similarity 0.8 collide with probability RECALL, for windows, which only have to meet their verbatim copies, one
+   of WINDOW_ROWS hashes.
 2. Bands that stand in one document only are dropped, by a grouped minimum and maximum.
 3. Of the paragraphs that collide all those with an exact Jaccard similarity of 0.8 or more are connected (by a signature
    tree for each bucket); paragraphs of the same shingles are one from the start.
@@ -45,7 +46,7 @@ K, PERCENT, LINE_WORDS, WINDOW, SPREAD, RECALL = 5, 80, 20, 20, 20, 0.99
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def tuned_bands(similarity: float, recall: float, rows: int = 3) -> int:
+def tuned_bands(similarity: float, recall: float, rows: int) -> int:
     """Fewest bands of `rows` hashes with which a pair of that similarity collides with probability `recall`."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -53,7 +54,7 @@ def tuned_bands(similarity: float, recall: float, rows: int = 3) -> int:
     return bands
 
 
-ROWS = 3
+ROWS, WINDOW_ROWS = 4, 8
 BANDS = tuned_bands(PERCENT / 100, RECALL, ROWS)
 UNITS = "doc_id long, first int, end int, key long, bands array<bigint>"
 
@@ -75,13 +76,13 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return words, lines, at, lines[at]
 
 
-def _signatures(windows: np.ndarray, first: np.ndarray, end: np.ndarray, n_bands: int) -> np.ndarray:
-    """MinHash bands of windows[first:end]."""
+def _signatures(windows: np.ndarray, first: np.ndarray, end: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
+    """MinHash bands of `rows` hashes of windows[first:end]."""
     out = np.zeros((len(first), n_bands), np.uint64)
     for b in range(n_bands):
         band = np.full(len(first), b + 1, np.uint64)
-        for r in range(ROWS):
-            seed = np.uint64(0x9E3779B97F4A7C15 * (2 * (b * ROWS + r) + 1) & 0xFFFFFFFFFFFFFFFF)
+        for r in range(rows):
+            seed = np.uint64(0x9E3779B97F4A7C15 * (2 * (b * rows + r) + 1) & 0xFFFFFFFFFFFFFFFF)
             band = _mix(band * np.uint64(31) + _reduce(np.minimum, (windows ^ seed) * (seed | np.uint64(1)), first, end))
         out[:, b] = band
     return out
@@ -130,11 +131,11 @@ def units(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
     row = np.repeat(np.arange(len(texts)), np.diff(at))
     long = np.flatnonzero(np.diff(lines) >= LINE_WORDS)
     first, end = lines[long], lines[long + 1] - K + 1
-    yield row[long], first - docs[row[long]], lines[long + 1] - docs[row[long]], _mix(_reduce(np.add, mixed, first, end)), _signatures(windows, first, end, BANDS)
+    yield row[long], first - docs[row[long]], lines[long + 1] - docs[row[long]], _mix(_reduce(np.add, mixed, first, end)), _signatures(windows, first, end, BANDS, ROWS)
     first = anchors(mixed, docs)
     end = first + WINDOW - K + 1
     doc = np.searchsorted(docs, first, "right") - 1
-    yield doc, first - docs[doc], first + WINDOW - docs[doc], _mix(_reduce(np.add, mixed, first, end)), _signatures(windows, first, end, 1)
+    yield doc, first - docs[doc], first + WINDOW - docs[doc], _mix(_reduce(np.add, mixed, first, end)), _signatures(windows, first, end, 1, WINDOW_ROWS)
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
