@@ -6,12 +6,15 @@ kept per white-space-delimited chunk (the pre-tokenizer never joins across white
 worked out once in a slice. The shortcut splits only chunks of Latin letters below U+0250, where lower-casing is one
 character to one and normalization changes nothing; other chunks, and texts with special strings, go to the library whole.
 
-Nulls: a null text has no bytes and no tokens. Empty table: no rows. Repeated rows are counted each; other columns
-are ignored.
+The pattern of pre-tokens is a fixed value here; a vocabulary file with another pattern or normalizer is an error.
+
+Nulls: a null text has no bytes and no tokens. Very long texts are counted whole, in a slice of their own. Empty table: no
+rows. Repeated rows are counted each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import MEMO_CHUNKS, encoder, text_slices
+from .tokens import encoder, text_slices
 
 #: The vocabulary's own pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -29,8 +32,28 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _SIMPLE = regex.compile("[!-~\xa1-įı-ɏ]+")
 
 
+#: Chunks in each generation of the memo, and bytes of text handled at once.
+MEMO_CHUNKS, SLICE_BYTES = 400_000, 24 << 20
+
+
+def _patterns(node) -> list[str]:
+    """The regular expressions anywhere in a part of a vocabulary file."""
+    if isinstance(node, dict):
+        own = [node["Regex"]] if isinstance(node.get("Regex"), str) else []
+        return own + [x for v in node.values() for x in _patterns(v)]
+    return [x for v in node for x in _patterns(v)] if isinstance(node, list) else []
+
+
+def check_vocabulary(path: str) -> None:
+    """An error unless the file cuts texts as the shortcut takes it: lower case, white space dropped, PRE_TOKEN."""
+    spec = json.loads(encoder(path).tokenizer.to_str())
+    if PRE_TOKEN not in _patterns(spec["pre_tokenizer"]) or "Lowercase" not in json.dumps(spec["normalizer"]):
+        raise ValueError(f"{path} has another pre-tokenizer or normalizer than the whole-token shortcut is written for")
+
+
 def whole_tokens(path: str) -> frozenset[str]:
     """Pre-tokens, lower-cased, that the vocabulary at `path` is proven to encode as one token. At most one per id."""
+    check_vocabulary(path)
     ids = encoder(path)
     pre = regex.compile(PRE_TOKEN)
     texts = [x.removesuffix("</w>") for x in ids.tokenizer.get_vocab() if x.endswith("</w>")]
@@ -77,7 +100,7 @@ class ChunkCounter:
     def __call__(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
         out = [np.zeros(0, np.int64)]
-        for first, n in text_slices(texts):
+        for first, n in text_slices(texts, SLICE_BYTES):
             part = texts.slice(first, n)
             special = self.ids.whole(part)
             counts = np.zeros(n, np.int64)

@@ -7,8 +7,11 @@ the sha256 of the dictionary that the frames need, the shard (shards ascend with
 `tokens_before` it in its shard. A reader decodes one document from one row's index and one frame. Spark's commit
 protocol writes the blocks, so a lost executor leaves no half file, and any store that Spark reaches will do.
 
-Nulls: a null text is empty (its end id alone); null doc_ids come first. Ties of doc_id are ordered by text. Empty
-table: no blocks, no rows. Other columns are ignored.
+Texts are encoded and compressed where they are read; only the frames are sorted by doc_id. A frame is never cut: one very
+long text is one frame, and a block of its own if it has BLOCK_BYTES.
+
+Nulls: a null text is empty (its end id alone); null doc_ids come first. Ties of doc_id are ordered by frame, so repeated
+rows stand side by side. Empty table: no blocks, no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
-from .tokens import encoder
+from .common import forget, saved, shared_dir
+from .tokens import ChunkEncoder, encoder
 
 BLOCKS = (
     "shard int, block int, tokens_before long, tokens long, doc_ids array<bigint>, n_tokens array<bigint>, "
     "offsets array<bigint>, frames binary, width int, dictionary_sha256 string"
 )
 BLOCK_BYTES = 4 << 20
+#: Of the worker's encoder: it holds little else.
+MEMO_CHUNKS, SLICE_BYTES = 400_000, 24 << 20
 #: The dictionary is trained on at most so many documents and so many of each one's leading ids; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2000, 64 << 10
 
@@ -59,34 +64,38 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     dictionary = train_dictionary(docs, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        loaded = _loaded(dictionary)
-        press = zstandard.ZstdCompressor(level=3, dict_data=loaded) if loaded else zstandard.ZstdCompressor(level=3)
-        width = 2 if ids_of.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        block, before = 0, 0
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, loaded = encoder(tokenizer, MEMO_CHUNKS, SLICE_BYTES), _loaded(dictionary)
+        pressed = zstandard.ZstdCompressor(level=3, dict_data=loaded) if loaded else zstandard.ZstdCompressor(level=3)
+        width = _width(ids_of, end_id)
+        for batch in batches:
+            flat, counts = ids_of(batch.column(1))
+            ends = np.cumsum(counts)
+            frames = [pressed.compress(np.append(flat[e - n : e], end_id).astype(f"<u{width}").tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            columns = [batch.column(0), pa.array(counts + 1), pa.array(frames, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "frame"])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, width = TaskContext.get().partitionId(), _width(encoder(tokenizer, MEMO_CHUNKS, SLICE_BYTES), end_id)
+        number, before = 0, 0
         doc_ids, sizes, frames, held = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            nonlocal block, before, doc_ids, sizes, frames, held
+            nonlocal number, before, doc_ids, sizes, frames, held
             offsets = [0, *np.cumsum([len(x) for x in frames]).tolist()]
             row = {
-                "shard": shard, "block": block, "tokens_before": before, "tokens": sum(sizes), "doc_ids": doc_ids,
+                "shard": shard, "block": number, "tokens_before": before, "tokens": sum(sizes), "doc_ids": doc_ids,
                 "n_tokens": sizes, "offsets": offsets, "frames": b"".join(frames), "width": width,
                 "dictionary_sha256": digest,
             }
-            block, before = block + 1, before + sum(sizes)
+            number, before = number + 1, before + sum(sizes)
             doc_ids, sizes, frames, held = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
         for batch in batches:
-            flat, counts = ids_of(batch.column(1))
-            at = 0
-            for key, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
-                frame = press.compress(np.append(flat[at : at + n], end_id).astype(f"<u{width}").tobytes())
-                at += n
+            for key, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc_ids.append(key)
-                sizes.append(n + 1)
+                sizes.append(n)
                 frames.append(frame)
                 held += len(frame)
                 if held >= BLOCK_BYTES:
@@ -94,12 +103,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if frames:
             yield made()
 
-    ordered = docs.repartitionByRange(F.col("doc_id").asc(), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    frames = saved(docs.mapInArrow(press, "doc_id long, n long, frame binary"), "frames", compression="uncompressed")
+    ordered = frames.repartitionByRange(F.col("doc_id").asc(), F.xxhash64("frame")).sortWithinPartitions("doc_id", F.xxhash64("frame"), "frame")
+    ordered.mapInArrow(block, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    forget(frames)
     spark = docs.sparkSession
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
+def _width(ids_of: ChunkEncoder, end_id: int) -> int:
+    """Bytes of an id."""
+    return 2 if ids_of.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+
+
 _ARROW = pa.schema(
     [
         ("shard", pa.int32()), ("block", pa.int32()), ("tokens_before", pa.int64()), ("tokens", pa.int64()),

@@ -12,19 +12,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept by one worker in each of two generations; it bounds memory, never results.
+#: Chunks kept by one worker in each of two generations; it bounds memory, never results. Operators that hold little
+#: else beside it set more.
 MEMO_CHUNKS = 300_000
 #: UTF-8 bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 10 << 20
 
-_ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
+_ENCODERS: dict[tuple[str, int, int], "ChunkEncoder"] = {}
 
 
-def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> "ChunkEncoder":
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES) -> "ChunkEncoder":
     """The worker's encoder of the vocabulary file at `path` (loaded once in a process)."""
-    key = (path, memo_chunks)
+    key = (path, memo_chunks, slice_bytes)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, memo_chunks)
+        _ENCODERS[key] = ChunkEncoder(*key)
     return _ENCODERS[key]
 
 
@@ -66,7 +67,7 @@ class ChunkEncoder:
     Nulls count as empty texts.
     """
 
-    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS) -> None:
+    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_BYTES) -> None:
         import json
         import os
 
@@ -80,7 +81,7 @@ class ChunkEncoder:
         pre = spec["pre_tokenizer"]
         self.byte_level = pre["type"] == "ByteLevel"
         self.special = "|".join(_quoted(x["content"]) for x in spec["added_tokens"])
-        self.memo_chunks = memo_chunks
+        self.memo_chunks, self.slice_bytes = memo_chunks, slice_bytes
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -117,7 +118,7 @@ class ChunkEncoder:
         """(all ids one after another as uint32, number of ids of each text)."""
         texts = pc.fill_null(texts, "")
         flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for first, n in text_slices(texts):
+        for first, n in text_slices(texts, self.slice_bytes):
             flat, count = self._slice(texts.slice(first, n))
             flats.append(flat)
             counts.append(count)
