@@ -36,7 +36,7 @@ BLOCKS = (
 )
 BLOCK_BYTES = 4 << 20
 #: Of the worker's encoder: it holds little else.
-MEMO_CHUNKS, SLICE_BYTES = 400_000, 24 << 20
+MEMO_CHUNKS, SLICE_BYTES = 350_000, 12 << 20
 #: The dictionary is trained on at most so many documents and so many of each one's leading ids; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2000, 64 << 10
 
