@@ -41,6 +41,21 @@ def _has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?dU){pattern}"), F.lit(False))
 
 
+def detail_texts(detail: Column) -> Column:
+    """Struct `text` (remarks and appraisal notes that aren't blank, a line each) and `special` (all strings of the sale's
+    terms), of a detail JSON."""
+    parsed = F.from_json(
+        detail,
+        "csBaseInfo struct<rmk:string,topRmk:string>, dspslGdsDxdyInfo map<string,string>, aeeWevlMnpntLst array<struct<aeeWevlMnpntCtt:string>>",
+    )
+    terms = parsed["dspslGdsDxdyInfo"]
+    notes = F.transform(F.coalesce(parsed["aeeWevlMnpntLst"], F.array().cast("array<struct<aeeWevlMnpntCtt:string>>")), lambda x: x["aeeWevlMnpntCtt"])
+    remarks = F.array(*(F.try_element_at(terms, F.lit(k)) for k in ("dspslGdsRmk", "gdsSpcfcRmk")))
+    case = F.array(parsed["csBaseInfo"]["rmk"], parsed["csBaseInfo"]["topRmk"])
+    parts = F.filter(F.concat(remarks, notes, case), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return F.struct(F.array_join(parts, "\n").alias("text"), F.array_join(F.array_sort(F.map_values(terms)), " ").alias("special"))
+
+
 def risk_flags(
     text: Column, fails: Column, special: Column, claim: Column, appraisal: Column, suspension: Column, usage: Column,
     areas: Column, middle: Column, summary: Column, details: Column, as_of_year: int,
@@ -95,6 +110,7 @@ def safety_score(flags: Column, structure: Column, large: Column, building_year:
 
 
 #: Usage names and words of the categories.
+LOCATION_TAGS = ("vacation_home", "farm_house", "country_house", "townhouse")
 SINGLE_HOUSES = ["단독주택", "단독주택다가구", "다가구주택"]
 WHOLE_BUILDINGS = [*SINGLE_HOUSES, "근린시설"]
 VACATION, COUNTRYSIDE, FARM = "별장|펜션|산장|리조트", "전원|전원주택|농가|농어촌", "농가|축사|농장|농어촌"
@@ -109,15 +125,15 @@ def location_excluded(structure: Column, summary: Column, share: Column) -> Colu
 
 
 def kr_categories(usage: Column, structure: Column, road: Column, lot: Column, summary: Column, emd: Column, sgg: Column, share: Column) -> Column:
-    """Sorted array: whole_building; for single houses not excluded also vacation, farm and one of country and town."""
+    """Sorted array: whole_building; for single houses not excluded also vacation_home, farm_house and one of country_house and townhouse."""
     one, address = F.concat_ws(" ", structure, road, summary), F.concat_ws(" ", road, lot)
     rural = F.coalesce(emd.rlike("[읍면]$"), F.lit(False)) | F.coalesce(sgg.endswith("군"), F.lit(False)) | _has(address, TOWNSHIP)
     house = usage.isin(*SINGLE_HOUSES) & ~location_excluded(structure, summary, share)
     country = rural | _has(one, COUNTRYSIDE)
     whole = usage.isin(*WHOLE_BUILDINGS) & structure.contains("[건물") & ~structure.contains("집합건물") & ~F.coalesce(share, F.lit(False))
     found = F.array(
-        F.when(whole, "whole_building"), F.when(house & _has(one, VACATION), "vacation"), F.when(house & _has(one, FARM), "farm"),
-        F.when(house & country, "country"), F.when(house & ~country, "town"),
+        F.when(whole, "whole_building"), F.when(house & _has(one, VACATION), "vacation_home"), F.when(house & _has(one, FARM), "farm_house"),
+        F.when(house & country, "country_house"), F.when(house & ~country, "townhouse"),
     )
     return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
 
@@ -138,7 +154,7 @@ def jp_categories(sale_cls: Column, prefecture: Column, address: Column) -> Colu
 def merge_categories(rule: Column, previous: Column, external: Column, house: Column, banned: Column, force: Column) -> Column:
     """Previous location tags survive a forced run without new ones; external tags fill single houses that have none."""
     empty = F.array().cast("array<string>")
-    location = F.array(*(F.lit(x) for x in ("vacation", "farm", "country", "town")))
+    location = F.array(*(F.lit(x) for x in LOCATION_TAGS))
     kept = F.when(force & ~banned & (F.size(F.array_intersect(rule, location)) == 0), F.array_intersect(F.coalesce(previous, empty), location)).otherwise(empty)
     now = F.array_union(rule, kept)
     more = F.when(house & ~banned & (F.size(F.array_intersect(now, location)) == 0), F.array_intersect(F.coalesce(external, empty), location)).otherwise(empty)

@@ -20,13 +20,13 @@ def clean_str(c: Column) -> Column:
 
 
 def to_int(c: Column) -> Column:
-    """Integer literal with optional commas and blanks; anything else is null."""
-    bare = F.regexp_replace(c, r"[,\s]", "")
+    """Integer literal with optional commas and outer blanks; anything else is null."""
+    bare = F.trim(F.regexp_replace(c, ",", ""))
     return F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare.try_cast("bigint"))
 
 
 def to_float(c: Column) -> Column:
-    bare = F.regexp_replace(c, r"[,\s]", "")
+    bare = F.trim(F.regexp_replace(c, ",", ""))
     return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare.try_cast("double"))
 
 
@@ -110,6 +110,23 @@ def money(v: Column) -> Column:
     )
 
 
+def money_short(v: Column) -> Column:
+    """1.2억, 12억, 9,999만, 500, or -."""
+    eok = v / 100_000_000
+    return (
+        F.when(v.isNull(), "-")
+        .when(eok >= 10, F.concat(F.format_string("%.0f", F.round(eok, 0)), F.lit("억")))
+        .when(eok >= 1, F.concat(F.format_string("%.1f", F.round(eok, 1)), F.lit("억")))
+        .when(v >= 10_000, F.concat(F.format_number(F.floor(v / 10_000), 0), F.lit("만")))
+        .otherwise(F.format_number(v, 0))
+    )
+
+
+def fmt_date(d: Column) -> Column:
+    """2026.08.10, or -."""
+    return F.coalesce(F.date_format(d, "yyyy.MM.dd"), F.lit("-"))
+
+
 def js_round(c: Column) -> Column:
     return F.floor(c + 0.5)
 
@@ -137,16 +154,23 @@ def d_day_label(days: Column) -> Column:
     )
 
 
+def suspension_reason(suspension: Column, reason: Column) -> Column:
+    """The reason, where a suspension code is set."""
+    return F.when(suspension.isNotNull() & (suspension != "00") & (suspension != ""), clean_str(reason))
+
+
+#: Labels of the suspended state, of the progress code's end, and of any other code.
+SUSPENDED, UNKNOWN_STATUS = "정지/연기/취하", "상태 미상"
+PROGRESS = {"0001": "진행 중", "0002": "변경", "0003": "정지", "0004": "취하"}
+
+
 def case_status(progress: Column, suspension: Column) -> Column:
-    """stopped wins over the progress suffix; an unknown one is a warning."""
-    return (
-        F.when(suspension.isNotNull() & (suspension != "00") & (suspension != ""), "stopped")
-        .when(progress.endswith("0001"), "received")
-        .when(progress.endswith("0002"), "running")
-        .when(progress.endswith("0003"), "sold")
-        .when(progress.endswith("0004"), "closed")
-        .when(progress.isNotNull(), "unknown")
-    )
+    """A suspension wins over the progress code's end; an unknown code isn't taken for a safe one."""
+    code, stop = F.trim(progress), F.trim(suspension)
+    out = F.when(stop.isNotNull() & ~stop.isin("", "00"), SUSPENDED)
+    for end, label in PROGRESS.items():
+        out = out.when(code.endswith(end), label)
+    return out.when(code != "", UNKNOWN_STATUS)
 
 
 def deposit_rate(c: Column) -> Column:
@@ -154,6 +178,11 @@ def deposit_rate(c: Column) -> Column:
     return F.when(rate > 0, rate)
 
 
+def special_deposit(c: Column) -> Column:
+    """Whether a deposit rate is another than the usual 10 percent."""
+    return deposit_rate(c) != 10
+
+
 def primary_lien(text: Column) -> Column:
     """First of `n. yyyy.mm.dd kind / ...` as (date, kind, others), or null."""
     items = F.transform(F.split(text, "/"), lambda x: F.trim(x))
@@ -271,6 +300,20 @@ PREFECTURE_BLOCKS = [
 ]
 
 
+#: A photo's address: prefix, era letter, year, case mark, number, sequence, size.
+PHOTO = r"/data/image/([A-Z]+)_([RH])([0-9]{2})([KN])([0-9]+)_([0-9]+)_([a-z])\.jpg"
+
+
+def jp_photo_url(url: Column) -> Column:
+    """Struct prefix, era, year, mark, number, seq, size of a photo's address, or null."""
+    part = lambda i: F.regexp_extract(url, PHOTO, i)
+    number = lambda i: part(i).try_cast("int")
+    found = F.struct(
+        part(1).alias("prefix"), part(2).alias("era"), number(3).alias("year"), part(4).alias("mark"), number(5).alias("number"), number(6).alias("seq"), part(7).alias("size")
+    )
+    return F.when(url.rlike(PHOTO), found)
+
+
 def jp_block(prefecture: Column) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for block, codes in PREFECTURE_BLOCKS:

@@ -31,8 +31,11 @@ def detail_case(detail: Column) -> Column:
     )
 
 
-#: Keys of a detail that are kept; the photo payloads never are.
-KEPT = ["csBaseInfo", "dspslGdsDxdyInfo", "aeeWevlMnpntLst", "gdsDspslDxdyLst", "gdsDspslObjctLst", "rgltLandLstAll", "bldSdtrDtlLstAll", "gdsRletStLtnoLstAll", "dstrtDemnInfo"]
+#: Keys of a detail that are kept; rounds and photos have tables of their own.
+KEPT = [
+    "csBaseInfo", "dspslGdsDxdyInfo", "aeeWevlMnpntLst", "rgltLandLstAll", "bldSdtrDtlLstAll", "gdsRletStLtnoLstAll", "dstrtDemnInfo",
+    "gdsDspslObjctLst", "picDvsIndvdCnt",
+]
 
 
 def slim_detail(detail: Column) -> Column:
@@ -143,16 +146,21 @@ def jp_apply_detail(props: DataFrame, details: DataFrame, key: str, prices: list
     return new, history
 
 
-def refill(props: DataFrame, raw: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Recomputed columns over the stored ones; outcome is updated, noop or skipped (nothing to take)."""
+def refill(props: DataFrame, raw: DataFrame, key: str, columns: list[str], tolerance: float | None = None) -> DataFrame:
+    """Recomputed columns over the stored ones; outcome is updated, noop or skipped (nothing to take).
+
+    With a `tolerance` (coordinates: 1e-4) the stored values stay where all columns are within it.
+    """
     n = raw.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
     joined = props.join(n, key, "left")
     some, differs = F.lit(False), F.lit(False)
     for c in columns:
         some = some | F.col(f"_{c}").isNotNull()
-        differs = differs | (F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c)))
+        same = F.col(f"_{c}").eqNullSafe(F.col(c)) if tolerance is None else F.coalesce(F.abs(F.col(f"_{c}") - F.col(c)) < tolerance, F.lit(False))
+        differs = differs | (F.col(f"_{c}").isNotNull() & ~same)
     out = joined.withColumn("outcome", F.when(~some, "skipped").when(differs, "updated").otherwise("noop"))
-    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in props.columns), "outcome")
+    new = lambda c: F.when(F.col("outcome") == "updated", F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c)
+    return out.select(*(new(c) if c in columns else F.col(c) for c in props.columns), "outcome")
 
 
 def refill_arrays(df: DataFrame, column: str, recomputed: Column, force: bool) -> DataFrame:
@@ -184,6 +192,11 @@ def attach(props: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
     return props.join(other.select("docid", *columns), "docid", "left")
 
 
+def jp_listing_view(props: DataFrame, cases: DataFrame, courts: DataFrame) -> DataFrame:
+    """Listings of known cases and known courts."""
+    return props.join(cases, ["court_code", "case_no"]).join(courts.select("court_code", "court_name"), "court_code")
+
+
 def listing_view(props: DataFrame, cases: DataFrame, courts: DataFrame) -> DataFrame:
     """Listings of known cases, with the court's name where there is one."""
     return props.join(cases, ["court_code", "case_no"]).join(courts.select("court_code", "court_name"), "court_code", "left")
@@ -191,7 +204,7 @@ def listing_view(props: DataFrame, cases: DataFrame, courts: DataFrame) -> DataF
 
 def detail_queue(props: DataFrame, limit: int) -> DataFrame:
     """Active listings never synced or with a refresh asked for, by sale date."""
-    due = props.where("deleted_on is null and (synced_on is null or refresh)")
+    due = props.where("deleted_on is null and (synced_on is null or coalesce(refresh, false))")
     return due.orderBy(F.col("sale_date").asc_nulls_last(), "docid").limit(limit)
 
 

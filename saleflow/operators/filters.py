@@ -31,7 +31,7 @@ RANGES = {
 def filter_listings(df: DataFrame, given: dict, as_of: str) -> DataFrame:
     """All given predicates together; a range drops nulls."""
     tests = [F.lit(True)]
-    for name in ("court_code", "sd_code", "sgg_code", "usage_lcl_cd", "usage_mcl_cd"):
+    for name in ("court_code", "sd_code", "sgg_code", "usage_lcl_cd", "usage_mcl_cd", "usage_scl_cd"):
         if given.get(name):
             tests.append(F.col(name) == given[name])
     for name, (column, sign, factor) in RANGES.items():
@@ -64,6 +64,19 @@ def exclude_flags(column: str, flags: list[str]) -> Column:
     return F.col(column).isNull() | ~F.arrays_overlap(F.col(column), F.array(*map(F.lit, flags)))
 
 
+def has_any(column: str, values: list[str]) -> Column:
+    return F.coalesce(F.arrays_overlap(F.col(column), F.array(*map(F.lit, values))), F.lit(False))
+
+
+def in_usage(names: list[str]) -> Column:
+    return F.col("usage_nm").isin(*names)
+
+
+def in_territory() -> Column:
+    """The country's box, for maps without a viewport."""
+    return in_box(124, 33, 132, 39)
+
+
 def in_box(west: float, south: float, east: float, north: float) -> Column:
     return F.col("lng").between(west, east) & F.col("lat").between(south, north)
 
@@ -79,6 +92,24 @@ def visible_children(children: DataFrame, props: DataFrame, as_of: str) -> DataF
     return children.join(props.where(visible(as_of)).select("docid"), "docid", "left_semi")
 
 
+def page_total(df: DataFrame) -> DataFrame:
+    """How many rows the pages of `list_page` have together."""
+    return df.agg(F.count(F.lit(1)).alias("total"))
+
+
+#: Sort mode of Japanese listings: column.
+JP_SORTS = ("standard_price", "purchase_price", "open_date", "bid_end", "prefecture", "fetched_at")
+
+
+def jp_page(df: DataFrame, column: str, rising: bool, page: int, size: int) -> DataFrame:
+    """One page of Japanese listings, nulls last in both directions, docid breaking ties."""
+    if column not in JP_SORTS:
+        raise ValueError(f"no such sort: {column}")
+    order = F.col(column).asc_nulls_last() if rising else F.col(column).desc_nulls_last()
+    size, page = max(10, min(100, size)), max(1, page)
+    return df.orderBy(order, "docid").offset((page - 1) * size).limit(size)
+
+
 #: Sort mode: column and direction.
 SORTS = {
     "date_asc": ("sale_date", True), "date_desc": ("sale_date", False), "price_asc": ("min_sale_price", True),
@@ -103,3 +134,8 @@ def map_rows(df: DataFrame, box: tuple[float, float, float, float], most: int, a
 
 def marker_key() -> Column:
     return F.when(F.col("sold"), "sold").when(F.col("usage_lcl_cd").isin("10000", "20000", "30000", "40000"), F.col("usage_lcl_cd")).otherwise("unknown")
+
+
+def markers(df: DataFrame, enabled: tuple[str, ...] = ("20000",)) -> DataFrame:
+    """Rows whose marker key is enabled, with the key."""
+    return df.withColumn("marker", marker_key()).where(F.col("marker").isin(*enabled))

@@ -19,6 +19,12 @@ def finalize_sold(props: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("sold_amount", F.when(open_ & won, F.col("r.sale_amount"))).drop("r")
 
 
+def count_finalizable(props: DataFrame, results: DataFrame) -> DataFrame:
+    """How many deleted, open listings have a result."""
+    open_ = props.where("deleted_on is not null and sold is null").select("docid")
+    return open_.join(results.select("docid"), "docid", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sale_archive(results: DataFrame, props: DataFrame) -> DataFrame:
     extra = props.select("docid", F.col("usage_nm").alias("prop_usage"), "lot_addr")
     rate = F.round(F.col("sale_amount") / F.col("appraisal_amount").cast("double") * 100, 1)
@@ -31,6 +37,22 @@ def resolve_code_names(props: DataFrame, courts: DataFrame, sgg: DataFrame) -> D
     return props.join(courts.select("court_code", "court_name"), "court_code", "left").join(sgg, ["sd_code", "sgg_code"], "left")
 
 
+def usage_label(props: DataFrame, usage: DataFrame, levels: tuple[str, ...] = ("usage_lcl_cd", "usage_mcl_cd", "usage_scl_cd")) -> DataFrame:
+    """The names of a listing's usage codes, joined by ` › `; null where none is known."""
+    out, names = props, []
+    for i, c in enumerate(levels):
+        if c in props.columns:
+            out = out.join(usage.select(F.col("code").alias(c), F.col("name").alias(f"_u{i}")), c, "left")
+            names.append(f"_u{i}")
+    label = F.concat_ws(" › ", *names)
+    return out.withColumn("usage_label", F.when(label != "", label)).drop(*names)
+
+
+def canonical_masters(sgg: DataFrame) -> DataFrame:
+    """District rows without those of another code than the canonical one."""
+    return sgg.join(canonical_sgg(sgg).where("sgg_code = canonical").drop("canonical"), ["sd_code", "sgg_code"], "left_semi")
+
+
 def canonical_sgg(sgg: DataFrame) -> DataFrame:
     """sd_code, sgg_code, canonical: the greatest code among districts of one name in a province."""
     top = sgg.groupBy("sd_code", "sgg_name").agg(F.max("sgg_code").alias("canonical"))

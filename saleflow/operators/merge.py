@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from .windows import dedupe_last
 
 
+#: Columns that a listing loses when it comes back from deletion.
+BACK = ("sold", "sold_amount", "sold_date", "final_result")
+
+
 def changed_signals(signals: list[str], old: str = "o", new: str = "n") -> Column:
     """Names of signals with a new value that isn't null and differs."""
     found = [F.when(F.col(f"{new}.{c}").isNotNull() & ~F.col(f"{new}.{c}").eqNullSafe(F.col(f"{old}.{c}")), c) for c in signals]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def apply_scan(state: DataFrame, scan: DataFrame, key: str, signals: list[str], order: list[str], seen: Column) -> tuple[DataFrame, DataFrame]:
+def apply_scan(state: DataFrame, scan: DataFrame, key: str, signals: list[str], order: list[str], seen: Column, refresh_on: tuple[str, ...] = ("fail_count", "sale_date", "sale_decision_date", "status")) -> tuple[DataFrame, DataFrame]:
     """(new state, history). The scan is last-wins per key; one full outer join on the key does the rest.
 
     New and changed rows take the scan's values where they aren't null; rows with unchanged signals keep all their columns;
-    both get `last_seen`. Rows that come back from deletion lose deleted_at. Changed rows alone write history.
+    both get `last_seen`, the first also `last_synced` (if the state has it). Rows that come back from deletion lose
+    deleted_at and the columns of BACK; changes of a signal in `refresh_on` set `refresh`. Changed rows alone write history.
     """
-    values = [c for c in state.columns if c not in (key, "last_seen", "deleted_at")]
+    special = [c for c in (*BACK, "last_synced", "refresh") if c in state.columns]
+    values = [c for c in state.columns if c not in (key, "last_seen", "deleted_at", *special)]
     last = dedupe_last(scan, [key], order)
     o = state.select(F.col(key).alias("ok"), F.struct(*state.columns).alias("o"))
     n = last.select(F.col(key).alias("nk"), F.struct(*last.columns).alias("n"))
@@ -32,7 +38,10 @@ def apply_scan(state: DataFrame, scan: DataFrame, key: str, signals: list[str],
         *(F.when(take, F.coalesce(f"n.{c}", f"o.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in last.columns else F.col(f"o.{c}").alias(c) for c in values),
         F.when(here, seen).otherwise(F.col("o.last_seen")).alias("last_seen"),
         F.when(here, F.lit(None)).otherwise(F.col("o.deleted_at")).alias("deleted_at"),
-    )
+        *(F.when(~(here & F.col("o.deleted_at").isNotNull()), F.col(f"o.{c}")).alias(c) for c in special if c in BACK),
+        *(F.when(take, seen).otherwise(F.col("o.last_synced")).alias(c) for c in special if c == "last_synced"),
+        *(F.when(take & ~new & F.arrays_overlap("changed", F.array(*map(F.lit, refresh_on))), True).otherwise(F.col("o.refresh")).alias(c) for c in special if c == "refresh"),
+    ).select(*state.columns)
     history = both.where(~new & here & (F.size("changed") > 0)).select(
         F.col("ok").alias(key), seen.alias("observed_at"), "changed",
         F.to_json(F.struct(*(F.col(f"o.{c}").alias(c) for c in signals))).alias("previous"),
@@ -41,12 +50,37 @@ def apply_scan(state: DataFrame, scan: DataFrame, key: str, signals: list[str],
     return merged, history
 
 
-def close_aged(state: DataFrame, since: Column, as_of: Column, complete_scan: bool) -> DataFrame:
-    """Rows not seen since then are deleted, if a whole scan began since."""
-    gone = F.col("deleted_at").isNull() & (F.col("last_seen") < since) & F.lit(complete_scan)
+def close_aged(state: DataFrame, runs: DataFrame, since: Column, as_of: Column, dry_run: bool = False) -> DataFrame:
+    """Rows not seen since then are deleted, if a complete search run (kind, complete, started_at) began since.
+
+    A dry run gives the rows that would go and changes nothing.
+    """
+    complete = bool(runs.where((F.col("kind") == "search") & F.col("complete") & (F.col("started_at") >= since)).limit(1).count())
+    gone = F.col("deleted_at").isNull() & (F.col("last_seen") < since) & F.lit(complete)
+    if dry_run:
+        return state.where(gone)
     return state.withColumn("deleted_at", F.when(gone, as_of).otherwise(F.col("deleted_at")))
 
 
+def scan_counts(state: DataFrame, scan: DataFrame, key: str, signals: list[str], order: list[str]) -> DataFrame:
+    """What `apply_scan` does, counted in one row: new, changed, unchanged and resurrected listings."""
+    last = dedupe_last(scan, [key], order)
+    o = state.select(F.col(key).alias("ok"), F.struct(*state.columns).alias("o"))
+    n = last.select(F.col(key).alias("nk"), F.struct(*last.columns).alias("n"))
+    both = n.join(o, F.col("ok") == F.col("nk"), "left").withColumn("changed", F.size(changed_signals(signals)) > 0)
+    count = lambda c: F.count(F.when(c, 1))
+    new = F.col("o").isNull()
+    return both.agg(
+        count(new).alias("new"), count(~new & F.col("changed")).alias("changed"), count(~new & ~F.col("changed")).alias("unchanged"),
+        count(F.col("o.deleted_at").isNotNull()).alias("resurrected"),
+    )
+
+
+def upsert_log(log: DataFrame, fetched: DataFrame, keys: list[str]) -> DataFrame:
+    """The fetch log with the rows of every fetched key replaced, also where nothing was fetched."""
+    return log.join(fetched.select(*keys), keys, "left_anti").unionByName(fetched)
+
+
 def sync_where_distinct(df: DataFrame, other: DataFrame, key: str, column: str, value: str) -> DataFrame:
     """`column` takes `value` of the other table where there is one; `synced` says whether it differed."""
     joined = df.join(other.select(key, F.col(value).alias("_value")), key, "left")

@@ -8,23 +8,37 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NUMBERS = ["log_appraisal", "fail_count", "avg_rate", "total_count", "area"]
-LEVELS = ["usage", "region"]
-
-
-def features(rows: DataFrame, region: DataFrame) -> DataFrame:
-    """One row per listing; missing numbers stay missing, missing levels are ''."""
-    out = rows.join(region.select("docid", "avg_rate", "total_count"), "docid", "left")
-    return out.select(
-        "docid", F.log(F.greatest(F.col("appraisal_amount").cast("double"), F.lit(1.0))).alias("log_appraisal"), F.col("fail_count").cast("double"),
-        F.col("avg_rate").cast("double"), F.col("total_count").cast("double"), F.col("area").cast("double"),
-        F.coalesce("usage_lcl_cd", F.lit("")).alias("usage"), F.coalesce("sgg_code", F.lit("")).alias("region"),
-        *(c for c in ("target", "sale_date") if c in out.columns),
+from saleflow.functions.scalars import deal_type, max_area
+
+from .estimate import fallback_rates
+
+NUMBERS = ["appraisal_amount", "min_rate", "fail_count", "sale_month", "area_m2", "building_age", "region_price_m2", "region_avg_rate"]
+LEVELS = ["usage_lcl_cd", "usage_mcl_cd", "sd_code", "lawd_cd", "court_code"]
+#: Rows of a segment from which on the model is used, rows that a fit needs, and rows that a test and a hold-out need.
+SEGMENT, LEAST, LEAST_ALL, LEAST_HELD = 10, 100, 200, 30
+
+
+def features(rows: DataFrame, register: DataFrame, prices: DataFrame, stats: DataFrame, as_of: str) -> DataFrame:
+    """The 13 features of one row per listing, for training and prediction alike; missing numbers stay missing, missing codes are ''.
+
+    register: docid, building_year. prices: lawd_cd, deal_type, latest_price. stats: sd_code, sgg_code, usage_lcl_cd, avg_rate.
+    """
+    c = F.col
+    code = lambda n: F.coalesce(c(n), F.lit(""))
+    keyed = rows.select(
+        "docid", *(n for n in ("target", "sale_date", "sgg_code", "min_sale_price") if n in rows.columns), c("appraisal_amount").cast("double"),
+        (c("min_sale_price") / c("appraisal_amount").cast("double")).alias("min_rate"), c("fail_count").cast("double"), F.month("sale_date").cast("double").alias("sale_month"),
+        max_area(c("area_text")).alias("area_m2"), *(code(n).alias(n) for n in ("usage_lcl_cd", "usage_mcl_cd", "sd_code", "court_code")),
+        F.concat(code("sd_code"), code("sgg_code")).alias("lawd_cd"), F.coalesce(deal_type(c("usage_nm"), c("usage_lcl_cd")), F.lit("apt")).alias("deal_type"),
     )
+    age = register.select("docid", (F.year(F.lit(as_of).cast("date")) - c("building_year")).cast("double").alias("building_age"))
+    rate = stats.select(F.concat(code("sd_code"), code("sgg_code")).alias("lawd_cd"), code("usage_lcl_cd").alias("usage_lcl_cd"), c("avg_rate").cast("double").alias("region_avg_rate"))
+    price = prices.select("lawd_cd", "deal_type", c("latest_price").cast("double").alias("region_price_m2"))
+    return keyed.join(age, "docid", "left").join(price, ["lawd_cd", "deal_type"], "left").join(rate, ["lawd_cd", "usage_lcl_cd"], "left")
 
 
-def fit(rows: DataFrame, least: int = 100, seed: int = 7) -> tuple[PipelineModel, DataFrame] | None:
-    """(model, band: usage, low, high as residuals), or None with under `least` rows."""
+def fit(rows: DataFrame, least: int = LEAST, seed: int = 7) -> tuple[PipelineModel, DataFrame] | None:
+    """(model, bands: usage, low, high as residuals), or None with under `least` rows."""
     known = rows.where("target is not null")
     if known.limit(least).count() < least:
         return None
@@ -38,7 +52,7 @@ def fit(rows: DataFrame, least: int = 100, seed: int = 7) -> tuple[PipelineModel
         GBTRegressor(featuresCol="x", labelCol="target", predictionCol="rate", lossType="absolute", maxIter=15, maxDepth=4, maxBins=256, seed=seed),
     ]
     model = Pipeline(stages=stages).fit(known.where(part != 0))
-    rest = model.transform(known.where(part == 0)).select("usage", (F.col("target") - F.col("rate")).alias("r"))
+    rest = model.transform(known.where(part == 0)).select(F.col("usage_lcl_cd").alias("usage"), (F.col("target") - F.col("rate")).alias("r"))
     band = lambda p: F.percentile("r", F.lit(p))
     by_usage = rest.groupBy("usage").agg(band(0.1).alias("low"), band(0.9).alias("high"), F.count(F.lit(1)).alias("n"))
     return model, by_usage.where("n >= 30").drop("n").unionByName(rest.agg(F.lit("*").alias("usage"), band(0.1).alias("low"), band(0.9).alias("high")))
@@ -48,26 +62,52 @@ def predict(model: PipelineModel, bands: DataFrame, rows: DataFrame) -> DataFram
     """docid, rate, low_rate, high_rate, with low <= rate <= high, clipped to 0.1 and 2.0."""
     own = bands.where("usage <> '*'")
     every = bands.where("usage = '*'").select("low", "high").first()
-    out = model.transform(rows).join(own, "usage", "left")
+    out = model.transform(rows).withColumn("usage", F.col("usage_lcl_cd")).join(own, "usage", "left")
     clip = lambda c: F.least(F.lit(2.0), F.greatest(F.lit(0.1), c))
     low, high = F.least(F.lit(0.0), F.coalesce("low", F.lit(every.low))), F.greatest(F.lit(0.0), F.coalesce("high", F.lit(every.high)))
     return out.select("docid", clip(F.col("rate")).alias("rate"), clip(F.col("rate") + low).alias("low_rate"), clip(F.col("rate") + high).alias("high_rate"))
 
 
+#: Features whose presence an estimate tells.
+TOLD = ["area_m2", "building_age", "region_price_m2", "region_avg_rate"]
+
+
+def estimates(fitted: tuple[PipelineModel, DataFrame] | None, rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """docid, method, samples, rate, low_rate, high_rate, features_used: the model where the listing's segment (sgg_code,
+    usage_lcl_cd) has SEGMENT training rows, else the regional mean and 15 percent either way, else no row.
+
+    `segments` is `segment_counts` of the training rows; `rows` are `features` with sgg_code.
+    """
+    counts = segments.select(F.col("sgg_code").alias("_g"), F.col("usage_lcl_cd").alias("_u"), F.col("n").alias("samples"))
+    known = rows.join(counts, (F.coalesce("sgg_code", F.lit("")) == F.col("_g")) & (F.col("usage_lcl_cd") == F.col("_u")), "left").drop("_g", "_u")
+    known = known.withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
+    used = F.struct(*(F.col(c).isNotNull().alias(c) for c in TOLD)).alias("features_used")
+    keep = ["docid", "method", "samples", "rate", "low_rate", "high_rate", "features_used"]
+    by_model = known.where(F.lit(fitted is not None) & (F.col("samples") >= SEGMENT)).select("*", used)
+    rest = known.where(F.col("region_avg_rate").isNotNull() & (F.lit(fitted is None) | (F.col("samples") < SEGMENT))).select("*", used)
+    out = rest.select("*", F.lit("region_avg").alias("method"), *fallback_rates(F.col("region_avg_rate"))).select(*keep)
+    if fitted is None:
+        return out
+    told = by_model.select("docid", F.lit("model").alias("method"), "samples", "features_used").join(predict(*fitted, by_model), "docid")
+    return told.select(*keep).unionByName(out)
+
+
 def metrics(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """n, mean absolute error of the rate, mean absolute percentage error, error of the regional mean."""
     rows = predicted.join(truth, "docid").where("target is not null")
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("rate") - F.col("target"))).alias("mae"),
-        F.avg(F.abs(F.col("rate") / F.col("target") - 1)).alias("mape"), F.avg(F.abs(F.col("avg_rate") / 100 - F.col("target"))).alias("baseline_mae"),
+        F.avg(F.abs(F.col("rate") / F.col("target") - 1)).alias("mape"), F.avg(F.abs(F.col("region_avg_rate") / 100 - F.col("target"))).alias("baseline_mae"),
     )
 
 
-def evaluate(rows: DataFrame, as_of: str, holdout_days: int = 60) -> DataFrame | None:
-    """Metrics on the newest rows of a model fitted to the older ones."""
+def evaluate(rows: DataFrame, as_of: str, holdout_days: int = 60) -> DataFrame:
+    """Metrics on the newest rows of a model fitted to the older ones; no row with under 200 rows, 30 held or 100 to fit."""
     cut = F.date_sub(F.lit(as_of).cast("date"), holdout_days)
-    fitted = fit(rows.where(F.col("sale_date") < cut))
+    known = rows.where("target is not null and sale_date is not null")
+    held = known.where(F.col("sale_date") >= cut)
+    n = known.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("sale_date") >= cut, 1)).alias("held")).first()
+    fitted = fit(known.where(F.col("sale_date") < cut)) if n.n >= LEAST_ALL and n.held >= LEAST_HELD else None
     if fitted is None:
-        return None
-    held = rows.where(F.col("sale_date") >= cut)
-    return metrics(predict(*fitted, held), held.select("docid", "target", "avg_rate"))
+        return rows.sparkSession.createDataFrame([], "n long, mae double, mape double, baseline_mae double")
+    return metrics(predict(*fitted, held), held.select("docid", "target", "region_avg_rate"))

@@ -51,30 +51,65 @@ def score_distribution(scores: DataFrame) -> DataFrame:
     return scores.groupBy(F.least(F.lit(90), (F.floor(F.col("score") / 10) * 10)).cast("int").alias("bucket"), "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-def matrix_report(features: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, missing share; one aggregate over the table, then turned on its side."""
-    shares = features.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns))
+def matrix_report(features: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """Per feature its missing share, with rows, target mean, p10 and p90; one aggregate over the table, turned on its side."""
+    shares = [F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]
+    y = F.col(target)
+    about = [F.count(F.lit(1)).alias("_rows"), F.avg(y).alias("_mean"), F.percentile(y, F.lit(0.1)).alias("_p10"), F.percentile(y, F.lit(0.9)).alias("_p90")]
     pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return shares.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, missing)")
+    out = features.agg(*shares, *about).selectExpr(
+        f"stack({len(columns)}, {pairs}) as (feature, missing)", "_rows as rows", "_mean as target_mean", "_p10 as target_p10", "_p90 as target_p90"
+    )
+    return out.orderBy(F.col("missing").desc(), "feature")
+
+
+#: Limits of the health report: D-7 listings without detail, days to drain the backlog, past-date listings, share not seen.
+WARN_D7, WARN_DRAIN, WARN_PAST, WARN_STALE = 300, 10, 300, 0.1
+
 
+def health_report(props: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
+    """One row: counters of the listings and scores in one pass, detail throughput of seven days, drain days, warnings.
 
-def health_report(props: DataFrame) -> DataFrame:
-    """Counters of the listing table in one pass."""
+    props: deleted_on, first_seen, last_seen, synced_on, refresh (dates and a flag), sale_date, lng, addresses, usage_nm,
+    conv_addr, categories and flags (arrays), safety, confidence. runs: kind, started_at, ok.
+    """
+    day = F.lit(as_of).cast("date")
     active = F.col("deleted_on").isNull()
     count = lambda c: F.count(F.when(c, 1))
-    return props.agg(
-        F.count(F.lit(1)).alias("total"), count(active).alias("active"), count(~active).alias("deleted"), count(F.col("sold")).alias("sold"),
-        count(~active & F.col("sold").isNull()).alias("unconfirmed"), count(active & F.col("lng").isNull()).alias("no_coordinates"),
-        count(active & F.col("sale_date").isNull()).alias("no_date"), count(active & F.col("min_sale_price").isNull()).alias("no_price"),
-        count(active & F.col("usage_nm").isNull()).alias("no_usage"), count(active & (F.col("fail_count") >= 5)).alias("many_fails"),
-        count(active & (F.col("safety") < 45)).alias("risky"),
+    behind = active & F.col("synced_on").isNull()
+    houses = F.col("usage_nm").isin("단독주택", "단독주택다가구", "다가구주택")
+    share = F.col("conv_addr").contains("지분") | F.col("conv_addr").contains("분의") | F.coalesce(F.array_contains("flags", "share_sale"), F.lit(False))
+    counts = props.agg(
+        count(active).alias("active"), count(F.col("deleted_on") >= F.date_sub(day, 1)).alias("closed_24h"),
+        count(active & (F.col("sale_date") < F.date_sub(day, 2))).alias("past_active"), count(F.col("first_seen") >= F.date_sub(day, 1)).alias("new_24h"),
+        count(behind).alias("backlog"), count(behind & F.col("sale_date").between(day, F.date_add(day, 7))).alias("backlog_d7"),
+        count(active & F.col("refresh")).alias("refresh_pending"), count(active & (F.col("last_seen") < F.date_sub(day, 2))).alias("stale"),
+        count(active & F.col("lng").isNull()).alias("no_coordinates"), count(active & F.col("road_addr").isNull() & F.col("lot_addr").isNull()).alias("no_address"),
+        count(active & houses & (F.size("categories") == 0) & F.col("conv_addr").startswith("[건물") & ~share).alias("uncategorised"),
+        count(active & F.col("safety").isNotNull()).alias("scored"), count(F.col("confidence") == "low").alias("scored_low"),
+    )
+    week = runs.where((F.col("kind") == "backfill_details") & (F.col("started_at") >= F.date_sub(day, 7)))
+    rate = week.agg(F.coalesce(F.sum("ok") / F.count_distinct(F.to_date("started_at")), F.lit(0.0)).alias("per_day"))
+    one = counts.withColumn("_", F.lit(1)).join(rate.withColumn("_", F.lit(1)), "_").drop("_")  # a row each
+    one = one.withColumn("drain_days", F.when(F.col("per_day") > 0, F.col("backlog") / F.col("per_day")).otherwise(F.lit(float("inf"))))
+    warnings = F.array(
+        F.when(F.col("backlog_d7") > WARN_D7, "d7_detail_missing"), F.when(F.col("drain_days") > WARN_DRAIN, "slow_drain"),
+        F.when(F.col("past_active") > WARN_PAST, "past_sale_active"), F.when(F.col("stale") > WARN_STALE * F.col("active"), "not_seen"),
     )
+    return one.withColumn("warnings", F.filter(warnings, lambda x: x.isNotNull()))
 
 
 def usage_audit(props: DataFrame) -> DataFrame:
     return props.groupBy("usage_lcl_cd", "usage_nm").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("deleted_on").isNull(), 1)).alias("active"))
 
 
+def suspect_vehicles(props: DataFrame) -> DataFrame:
+    """Active building rows that carry vehicle codes or words."""
+    summary = F.col("building_summary")
+    vehicle = F.col("usage_mcl_cd").startswith("301") | F.col("usage_mcl_cd").startswith("311") | summary.contains("차량") | summary.contains("자동차")
+    return props.where(F.col("deleted_on").isNull() & (F.col("usage_lcl_cd") == "20000") & vehicle)
+
+
 def group_by_coord(rows: DataFrame, most: int = 25) -> DataFrame:
     """Points at six decimals with their count and first `most` members.
 

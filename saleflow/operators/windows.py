@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 
 def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by `order`. `max_by` over structs combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
-    return df.groupBy(*keys).agg(last).select(*keys, "last.*").select(*df.columns)
+    """The last row of each key by `order`. Spark cuts each task's rows to one per key before the shuffle (WindowGroupLimit)."""
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*df.columns)
 
 
 def current_round(props: DataFrame, rounds: DataFrame) -> DataFrame:

@@ -86,25 +86,48 @@ def _(t):
 
 @query(
     "e7_matrix_report",
-    "select feature, avg(case when v is null then 1.0 else 0.0 end) as missing from (select unnest(['usage_nm', 'fail_count', 'min_sale_price', 'lot_addr']) as feature, "
-    "unnest([usage_nm, cast(fail_count as string), cast(min_sale_price as string), lot_addr]) as v from props) group by 1",
+    "select feature, avg(case when v is null then 1.0 else 0.0 end) as missing, count(*) as rows, avg(y) as target_mean, quantile_cont(y, 0.1) as target_p10, quantile_cont(y, 0.9) as target_p90 from "
+    "(select unnest(['usage_nm', 'fail_count', 'min_sale_price', 'lot_addr']) as feature, unnest([usage_nm, cast(fail_count as string), cast(min_sale_price as string), lot_addr]) as v, "
+    "cast(safety as double) as y from props) group by 1",
     "props",
 )
 def _(t):
-    return stats.matrix_report(t("props"), ["usage_nm", "fail_count", "min_sale_price", "lot_addr"])
+    return stats.matrix_report(t("props").withColumn("y", F.col("safety").cast("double")), ["usage_nm", "fail_count", "min_sale_price", "lot_addr"], "y")
+
+
+OPS = f""", p as (select *, date '{AS_OF}' - cast(o_orderkey % 40 as int) as first_seen, date '{AS_OF}' - cast(o_custkey % 5 as int) as last_seen,
+ case when o_orderkey % 4 = 0 then null else date '{AS_OF}' end as synced_on, case when o_orderkey % 9 = 0 then true end as refresh, case when o_orderkey % 6 = 0 then null else safety end as score,
+ case when o_orderkey % 8 = 0 then 'low' else 'high' end as confidence, case when o_orderkey % 3 = 0 then date '{AS_OF}' + cast(o_orderkey % 11 - 3 as int) else sale_date end as day from props)"""
+
+
+def _ops(t):
+    k, as_of = F.col("o_orderkey"), F.lit(AS_OF).cast("date")
+    days = lambda c: c.cast("int")
+    return t("props").select(
+        "*", F.date_sub(as_of, days(k % 40)).alias("first_seen"), F.date_sub(as_of, days(F.col("o_custkey") % 5)).alias("last_seen"), F.when(k % 4 != 0, as_of).alias("synced_on"),
+        F.when(k % 9 == 0, True).alias("refresh"), F.when(k % 8 == 0, "low").otherwise("high").alias("confidence"),
+        F.when(k % 2 == 0, F.array(F.lit("townhouse"))).otherwise(F.array().cast("array<string>")).alias("categories"),
+        F.when(k % 5 == 1, F.array(F.lit("share_sale"))).otherwise(F.array().cast("array<string>")).alias("flags"),
+    ).withColumn("safety", F.when(k % 6 != 0, F.col("safety"))).withColumn("sale_date", F.when(k % 3 == 0, F.date_add(as_of, days(k % 11 - 3))).otherwise(F.col("sale_date")))
 
 
 @query(
     "e9_health_report",
-    "select count(*) as total, count(*) filter (where a) as active, count(*) filter (where not a) as deleted, count(*) filter (where sold) as sold, "
-    "count(*) filter (where not a and sold is null) as unconfirmed, count(*) filter (where a and lng is null) as no_coordinates, "
-    "count(*) filter (where a and sale_date is null) as no_date, count(*) filter (where a and min_sale_price is null) as no_price, "
-    "count(*) filter (where a and usage_nm is null) as no_usage, count(*) filter (where a and fail_count >= 5) as many_fails, "
-    "count(*) filter (where a and safety < 45) as risky from (select *, deleted_on is null as a from props)",
-    "props",
-)
+    OPS + f""", c as (select count(*) filter (where a) as active, count(*) filter (where deleted_on >= date '{AS_OF}' - 1) as closed_24h, count(*) filter (where a and day < date '{AS_OF}' - 2) as past_active,
+ count(*) filter (where first_seen >= date '{AS_OF}' - 1) as new_24h, count(*) filter (where a and synced_on is null) as backlog,
+ count(*) filter (where a and synced_on is null and day between date '{AS_OF}' and date '{AS_OF}' + 7) as backlog_d7, count(*) filter (where a and refresh) as refresh_pending,
+ count(*) filter (where a and last_seen < date '{AS_OF}' - 2) as stale, count(*) filter (where a and lng is null) as no_coordinates, count(*) filter (where a and road_addr is null and lot_addr is null) as no_address,
+ count(*) filter (where a and usage_nm in ('단독주택', '다가구주택') and o_orderkey % 2 = 1 and conv_addr like '[건물%' and o_orderkey % 5 <> 1) as uncategorised,
+ count(*) filter (where a and score is not null) as scored, count(*) filter (where confidence = 'low') as scored_low from (select *, deleted_on is null as a from p)),
+ r as (select coalesce(sum(ok) / cast(count(distinct cast(started_at as date)) as double), 0.0) as per_day from runs where kind = 'backfill_details' and started_at - interval 8187 day >= timestamp '{AS_OF}' - interval 7 day)
+ select *, case when per_day > 0 then backlog / per_day else cast('infinity' as double) end as drain_days,
+ concat_ws(',', case when backlog_d7 > 300 then 'd7_detail_missing' end, case when per_day = 0 or backlog / per_day > 10 then 'slow_drain' end, case when past_active > 300 then 'past_sale_active' end,
+ case when stale > 0.1 * active then 'not_seen' end) as warnings from c, r""",
+    "props", "runs",
+)
 def _(t):
-    return stats.health_report(t("props"))
+    runs = t("runs").withColumn("started_at", F.col("started_at") - F.expr("interval 8187 days"))  # to the listings' years
+    return stats.health_report(_ops(t), runs, AS_OF).withColumn("warnings", F.array_join("warnings", ","))
 
 
 @query("e11_usage_audit", "select usage_lcl_cd, usage_nm, count(*) as n, count(*) filter (where deleted_on is null) as active from props group by 1, 2", "props")
@@ -226,9 +249,15 @@ def _(t):
     return joins.sale_archive(t("results"), t("props")).withColumn("sale_date", text("sale_date"))
 
 
-@query("d3_code_names", "select docid, court_name, sgg_name from props left join courts using (court_code) left join sgg using (sd_code, sgg_code)", "props", "courts", "sgg")
+@query(
+    "d3_code_names",
+    "select docid, court_name, sgg_name, sd_name, nullif(concat_ws(' › ', u.name, v.name), '') as usage_label from props left join courts using (court_code) left join sgg using (sd_code, sgg_code) "
+    "left join sd using (sd_code) left join usage u on u.code = usage_lcl_cd left join usage v on v.code = usage_mcl_cd",
+    "props", "courts", "sgg", "sd", "usage",
+)
 def _(t):
-    return joins.resolve_code_names(t("props"), t("courts"), t("sgg")).select("docid", "court_name", "sgg_name")
+    named = joins.resolve_code_names(t("props"), t("courts"), t("sgg")).join(t("sd"), "sd_code", "left")
+    return joins.usage_label(named, t("usage")).select("docid", "court_name", "sgg_name", "sd_name", "usage_label")
 
 
 @query(
@@ -258,12 +287,11 @@ def _(t):
 
 @query(
     "d10_prior_round_ceiling",
-    "select docid, min(round_price) as ceiling from props join rounds using (docid) where round_price > 0 and round_date < sale_date + interval 200 day group by 1",
+    "select docid, min(round_price) as ceiling from props join rounds using (docid) where round_price > 0 and round_date < sale_date group by 1",
     "props", "rounds",
 )
 def _(t):
-    later = t("props").withColumn("sale_date", F.date_add("sale_date", 200))
-    return joins.prior_round_ceiling(later, t("rounds"))
+    return joins.prior_round_ceiling(t("props"), t("rounds"))
 
 
 REGION = """, s as (select sd_code, sgg_code, usage_lcl_cd, count(*) as total_count, round(avg(case when sale_amount > 0 and appraisal_amount > 0
@@ -290,14 +318,11 @@ def _(t):
 
 ROUNDS = ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc, round_price desc, round_date desc) = 1)"
 CURRENT = """, cur as (select docid, arg_min(round_price, seq) as current_price from props join one using (docid) where deleted_on is null and result_cd is null
- and round_price > 0 and kind_cd = '01' and round_date >= sale_date and year(round_date) = year(sale_date) group by 1)"""
+ and round_price > 0 and kind_cd = '01' and round_date = sale_date group by 1)"""
 
 
 def _rounds(t):
-    one = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"])
-    dates = t("props").select("docid", "sale_date")
-    same = one.join(dates, "docid").where("round_date >= sale_date and year(round_date) = year(sale_date)")
-    return same.withColumn("round_date", F.col("sale_date")).drop("sale_date")
+    return windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"])
 
 
 @query("f2_current_round", ROUNDS + CURRENT + " select * from cur", "props", "rounds")
@@ -379,13 +404,16 @@ def _(t):
 
 def _scan_state(t):
     rows = t("scan").select("user_id", "seen_at", "event_id", "status", "price")
-    old = windows.dedupe_last(rows.where("event_id % 2 = 0 and user_id % 5 <> 0"), ["user_id"], ["seen_at", "event_id"])
-    state = old.select("user_id", "status", "price", F.lit("2024-01-01").alias("last_seen"), F.when(F.col("user_id") % 7 == 0, "2024-01-02").alias("deleted_at"))
-    return state, rows.where("event_id % 2 = 1 and user_id % 4 <> 0")
+    before = F.datediff("seen_at", F.lit("2024-01-01")) < F.col("user_id") % 31  # each listing has a day of its own
+    old = windows.dedupe_last(rows.where(before), ["user_id"], ["seen_at", "event_id"])
+    last_seen = F.date_format("seen_at", "yyyy-MM-dd").alias("last_seen")
+    state = old.select("user_id", "status", "price", last_seen, F.when(F.col("user_id") % 7 == 0, "2024-01-31").alias("deleted_at"))
+    return state, rows.where(~before)
 
 
-SCAN = """, old as (select user_id, status, price, '2024-01-01' as last_seen, case when user_id % 7 = 0 then '2024-01-02' end as deleted_at from scan where event_id % 2 = 0 and user_id % 5 <> 0
- qualify row_number() over (partition by user_id order by seen_at desc, event_id desc) = 1), new as (select user_id, status, price from scan where event_id % 2 = 1 and user_id % 4 <> 0
+SCAN = """, old as (select user_id, status, price, strftime(seen_at, '%Y-%m-%d') as last_seen, case when user_id % 7 = 0 then '2024-01-31' end as deleted_at from scan
+ where cast(seen_at as date) < date '2024-01-01' + cast(user_id % 31 as int) qualify row_number() over (partition by user_id order by seen_at desc, event_id desc) = 1),
+ new as (select user_id, status, price from scan where cast(seen_at as date) >= date '2024-01-01' + cast(user_id % 31 as int)
  qualify row_number() over (partition by user_id order by seen_at desc, event_id desc) = 1)"""
 
 
@@ -412,18 +440,38 @@ def _(t):
     return history.select("user_id", F.array_join("changed", ",").alias("changed"))
 
 
-@query("i3_close_aged", SCAN + " select user_id, case when deleted_at is null and last_seen < '2024-01-15' then '2024-02-01' else deleted_at end as deleted_at from old", "scan")
+@query(
+    "i3_close_aged",
+    SCAN + " select user_id, case when deleted_at is null and last_seen < '2024-01-15' and exists (select 1 from runs where kind = 'search' and complete and started_at >= timestamp '2024-01-15') then '2024-02-01' else deleted_at end as deleted_at from old",
+    "scan", "runs",
+)
 def _(t):
     state, _scan = _scan_state(t)
-    return merge.close_aged(state, F.lit("2024-01-15"), F.lit("2024-02-01"), True).select("user_id", "deleted_at")
+    return merge.close_aged(state, t("runs"), F.lit("2024-01-15"), F.lit("2024-02-01")).select("user_id", "deleted_at")
+
+
+@query(
+    "i2_scan_counts",
+    SCAN + " select count(*) filter (where o.user_id is null) as new, count(*) filter (where o.user_id is not null and (n.status <> o.status or n.price <> o.price)) as changed, "
+    "count(*) filter (where o.user_id is not null and not (n.status <> o.status or n.price <> o.price)) as unchanged, count(*) filter (where deleted_at is not null) as resurrected from new n left join old o on o.user_id = n.user_id",
+    "scan",
+)
+def _(t):
+    state, scan = _scan_state(t)
+    return merge.scan_counts(state, scan, "user_id", ["status", "price"], ["seen_at", "event_id"])
 
 
 def _flagged(t):
     c = F.col
-    rows = t("props").join(t("remarks"), "docid")
+    note = F.struct(F.lit("1").alias("aeeWevlMnpntItmCd"), c("remark").alias("aeeWevlMnpntCtt"))
+    detail = F.to_json(F.struct(
+        F.struct(c("suspension").alias("auctnSuspStatCd"), F.lit(" ").alias("rmk")).alias("csBaseInfo"), F.struct(F.lit("").alias("dspslGdsRmk"), c("terms")).alias("dspslGdsDxdyInfo"),
+        F.array(note).alias("aeeWevlMnpntLst"),
+    ))
+    rows = t("props").join(t("remarks").withColumn("detail", detail), "docid").withColumn("texts", rules.detail_texts(c("detail")))
     flags = rules.risk_flags(
-        c("remark"), c("fail_count"), F.lit(None).cast("string"), c("min_sale_price"), c("appraisal_amount"), F.lit("00"), c("usage_nm"), c("conv_addr"),
-        c("usage_mcl_cd"), c("building_summary"), F.lit(None).cast("string"), AS_OF_YEAR,
+        c("texts.text"), c("fail_count"), c("texts.special"), c("min_sale_price"), c("appraisal_amount"), F.get_json_object("detail", "$.csBaseInfo.auctnSuspStatCd"), c("usage_nm"),
+        c("conv_addr"), c("usage_mcl_cd"), c("building_summary"), c("built"), AS_OF_YEAR,
     )
     return rows.withColumn("flags", flags)
 
@@ -434,9 +482,10 @@ FLAGS = f""", f as (select p.docid, conv_addr, usage_lcl_cd, list_sort(list_filt
  case when regexp_matches(remark, '(임대관계|점유관계).{{0,6}}미상') then 'rent_unknown' end, case when regexp_matches(remark, '위반건축물|위반 건축물') then 'illegal_bld' end,
  case when remark like '%보전산지%' then 'reserve_forest' end, case when regexp_matches(remark, '파묘|분묘') then 'pamyo' end, case when regexp_matches(remark, '송전선|구분지상권') then 'power_line' end,
  case when remark like '%제시외%' then 'show_only' end, case when fail_count >= 5 then 'many_fails' end,
+ case when regexp_matches(terms, '특별매각|보증금.{{0,4}}20\\s*%') then 'special_20' end, case when suspension = '01' then 'stopped' end,
  case when min_sale_price <> 0 and cast(min_sale_price as double) / appraisal_amount >= 0.9 then 'claim_90' end, case when usage_nm like '%전답%' then 'farm_land' end,
  case when usage_nm = '임야' then 'forest_only' end, case when try_cast(regexp_extract(conv_addr, '([0-9.]+)㎡', 1) as double) <= 30 then 'tiny_area' end,
- case when (usage_mcl_cd = '10103' or building_summary like '%빌라%') and (building_summary like '%신축%' or try_cast(regexp_extract(building_summary, '(19[6-9][0-9]|20[0-9][0-9])\\s*년', 1) as int) >= {AS_OF_YEAR} - 5) then 'new_villa' end,
+ case when (usage_mcl_cd = '10103' or building_summary like '%빌라%') and (building_summary like '%신축%' or greatest(try_cast(regexp_extract(building_summary, '(19[6-9][0-9]|20[0-9][0-9])\\s*년', 1) as int), try_cast(built as int)) >= {AS_OF_YEAR} - 5) then 'new_villa' end,
  case when regexp_matches(remark, '지분|[0-9]+분의\\s*[0-9]+') and remark like '%맹지%' then 'share_maeng' end], lambda x : x is not null)) as flags
  from props p join remarks r on p.docid = r.docid)"""
 
@@ -466,8 +515,8 @@ def _(t):
 @query(
     "j2_kr_categories",
     """select docid, array_to_string(list_sort(list_filter([case when usage_nm in ('단독주택', '다가구주택', '근린시설') and conv_addr like '%[건물%' then 'whole_building' end,
- case when h and regexp_matches(one, '별장|펜션|산장|리조트') then 'vacation' end, case when h and regexp_matches(one, '농가|축사|농장|농어촌') then 'farm' end,
- case when h and (rural or regexp_matches(one, '전원|농가|농어촌')) then 'country' end, case when h and not (rural or regexp_matches(one, '전원|농가|농어촌')) then 'town' end], lambda x : x is not null)), ',') as categories
+ case when h and regexp_matches(one, '별장|펜션|산장|리조트') then 'vacation_home' end, case when h and regexp_matches(one, '농가|축사|농장|농어촌') then 'farm_house' end,
+ case when h and (rural or regexp_matches(one, '전원|농가|농어촌')) then 'country_house' end, case when h and not (rural or regexp_matches(one, '전원|농가|농어촌')) then 'townhouse' end], lambda x : x is not null)), ',') as categories
  from (select *, concat_ws(' ', conv_addr, road_addr, building_summary) as one, coalesce(lot_addr, '') like '%애월읍' as rural,
  coalesce(usage_nm in ('단독주택', '다가구주택') and concat_ws(' ', conv_addr, building_summary) not like '%집합건물%' and not (coalesce(conv_addr, '') like '%[토지%' and concat_ws(' ', conv_addr, building_summary) not like '%건물%'), false) as h from props)""",
     "props",
@@ -489,7 +538,7 @@ def _(t):
 
 @query(
     "k5_fallback_estimate",
-    REGION + """, c as (select docid, min(round_price) as ceiling from props join rounds using (docid) where round_price > 0 and round_date < sale_date + interval 200 day group by 1),
+    REGION + """, c as (select docid, min(round_price) as ceiling from props join rounds using (docid) where round_price > 0 and round_date < sale_date group by 1),
  a as (select p.docid, cast(appraisal_amount as double) as a, case when min_sale_price > 0 then cast(min_sale_price as double) end as f, cast(ceiling * 4000 as double) as c0, least(2.0, greatest(0.1, avg_rate / 100)) as r,
  least(2.0, greatest(0.1, avg_rate / 100 * 0.85)) as lr, least(2.0, greatest(0.1, avg_rate / 100 * 1.15)) as hr from props p join rs using (docid) left join c using (docid)
  where p.deleted_on is null and avg_rate is not null), b as (select *, case when f is null or c0 >= f then c0 end as c from a),
@@ -500,9 +549,8 @@ def _(t):
 )
 def _(t):
     props = t("props")
-    later = props.withColumn("sale_date", F.date_add("sale_date", 200))
     region = joins.region_stat_for(props, stats.stats_by_region(t("results"), AS_OF)).where("avg_rate is not null")
-    rows = props.where("deleted_on is null").join(region, "docid").join(joins.prior_round_ceiling(later, t("rounds")), "docid", "left")
+    rows = props.where("deleted_on is null").join(region, "docid").join(joins.prior_round_ceiling(props, t("rounds")), "docid", "left")
     rows = rows.select("docid", "appraisal_amount", "min_sale_price", (F.col("ceiling") * 4000).alias("ceiling"), *estimate.fallback_rates(F.col("avg_rate")))
     e = estimate.clamp_estimate(*(F.col(c) for c in ("appraisal_amount", "rate", "low_rate", "high_rate", "min_sale_price", "ceiling")))
     return rows.select("docid", e.alias("e")).select("docid", "e.est", "e.low", "e.high")
@@ -537,39 +585,42 @@ def _(t):
     return estimate.simulate(t("tenants")).select("tenant", "opposable", "dividend", "assumed")
 
 
-@query(
-    "e10_run_summary",
-    "select strftime(seen_at + interval 9 hour, '%Y-%m-%d') as day, status, count(*) as rows, count(distinct user_id) as listings from scan group by 1, 2",
-    "scan",
-)
-def _(t):
-    return reports.run_summary(t("scan"))
-
-
-@query("e12_flag_audit", "select json_extract_string(props, '$.k') as value, count(*) as n from scan group by 1", "scan")
+@query("e12_flag_audit", "select json_extract_string(props, '$.k') as value, count(*) as n, count(*) / cast(sum(count(*)) over () as double) as share from scan where props is not null group by 1", "scan")
 def _(t):
     return reports.flag_audit(t("scan"), "props", "$.k")
 
 
 MONEY = """case when {v} is null then '-' when {v} >= 100000000 and ({v} % 100000000) // 10000 > 0 then concat(cast({v} // 100000000 as string), '억 ', format('{{:,}}', ({v} % 100000000) // 10000), '만원')
  when {v} >= 100000000 then concat(cast({v} // 100000000 as string), '억원') when {v} >= 10000 then concat(format('{{:,}}', {v} // 10000), '만원') else concat(format('{{:,}}', {v}), '원') end"""
+DATE = "coalesce(strftime({v}, '%Y.%m.%d'), '-')"
+PART = """coalesce(' (감정가의 ' || cast(cast(floor(cast({v} as double) / appraisal_amount * 100 + 0.5) as bigint) as string) || '%)', '')"""
 
 
 @query(
     "a7_kr_report",
     ", one as (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc, round_price desc, round_date desc) = 1), "
-    "r as (select docid, string_agg('| ' || seq || ' | ' || coalesce(cast(round_date as string), '-') || ' | ' || "
-    + MONEY.format(v="round_price")
-    + " || ' |', chr(10) order by seq) as lines from one group by 1) select docid, case_no || '.md' as filename, concat_ws(chr(10), '# ' || case_no, '- 용도: ' || coalesce(usage_nm, '-'), '- 감정가: ' || "
-    + MONEY.format(v="appraisal_amount")
-    + ", '- 최저가: ' || "
-    + MONEY.format(v="min_sale_price")
-    + """ || ' (' || case when coalesce(min_sale_price, 0) = 0 or appraisal_amount = 0 then '-' else concat(cast(cast(floor(cast(min_sale_price as double) / appraisal_amount * 100 + 0.5) as bigint) as string), '%') end || ')',
- '## 기일' || chr(10) || lines) as markdown from props left join r using (docid)""",
-    "props", "rounds",
+    "r as (select docid, string_agg('| ' || seq || ' | ' || " + DATE.format(v="round_date") + " || '  | — | ' || " + MONEY.format(v="round_price")
+    + " || ' | ' || coalesce(result_cd, '—') || ' |', chr(10) order by seq) as lines from one group by 1), "
+    "b as (select *, cast(datediff('day', date '2001-09-01', sale_date) as int) as d, nullif(min_sale_price, 0) as m from props) "
+    "select docid, case_no || '.md' as filename, concat_ws(chr(10), '# 🇰🇷 ' || case_no, '', '> Generated from /p/' || docid, '', '## 메타', '- **사건번호**: `' || case_no || '`', '- **사건명**: —', "
+    "'- **법원·경매계**: ' || coalesce(court_name, '—'), '- **접수일**: -', '- **용도**: ' || coalesce(usage_nm, '—'), '', "
+    "case when sold then concat_ws(chr(10), '## 낙찰 완료', '- **낙찰가**: -', '') end, "
+    "case when d is not null then concat_ws(chr(10), '## 입찰 전 핵심 정보', '- **매각기일까지**: ' || case when d = 0 then 'D-day' when d > 0 then 'D-' || d else 'D+' || -d end || ' (' || "
+    + DATE.format(v="sale_date")
+    + " || ')', '- ※ 자동 추출 — 정확한 권리분석은 매각물건명세서·등기부등본 직접 확인', '') end, '## 주소', '- **도로명**: ' || road_addr, '- **지번**: ' || lot_addr, '- **표시 주소**: ' || conv_addr, '', "
+    "'## 가격', '| 항목 | 값 |', '|---|---:|', '| 감정가 | ' || " + MONEY.format(v="appraisal_amount") + " || ' |', '| 최저매각가 | ' || " + MONEY.format(v="min_sale_price") + " || " + PART.format(v="m")
+    + " || ' |', '| 매각가율 | ' || coalesce(cast(cast(floor(cast(m as double) / appraisal_amount * 100 + 0.5) as bigint) as string) || '%', '-') || ' |', "
+    "'| 할인율 | ' || coalesce(case when m < appraisal_amount then '▼' || cast(cast(floor((1 - cast(m as double) / appraisal_amount) * 100 + 0.5) as bigint) as string) || '%' end, '-') || ' |', "
+    "'| 유찰횟수 | ' || coalesce(fail_count || '회', '—') || ' |', '| 매각기일 | ' || " + DATE.format(v="sale_date") + " || ' |', '| 매각결정기일 | - |', '', "
+    "case when building_summary is not null then concat_ws(chr(10), '## 건물·면적', '- **건물 요약**: ' || building_summary, '') end, "
+    "case when lines is not null then concat_ws(chr(10), '## 매각기일 이력', '| 회차 | 기일 | 장소 | 최저가 | 결과 |', '|---:|---|---|---:|---|', lines, '') end, "
+    "'## 원본', '- **법원경매정보**: 사건번호 `' || case_no || '`, 법원 `' || court_code || '`', '- **본 사이트 상세**: /p/' || docid, '') as markdown from b left join r using (docid) left join courts using (court_code)",
+    "props", "rounds", "courts",
 )
 def _(t):
-    return reports.kr_report(t("props"), windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"]))
+    rounds = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"])
+    props = t("props").join(t("courts").select("court_code", "court_name"), "court_code", "left").drop("lng", "lat")
+    return reports.kr_report(props, rounds, as_of=AS_OF)
 
 
 @query(
@@ -642,19 +693,55 @@ def _(t):
 
 
 def _model_rows(t):
-    results = t("results").withColumn("target", estimate.target(F.col("sale_amount"), F.col("appraisal_amount")))
-    area = t("props").select("docid", sc.max_area(F.col("conv_addr")).alias("area"))
-    region = joins.region_stat_for(t("results"), stats.stats_by_region(t("results"), AS_OF))
-    return model.features(results.join(area, "docid", "left"), region)
+    """Closed sales with the listing's columns; the sale rate falls with failed rounds and differs by district, so the model has a signal."""
+    results = t("results").select("docid", "sale_amount", "appraisal_amount", "sd_code", "sgg_code", "usage_lcl_cd", "sale_date", "court_code", "fail_count", "bidder_count")
+    props = t("props").select("docid", "usage_mcl_cd", "usage_nm", "min_sale_price", F.col("conv_addr").alias("area_text"))
+    rows = results.join(props, "docid", "left")
+    rate = 1.1 - 0.08 * F.col("fail_count") + F.pmod(F.xxhash64("sgg_code"), F.lit(7)) / 50 + F.pmod(F.xxhash64("docid"), F.lit(11)) / 200
+    rows = rows.withColumn("sale_amount", F.when(F.col("sale_amount") > 0, (F.col("appraisal_amount") * rate).cast("bigint")))
+    rows = rows.withColumn("target", estimate.target(F.col("sale_amount"), F.col("appraisal_amount")))
+    return rows, _features(t, rows, rows)
+
+
+def _features(t, sold, rows):
+    prices = stats.latest_price(stats.price_by_quarter(t("deals")))
+    return model.features(rows, t("register").where("fetch_status = 'ok'"), prices, stats.stats_by_region(sold, AS_OF), AS_OF)
+
+
+RATES = ["docid", "rate", "low_rate", "high_rate"]
 
 
 @query("k3_quantile_model")
 def _(t):
-    rows = _model_rows(t)
+    _sold, rows = _model_rows(t)
     fitted = model.fit(rows)
-    return model.predict(*fitted, rows) if fitted else rows.select("docid").limit(0)
+    return model.predict(*fitted, rows) if fitted else rows.select("docid", *(F.lit(0.0).alias(c) for c in RATES[1:])).limit(0)
+
+
+@query("k4_estimates")
+def _(t):
+    sold, rows = _model_rows(t)
+    active = t("props").where("deleted_on is null").withColumn("area_text", F.col("conv_addr"))
+    out = model.estimates(model.fit(rows), _features(t, sold, active), stats.segment_counts(sold))
+    return out.select("docid", "method", "samples", "rate", "low_rate", "high_rate", F.to_json("features_used").alias("features_used"))
+
+
+@query(
+    "k1_features",
+    REGION.split(" big as")[0].rstrip(", \n") + PRICES + f""", lp as (select lawd_cd, deal_type, arg_max(median_price, quarter_start) as region_price_m2 from prices where n_deals >= 3 and median_price is not null group by 1, 2),
+ f as (select *, coalesce({KIND}, 'apt') as dt, sd_code || coalesce(sgg_code, '') as lawd from props)
+ select f.docid, cast(appraisal_amount as double) as appraisal_amount, cast(min_sale_price as double) / appraisal_amount as min_rate, cast(fail_count as double) as fail_count, cast(month(sale_date) as double) as sale_month,
+ try_cast(regexp_extract(conv_addr, '([0-9.]+)㎡', 1) as double) as area_m2, cast({AS_OF_YEAR} - building_year as double) as building_age, region_price_m2, avg_rate as region_avg_rate,
+ coalesce(f.usage_lcl_cd, '') as usage_lcl_cd, coalesce(usage_mcl_cd, '') as usage_mcl_cd, f.sd_code, lawd as lawd_cd, court_code
+ from f left join register g on g.docid = f.docid and fetch_status = 'ok' left join lp on lp.lawd_cd = lawd and lp.deal_type = dt
+ left join s on s.sd_code || s.sgg_code = lawd and coalesce(s.usage_lcl_cd, '') = coalesce(f.usage_lcl_cd, '')""",
+    "props", "results", "deals", "register",
+)
+def _(t):
+    rows = _features(t, t("results"), t("props").withColumn("area_text", F.col("conv_addr")))
+    return rows.select("docid", *model.NUMBERS, *model.LEVELS)
 
 
 @query("k6_evaluate")
 def _(t):
-    return model.evaluate(_model_rows(t), AS_OF, 200)
+    return model.evaluate(_model_rows(t)[1], AS_OF, 200)

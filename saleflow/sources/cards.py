@@ -161,3 +161,29 @@ def with_typed(cards: DataFrame) -> DataFrame:
 
 def card_price_trap(price: Column) -> Column:
     return price <= 100_000
+
+
+#: Labels of kinds of property, and their codes.
+SALE_CLASSES = {"土地": "1", "戸建て": "2", "マンション": "3", "その他": "4"}
+
+
+def to_jp_properties(cards: DataFrame) -> DataFrame:
+    """Cards (sale_unit_id, court_id, case_no, sale_cls_label, status_text, photo_url, address, standard_price, deposit) as
+    listings; cards without a court or case number go."""
+    label = F.trim(F.coalesce("sale_cls_label", F.lit("")))
+    code = F.try_element_at(F.create_map(*(F.lit(x) for kv in SALE_CLASSES.items() for x in kv)), label)
+    seq = F.nullif(sc.jp_photo_url(F.col("photo_url"))["seq"], F.lit(0))
+    known = cards.where("court_id is not null and case_no is not null")
+    return known.select(
+        "sale_unit_id", F.col("court_id").alias("court_code"), "case_no", sc.jp_case_no(F.col("case_no")).alias("case_parts"),
+        F.coalesce(seq, F.lit(1)).alias("property_seq"), code.alias("sale_cls"), sc.truthy(label).alias("sale_cls_label"),
+        "standard_price", "deposit", sc.jp_status(F.col("status_text")).alias("status"), F.col("address").alias("address_text"),
+        sc.jp_normalize_addr(F.col("address")).alias("address_normalized"), F.coalesce(card_price_trap(F.col("standard_price")), F.lit(False)).alias("yen_10k_trap"),
+    )
+
+
+def register_courts(courts: DataFrame, cards: DataFrame) -> DataFrame:
+    """Courts (code, name) with those that the cards name; a card's name wins."""
+    seen = cards.where("court_id is not null and coalesce(court_name, '') <> ''")
+    named = seen.groupBy(F.col("court_id").alias("code")).agg(F.max("court_name").alias("name"))
+    return courts.select("code", "name").join(named.select("code"), "code", "left_anti").unionByName(named)

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saleflow.functions import katec
 from saleflow.functions import scalars as sc
 from saleflow.operators.windows import dedupe_last
 
-ENVELOPE = "status string, data struct<dlt_srchResult: array<map<string,string>>>"
+RESULTS = "dlt_srchResult"
 
 
-def split_envelopes(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good with `rows`, dead letters with a note): not JSON, a status other than 200, or no result list is dead."""
-    parsed = raw.withColumn("e", F.from_json(column, ENVELOPE))
+def split_envelopes(raw: DataFrame, column: str = "value", expect: tuple[str, ...] = (RESULTS,), http_status: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good with `rows`, dead letters with a note): not JSON, an HTTP status from 400 on (column `http_status`), a status
+    other than 200, or an expected key of the data missing is dead. `rows` is the first expected list."""
+    rows = F.from_json(F.get_json_object(column, f"$.data.{expect[0]}"), "array<map<string,string>>")
     status = F.get_json_object(column, "$.status")
-    note = (
-        F.when(status.isNull() & F.col("e.data").isNull(), "not json")
-        .when(F.coalesce(status, F.lit("200")) != "200", F.concat(F.lit("status "), status))
-        .when(F.col("e.data.dlt_srchResult").isNull(), "no result list")
-    )
-    told = parsed.withColumn("note", note)
-    good = told.where("note is null").withColumn("rows", F.col("e.data.dlt_srchResult")).drop("e", "note")
-    return good, told.where("note is not null").drop("e")
+    note = F.when(F.get_json_object(column, "$").isNull(), "not json")
+    if http_status:
+        note = F.when(F.col(http_status) >= 400, F.concat(F.lit("http "), F.col(http_status).cast("string"))).when(F.get_json_object(column, "$").isNull(), "not json")
+    note = note.when(F.coalesce(status, F.lit("200")) != "200", F.concat(F.lit("status "), status))
+    for key in expect:
+        note = note.when(F.get_json_object(column, f"$.data.{key}").isNull(), f"no {key}")
+    told = raw.withColumn("note", note)
+    return told.where("note is null").withColumn("rows", rows).drop("note"), told.where("note is not null")
 
 
 def read_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -46,26 +50,40 @@ def to_cases(scan: DataFrame, order: list[str], row: str = "row") -> DataFrame:
     return dedupe_last(cases.where("court_code is not null and case_no is not null"), ["court_code", "case_no"], order).drop(*order)
 
 
-def to_properties(scan: DataFrame, order: list[str], row: str = "row") -> DataFrame:
-    """Typed listings, last wins on (court_code, case_no, item_no)."""
+#: Text columns of a listing and the keys they come from, the first that is set counts.
+LISTING_KEYS = {
+    "court_code": "boCd cortOfcCd", "case_no": "srnSaNo", "item": "maemulSer", "docid": "docid", "appraisal": "gamevalAmt", "minimum": "minmaePrice",
+    "current": "currentMaemaePrice maemaePrice", "fails": "yuchalCnt", "sale": "maeGiil", "decision": "maegyuljGiil", "status_cd": "maemulStatCd statCd",
+    "lcl": "lclsUtilCd", "mcl": "mclsUtilCd", "scl": "sclsUtilCd", "usage_nm": "dspslUsgNm", "sd_code": "daepyoSidoCd", "sgg_code": "daepyoSiguCd daepyoSggCd",
+    "emd_code": "daepyoDongCd daepyoEmdCd", "rd_code": "daepyoRdCd", "lot_no": "daepyoLotno", "conv_addr": "convAddr daepyoAddr", "road": "bgPlaceRdAllAddr rdAllAddr",
+    "road_sub": "rdAddrSub", "lot": "bgPlaceLotAllAddr lotAllAddr", "building_summary": "buldList", "area_summary": "areaList", "mokmul_ser": "mokmulSer",
+    "x": "xCordi", "y": "yCordi", "wgs_x": "wgs84Xcordi", "wgs_y": "wgs84Ycordi",
+}
+
+
+def to_properties(scan: DataFrame, order: list[str], row: str = "row", coordinates: bool = True) -> DataFrame:
+    """Typed listings with coordinates and the raw row, last wins on (court_code, case_no, item_no).
+
+    Each text is taken from the row once: they pass a generator, which keeps later expressions from being pushed into it.
+    """
     r = F.col(row)
-    item = sc.to_int(_key(r, "maemulSer"))
-    props = scan.select(
-        _key(r, "boCd", "cortOfcCd").alias("court_code"), _key(r, "srnSaNo").alias("case_no"),
-        F.when(item != 0, item).otherwise(1).alias("item_no"), _key(r, "docid").alias("docid"),
-        sc.to_int(_key(r, "gamevalAmt")).alias("appraisal_amount"), sc.to_int(_key(r, "minmaePrice")).alias("min_sale_price"),
-        sc.to_int(_key(r, "currentMaemaePrice", "maemaePrice")).alias("current_sale_price"), sc.to_int(_key(r, "yuchalCnt")).alias("fail_count"),
-        sc.to_date8(_key(r, "maeGiil")).alias("sale_date"), sc.to_date8(_key(r, "maegyuljGiil")).alias("sale_decision_date"),
-        _key(r, "maemulStatCd", "statCd").alias("status_cd"), sc.usage_code(_key(r, "lclsUtilCd")).alias("usage_lcl_cd"),
-        sc.usage_code(_key(r, "mclsUtilCd")).alias("usage_mcl_cd"), sc.usage_code(_key(r, "sclsUtilCd")).alias("usage_scl_cd"),
-        _key(r, "dspslUsgNm").alias("usage_nm"), _key(r, "daepyoSidoCd").alias("sd_code"), _key(r, "daepyoSiguCd", "daepyoSggCd").alias("sgg_code"),
-        _key(r, "daepyoDongCd", "daepyoEmdCd").alias("emd_code"), _key(r, "daepyoLotno").alias("lot_no"), _key(r, "convAddr", "daepyoAddr").alias("conv_addr"),
-        sc.road_addr(_key(r, "bgPlaceRdAllAddr", "rdAllAddr"), _key(r, "rdAddrSub")).alias("road_addr"),
-        sc.clean_addr(_key(r, "bgPlaceLotAllAddr", "lotAllAddr")).alias("lot_addr"), _key(r, "buldList").alias("building_summary"),
-        _key(r, "areaList").alias("area_summary"), *order,
-    )
+    texts = F.struct(*(_key(r, *keys.split()).alias(name) for name, keys in LISTING_KEYS.items()))
+    raw = scan.select(F.inline(F.array(texts)), F.to_json(r).alias("search_row"), *order).where("court_code is not null and case_no is not null")
+    c, item = F.col, sc.to_int(F.col("item"))
     keys = ["court_code", "case_no", "item_no"]
-    return dedupe_last(props.where("court_code is not null and case_no is not null"), keys, order).drop(*order)
+    raw = dedupe_last(raw.withColumn("item_no", F.when(item != 0, item).otherwise(1)), keys, order)
+    same = ["docid", "status_cd", "usage_nm", "sd_code", "sgg_code", "emd_code", "rd_code", "lot_no", "conv_addr", "building_summary", "area_summary", "mokmul_ser"]
+    typed = raw.select(
+        *keys, *same, sc.to_int(c("appraisal")).alias("appraisal_amount"), sc.to_int(c("minimum")).alias("min_sale_price"), sc.to_int(c("current")).alias("current_sale_price"),
+        sc.to_int(c("fails")).alias("fail_count"), sc.to_date8(c("sale")).alias("sale_date"), sc.to_date8(c("decision")).alias("sale_decision_date"),
+        sc.usage_code(c("lcl")).alias("usage_lcl_cd"), sc.usage_code(c("mcl")).alias("usage_mcl_cd"), sc.usage_code(c("scl")).alias("usage_scl_cd"),
+        sc.road_addr(c("road"), c("road_sub")).alias("road_addr"), sc.clean_addr(c("lot")).alias("lot_addr"), "search_row",
+        *(sc.to_float(c(x)).alias(x) for x in ("x", "y", "wgs_x", "wgs_y")),
+    )
+    rate = sc.sale_rate_pct(c("min_sale_price"), c("appraisal_amount")).alias("sale_rate_pct")
+    place = katec.lnglat(c("x"), c("y"), c("wgs_x"), c("wgs_y")) if coordinates else F.lit(None).cast("struct<lng:double,lat:double>")
+    placed = typed.select("*", rate, place.alias("p")).drop("x", "y", "wgs_x", "wgs_y")
+    return placed.select("*", "p.lng", "p.lat").drop("p")
 
 
 ROUNDS = "array<map<string,string>>"
@@ -84,41 +102,85 @@ def to_sale_rounds(details: DataFrame, key: str = "docid", column: str = "detail
     )
 
 
-def photo_manifest(details: DataFrame, key: str = "docid", column: str = "detail", least: int = 100) -> DataFrame:
-    """Photos of a detail JSON: seq, decoded size, whether it is large enough; the payload itself isn't kept."""
+def ascii_name(case_no: Column) -> Column:
+    """A case number in ASCII letters, digits and -_. alone: `2023타경6292` is `2023-6292`."""
+    bare = F.regexp_replace(F.regexp_replace(case_no, r"[^A-Za-z0-9_.-]", "-"), "-{2,}", "-")
+    return F.coalesce(sc.truthy(F.regexp_replace(bare, "^-+|-+$", "")), F.lit("x"))
+
+
+def photo_manifest(details: DataFrame, keys: tuple[str, str, str] = ("court_code", "case_no", "item_no"), column: str = "detail", first: int | None = None, least: int = 100) -> DataFrame:
+    """Photos of a detail JSON: seq (given, or the place from 1), kind, description, decoded size, whether it is large
+    enough, path court/case/item/seq.ext, and the raw entry without its payload. `first` keeps the first so many."""
+    court, case, item = keys
     rows = F.from_json(F.get_json_object(column, "$.csPicLst"), ROUNDS)
+    rows = rows if first is None else F.slice(rows, 1, first)
+    out = details.select(*keys, F.posexplode(rows).alias("place", "r"))
     r = F.col("r")
-    payload = F.regexp_replace(_key(r, "picFile", "file"), r"^data:[^,]*,", "")
-    seq = sc.to_int(_key(r, "cortAuctnPicSeq", "picSeq", "seq"))
-    n = F.octet_length(F.try_to_binary(payload, F.lit("base64")))
-    out = details.select(key, F.posexplode(rows).alias("place", "r"))
+    seq = sc.to_int(sc.first_truthy(*(sc.truthy(F.try_element_at(r, F.lit(k))) for k in ("cortAuctnPicSeq", "picSeq", "seq"))))
+    seq = F.when(seq != 0, seq).otherwise(F.col("place") + 1)
+    title = F.try_element_at(r, F.lit("picTitlNm"))
+    ending = F.lower(F.regexp_extract(title, r"\.([^.]*)$", 1))
+    path = [F.col(court), ascii_name(F.col(case)), F.col(item).cast("string")]
+    number = F.when(seq < 10, F.concat(F.lit("0"), seq.cast("string"))).otherwise(seq.cast("string"))
+    name = F.concat(number, F.lit("."), F.when(ending.rlike("^[a-z0-9]{1,5}$"), ending).otherwise("jpg"))
+    n = F.octet_length(F.try_to_binary(F.regexp_replace(F.try_element_at(r, F.lit("picFile")), r"^data:[^,]*,", ""), F.lit("base64")))
     return out.select(
-        key, F.when(seq != 0, seq).otherwise(F.col("place") + 1).alias("seq"), n.alias("n_bytes"), F.coalesce(n >= least, F.lit(False)).alias("ok"),
-        F.concat(F.col(key), F.lit("/"), F.lpad((F.col("place") + 1).cast("string"), 2, "0"), F.lit(".jpg")).alias("storage_path"),
+        *keys, seq.alias("seq"), _key(r, "cortAuctnPicDvsCd").alias("kind"), _key(r, "picDesc", "picTitlNm").alias("description"), n.alias("n_bytes"),
+        F.coalesce(n >= least, F.lit(False)).alias("ok"), F.when(n.isNotNull(), F.concat_ws("/", *path, name)).alias("storage_path"),
+        F.to_json(F.map_filter(r, lambda k, v: k != "picFile")).alias("raw"),
     )
 
 
+#: Tags of usage rows, their level and the key of their parent.
+USAGE_TAGS = {"usage_lcl": (1, None), "usage_mcl": (2, "lcl_code"), "usage_scl": (3, "mcl_code")}
+
+
 def load_masters(lines: DataFrame, order: str, column: str = "value") -> dict[str, DataFrame]:
-    """Tagged JSON lines to courts, sd, sgg, emd and usage tables, last wins on the key; rows without code or name go."""
+    """Tagged JSON lines (`type`) to court, sd, sgg, emd and usage tables, last wins on the key; rows without code or name go.
+
+    A court's prefix is the last letter of the given one if that is B or O; courts without one go. Usage rows have their
+    tag's level, and as parent the key of the level above.
+    """
     rows = lines.select(F.from_json(column, "map<string,string>").alias("r"), order)
-    keep = {"court": ["prefix"], "sd": [], "sgg": ["sd_code"], "emd": ["sd_code", "sgg_code"], "usage": ["level", "parent_code"]}
+    r = F.col("r")
+    tag = _key(r, "type")
+    prefix = _key(r, "prefix")
+    last = F.right(prefix, F.lit(1))
+    level, parent = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for name, (n, key) in USAGE_TAGS.items():
+        level = F.when(tag == name, n).otherwise(level)
+        parent = F.when(tag == name, _key(r, key)).otherwise(parent) if key else parent
+    more = {
+        "court": [F.when(last.isin("B", "O"), last).otherwise(prefix).alias("prefix")], "sd": [], "sgg": [_key(r, "sd_code").alias("sd_code")],
+        "emd": [_key(r, "sd_code").alias("sd_code"), _key(r, "sgg_code").alias("sgg_code")], "usage": [level.alias("level"), parent.alias("parent_code")],
+    }
+    tags = {"court": ["court"], "sd": ["sido", "sd"], "sgg": ["sgg"], "emd": ["emd"], "usage": list(USAGE_TAGS)}
+    keys = {"sgg": ["code", "sd_code"], "emd": ["code", "sd_code", "sgg_code"]}
     out = {}
-    for tag, more in keep.items():
-        mine = rows.where(F.try_element_at("r", F.lit("tag")) == tag).select(
-            *(_key(F.col("r"), c).alias(c) for c in ("code", "name", *more)), order
-        )
-        keys = ["code", "sd_code"] if tag == "sgg" else ["code"]
-        out[tag] = dedupe_last(mine.where("code is not null and name is not null"), keys, [order]).drop(order)
+    for name, columns in more.items():
+        mine = rows.where(tag.isin(*tags[name])).select(_key(r, "code").alias("code"), _key(r, "name").alias("name"), *columns, order)
+        mine = mine.where("prefix is not null") if name == "court" else mine
+        out[name] = dedupe_last(mine.where("code is not null and name is not null"), keys.get(name, ["code"]), [order]).drop(order)
     return out
 
 
 def write_snapshot(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
-    """Write a new version folder; a job never overwrites what it reads. Writing a version again replaces it."""
-    path = f"{root.rstrip('/')}/version={version}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return path
-
-
-def read_snapshot(spark: SparkSession, root: str, version: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/version={version}")
+    """Write a new version folder, then a pointer row that names it: readers see a version once it is whole.
+
+    A job never overwrites what it reads; a version that was written already is written again in a folder of its own.
+    """
+    spark = df.sparkSession
+    name = f"version={version}/{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root.rstrip('/')}/{name}")
+    pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(name).alias("folder"), F.current_timestamp().alias("written_at"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/pointers")
+    return f"{root.rstrip('/')}/{name}"
+
+
+def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The version's newest folder, or without a version the one written last."""
+    pointers = spark.read.parquet(f"{root.rstrip('/')}/pointers")
+    mine = pointers if version is None else pointers.where(F.col("version") == version)
+    folder = mine.orderBy(F.col("written_at").desc(), F.col("folder")).select("folder").first().folder
+    return spark.read.parquet(f"{root.rstrip('/')}/{folder}")

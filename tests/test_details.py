@@ -79,10 +79,10 @@ def test_normalised_rows(spark):
 
 
 def test_detail_json(spark):
-    detail = json.dumps({"csBaseInfo": {"clmAmt": "1,000", "rcptYmd": "", "csRcptYmd": "20200102", "auctnSuspStatCd": "01"}, "csPicLst": [{"picFile": "AAAA"}], "aeeWevlMnpntLst": [], "gdsDspslDxdyLst": [{"seq": "1"}]})
+    detail = json.dumps({"csBaseInfo": {"clmAmt": "1,000", "rcptYmd": "", "csRcptYmd": "20200102", "auctnSuspStatCd": "01"}, "csPicLst": [{"picFile": "AAAA"}], "aeeWevlMnpntLst": [], "gdsDspslDxdyLst": [{"seq": "1"}], "picDvsIndvdCnt": 3})
     case = one(spark, details.detail_case, detail, "string")
     assert (case.claim, case.received, case.started, case.suspension) == (1000, DAY(2020, 1, 2), None, "01")
-    assert set(json.loads(one(spark, details.slim_detail, detail, "string"))) == {"csBaseInfo", "gdsDspslDxdyLst"}
+    assert set(json.loads(one(spark, details.slim_detail, detail, "string"))) == {"csBaseInfo", "picDvsIndvdCnt"}
 
 
 def test_upkeep(spark):

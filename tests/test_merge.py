@@ -41,9 +41,39 @@ def test_stream_is_the_same_merge_and_safe_to_repeat(spark, tmp_path):
 
 def test_closing_needs_a_complete_scan(spark):
     state = spark.createDataFrame([(1, 1, "a", "n", "t1", None), (2, 1, "a", "n", "t3", None)], STATE)
-    for complete, want in ((True, {1: "t9", 2: None}), (False, {1: None, 2: None})):
-        assert {r.id: r.deleted_at for r in merge.close_aged(state, F.lit("t2"), F.lit("t9"), complete).collect()} == want
-
+    for run, want in ((("search", True, "t2"), {1: "t9", 2: None}), (("search", False, "t2"), {1: None, 2: None}), (("search", True, "t1"), {1: None, 2: None}), (("photos", True, "t3"), {1: None, 2: None})):
+        runs = spark.createDataFrame([run], "kind string, complete boolean, started_at string")
+        assert {r.id: r.deleted_at for r in merge.close_aged(state, runs, F.lit("t2"), F.lit("t9")).collect()} == want
+        assert [r.id for r in merge.close_aged(state, runs, F.lit("t2"), F.lit("t9"), dry_run=True).collect()] == [k for k, v in want.items() if v]
+
+
+def test_returning_rows_lose_what_deletion_gave(spark):
+    schema = STATE + ", sold boolean, sold_amount long, last_synced string, refresh boolean"
+    state = spark.createDataFrame([(1, 10, "a", "n", "t1", "gone", True, 5, "t0", None), (2, 10, "a", "n", "t1", None, None, None, "t0", None)], schema)
+    rows = spark.createDataFrame([(1, 1, 10, "a"), (2, 1, 10, "b")], SCAN)
+    new, _ = merge.apply_scan(state, rows, "id", ["price", "status"], ["n"], F.lit("t2"))
+    got = {r.id: (r.deleted_at, r.sold, r.sold_amount, r.last_synced, r.refresh) for r in new.collect()}
+    assert new.columns == state.columns and got == {1: (None, None, None, "t0", None), 2: (None, None, None, "t2", True)}
+
+
+def test_a_version_is_seen_once_it_is_whole(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    for n in (1, 2):
+        scan.write_snapshot(spark.range(n), root, "v")
+    scan.write_snapshot(spark.range(5), root, "w")
+    assert scan.read_snapshot(spark, root, "v").count() == 2 and scan.read_snapshot(spark, root).count() == 5
+
+
+def test_masters(spark):
+    rows = [
+        {"type": "court", "code": "1", "name": "a", "prefix": "00079B"}, {"type": "court", "code": "2", "name": "b", "prefix": "X"}, {"type": "court", "code": "3", "name": "c"},
+        {"type": "usage_scl", "code": "u3", "name": "x", "mcl_code": "u2", "lcl_code": "u1"}, {"type": "usage_mcl", "code": "u2", "name": "y", "lcl_code": "u1"}, {"type": "usage_lcl", "code": "u1", "name": "z"},
+        {"type": "sgg", "code": "650", "name": "서초구", "sd_code": "11"}, {"type": "sgg", "code": "650", "name": "포천시", "sd_code": "41"}, {"type": "sgg", "code": "650", "name": "new", "sd_code": "41"}, {"type": "sido", "code": "11"},
+    ]
+    got = scan.load_masters(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "n int, value string"), "n")
+    assert {(r.code, r.prefix) for r in got["court"].collect()} == {("1", "B"), ("2", "X")} and got["sd"].count() == 0
+    assert {(r.code, r.level, r.parent_code) for r in got["usage"].collect()} == {("u3", 3, "u2"), ("u2", 2, "u1"), ("u1", 1, None)}
+    assert {(r.sd_code, r.name) for r in got["sgg"].collect()} == {("11", "서초구"), ("41", "new")}
 
 def test_current_round(spark):
     d = datetime.date
@@ -57,16 +87,21 @@ def test_envelopes_rows_and_rounds(spark, tmp_path):
     page = {"status": "200", "data": {"dlt_srchResult": [{"boCd": "B1", "srnSaNo": "2020타경1", "maemulSer": "0", "gamevalAmt": "1,000", "maeGiil": "20260102", "yuchalCnt": "12.5"}, {"boCd": "", "srnSaNo": "x"}]}}
     texts = [json.dumps(page), "not json", '{"status": "500", "data": {}}', '{"status": "200", "data": {}}']
     good, dead = scan.split_envelopes(spark.createDataFrame([(t,) for t in texts], "value string"))
-    assert good.count() == 1 and sorted(r.note for r in dead.collect()) == ["no result list", "not json", "status 500"]
+    assert good.count() == 1 and sorted(r.note for r in dead.collect()) == ["no dlt_srchResult", "not json", "status 500"]
+    coded = spark.createDataFrame([(texts[0], 200), (texts[0], 503)], "value string, code int")
+    assert [r.note for r in scan.split_envelopes(coded, expect=("dlt_srchResult",), http_status="code")[1].collect()] == ["http 503"]
+    assert scan.split_envelopes(coded, expect=("dlt_srchResult", "dma_pageInfo"))[0].count() == 0
     (tmp_path / "p1.json").write_text(json.dumps(page))
     rows = scan.read_scan(spark, str(tmp_path))
     props = scan.to_properties(rows, ["place"]).collect()
     assert [(p.case_no, p.item_no, p.appraisal_amount, p.fail_count, str(p.sale_date)) for p in props] == [("2020타경1", 1, 1000, None, "2026-01-02")]
     assert scan.to_cases(rows, ["place"]).count() == 1
     detail = json.dumps({"gdsDspslDxdyLst": [{"dxdyYmd": "20260102", "tsLwsDspslPrc": "5"}, {"seq": "7"}], "csPicLst": [{"picFile": "data:image/png;base64," + "A" * 400}, {"picFile": "AA=="}]})
-    details = spark.createDataFrame([("d", detail)], "docid string, detail string")
+    details = spark.createDataFrame([("d", "B000210", "2023타경6292", 1, detail)], "docid string, court_code string, case_no string, item_no int, detail string")
     assert [r.seq for r in scan.to_sale_rounds(details).collect()] == [1, 7]
-    assert [(r.seq, r.ok) for r in scan.photo_manifest(details).collect()] == [(1, True), (2, False)]
+    photos = scan.photo_manifest(details).collect()
+    assert [(r.seq, r.ok, r.storage_path) for r in photos] == [(1, True, "B000210/2023-6292/1/01.jpg"), (2, False, "B000210/2023-6292/1/02.jpg")]
+    assert scan.photo_manifest(details, first=1).count() == 1 and photos[0].raw == "{}"
 
 
 def test_clamp_and_opposability(spark):

@@ -46,7 +46,7 @@ def test_text_flags(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(flags.alias("f")).first().f == want
 
 
-@pytest.mark.parametrize(("address", "want"), [("제주시 애월읍", ["country"]), ("달성군 가창면, 12", ["country"]), ("서울 삼면길 4", ["town"])])
+@pytest.mark.parametrize(("address", "want"), [("제주시 애월읍", ["country_house"]), ("달성군 가창면, 12", ["country_house"]), ("서울 삼면길 4", ["townhouse"])])
 def test_township(spark, address, want):
     none = F.lit(None).cast("string")
     cats = rules.kr_categories(F.lit("단독주택"), F.lit("[주택 1㎡]"), F.col("a"), none, none, none, none, F.lit(False))
@@ -57,9 +57,9 @@ def test_merged_categories(spark):
     a = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     t, f = F.lit(True), F.lit(False)
     row = spark.range(1).select(
-        rules.merge_categories(a("whole_building"), a("farm", "junk"), a("town"), t, f, t).alias("kept"),
-        rules.merge_categories(a(), a("farm"), a("town", "x"), t, f, f).alias("external"),
-        rules.merge_categories(a(), a("farm"), a("town"), t, t, t).alias("banned"),
+        rules.merge_categories(a("whole_building"), a("farm_house", "junk"), a("townhouse"), t, f, t).alias("kept"),
+        rules.merge_categories(a(), a("farm_house"), a("townhouse", "x"), t, f, f).alias("external"),
+        rules.merge_categories(a(), a("farm_house"), a("townhouse"), t, t, t).alias("banned"),
         rules.jp_merge_categories(a(), a("bessou", "tousho"), a("akiya"), F.lit("2"), F.lit("13"), F.lit("東京"), t).alias("jp"),
     ).first()
-    assert list(row) == [["farm", "whole_building"], ["town"], [], ["akiya", "bessou"]]
+    assert list(row) == [["farm_house", "whole_building"], ["townhouse"], [], ["akiya", "bessou"]]

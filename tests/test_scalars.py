@@ -20,6 +20,8 @@ def value(spark, expression, text):
         (s.max_area, "건물 12.5㎡ 토지 84.97㎡", 84.97), (s.max_area, "없음", None), (s.jp_price, "4,940,000円", 4_940_000), (s.jp_price, "494万円", 4_940_000),
         (s.jp_price, "494万5,000円", 4_945_000), (s.jp_date, "令和08年04月17日", datetime.date(2026, 4, 17)), (s.jp_date, "令和元年5月1日", datetime.date(2019, 5, 1)),
         (s.jp_date, "平成元年2月3日", datetime.date(1989, 2, 3)), (s.jp_normalize_addr, "八王子市川町１３番１３", "八王子市川町13番13"), (s.jp_status, "特別売却", "special_sale"),
+        (s.to_int, "1,234", 1234), (s.to_int, " 12 ", 12), (s.to_int, "1 234", None), (s.to_int, "12.5", None), (s.to_int, "null", None), (s.to_float, "1 2", None), (s.to_float, "1,2.5", 12.5),
+        (s.special_deposit, "20", True), (s.special_deposit, "10", False), (s.special_deposit, "x", None),
         (s.deposit_rate, "20", 20.0), (s.deposit_rate, "0", None), (s.area_to_pyeong, "전용 33.05785㎡", "전용 10.00평"), (s.jp_block, "91", "01"), (s.jp_block, "47", "09"),
     ],
 )
@@ -43,6 +45,17 @@ def test_money(spark, v, want):
     assert spark.createDataFrame([(v,)], "v long").select(s.money(F.col("v")).alias("x")).first().x == want
 
 
+@pytest.mark.parametrize(("v", "want"), [(None, "-"), (500, "500"), (123_456, "12만"), (100_000_000, "1.0억"), (1_234_560_000, "12억")])
+def test_short_money(spark, v, want):
+    assert spark.createDataFrame([(v,)], "v long").select(s.money_short(F.col("v")).alias("x")).first().x == want
+
+
+def test_status_and_photo(spark):
+    told = lambda p, q: spark.range(1).select(s.case_status(F.lit(p).cast("string"), F.lit(q).cast("string")).alias("x")).first().x
+    assert [told("0002100001", None), told("x0002", "00"), told("0001", "01"), told("9", ""), told(None, None)] == ["진행 중", "변경", "정지/연기/취하", "상태 미상", None]
+    assert tuple(value(spark, s.jp_photo_url, "https://x/data/image/SH_R07K221_2_b.jpg")) == ("SH", "R", 7, "K", 221, 2, "b")
+
+
 def test_days(spark):
     days = lambda d: spark.createDataFrame([(d,)], "d date").select(s.d_day_label(s.d_day(F.col("d"), "2001-09-01")).alias("x")).first().x
     assert [days(datetime.date(2001, 9, x)) for x in (1, 4)] == ["D-day", "D-3"] and days(datetime.date(2001, 8, 30)) == "D+2"
