@@ -7,18 +7,21 @@ one diagonal join into the longest match. Suffixes whose leading words don't all
 so they are left out before the sort. Documents stay whole in one task: there is no shuffle, and hot passages cost one
 range each.
 
-The benchmark is used in blocks of at most BLOCK_BYTES; one block at a time is collected and broadcast, and with more
-than one block each pass is written to the shared folder, so its size isn't bounded by the driver.
+The benchmark is used in blocks of at most BLOCK_BYTES; one block at a time is collected and broadcast. With more than one
+block each pass reads the texts alone and writes the documents' hits, of documents that have any; they are put together
+and joined to the documents once, so texts are never rewritten and no size is bounded by the driver.
 
 Words: lower-cased A-Z, then runs of digits, a-z and characters from U+0080. Nulls and texts without words have no
-words, no hits, no items. Repeated rows are matched each. An empty benchmark leaves everything clean; an empty table
-gives no rows. Other columns pass through; null item_ids take part as the string "null".
+words, no hits, no items. Very long texts are a shard of their own. Repeated rows are matched each. Windows that tie (in several
+items) count for all of them. An empty benchmark leaves everything clean; an empty table
+gives no rows. Other columns pass through, whatever their names; null item_ids take part as the string "null".
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, split_by_keys
 from .tokens import ragged_gather
 
 WINDOW = 10
@@ -144,7 +147,7 @@ def _pass(state: DataFrame, items: list[tuple[str, str]], window: int, row: T.St
                 if i > first and (t is None or held + len(t) > SHARD_BYTES):
                     for k, (n, got, where, longest) in enumerate(suffixes.search(texts[first:i]), first):
                         words.append(n)
-                        if got:
+                        if got or hits[k]:
                             hits[k] = _union(hits[k] + got)
                             items[k] = items[k] + [suffixes.item_ids[x] for x in where]
                             matches[k] = matches[k] + [dict(zip(_MATCH, (suffixes.item_ids[x[0]], *x[1:]), strict=True)) for x in longest]
@@ -167,17 +170,28 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     items = items.where("t is not null")
     size = items.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    state = docs.select(
-        F.struct(*docs.columns).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"),
-        F.array().cast("array<string>").alias("items"), F.array().cast(MATCHES).alias("matches"),
-    )
-    row = state.schema["row"].dataType
+    nothing = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"), F.array().cast(MATCHES).alias("matches")]
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    if blocks == 1:
+        state = docs.select(every, *nothing)
+        return _pass(state, [(r.i, r.t) for r in items.collect()], window, state.schema["row"].dataType)
+    text = F.col("text").cast("string")
+    keys = [F.xxhash64(F.lit(n), "doc_id", text).alias(f"k{n}") for n in (1, 2)]  # rows with the same keys have the same hits
+    parts = []
     for k in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        state = _pass(state, [(r.i, r.t) for r in mine.collect()], window, row)
-        if blocks > 1:
-            state = saved(state, f"block-{k}")
-    return state
+        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        state = docs.select(F.struct(text.alias("text"), *keys).alias("row"), *nothing)
+        found = _pass(state, [(r.i, r.t) for r in mine.collect()], window, state.schema["row"].dataType).where(F.size("hits") > 0)
+        parts.append(saved(found.select("row.k1", "row.k2", "hits", "items", "matches").dropDuplicates(["k1", "k2"]), f"block-{k}"))
+    hits = reduce(DataFrame.unionByName, parts).groupBy(F.col("k1").alias("of"), F.col("k2").alias("of2"))
+    hits = saved(hits.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches"))), "hits")  # a document's own
+    whole = docs.select(every, *keys)
+    near, far = split_by_keys(whole, F.col("k1"), hits, F.col("of"))
+    joined = near.join(hits.hint("merge"), (F.col("k1") == F.col("of")) & (F.col("k2") == F.col("of2")), "left")
+    state = joined.select("row", nothing[0], *(F.coalesce(c, e).alias(c) for c, e in zip(("hits", "items", "matches"), nothing[1:], strict=True)))
+    if far is not None:
+        state = state.unionByName(far.select("row", *nothing))
+    return _pass(state, [], window, state.schema["row"].dataType)  # counts words and joins intervals
 
 
 def report(found: DataFrame) -> DataFrame:

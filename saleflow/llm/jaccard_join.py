@@ -13,7 +13,8 @@
    sizes allow a link is a task.
 4. The links' components are the groups.
 
-Sets are compared by 64-bit shingle hashes. Nulls and texts without words have no shingles and link with nothing; rows
+Sets are compared by 64-bit shingle hashes. Very long texts are one set each; a block's bytes are bounded by BLOCK_SHINGLES but
+for one set of its own. Ties: the least doc_id names a group and stays. Nulls and texts without words have no shingles and link with nothing; rows
 with a null doc_id link with nothing and have a null component_id. Repeated rows are in one class. Empty table: no rows. Other columns are ignored.
 """
 

@@ -6,8 +6,8 @@ falling length, each into the tightest open window that holds it. A segment tree
 that window in log2(capacity) steps. A group of 20,000 pieces wastes well under a hundredth of its windows, so more
 groups (more input) cost no density.
 
-Nulls: a null text counts as empty (one piece with the end id alone); a null doc_id stays null. Repeated rows are
-packed each. Empty table: no rows. Other columns of the input are ignored.
+Very long texts are many full pieces, dealt like others. Ties of length go by doc_id, then start. Nulls: a null text counts as empty (one piece with the end id alone); a null doc_id stays null. Repeated rows are
+packed each. Empty table: no rows. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

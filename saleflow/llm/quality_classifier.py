@@ -5,7 +5,8 @@ trees level by level from gradient histograms over at most BINS quantile bins, w
 most TRAIN_ROWS labelled documents. `Forest` keeps all trees in flat arrays (feature, threshold, left, value), and scores
 rows by walking all rows down a tree at once.
 
-Nulls and empty texts have all-zero statistics and get the score of such a row. Without labels, or with labels of one kind,
+Very long texts are described whole, in a slice of their own. Ties: of equal gains the first feature and the lowest cut win;
+training documents are taken by id hash, then id. Other columns, whatever their names, are ignored. Nulls and empty texts have all-zero statistics and get the score of such a row. Without labels, or with labels of one kind,
 every score is the smoothed share of label 1. Repeated rows are scored each; empty tables give no rows; labels, lang,
 source and doc_id are no inputs of a score.
 """
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +74,11 @@ def _features(texts: pa.Array) -> np.ndarray:
     doc = np.repeat(np.arange(len(n)), n)
     same = np.append(False, (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) if len(codes) else codes
     triples = np.zeros(len(codes), np.int64)
-    if len(codes) > 2:
-        triples[:-2] = (codes[:-2] * 1_000_003 + codes[1:-1] * 8191 + codes[2:]) & 0xFFFFFFFF
+    if len(codes) > 2:  # of the words' own hashes, so that a text's score doesn't depend on its neighbours
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))[codes]
+        with np.errstate(over="ignore"):
+            mixed = (own[:-2] * np.uint64(0x9E3779B97F4A7C15) + own[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + own[2:]
+        triples[:-2] = (mixed >> np.uint64(32)).astype(np.int64)
     windows, _ = _distinct(triples, ends)
     lines = pc.split_pattern(texts, "\n")
     line = lines.flatten().dictionary_encode()

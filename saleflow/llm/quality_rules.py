@@ -8,7 +8,8 @@ binomial (Clopper-Pearson) test rejects "more than `risk` / rules of good docume
 With probability 1 - `error`, no stratum then loses more than `risk` of its good documents. Where no cutoff can be
 certified (few labels, an unknown stratum) the rule rejects nothing there.
 
-Nulls: a null text has no words and fails the base rules; a null lang is the stratum ''. Documents without a label only
+Very long texts: all steps are n log n; texts of more windows than PLACE_BITS can number skip the hashes and compare all
+windows. Ties: a document at a cutoff stays. Nulls: a null text has no words and fails the base rules; a null lang is the stratum ''. Documents without a label only
 get a verdict. Repeated labels of one document count once (its lowest quality). Empty tables: no rows, or no cutoffs.
 Columns of `documents` other than doc_id, text and lang are ignored by `score` and kept by `keep`.
 """

@@ -8,7 +8,10 @@ with punctuation or other blanks inside is followed in the chain by its parts, a
 and a run of a script without blanks by its pairs of characters, so toxic passages count wherever they stand. Scoring runs forward-backward over every whole text; words of
 marginal 0.5 or more are the offending ones, and a logistic layer over the marginals (highest, expected count) gives the score.
 
-Training uses at most TRAIN_ROWS labelled documents of each label; the logistic layer weighs them back to all labels. Nulls, empty texts and texts without words have no marginals and
+Training uses at most TRAIN_ROWS labelled documents of each label, of at most TRAIN_BYTES together, and of their segments
+(SEGMENT words) those with a marked word and one in PLAIN_SHARE of the others, weighted; both bound the fit, not what is scored. The
+logistic layer weighs the documents back to all labels. Very long texts are scored whole. Ties: documents are taken by id hash,
+then id; equal scores stay equal. Other columns, whatever their names, are ignored. Nulls, empty texts and texts without words have no marginals and
 get the lowest score of the logistic layer. Without toxic labels every score is the smoothed share of toxic labels. Repeated rows
 are scored each; an empty table gives no rows; labels, lang, source and doc_id are no inputs of a score.
 """
@@ -32,6 +35,10 @@ from .tokens import ragged_gather, text_slices
 
 #: Training documents by label: all the memory and time of a fit depend on.
 TRAIN_ROWS = {1: 1500, 0: 3000}
+#: Bytes of their texts together, for each label.
+TRAIN_BYTES = 16 << 20
+#: Of the segments without a marked word one in so many is trained on, with that weight.
+PLAIN_SHARE = 8
 DIM, WIDTH, STARTS, TAIL = 1 << 20, 16, (3, 4, 5, 6), 3
 LEAST_G, LEAST_SHARE, SEGMENT, STEPS = 20.0, 0.8, 48, 60
 EDGES = ".,!?;:\"'()[]{}#$%&*|-_<>"
@@ -209,11 +216,11 @@ def fit(texts: pa.Array, y: np.ndarray, totals: dict[int, int] | None = None) ->
     # chains of SEGMENT words, padded; words of all training documents take part
     size = np.diff(w.offsets)
     pieces = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)] or [[]]).astype(np.int64)
-    # a segment without a tag of a clean document teaches what its neighbours teach: one in eight of those stays
+    # a segment without a tag teaches what its neighbours teach: one in PLAIN_SHARE of those stays
     has = np.add.reduceat(tags.astype(np.int64), pieces) > 0
-    keep = has | (np.arange(len(pieces)) % 8 == 0)
+    keep = has | (np.arange(len(pieces)) % PLAIN_SHARE == 0)
     stop = np.minimum(pieces + SEGMENT, w.offsets[1:][doc[pieces]])
-    weight = np.where(has, 1.0, 8.0)[keep]
+    weight = np.where(has, 1.0, PLAIN_SHARE)[keep]
     pieces, stop = pieces[keep], stop[keep]
     at = np.minimum(pieces[:, None] + np.arange(SEGMENT), len(w.codes) - 1)
     real = pieces[:, None] + np.arange(SEGMENT) < stop[:, None]
@@ -295,7 +302,7 @@ TAGGED = "doc_id long, score double, predicted int, toxic_words array<int>"
 def tag(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, limits: dict[int, int] | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted and toxic_words (places of words of marginal 0.5 or more)."""
     usable = fold(F.col("doc_id"), folds) != held
-    kinds = [training_rows(docs, labels.where(F.col(label) == k), label, usable, n) for k, n in (limits or TRAIN_ROWS).items()]
+    kinds = [training_rows(docs, labels.where(F.col(label) == k), label, usable, n, TRAIN_BYTES) for k, n in (limits or TRAIN_ROWS).items()]
     rows = kinds[0].unionByName(kinds[1]).select("text", "y").toArrow()
     totals = {r[0]: r[1] for r in labels.where(usable & F.col(label).isNotNull()).groupBy(label).count().collect()}
     model = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].combine_chunks(), rows["y"].to_numpy(), totals))

@@ -78,3 +78,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 50: -3, 60: -3, 55: -3, -3: -3}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_without_key_filters_and_with_hot_shingles(docs, monkeypatch):
+    """The same rows where all texts are shuffled, and where shingles of over two classes are stars by broadcast."""
+    from saleflow.llm import common
+
+    want = sorted(map(str, j.groups(docs, 5, 80).collect()))
+    kept = sorted(map(str, j.keep_one(docs, 5, 80).collect()))
+    monkeypatch.setattr(common, "FILTER_BYTES", 0)
+    monkeypatch.setattr(j, "BUCKET", 2)
+    monkeypatch.setattr(j, "HOT_ROWS", 2)
+    monkeypatch.setattr(j, "HOT_SHARE", 0.0)
+    assert sorted(map(str, j.groups(docs, 5, 80).collect())) == want
+    assert sorted(map(str, j.keep_one(docs, 5, 80).collect())) == kept

@@ -64,3 +64,15 @@ def test_no_labels_and_empty(spark, docs, no_docs):
     assert q.score(docs, none).where("kept <> (not base_failed)").count() == 0
     assert q.score(no_docs, none).count() == 0
     assert q.keep(docs, none).columns == docs.columns
+
+
+def test_texts_of_too_many_windows_for_the_hashes(docs, rows, monkeypatch):
+    monkeypatch.setattr(q, "PLACE_BITS", 5)  # 31 windows
+    got = q.with_statistics(docs, False).collect()
+    assert Counter(r.n_repeat_words for r in got) == Counter(brute(t)[4] for _, t in rows)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 20, "en", 1, 2, "x", "y")], "doc_id long, text string, lang string, n_words long, kept long, row string, stratum string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert q.keep(docs.withColumn("text", F.lit(" ".join(f"w{i}" for i in range(60)))), none).columns == docs.columns

@@ -101,3 +101,56 @@ def test_toxic_passages_in_texts_without_ascii_blanks(blank, bad):
     w = t.words_of(pa.array(texts[300:]))
     p = crf.marginals(crf.emissions(w), w.offsets)
     assert ((crf.scores(p, w.offsets) >= 0.5) == y[300:]).mean() > 0.95
+
+
+def test_trees_equal_a_naive_walk_and_split():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.normal(size=400), r.integers(0, 5, 400), r.normal(size=400)])
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] == 2) ^ (r.random(400) < 0.05)).astype(float)
+    f = q.fit(x, y)
+
+    def walk(row):
+        total = f.base
+        for node in f.roots:
+            while f.left[node] != node:
+                node = f.left[node] + (row[f.feature[node]] > f.threshold[node])
+            total += f.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(f.score(x), [walk(row) for row in x])
+    assert ((f.score(x) >= 0.5) == (y == 1)).mean() > 0.9
+    # the first split has the greatest gain of all features and cuts
+    p = 1 / (1 + np.exp(-f.base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + q.L2)
+    cuts = [(k, c) for k in range(3) for c in np.unique(np.quantile(x[:, k], np.linspace(0, 1, q.BINS + 1)[1:-1], method="lower"))]
+    gain = lambda k, c: score(x[:, k] <= c) + score(x[:, k] > c)
+    enough = [(k, c) for k, c in cuts if min(h[x[:, k] <= c].sum(), h[x[:, k] > c].sum()) >= q.LEAST * 0.05]
+    best = max(gain(k, c) for k, c in enough)
+    root = f.roots[0]
+    assert np.isclose(gain(f.feature[root], f.threshold[root]), best)
+
+
+def test_features_of_a_long_text_equal_those_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array([prose(1, 30_000), None, "", prose(2, 50)])
+    want = q.features(texts)
+    monkeypatch.setattr(q, "text_slices", lambda t: ((i, 1) for i in range(len(t))))
+    assert np.allclose(q.features(texts), want) and len(want) == 4 and not want[1:3].any()
+
+
+def test_training_texts_are_bounded_in_bytes(table):
+    from pyspark.sql import functions as F
+
+    from saleflow.llm.labelled import training_rows
+
+    docs, labels = table
+    every = training_rows(docs, labels, "toxic", F.lit(True), 100).collect()
+    some = training_rows(docs, labels, "toxic", F.lit(True), 100, 20_000).collect()
+    size = lambda rows: sum(len(r.text.encode()) for r in rows)
+    assert 0 < len(some) < len(every) == 100 and size(some) <= 20_000 < size(every)
+    assert {r.doc_id for r in some} <= {r.doc_id for r in every}
