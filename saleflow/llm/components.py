@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _star(directed: DataFrame, large: bool) -> DataFrame:
@@ -40,5 +40,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = (got.n, got.x)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v"))
         large = _star(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True)
+        before = now
         now = saved(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False), "edges")
+        forget(before)
     raise RuntimeError(f"components didn't settle in {rounds} rounds")

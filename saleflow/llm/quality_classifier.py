@@ -78,7 +78,7 @@ def _features(texts: pa.Array) -> np.ndarray:
         own = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))[codes]
         with np.errstate(over="ignore"):
             mixed = (own[:-2] * np.uint64(0x9E3779B97F4A7C15) + own[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + own[2:]
-        triples[:-2] = (mixed >> np.uint64(32)).astype(np.int64)
+        triples[:-2] = np.where(doc[2:] == doc[:-2], mixed >> np.uint64(32), np.uint64(0)).astype(np.int64)
     windows, _ = _distinct(triples, ends)
     lines = pc.split_pattern(texts, "\n")
     line = lines.flatten().dictionary_encode()

@@ -161,7 +161,9 @@ def colliding(table: DataFrame) -> DataFrame:
     banded = table.select("doc_id", "first", "end", "key", F.explode("bands").alias("band"))
     seen = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
     shared = saved(seen.where("low < top").select(F.col("band").alias("of")), "bands")
-    return saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding")
+    found = saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding")
+    forget(shared)
+    return found
 
 
 def _connected(sets: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, int]]:
@@ -252,9 +254,8 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
     return tasks.mapInArrow(compare, "a long, b long").distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """Per paragraph that goes: doc_id, first and end word, and the doc_id that keeps it (`source`)."""
-    table = unit_table(docs)
+def removals(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Per paragraph of `unit_table` that goes: doc_id, first and end word, and the doc_id that keeps it (`source`)."""
     collided = colliding(table)
     keys = saved(collided.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "keys")
     named = keys.join(components(similar(docs, collided)).hint("merge"), F.col("key") == F.col("node"), "left")
@@ -278,18 +279,27 @@ def _spans(parts: list[dict]) -> tuple[list[tuple[int, int]], set[int]]:
     return [(a, b) for a, b, _ in spans], set().union(*(s for *_, s in spans))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Per document: `row` (its columns), text (what stays), n_words, n_removed (words), sources (doc_ids that keep them)."""
-    parts = removals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end", "source")).alias("parts"))
+def dedup(docs: DataFrame, classes: bool = True) -> DataFrame:
+    """Per document: `row` (its columns), text (what stays), n_words, n_removed (words), sources (doc_ids that keep them) and,
+    if asked for, class_id (null for documents alone in theirs). Texts are shuffled once, those that lose or lend something."""
+    table = unit_table(docs)
+    parts = removals(docs, table).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end", "source")).alias("parts"))
     parts = saved(parts.withColumnRenamed("doc_id", "of"), "parts")  # a document's own paragraphs
+    forget(table)
+    if classes:
+        named = components(parts.select(F.col("of").alias("a"), F.explode("parts.source").alias("b")))
+        both = parts.join(named.hint("merge"), F.col("of") == F.col("node"), "full_outer")
+        parts = saved(both.select(F.coalesce("of", "node").alias("of"), "parts", F.col("component").alias("class_id")), "parts")
+    else:
+        parts = parts.withColumn("class_id", F.lit(None).cast("long"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     near, far = split_by_keys(whole, F.col("row.doc_id").cast("long"), parts, F.col("of"))  # documents that surely lose nothing aren't shuffled
-    state = near.join(parts.hint("merge"), F.col("row.doc_id") == F.col("of"), "left").select("row", "parts")
+    state = near.join(parts.hint("merge"), F.col("row.doc_id") == F.col("of"), "left").select("row", "parts", "class_id")
     if far is not None:
-        state = state.unionByName(far.select("row", F.lit(None).cast(parts.schema["parts"].dataType).alias("parts")))
+        state = state.unionByName(far.select("row", *(F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in ("parts", "class_id"))))
     row = state.schema["row"].dataType
     at = row.fieldNames().index("text")
-    found = "text string, n_words long, n_removed long, sources array<bigint>"
+    found = "text string, n_words long, n_removed long, sources array<bigint>, class_id long"
     schema = T.StructType([T.StructField("row", row), *T._parse_datatype_string(found).fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,21 +322,19 @@ def dedup(docs: DataFrame) -> DataFrame:
                 n_removed.append(gone)
                 sources.append(sorted(from_) if gone else [])
             columns = [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sources, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], schema.fieldNames())
 
     return state.mapInArrow(cut, schema)
 
 
 def report(found: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id, n_words, n_removed, sources and the text that stays."""
-    found = saved(found.select("row.doc_id", "text", "n_words", "n_removed", "sources"), "deduplicated")
-    clusters = components(found.select(F.col("doc_id").alias("a"), F.explode("sources").alias("b")))
-    out = found.join(clusters, found["doc_id"] == clusters["node"], "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "n_words", "n_removed", "sources", "text")
+    doc_id = F.col("row.doc_id").alias("doc_id")
+    return found.select(doc_id, F.coalesce("class_id", "row.doc_id").alias("class_id"), "n_words", "n_removed", "sources", "text")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what stays of their texts (and its length as n_chars); those of which no word stays go."""
-    found = dedup(docs).where("n_removed = 0 or n_removed < n_words")
+    found = dedup(docs, classes=False).where("n_removed = 0 or n_removed < n_words")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None}
     return found.select(*((new[c] if c in new else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
