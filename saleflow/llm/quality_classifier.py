@@ -6,7 +6,7 @@ most TRAIN_ROWS labelled documents. `Forest` keeps all trees in flat arrays (fea
 rows by walking all rows down a tree at once.
 
 Very long texts are described whole, in a slice of their own. Ties: of equal gains the first feature and the lowest cut win;
-training documents are taken by id hash, then id. Other columns, whatever their names, are ignored. Nulls and empty texts have all-zero statistics and get the score of such a row. Without labels, or with labels of one kind,
+training documents are taken by id hash, then id. Other columns, whatever their names, are ignored. Nulls and empty texts have the same statistics and score. Without labels, or with labels of one kind,
 every score is the smoothed share of label 1. Repeated rows are scored each; empty tables give no rows; labels, lang,
 source and doc_id are no inputs of a score.
 """

@@ -43,6 +43,8 @@ from .shingles import _mix, shingle_hashes, word_hashes
 from .tokens import text_slices
 
 K, PERCENT, LINE_WORDS, WINDOW, SPREAD, RECALL = 5, 80, 20, 20, 20, 0.99
+#: UTF-8 bytes of text handled at once; a longer text is handled alone.
+SLICE_BYTES = 3 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -141,7 +143,7 @@ def units(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 def unit_table(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n in text_slices(batch.column(1)):
+            for start, n in text_slices(batch.column(1), SLICE_BYTES):
                 ids = batch.column(0).slice(start, n)
                 with np.errstate(over="ignore"):
                     for row, first, end, keys, bands in units(batch.column(1).slice(start, n)):
@@ -206,7 +208,7 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*columns, pa.array([x[5] for x in out], pa.list_(pa.int64()))], names)
 
         for batch in batches:
-            for start, n in text_slices(batch.column(0)):
+            for start, n in text_slices(batch.column(0), SLICE_BYTES):
                 part = batch.slice(start, n)
                 words, _, _, offsets = _lines(part.column(0))
                 out, held = [], 0
