@@ -66,7 +66,8 @@ def to_properties(scan: DataFrame, order: list[str], row: str = "row", coordinat
 
     Each text is taken from the row once: they pass a generator, which keeps later expressions from being pushed into it.
     """
-    r = F.col(row)
+    scan = scan.select(F.inline(F.array(F.struct(F.col(row).alias("_row")))), *order)  # a parsed row isn't parsed again
+    r = F.col("_row")
     texts = F.struct(*(_key(r, *keys.split()).alias(name) for name, keys in LISTING_KEYS.items()))
     raw = scan.select(F.inline(F.array(texts)), F.to_json(r).alias("search_row"), *order).where("court_code is not null and case_no is not null")
     c, item = F.col, sc.to_int(F.col("item"))
