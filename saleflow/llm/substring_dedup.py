@@ -212,8 +212,8 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
                 part = batch.slice(start, n)
                 words, _, _, offsets = _lines(part.column(0))
                 out, held = [], 0
-                for at, end, mine in zip(offsets[:-1], offsets[1:], part.column(1).to_pylist(), strict=True):
-                    for x in mine:
+                for at, end, mine in zip(offsets[:-1], offsets[1:], part.column(1), strict=True):
+                    for x in mine.as_py():  # one document's at a time
                         if x["end"] > end - at:  # of another row with this doc_id
                             continue
                         windows = shingle_hashes(words[at + x["first"] : at + x["end"]], K)
@@ -281,6 +281,21 @@ def _spans(parts: list[dict]) -> tuple[list[tuple[int, int]], set[int]]:
     return [(a, b) for a, b, _ in spans], set().union(*(s for *_, s in spans))
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the words of the (rising, disjoint) spans, and how many these are."""
+    out, last, gone = [], 0, 0
+    words = enumerate(_WORD.finditer(text))
+    for a, b in spans:
+        for i, word in words:
+            if i == a:
+                out.append(text[last : word.start()])
+            if i >= a:
+                last, gone = word.end(), gone + 1
+            if i == b - 1:
+                break
+    return "".join([*out, text[last:]]), gone
+
+
 def dedup(docs: DataFrame, classes: bool = True) -> DataFrame:
     """Per document: `row` (its columns), text (what stays), n_words, n_removed (words), sources (doc_ids that keep them) and,
     if asked for, class_id (null for documents alone in theirs). Texts are shuffled once, those that lose or lend something."""
@@ -306,25 +321,19 @@ def dedup(docs: DataFrame, classes: bool = True) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_words, n_removed, sources = [], [], [], []
-            for text, mine in zip(batch.column(0).field(at).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans, from_ = _spans(mine or [])
-                words = [m.span() for m in _WORD.finditer(text)] if spans and text else None
-                gone = 0
-                if words is not None:
-                    out, last = [], 0
-                    for a, b in spans:
-                        b = min(b, len(words))
-                        if a < b:
-                            out.append(text[last : words[a][0]])
-                            last, gone = words[b - 1][1], gone + b - a
-                    text = "".join([*out, text[last:]])
-                texts.append(text)
-                n_words.append(len(words) if words is not None else len(_WORD.findall(text or "")))
-                n_removed.append(gone)
-                sources.append(sorted(from_) if gone else [])
-            columns = [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sources, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], schema.fieldNames())
+            for start, n in text_slices(batch.column(0).field(at), SLICE_BYTES):
+                part = batch.slice(start, n)
+                before = part.column(0).field(at)
+                texts, n_removed, sources = [], [], []
+                for text, mine in zip(before.to_pylist(), part.column(1).to_pylist(), strict=True):
+                    spans, from_ = _spans(mine or [])
+                    text, gone = _without(text, spans) if spans and text else (text, 0)
+                    texts.append(text)
+                    n_removed.append(gone)
+                    sources.append(sorted(from_) if gone else [])
+                n_words = pc.count_substring_regex(pc.fill_null(before, ""), _WORD.pattern).cast(pa.int64())
+                columns = [pa.array(texts, pa.string()), n_words, pa.array(n_removed, pa.int64()), pa.array(sources, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2)], schema.fieldNames())
 
     return state.mapInArrow(cut, schema)
 
