@@ -29,6 +29,22 @@ e as (select a, b from l union select b, a from l),
 reach as (select doc_id as a, doc_id as b from d union select r.a, e.b from reach r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m as component_id from d left join n using (doc_id) join (select a, min(b) as m from reach group by 1) on a = d.doc_id"""
 
+OP12 = f"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {WORD}) as w from documents),
+f as (select part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+ regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] as x,
+ coalesce(doc_id in (select doc_id from labels where quality = 1), false) as good, coalesce(doc_id in (select doc_id from labels where toxic = 1), false) as toxic from d),
+g as (select part, x, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from f group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 3, 4, 5]) as i),
+o as (select l1.c || l2.c || l3.c || l4.c || l5.c as filter_order, [l1.i, l2.i, l3.i, l4.i, l5.i] as s from l l1, l l2, l l3, l l4, l l5 where len(list_distinct([l1.i, l2.i, l3.i, l4.i, l5.i])) = 5),
+st as (select filter_order, s, unnest([1, 2, 3, 4, 5]) as step from o),
+r as (select part, filter_order, step, s[step] as i, n, n_good, n_toxic, x[s[step]] as own, len(list_filter(s[1:step - 1], lambda j : x[j])) > 0 as before, len(list_filter(x, lambda y : y)) as fails from g, st),
+a as (select part, filter_order, cast(step as integer) as step, i, coalesce(sum(n) filter (not own and not before), 0) as kept, coalesce(sum(n) filter (own and not before), 0) as removed,
+ coalesce(sum(n) filter (own and before), 0) as redundant, coalesce(sum(n) filter (own and fails = 1), 0) as unique_fails,
+ coalesce(sum(n_good) filter (own and not before), 0) as good_lost, coalesce(sum(n_toxic) filter (own and not before), 0) as toxic_lost from r group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+ cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, i) as bigint) as shapley from a"""
+
 
 def op2() -> str:
     rates = {
@@ -62,4 +78,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op3_decontamination": OP3, "op6_jaccard_join": OP6}
+    return {"op2_quality_rules": op2(), "op3_decontamination": OP3, "op6_jaccard_join": OP6, "op12_filter_audit": OP12}
