@@ -45,6 +45,23 @@ a as (select part, filter_order, cast(step as integer) as step, i, coalesce(sum(
 select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, i) as bigint) as shapley from a"""
 
+OP11 = f"""
+with recursive tab as (select list_transform(range(256), lambda i : list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, x : xor(c >> 1, (c & 1) * 3988292384), i)) as tab),
+r as (select cast(doc_id as string) as d, unnest(regexp_extract_all({LOWER}, '[A-Za-zÀ-ÿ]+')) as w from documents),
+o as (select d, w, count(*) as n, hex(encode(concat(d, ':', w))) as x from r where length(w) >= 7 group by d, w),
+h as (select w, n, xor(4294967295, list_reduce(list_transform(range(0, length(x) // 2), lambda i : cast('0x' || substr(x, 2 * i + 1, 2) as bigint)),
+ lambda c, b : xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) as h from o, tab),
+e as (select case when h % 31 = 0 then concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) else w end as w, n from h),
+v as (select w, cast(sum(n) as bigint) as n from e where length(w) >= 7 group by 1 having sum(n) >= 2),
+p as (select w, n, unnest(range(1, length(w) + 1)) as i from v),
+cut as (select w, n, i, concat(substr(w, 1, i - 1), substr(w, i + 1)) as k from p),
+m as (select a.w, b.w as near, b.n from cut a join cut b on a.i = b.i and a.k = b.k and a.w <> b.w
+ union select c.w, v.w, v.n from cut c join v on c.k = v.w union select v.w, c.w, c.n from cut c join v on c.k = v.w),
+b as (select w, count(*) as n_near, arg_min(near, {{'a': -n, 'b': near}}) as near, max(n) as near_n from (select distinct w, near, n from m) group by 1),
+f as (select v.w as word, case when near_n >= 10 * v.n then near end as form, v.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * v.n then near_n end as form_n from v left join b using (w)),
+path as (select word, word as root, 0 as k from f union all select path.word, f.form, k + 1 from path join f on f.word = path.root where f.form is not null)
+select word, form, root, n, n_near, form_n from f join (select word, arg_max(root, k) as root from path group by 1) using (word)"""
+
 
 def op2() -> str:
     rates = {
@@ -78,4 +95,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op3_decontamination": OP3, "op6_jaccard_join": OP6, "op12_filter_audit": OP12}
+    return {"op2_quality_rules": op2(), "op3_decontamination": OP3, "op6_jaccard_join": OP6, "op11_spelling_variants": OP11, "op12_filter_audit": OP12}
