@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .windows import dedupe_last
 
 
-#: Columns that a listing loses when it comes back from deletion.
-BACK = ("sold", "sold_amount", "sold_date", "final_result")
+#: Columns that a listing loses when it comes back from deletion, and signals whose change asks for a detail refresh.
+BACK = ("sold", "sold_amount", "sold_date", "final_result", "finalized_at")
+REFRESH_ON = ("fail_count", "sale_date", "sale_decision_date", "status_cd")
 
 
 def changed_signals(signals: list[str], old: str = "o", new: str = "n") -> Column:
@@ -18,36 +19,42 @@ def changed_signals(signals: list[str], old: str = "o", new: str = "n") -> Colum
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def apply_scan(state: DataFrame, scan: DataFrame, key: str, signals: list[str], order: list[str], seen: Column, refresh_on: tuple[str, ...] = ("fail_count", "sale_date", "sale_decision_date", "status")) -> tuple[DataFrame, DataFrame]:
-    """(new state, history). The scan is last-wins per key; one full outer join on the key does the rest.
-
-    New and changed rows take the scan's values where they aren't null; rows with unchanged signals keep all their columns;
-    both get `last_seen`, the first also `last_synced` (if the state has it). Rows that come back from deletion lose
-    deleted_at and the columns of BACK; changes of a signal in `refresh_on` set `refresh`. Changed rows alone write history.
-    """
+def merged_rows(state: DataFrame, last: DataFrame, key: str, signals: list[str], seen: Column, refresh_on: tuple[str, ...] = REFRESH_ON) -> DataFrame:
+    """The new state after a scan with a row for each key, by one full outer join. Further columns: _new, _back (came back
+    from deletion), and, for changed rows alone, _changed (signal names), _previous and _now (JSON of the signals)."""
     special = [c for c in (*BACK, "last_synced", "refresh") if c in state.columns]
     values = [c for c in state.columns if c not in (key, "last_seen", "deleted_at", *special)]
-    last = dedupe_last(scan, [key], order)
     o = state.select(F.col(key).alias("ok"), F.struct(*state.columns).alias("o"))
     n = last.select(F.col(key).alias("nk"), F.struct(*last.columns).alias("n"))
     both = o.join(n, F.col("ok") == F.col("nk"), "full_outer").withColumn("changed", changed_signals(signals))
     new, here = F.col("o").isNull(), F.col("n").isNotNull()
+    told = ~new & here & (F.size("changed") > 0)
     take = here & (new | (F.size("changed") > 0))
-    merged = both.select(
-        F.coalesce("ok", "nk").alias(key),
-        *(F.when(take, F.coalesce(f"n.{c}", f"o.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in last.columns else F.col(f"o.{c}").alias(c) for c in values),
-        F.when(here, seen).otherwise(F.col("o.last_seen")).alias("last_seen"),
-        F.when(here, F.lit(None)).otherwise(F.col("o.deleted_at")).alias("deleted_at"),
-        *(F.when(~(here & F.col("o.deleted_at").isNotNull()), F.col(f"o.{c}")).alias(c) for c in special if c in BACK),
-        *(F.when(take, seen).otherwise(F.col("o.last_synced")).alias(c) for c in special if c == "last_synced"),
-        *(F.when(take & ~new & F.arrays_overlap("changed", F.array(*map(F.lit, refresh_on))), True).otherwise(F.col("o.refresh")).alias(c) for c in special if c == "refresh"),
-    ).select(*state.columns)
-    history = both.where(~new & here & (F.size("changed") > 0)).select(
-        F.col("ok").alias(key), seen.alias("observed_at"), "changed",
-        F.to_json(F.struct(*(F.col(f"o.{c}").alias(c) for c in signals))).alias("previous"),
-        F.to_json(F.struct(*(F.col(f"n.{c}").alias(c) for c in signals))).alias("now"),
-    )
-    return merged, history
+    columns = {
+        key: F.coalesce("ok", "nk"),
+        **{c: F.when(take, F.coalesce(f"n.{c}", f"o.{c}")).otherwise(F.col(f"o.{c}")) if c in last.columns else F.col(f"o.{c}") for c in values},
+        "last_seen": F.when(here, seen).otherwise(F.col("o.last_seen")),
+        "deleted_at": F.when(here, F.lit(None)).otherwise(F.col("o.deleted_at")),
+        **{c: F.when(~(here & F.col("o.deleted_at").isNotNull()), F.col(f"o.{c}")) for c in special if c in BACK},
+        **{c: F.when(take, seen).otherwise(F.col("o.last_synced")) for c in special if c == "last_synced"},
+        **{c: F.when(take & ~new & F.arrays_overlap("changed", F.array(*map(F.lit, refresh_on))), True).otherwise(F.col("o.refresh")) for c in special if c == "refresh"},
+    }
+    side = lambda x: F.when(told, F.to_json(F.struct(*(F.col(f"{x}.{c}").alias(c) for c in signals))))
+    more = {"_new": new, "_back": F.when(here & F.col("o.deleted_at").isNotNull(), True), "_changed": F.when(told, F.col("changed")), "_previous": side("o"), "_now": side("n")}
+    return both.select(*(columns[c].alias(c) for c in state.columns), *(v.alias(k) for k, v in more.items()))
+
+
+def apply_scan(state: DataFrame, scan: DataFrame, key: str, signals: list[str], order: list[str], seen: Column, refresh_on: tuple[str, ...] = REFRESH_ON) -> tuple[DataFrame, DataFrame]:
+    """(new state, history). The scan is last-wins per key; one full outer join on the key does the rest.
+
+    New and changed rows take the scan's values where they aren't null; rows with unchanged signals keep all their columns;
+    both get `last_seen`, the first also `last_synced` (if the state has it). Rows that come back from deletion lose
+    deleted_at and the columns of BACK; changes of a signal in `refresh_on` set `refresh`. Changed rows alone write history.
+    """
+    merged = merged_rows(state, dedupe_last(scan, [key], order), key, signals, seen, refresh_on)
+    history = merged.where("_changed is not null")
+    history = history.select(key, seen.alias("observed_at"), F.col("_changed").alias("changed"), F.col("_previous").alias("previous"), F.col("_now").alias("now"))
+    return merged.select(*state.columns), history
 
 
 def close_aged(state: DataFrame, runs: DataFrame, since: Column, as_of: Column, dry_run: bool = False) -> DataFrame:

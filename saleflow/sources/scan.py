@@ -11,6 +11,8 @@ from saleflow.functions import katec
 from saleflow.functions import scalars as sc
 from saleflow.operators.windows import dedupe_last
 
+from . import commits
+
 RESULTS = "dlt_srchResult"
 
 
@@ -165,23 +167,30 @@ def load_masters(lines: DataFrame, order: str, column: str = "value") -> dict[st
     return out
 
 
-def write_snapshot(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
-    """Write a new version folder, then a pointer row that names it: readers see a version once it is whole.
+def write_snapshot(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None, from_commit: int | None = None) -> str:
+    """Write a new version folder, then a commit that names it: readers see a version once it is whole.
 
     A job never overwrites what it reads; a version that was written already is written again in a folder of its own.
+    With `from_commit` (the number that `commits.latest` gave) a writer that was overtaken gets a Conflict; without it
+    the snapshot goes on top of whatever was committed meanwhile.
     """
-    spark = df.sparkSession
+    spark, root = df.sparkSession, root.rstrip("/")
     name = f"version={version}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root.rstrip('/')}/{name}")
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(name).alias("folder"), F.current_timestamp().alias("written_at"))
-    pointer.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/pointers")
-    return f"{root.rstrip('/')}/{name}"
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}")
+    while True:
+        number, table = commits.latest(spark, root)
+        if from_commit is not None and number != from_commit:
+            raise commits.Conflict(f"{root}: read as {from_commit}, now {number}")
+        try:
+            commits.commit(spark, root, number + 1, {"last": version, "folders": table.get("folders", {}) | {version: name}})
+            return f"{root}/{name}"
+        except commits.Conflict:
+            if from_commit is not None:
+                raise
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    """The version's newest folder, or without a version the one written last."""
-    pointers = spark.read.parquet(f"{root.rstrip('/')}/pointers")
-    mine = pointers if version is None else pointers.where(F.col("version") == version)
-    folder = mine.orderBy(F.col("written_at").desc(), F.col("folder")).select("folder").first().folder
-    return spark.read.parquet(f"{root.rstrip('/')}/{folder}")
+    """The version's newest folder, or without a version the one committed last."""
+    table = commits.latest(spark, root)[1]
+    return spark.read.parquet(f"{root.rstrip('/')}/{table['folders'][version or table['last']]}")

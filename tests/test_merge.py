@@ -1,11 +1,11 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from saleflow.operators import estimate, merge, windows
-from saleflow.sources import scan
-from saleflow.streaming.scan_stream import scan_stream
+from saleflow.sources import commits, scan
 
 STATE = "id long, price long, status string, note string, last_seen string, deleted_at string"
 SCAN = "id long, n long, price long, status string"
@@ -26,19 +26,6 @@ def test_merge_rules(spark):
     assert none.count() == 0 and {r.id: tuple(r)[1:] for r in again.collect()} == got
 
 
-def test_stream_is_the_same_merge_and_safe_to_repeat(spark, tmp_path):
-    root = f"file://{tmp_path}"
-    scan.write_snapshot(spark.createDataFrame([(1, 10, "a", "n", "t0", None)], STATE), f"{root}/state", "0")
-    spark.createDataFrame([(1, 1, 12, "a"), (2, 1, 20, "b")], SCAN).coalesce(1).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(SCAN).parquet(f"{root}/in")
-    for _ in range(2):
-        q = scan_stream(stream, f"{root}/state", "id", ["price", "status"], ["n"], f"{root}/checkpoint", lambda b: f"batch {b}")
-        q.awaitTermination(120)
-    rows = {r.id: (r.price, r.last_seen) for r in scan.read_snapshot(spark, f"{root}/state", "1").collect()}
-    assert rows == {1: (12, "batch 0"), 2: (20, "batch 0")}
-    assert spark.read.parquet(f"{root}/state/history/batch=0").count() == 1
-
-
 def test_closing_needs_a_complete_scan(spark):
     state = spark.createDataFrame([(1, 1, "a", "n", "t1", None), (2, 1, "a", "n", "t3", None)], STATE)
     for run, want in ((("search", True, "t2"), {1: "t9", 2: None}), (("search", False, "t2"), {1: None, 2: None}), (("search", True, "t1"), {1: None, 2: None}), (("photos", True, "t3"), {1: None, 2: None})):
@@ -48,19 +35,22 @@ def test_closing_needs_a_complete_scan(spark):
 
 
 def test_returning_rows_lose_what_deletion_gave(spark):
-    schema = STATE + ", sold boolean, sold_amount long, last_synced string, refresh boolean"
-    state = spark.createDataFrame([(1, 10, "a", "n", "t1", "gone", True, 5, "t0", None), (2, 10, "a", "n", "t1", None, None, None, "t0", None)], schema)
-    rows = spark.createDataFrame([(1, 1, 10, "a"), (2, 1, 10, "b")], SCAN)
-    new, _ = merge.apply_scan(state, rows, "id", ["price", "status"], ["n"], F.lit("t2"))
-    got = {r.id: (r.deleted_at, r.sold, r.sold_amount, r.last_synced, r.refresh) for r in new.collect()}
-    assert new.columns == state.columns and got == {1: (None, None, None, "t0", None), 2: (None, None, None, "t2", True)}
+    schema = STATE.replace("status", "status_cd") + ", sold boolean, sold_amount long, finalized_at string, last_synced string, refresh boolean"
+    state = spark.createDataFrame([(1, 10, "a", "n", "t1", "gone", True, 5, "t1", "t0", None), (2, 10, "a", "n", "t1", None, None, None, None, "t0", None), (3, 10, "a", "n", "t1", None, True, 7, "t1", "t0", None)], schema)
+    rows = spark.createDataFrame([(1, 1, 10, "a"), (2, 1, 10, "b"), (3, 1, 11, "a")], SCAN.replace("status", "status_cd"))
+    new, _ = merge.apply_scan(state, rows, "id", ["price", "status_cd"], ["n"], F.lit("t2"))
+    got = {r.id: (r.deleted_at, r.sold, r.sold_amount, r.finalized_at, r.last_synced, r.refresh) for r in new.collect()}
+    assert new.columns == state.columns and got == {1: (None, None, None, None, "t0", None), 2: (None, None, None, None, "t2", True), 3: (None, True, 7, "t1", "t2", None)}
 
 
 def test_a_version_is_seen_once_it_is_whole(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     for n in (1, 2):
         scan.write_snapshot(spark.range(n), root, "v")
-    scan.write_snapshot(spark.range(5), root, "w")
+    number = commits.latest(spark, root)[0]
+    scan.write_snapshot(spark.range(5), root, "w", from_commit=number)
+    with pytest.raises(commits.Conflict):
+        scan.write_snapshot(spark.range(6), root, "x", from_commit=number)
     assert scan.read_snapshot(spark, root, "v").count() == 2 and scan.read_snapshot(spark, root).count() == 5
 
 
