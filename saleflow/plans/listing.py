@@ -417,18 +417,6 @@ SCAN = """, old as (select user_id, status, price, strftime(seen_at, '%Y-%m-%d')
  qualify row_number() over (partition by user_id order by seen_at desc, event_id desc) = 1)"""
 
 
-@query(
-    "i2_apply_scan",
-    SCAN + """ select coalesce(o.user_id, n.user_id) as user_id, case when n.user_id is not null and (o.user_id is null or n.status <> o.status or n.price is distinct from o.price) then coalesce(n.status, o.status) else o.status end as status,
- case when n.user_id is not null and (o.user_id is null or n.status <> o.status or n.price is distinct from o.price) then coalesce(n.price, o.price) else o.price end as price,
- case when n.user_id is not null then '2024-02-01' else o.last_seen end as last_seen, case when n.user_id is null then o.deleted_at end as deleted_at from old o full join new n on o.user_id = n.user_id""",
-    "scan",
-)
-def _(t):
-    state, scan = _scan_state(t)
-    return merge.apply_scan(state, scan, "user_id", ["status", "price"], ["seen_at", "event_id"], F.lit("2024-02-01"))[0]
-
-
 @query(
     "i2_scan_history",
     SCAN + " select o.user_id, concat_ws(',', case when n.status <> o.status then 'status' end, case when n.price <> o.price then 'price' end) as changed from old o join new n on o.user_id = n.user_id where n.status <> o.status or n.price <> o.price",

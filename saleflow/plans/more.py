@@ -11,7 +11,6 @@ from saleflow.functions import katec, rules
 from saleflow.functions import scalars as sc
 from saleflow.operators import details, filters, joins, merge, reports, stats
 from saleflow.sources import cards, scan
-from saleflow.streaming.scan_stream import scan_stream
 
 from .listing import ORACLES, QUERIES, REGION, VISIBLE, query, text
 from .shaping import AS_OF, oracle, shape
@@ -496,23 +495,6 @@ def _(t):
     return empty.unionByName(every).select("docid", F.array_join("flags", ",").alias("flags"), F.coalesce("changed", lit(False)).alias("changed"))
 
 
-def i10_scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files, merged batch by batch into versioned state."""
-    root = _folder(spark, "stream")
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    start = shape(spark, sf_dir, "scan").limit(0).select("user_id", c("status"), "price", lit("").alias("last_seen"), lit("").alias("deleted_at"))
-    scan.write_snapshot(start, f"{root}/state", "0")
-    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = rows.select("user_id", c("event_type").alias("status"), F.floor(c("value") * 100).cast("bigint").alias("price"), c("ts").cast("timestamp").alias("seen_at"), "event_id")
-    run = scan_stream(rows, f"{root}/state", "user_id", ["status", "price"], ["seen_at", "event_id"], f"{root}/checkpoint", lambda b: "now")
-    run.awaitTermination()
-    return scan.read_snapshot(spark, f"{root}/state").select("user_id", "status", "price", "last_seen")
-
-
-QUERIES["i10_scan_stream"] = i10_scan_stream
-ORACLES["i10_scan_stream"] = oracle("select user_id, status, price, 'now' as last_seen from scan qualify row_number() over (partition by user_id order by seen_at desc, event_id desc) = 1", "scan")
-
-
 @query("i11_geocodes", "select docid, case when o_orderkey % 2 = 0 and lng is not null and o_orderkey % 3 = 0 then 'new ' || docid when o_orderkey % 2 = 1 then road_addr end as road_addr from props", "props")
 def _(t):
     rows = t("props").withColumn("road_addr", F.when(c("o_orderkey") % 2 == 1, c("road_addr")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saleflow.operators import model
-from saleflow.plans.more import ORACLES, QUERIES
+from saleflow.plans.tables import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
