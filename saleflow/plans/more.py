@@ -115,36 +115,56 @@ def _(t):
     return got.select("docid", F.when(c("seq") == 7, 2).otherwise(1).alias("place"), "seq", "kind", "description", "n_bytes", "ok", "storage_path")
 
 
-CARD_HTML = """<div class="bit__searchResult"><p class="my-2">%s</p><a onclick="tranPropertyDetail('%s','%s')">x</a><p>売却基準価額 %s円</p><p>保証金 %s円</p></div>"""
+CARD_HTML = """<div class="bit__searchResult"><p class="my-2">%s</p><span class="badge"> %s</span><p>東京地方裁判所立川支部 %s</p><img class="bit__searchResult_img" src="%s"><a onclick="tranPropertyDetail('%s','%s')">x</a>
+<p>売却基準価額</p><p>note</p><p>%s円</p><div>買受申出保証金 %s円</div><div><i class="bit__icon_access"></i>%s</div><div class="bit__result_kakakuContainer"><div class="bit__text_small">線 %s駅</div></div>
+<div class="bit__multiHeadTable_th">公示開始日</div><div class="bit__multiHeadTable_th">閲覧開始日 *</div><div class="bit__multiHeadTable_td">%s</div><div class="bit__multiHeadTable_th">入札期間</div><div class="bit__multiHeadTable_td">%s〜%s</div>
+<div class="bit__multiHeadTable_th">開札期日</div><p>-</p><div class="bit__multiHeadTable_td">%s</div></div>"""
+
+
+def _era(day):
+    return F.concat(lit("平成"), (F.year(day) - 1988).cast("string"), lit("年"), F.month(day).cast("string"), lit("月"), F.dayofmonth(day).cast("string"), lit("日"))
 
 
 @query(
     "a9_listing_cards",
-    "select sale_unit_id, court_id, case status_text when '期間入札' then 'period_bid' when '特別売却' then 'special_sale' when '売却中止' then 'aborted' end as status, standard_price, deposit from jp where standard_price is not null",
+    """select sale_unit_id, court_id, case_no, cast(regexp_extract(case_no, '第([0-9]+)号', 1) as int) as number, case when case_no is not null then '東京地方裁判所立川支部' end as court_name, trim(sale_cls_label) as sale_cls_label,
+ case status_text when '期間入札' then 'period_bid' when '特別売却' then 'special_sale' when '売却中止' then 'aborted' end as status, photo_url, replace(address, '　', ' ') as address, '線 ' || (o_orderkey % 70) || '駅' as transit, standard_price, deposit,
+ cast(null as string) as notice_start, cast(fetched_on as string) as view_start, cast(fetched_on as string) as bid_start, cast(fetched_on + 7 as string) as bid_end, cast(null as string) as open_date from jp where standard_price is not null""",
     "jp",
 )
 def _(t):
-    html = F.format_string(CARD_HTML, "status_text", "sale_unit_id", "court_id", F.format_number("standard_price", 0), F.format_number("deposit", 0))
+    text_of = lambda x: F.coalesce(c(x), lit(""))
+    day, end = _era(c("fetched_on")), _era(F.date_add("fetched_on", 7))
+    values = ["status_text", text_of("sale_cls_label"), text_of("case_no"), text_of("photo_url"), "sale_unit_id", "court_id", F.format_number("standard_price", 0), F.format_number("deposit", 0), "address", (c("o_orderkey") % 70).cast("string")]
+    html = F.format_string(CARD_HTML, *values, day, day, end, end)
     both = t("jp").where("standard_price is not null").select(c("o_orderkey").alias("page_id"), F.concat(html, html).alias("html"))  # a listing twice on its page counts once
     got = cards.with_typed(cards.parse_listing_cards(both))
-    return got.select("sale_unit_id", "court_id", "status", "standard_price", "deposit")
+    dates = [text(x) for x in ("notice_start", "view_start", "bid_start", "bid_end", "open_date")]
+    return got.select("sale_unit_id", "court_id", "case_no", "case_parts.number", "court_name", "sale_cls_label", "status", "photo_url", "address", "transit", "standard_price", "deposit", *dates)
 
 
-DETAIL_HTML = """<div class="bit__syousai_text_kakaku_container"><p>売却基準価額</p><p>%s円</p><p>買受申出保証金</p><p>%s円</p></div><div class="bit__paragraphBreaksTable"><div class="bit__paragraphBreaksTable_th">床面積（登記）</div>
+DETAIL_HTML = """<p class="bit__text_big col-12 d-sm-inline">東京地方裁判所 %s</p><div class="bit__syousai_text_kakaku_container"><p>売却基準価額</p><p>%s円</p><p>買受可能価額</p><p>買受申出保証金</p><p>%s円</p></div>
+<div class="bit__multiHeadTable_th">公示開始日</div><div class="bit__multiHeadTable_th">閲覧開始日</div><div class="bit__multiHeadTable_td">%s</div><div class="bit__multiHeadTable_th">特別売却期間</div><div class="bit__multiHeadTable_td">%s～</div>
+<p class="bit__text_big">1．土地</p><div class="bit__paragraphBreaksTable"><div class="bit__paragraphBreaksTable_th">床面積（登記）</div>
 <div class="bit__paragraphBreaksTable_td">%s.5m 2</div></div><input id="latitude" value="35.5"><input id="longitude" value="%s"><img class="bit__image" src="%s">"""
 
 
 @query(
     "a10_detail_pages",
-    "select o_orderkey as page_id, standard_price as price, deposit, cast(o_orderkey % 90 as double) + 0.5 as area, cast(130 + o_orderkey % 10 as double) as longitude, case when photo_url like '/data/image/%' then 1 else 0 end as photos from jp where standard_price is not null",
+    """select o_orderkey as page_id, case_no, case when case_no is not null then '東京地方裁判所' end as court_name, standard_price as price, cast(null as bigint) as purchase_price, deposit, cast(null as string) as notice_start,
+ cast(fetched_on as string) as view_start, cast(fetched_on as string) as special_start, cast(null as string) as special_end, '1．土地' as head, cast(o_orderkey % 90 as double) + 0.5 as area, cast(130 + o_orderkey % 10 as double) as longitude,
+ case when photo_url like '/data/image/%' then 1 else 0 end as photos from jp where standard_price is not null""",
     "jp",
 )
 def _(t):
-    k = c("o_orderkey")
-    html = F.format_string(DETAIL_HTML, F.format_number("standard_price", 0), F.format_number("deposit", 0), (k % 90).cast("string"), (130 + k % 10).cast("string"), F.coalesce("photo_url", lit("")))
-    got = cards.parse_detail_pages(t("jp").where("standard_price is not null").select(k.alias("page_id"), html.alias("html")))
-    price = lambda n: sc.jp_price(F.try_element_at("prices", lit(n)))
-    return got.select("page_id", price("standard_price").alias("price"), price("deposit").alias("deposit"), details.jp_area_m2(c("fields")).alias("area"), "longitude", F.size("photos").alias("photos"))
+    k, day = c("o_orderkey"), _era(c("fetched_on"))
+    html = F.format_string(DETAIL_HTML, F.coalesce("case_no", lit("")), F.format_number("standard_price", 0), F.format_number("deposit", 0), day, day, (k % 90).cast("string"), (130 + k % 10).cast("string"), F.coalesce("photo_url", lit("")))
+    got = cards.detail_typed(cards.parse_detail_pages(t("jp").where("standard_price is not null").select(k.alias("page_id"), html.alias("html"))))
+    dates = [text(x) for x in ("notice_start", "view_start", "special_start", "special_end")]
+    return got.select(
+        "page_id", "case_no", "court_name", c("standard_price").alias("price"), "purchase_price", "deposit", *dates, F.get("heads", lit(0)).alias("head"), details.jp_area_m2(c("fields")).alias("area"), "longitude",
+        F.size("photos").alias("photos"),
+    )
 
 
 # --- rows and scalars

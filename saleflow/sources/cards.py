@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,11 +16,24 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Class names and labels of the site.
 CARD, TH, TD = "bit__searchResult", "bit__multiHeadTable_th", "bit__multiHeadTable_td"
 FIELD_TABLE, PRICES, IMAGE = "bit__paragraphBreaksTable", "bit__syousai_text_kakaku_container", "bit__image"
+CARD_IMAGE, ACCESS, CARD_PRICES, SMALL, TITLE, HEAD = "bit__searchResult_img", "bit__icon_access", "bit__result_kakakuContainer", "bit__text_small", "bit__text_big", "bit__text_big"
 PRICE_LABELS = {"売却基準価額": "standard_price", "買受申出保証金": "deposit", "買受可能価額": "purchase_price"}
+CARD_PRICE_LABELS = {"売却基準価額": "standard_price", "保証金": "deposit", "買受可能価額": "purchase_price"}
+DATE_LABELS = {"公示開始日": "notice_start", "閲覧開始日": "view_start", "入札期間": "bid_period", "開札期日": "open_date", "売却決定期日": "decision_date", "特別売却期間": "special_period"}
 STATUSES = ("期間入札", "特別売却", "特別売却期間", "売却中止")
+SALE_CLASSES = {"土地": "1", "戸建て": "2", "マンション": "3", "その他": "4"}
+TRANSIT = ("駅", "バス", "ｋｍ", "km")
 _DETAIL = re.compile(r"tranPropertyDetail\(\s*['\"]?([^'\",\s)]+)['\"]?\s*,\s*['\"]?([^'\",\s)]+)")
-CARDS = "page_id long, sale_unit_id string, court_id string, status_text string, photo_url string, labels map<string,string>, prices array<string>"
-DETAIL = "page_id long, prices map<string,string>, dates map<string,string>, fields array<map<string,string>>, photos array<string>, latitude double, longitude double, has_pdf boolean"
+_CASE = re.compile(r"(?:令和|平成)\s*(?:\d+|元)年\s*[(（][^)）]+[)）]\s*第\s*\d+\s*号")
+_PRICE = re.compile(r"[\d,]*\d[\d,]*(?:万[\d,]*)?\s*円")
+CARDS = (
+    "page_id long, sale_unit_id string, court_id string, case_no string, court_name string, sale_cls_label string, status_text string, photo_url string, address string, transit string, "
+    "labels map<string,string>, prices map<string,string>"
+)
+DETAIL = (
+    "page_id long, case_no string, court_name string, prices map<string,string>, dates map<string,string>, fields array<map<string,string>>, heads array<string>, photos array<string>, "
+    "latitude double, longitude double, has_pdf boolean"
+)
 
 
 class Node:
@@ -69,73 +82,126 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def pairs(node: Node, th: str, td: str) -> dict[str, str]:
-    return {a.text(): b.text() for a, b in zip(node.of(th), node.of(td), strict=False) if a.text() and b.text()}
+def after(node: Node) -> Node | None:
+    """The element that follows a node under its parent."""
+    found = False
+    for x in node.parent.children if node.parent else ():
+        if found and isinstance(x, Node):
+            return x
+        found = found or x is node
+    return None
 
 
-def cards_of(page: str) -> list[dict]:
-    out, seen = [], set()
-    for a in Tree(page).root.walk():
-        found = _DETAIL.search(a.attrs.get("onclick") or "") if a.name == "a" else None
-        if not found or found[1] in seen:
-            continue
-        seen.add(found[1])
-        card: Node | None = a
-        while card is not None and CARD not in card.classes:
-            card = card.parent
-        inside = list(card.walk()) if card else []
-        texts = [n.text() for n in inside if n.name == "p"]
-        photo = next((n.attrs.get("src") for n in inside if n.name == "img" and IMAGE in n.classes), None)
-        out.append(
-            {
-                "sale_unit_id": found[1], "court_id": found[2], "status_text": next((t for t in texts if t in STATUSES), None), "photo_url": photo,
-                "labels": pairs(card, TH, TD) if card else {}, "prices": [t for t in texts if sc_price(t) is not None],
-            }
-        )
+def headed(node: Node, th: str, td: str) -> dict[str, str]:
+    """Head cells and their values: the element right after a head cell, if it is a value cell."""
+    out = {}
+    for head in node.of(th):
+        value = after(head)
+        if value is not None and td in value.classes and head.text() and value.text():
+            out[head.text()] = value.text()
+    return out
+
+
+def priced(texts: Iterable[str], labels: dict[str, str]) -> dict[str, str]:
+    """Prices by label in one pass: a label is open until its first price or the next label."""
+    token = re.compile("|".join([*map(re.escape, labels), f"(?P<price>{_PRICE.pattern})"]))
+    out: dict[str, str] = {}
+    opened = None
+    for m in (m for text in texts for m in token.finditer(text)):
+        if m["price"] is None:
+            opened = labels[m[0]]
+        elif opened:
+            out[opened], opened = m[0], None
     return out
 
 
-def sc_price(text: str) -> int | None:
-    m = re.search(r"([\d,]+)(?:(万)([\d,]*))?\s*円", text)
-    if not m:
-        return None
-    n = int(m[1].replace(",", "") or 0)
-    return n * 10_000 + int((m[3] or "0").replace(",", "") or 0) if m[2] else n
+def court_before(text: str) -> str | None:
+    """The last word with 裁判所 in what stands before a case number."""
+    return next((w for w in reversed(text.split()) if "裁判所" in w), None)
+
+
+def owned(node: Node, card: Node | None = None) -> Iterator[tuple[Node, Node | None]]:
+    """Every element with the innermost card that holds it."""
+    for child in node.children:
+        if isinstance(child, Node):
+            yield child, card
+            yield from owned(child, child if CARD in child.classes else card)
+
+
+def cards_of(page: str) -> list[dict]:
+    """One dict for each listing that the page links to, with what its card says; the first link to a listing counts."""
+    found: dict[str, dict] = {}
+    for node, card in owned(Tree(page).root):
+        link = _DETAIL.search(node.attrs.get("onclick") or "") if node.name == "a" else None
+        if link and link[1] not in found:
+            found[link[1]] = {"sale_unit_id": link[1], "court_id": link[2], **(told(card) if card else EMPTY)}
+    return list(found.values())
+
+
+EMPTY = {k: None for k in ("case_no", "court_name", "sale_cls_label", "status_text", "photo_url", "address", "transit")} | {"labels": {}, "prices": {}}
+
+
+def told(card: Node) -> dict:
+    inside = list(card.walk())
+    whole = card.text()
+    case = _CASE.search(whole)
+    first = lambda xs: next(xs, None)
+    icon = first(n for n in inside if ACCESS in n.classes)
+    lines = [n.text() for n in inside if n.name == "p" or n.name == "div" and not any(isinstance(c, Node) and c.name in ("p", "div") for c in n.children)]
+    boxes = [x for n in inside if CARD_PRICES in n.classes for x in n.walk() if x.name == "div" and SMALL in x.classes]
+    return {
+        "case_no": case[0] if case else None,
+        "court_name": court_before(whole[: case.start()]) if case else None,
+        "sale_cls_label": first(n.text() for n in inside if "badge" in n.classes and n.text() in SALE_CLASSES),
+        "status_text": first(n.text() for n in inside if n.name == "p" and n.text() in STATUSES),
+        "photo_url": first(n.attrs["src"] for n in inside if n.name == "img" and n.attrs.get("src") and n.classes & {IMAGE, CARD_IMAGE}),
+        "address": (icon.parent.text() or None) if icon is not None and icon.parent is not None else None,
+        "transit": first(x.text() for x in boxes if any(w in x.text() for w in TRANSIT)),
+        "labels": headed(card, TH, TD),
+        "prices": priced(lines, CARD_PRICE_LABELS),
+    }
 
 
 def detail_of(page: str) -> dict:
-    """A label takes the first unused price after it and before the next label."""
+    """What a detail page says: prices by label, dates by label, a map of fields for each item, photos, place, case and court."""
     root = Tree(page).root
-    prices: dict[str, str] = {}
-    for box in root.of(PRICES)[:1]:
-        texts, used = [n.text() for n in box.walk() if n.name == "p"], set()
-        for i, label in enumerate(texts):
-            for j in range(i + 1, len(texts)) if label in PRICE_LABELS else ():
-                if texts[j] in PRICE_LABELS:
-                    break
-                if j not in used and sc_price(texts[j]) is not None:
-                    prices[PRICE_LABELS[label]] = texts[j]
-                    used.add(j)
-                    break
-    place = {n.attrs.get("id"): n.attrs.get("value") for n in root.walk() if n.name == "input"}
+    inside = list(root.walk())
+    boxes = root.of(PRICES)[:1]
+    lines = [n.text() for box in boxes for n in box.walk() if n.name == "p"]
+    place = {n.attrs.get("id"): n.attrs.get("value") for n in inside if n.name == "input"}
     try:
         lat, lng = (float(place[k]) if place.get(k) else None for k in ("latitude", "longitude"))
     except ValueError:
         lat = lng = None
-    photos = [n.attrs["src"] for n in root.of(IMAGE) if (n.attrs.get("src") or "").startswith("/data/image/")]
-    fields = [p for t in root.of(FIELD_TABLE) if (p := pairs(t, FIELD_TABLE + "_th", FIELD_TABLE + "_td"))]
-    has_pdf = any(n.attrs.get("id") == "threeSetPDF" for n in root.walk())
-    return {"prices": prices, "dates": pairs(root, TH, TD), "fields": fields, "photos": photos, "latitude": lat, "longitude": lng, "has_pdf": has_pdf}
+    title = next((n.text() for n in inside if {TITLE, "col-12", "d-sm-inline"} <= n.classes), "")
+    case = _CASE.search(title)
+    fields, heads, head = [], [], None
+    for n in inside:
+        if n.name == "p" and HEAD in n.classes:
+            head = n.text()
+        elif FIELD_TABLE in n.classes:
+            cells = zip(n.of(FIELD_TABLE + "_th"), n.of(FIELD_TABLE + "_td"), strict=False)
+            if pairs := {a.text(): b.text() for a, b in cells if a.text() and b.text()}:
+                fields.append(pairs)
+                heads.append(head)
+    return {
+        "case_no": case[0] if case else None, "court_name": (title[: case.start()].strip() or None) if case else None, "prices": priced(lines, PRICE_LABELS),
+        "dates": headed(root, TH, TD), "fields": fields, "heads": heads, "photos": [n.attrs["src"] for n in root.of(IMAGE) if (n.attrs.get("src") or "").startswith("/data/image/")],
+        "latitude": lat, "longitude": lng, "has_pdf": any(n.attrs.get("id") == "threeSetPDF" for n in inside),
+    }
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.replace("map<string,string>", "map").split(", ")]
 
 
 def parse_listing_cards(pages: DataFrame) -> DataFrame:
     """One row per card of `pages` (page_id, html), a listing once per page."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in CARDS.split(", ")[:5]] + ["labels", "prices"]
         for batch in batches:
             rows = [{"page_id": i, **c} for i, h in zip(batch.page_id, batch.html, strict=True) for c in cards_of(h or "")]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=_names(CARDS))
 
     return pages.select("page_id", "html").mapInPandas(parse, CARDS)
 
@@ -143,28 +209,47 @@ def parse_listing_cards(pages: DataFrame) -> DataFrame:
 def parse_detail_pages(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([{"page_id": i, **detail_of(h or "")} for i, h in zip(batch.page_id, batch.html, strict=True)])
+            yield pd.DataFrame([{"page_id": i, **detail_of(h or "")} for i, h in zip(batch.page_id, batch.html, strict=True)], columns=_names(DETAIL))
 
     return pages.select("page_id", "html").mapInPandas(parse, DETAIL)
 
 
+def dated(labels: str, exact: bool = True) -> list[Column]:
+    """Dates of a map of labelled texts, and starts and ends of periods; a card's labels may hold more than the name."""
+
+    def value(name: str) -> Column:
+        if exact:
+            return F.try_element_at(labels, F.lit(name))
+        return F.get(F.map_values(F.map_filter(labels, lambda k, v: F.contains(k, F.lit(name)))), F.lit(0))
+
+    out = []
+    for label, name in DATE_LABELS.items():
+        if name.endswith("_period"):
+            halves = F.split(value(label), "[〜～~]")
+            out += [sc.jp_date(F.get(halves, i)).alias(f"{name.removesuffix('_period')}_{side}") for i, side in enumerate(("start", "end"))]
+        else:
+            out.append(sc.jp_date(value(label)).alias(name))
+    return out
+
+
 def with_typed(cards: DataFrame) -> DataFrame:
-    """Dates and first two prices of cards as columns."""
-    label = lambda name: F.try_element_at("labels", F.lit(name))
-    half = lambda name, i: sc.jp_date(F.get(F.split(label(name), "[〜～~]"), i))
-    price = lambda i: sc.jp_price(F.get("prices", i))
+    """Cards with typed status, case parts, prices, dates and photo parts."""
+    price = lambda n: sc.jp_price(F.try_element_at("prices", F.lit(n))).alias(n)
     return cards.select(
-        "page_id", "sale_unit_id", "court_id", sc.jp_status(F.col("status_text")).alias("status"), "photo_url", price(0).alias("standard_price"), price(1).alias("deposit"),
-        sc.jp_date(label("閲覧開始日")).alias("view_start"), half("入札期間", 0).alias("bid_start"), half("入札期間", 1).alias("bid_end"), sc.jp_date(label("開札期日")).alias("open_date"),
+        "page_id", "sale_unit_id", "court_id", "case_no", sc.jp_case_no(F.col("case_no")).alias("case_parts"), "court_name", "sale_cls_label", "status_text",
+        sc.jp_status(F.col("status_text")).alias("status"), "photo_url", sc.jp_photo_url(F.col("photo_url")).alias("photo_parts"), "address", "transit",
+        price("standard_price"), price("deposit"), *dated("labels", exact=False),
     )
 
 
-def card_price_trap(price: Column) -> Column:
-    return price <= 100_000
+def detail_typed(found: DataFrame) -> DataFrame:
+    """Detail pages with typed prices and dates beside the maps."""
+    price = lambda n: sc.jp_price(F.try_element_at("prices", F.lit(n))).alias(n)
+    return found.select("*", *map(price, PRICE_LABELS.values()), *dated("dates"))
 
 
-#: Labels of kinds of property, and their codes.
-SALE_CLASSES = {"土地": "1", "戸建て": "2", "マンション": "3", "その他": "4"}
+def card_price_trap(price: Column) -> Column:
+    return price <= 100_000
 
 
 def to_jp_properties(cards: DataFrame) -> DataFrame:
