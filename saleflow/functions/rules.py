@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import max_area
+from .scalars import max_area_plain
 
 #: Flags of the remark text and their patterns (Unicode classes, newline ends a line).
 TEXT_FLAGS = [
@@ -67,7 +67,7 @@ def risk_flags(
     tests["claim_90"] = (claim != 0) & (appraisal != 0) & (claim.cast("double") / appraisal >= 0.9)
     tests["stopped"] = suspension.isNotNull() & ~suspension.isin("", "00", "000", "0")
     tests["farm_land"], tests["forest_only"] = usage.contains("전답"), usage == "임야"
-    tests["tiny_area"] = max_area(areas) <= 30
+    tests["tiny_area"] = max_area_plain(areas) <= 30
     villa = middle.isin("10101", "10102", "10103", "10104", "10105") | _has(summary, "빌라|다세대|연립")
     years = F.concat(
         F.regexp_extract_all(F.coalesce(summary, F.lit("")), F.lit(r"(19[6-9]\d|20\d{2})\s*년"), F.lit(1)),

@@ -66,6 +66,12 @@ def max_area(text: Column) -> Column:
     return F.array_max(F.transform(found, lambda x: F.regexp_replace(x, ",", "").try_cast("double")))
 
 
+def max_area_plain(text: Column) -> Column:
+    """The flags' form, which knows no thousands separators: of `1,020㎡` it reads 020."""
+    found = F.regexp_extract_all(text, F.lit(r"([0-9.]+)\s*㎡"), F.lit(1))
+    return F.array_max(F.filter(F.transform(found, lambda x: x.try_cast("double")), lambda x: x.isNotNull()))
+
+
 #: Usage names and their deal type, first match wins.
 DEAL_TYPES = [
     ("공장|창고", "indu"),

@@ -219,3 +219,26 @@ def estimate_caveats(method: Column, samples: Column, missing: dict[str, Column]
     low = F.when((method == "region_avg") | (samples < 30), "low_confidence")
     return F.filter(F.array(low, *(F.when(c.isNull(), name) for name, c in missing.items())), lambda x: x.isNotNull())
 
+
+
+def flag_inputs(rows: DataFrame, detail: str = "detail") -> DataFrame:
+    """`rows` with what the flags take from a detail JSON: detail_text (remarks and notes that aren't blank, a line each),
+    special (string values of the sale's terms), suspension, claim, built (years of the buildings) and has_detail.
+
+    The JSON is parsed once, to a VARIANT, and read by path; both steps stand behind generators, so neither is repeated
+    where a column is used often. What isn't an object, list or string where one is expected counts as missing.
+    """
+    known = rows.select("*", F.inline(F.array(F.struct(F.try_parse_json(detail).alias("_v")))))
+    get = lambda path, kind: F.try_variant_get("_v", path, kind)
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    listed = lambda path, inner: F.transform(F.coalesce(get(path, "array<variant>"), F.array().cast("array<variant>")), lambda x: text(F.try_variant_get(x, f"$.{inner}", "variant")))
+    single = [text(get(f"$.{path}", "variant")) for path in ("dspslGdsDxdyInfo.dspslGdsRmk", "dspslGdsDxdyInfo.gdsSpcfcRmk")]
+    case = [text(get(f"$.csBaseInfo.{k}", "variant")) for k in ("rmk", "topRmk")]
+    parts = F.filter(F.concat(F.array(*single), listed("$.aeeWevlMnpntLst", "aeeWevlMnpntCtt"), F.array(*case)), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    terms = F.transform(F.map_values(get("$.dspslGdsDxdyInfo", "map<string,variant>")), text)
+    found = F.struct(
+        F.array_join(parts, "\n").alias("detail_text"), F.array_join(F.array_sort(F.filter(terms, lambda x: x.isNotNull())), " ").alias("special"),
+        F.trim(get("$.csBaseInfo.auctnSuspStatCd", "string")).alias("suspension"), sc.to_int(get("$.csBaseInfo.clmAmt", "string")).alias("claim"),
+        F.array_join(F.filter(listed("$.gdsDspslObjctLst", "bldDtlDts"), lambda x: x.isNotNull()), " ").alias("built"), F.col("_v").isNotNull().alias("has_detail"),
+    )
+    return known.select("*", F.inline(F.array(found))).drop("_v")

@@ -98,16 +98,16 @@ def page_total(df: DataFrame) -> DataFrame:
 
 
 #: Sort mode of Japanese listings: column.
-JP_SORTS = ("standard_price", "purchase_price", "open_date", "bid_end", "prefecture", "fetched_at")
+JP_SORTS = {"sale_unit_id": "sale_unit_id", "sale_cls": "sale_cls", "price": "standard_price", "bid_period": "bid_start", "status": "status", "address": "address_text"}
 
 
-def jp_page(df: DataFrame, column: str, rising: bool, page: int, size: int) -> DataFrame:
-    """One page of Japanese listings, nulls last in both directions, docid breaking ties."""
-    if column not in JP_SORTS:
-        raise ValueError(f"no such sort: {column}")
+def jp_page(df: DataFrame, sort: str | None, rising: bool, page: int, size: int) -> DataFrame:
+    """One page of Japanese listings, nulls last in both directions, sale_unit_id breaking ties; without a known sort mode
+    the earliest bids first."""
+    column, rising = (JP_SORTS[sort], rising) if sort in JP_SORTS else (JP_SORTS["bid_period"], True)
     order = F.col(column).asc_nulls_last() if rising else F.col(column).desc_nulls_last()
     size, page = max(10, min(100, size)), max(1, page)
-    return df.orderBy(order, "docid").offset((page - 1) * size).limit(size)
+    return df.orderBy(order, "sale_unit_id").offset((page - 1) * size).limit(size)
 
 
 #: Sort mode: column and direction.

@@ -64,12 +64,16 @@ def canonicalize_sgg(df: DataFrame, sgg: DataFrame) -> DataFrame:
     return df.join(moved, ["sd_code", "sgg_code"], "left").withColumn("sgg_code", F.coalesce("canonical", "sgg_code")).drop("canonical")
 
 
+#: What a register is looked up by.
+LOT_KEYS = ["sd_code", "sgg_code", "emd_code", "lot_no"]
+
+
 def register_candidates(props: DataFrame, register: DataFrame, as_of: str, limit: int) -> DataFrame:
-    """Active buildings to look up: none with a final answer, none with an error younger than 30 days."""
+    """Active buildings with a whole lot key to look up, by docid: none with a final answer, none with an error younger than 30 days."""
     young = F.col("fetched_on") > F.date_sub(F.lit(as_of).cast("date"), 30)
     done = register.where(F.col("fetch_status").isin("ok", "not_found") | ((F.col("fetch_status") == "error") & young)).select("docid")
-    rows = props.where("deleted_on is null and usage_lcl_cd = '20000' and lot_addr is not null").join(done, "docid", "left_anti")
-    return rows.orderBy(F.col("sale_date").asc_nulls_last(), "docid").limit(limit).select("docid", "sale_date")
+    keyed = props.where("deleted_on is null and usage_lcl_cd = '20000'").dropna(subset=LOT_KEYS)
+    return keyed.join(done, "docid", "left_anti").orderBy("docid").limit(limit).select("docid", *LOT_KEYS)
 
 
 def prior_round_ceiling(props: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -93,3 +97,22 @@ def region_stat_for(props: DataFrame, stats: DataFrame) -> DataFrame:
 def anti_backlog(props: DataFrame, children: DataFrame, only: Column) -> DataFrame:
     """Listings that qualify and have no child row."""
     return props.where(only).join(children.select("docid"), "docid", "left_anti")
+
+
+def photo_backlog(photos: DataFrame, limit: int) -> DataFrame:
+    """Photos that aren't stored yet (no storage_path)."""
+    return photos.where("storage_path is null").orderBy("docid", "seq").limit(limit).select("docid", "seq")
+
+
+def jp_photo_backlog(listings: DataFrame, photos: DataFrame, limit: int) -> DataFrame:
+    """Japanese listings with a photo's address and no photo row, by sale_unit_id."""
+    rows = listings.where("photo_url <> ''").join(photos.select("sale_unit_id"), "sale_unit_id", "left_anti")
+    return rows.orderBy("sale_unit_id").limit(limit).select("sale_unit_id", "photo_url")
+
+
+def rate_note(rate: Column, average: Column) -> Column:
+    """How a listing's rate stands to the regional one: below, above or equal, with whole points; null if either is missing."""
+    points = lambda x: F.round(x, 0).cast("bigint").cast("string")
+    low = F.concat(F.lit("현재 최저가는 평균 매각가율보다 "), points(average - rate), F.lit("%p 낮음 — 잠재 할인"))
+    high = F.concat(F.lit("현재 최저가는 평균 매각가율보다 "), points(rate - average), F.lit("%p 높음 — 가격 매력 약함"))
+    return F.when(rate < average, low).when(rate > average, high).when(rate == average, "평균 수준")

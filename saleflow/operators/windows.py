@@ -25,10 +25,12 @@ def first_by(df: DataFrame, key: str, value: str, order: str, only: Column | Non
     return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
-def regional_cases(props: DataFrame, archive: DataFrame, n: int = 8, enough: int = 3) -> DataFrame:
+def regional_cases(props: DataFrame, archive: DataFrame, n: int = 8, enough: int = 3, by_usage: bool = False, keep_missing: bool = False) -> DataFrame:
     """Per listing the newest `n` sold cases of its neighbourhood, or of its district where there are under `enough`.
 
-    The archive is ranked and cut per area first, so a listing never meets more than `n` rows of each scope.
+    With `by_usage` a listing that has a usage (usage_lcl_cd) meets cases of that usage alone. `keep_missing` gives
+    listings without any case a row of nulls. The archive is ranked and cut per area first, so a listing never meets
+    more than `n` rows of each scope.
     """
     sold = archive.where("sale_amount > 0")
     newest = [F.col("sale_date").desc(), F.col("docid")]
@@ -38,13 +40,20 @@ def regional_cases(props: DataFrame, archive: DataFrame, n: int = 8, enough: int
         ranked = sold.withColumn("rank", F.row_number().over(w.orderBy(*newest))).where(F.col("rank") <= n)
         return ranked.select(*keys, F.col("docid").alias("case_docid"), "sale_amount", "rank", F.lit(scope).alias("scope"))
 
-    near, wide = ["sd_code", "sgg_code", "emd_code"], ["sd_code", "sgg_code"]
-    close = top(near, "emd")
-    full = close.groupBy(*near).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= enough).drop("k")
-    keyed = props.select("docid", *near)
-    first = keyed.join(close.join(full, near), near).select("docid", "case_docid", "sale_amount", "rank", "scope")
-    second = keyed.join(full, near, "left_anti").join(top(wide, "sgg"), wide).select("docid", "case_docid", "sale_amount", "rank", "scope")
-    return first.unionByName(second)
+    def met(rows: DataFrame, more: list[str]) -> DataFrame:
+        near, wide = ["sd_code", "sgg_code", "emd_code", *more], ["sd_code", "sgg_code", *more]
+        close = top(near, "emd")
+        full = close.groupBy(*near).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= enough).drop("k")
+        keyed = rows.select("docid", *near)
+        first = keyed.join(close.join(full, near), near).select("docid", "case_docid", "sale_amount", "rank", "scope")
+        second = keyed.join(full, near, "left_anti").join(top(wide, "sgg"), wide).select("docid", "case_docid", "sale_amount", "rank", "scope")
+        return first.unionByName(second)
+
+    if by_usage:
+        out = met(props.where("usage_lcl_cd is not null"), ["usage_lcl_cd"]).unionByName(met(props.where("usage_lcl_cd is null"), []))
+    else:
+        out = met(props, [])
+    return props.select("docid").join(out, "docid", "left") if keep_missing else out
 
 
 def change_runs(history: DataFrame, key: str, order: list[str], signals: list[str]) -> DataFrame:

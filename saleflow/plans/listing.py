@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saleflow.functions import rules
 from saleflow.functions import scalars as sc
-from saleflow.operators import estimate, filters, joins, merge, model, reports, stats, windows
+from saleflow.operators import details, estimate, filters, joins, merge, model, reports, stats, windows
 from saleflow.sources import scan
 
 from .shaping import AS_OF, AS_OF_YEAR, oracle, shape
@@ -272,12 +272,16 @@ def _(t):
 
 @query(
     "d6_register_candidates",
-    f"""select docid, cast(sale_date as string) as sale_date from props p where deleted_on is null and usage_lcl_cd = '20000' and lot_addr is not null and not exists
- (select 1 from register r where r.docid = p.docid and (fetch_status in ('ok', 'not_found') or fetched_on > date '{AS_OF}' - interval 30 day)) order by p.sale_date nulls last, docid limit 500""",
+    f""", p as (select * exclude (emd_code), case when o_orderkey % 14 <> 0 then emd_code end as emd_code, case when o_orderkey % 9 <> 0 then (o_custkey % 900) || '-' || (o_orderkey % 4) end as lot_no from props)
+ select docid, sd_code, sgg_code, emd_code, lot_no from p where deleted_on is null and usage_lcl_cd = '20000' and emd_code is not null and lot_no is not null and not exists
+ (select 1 from register r where r.docid = p.docid and (fetch_status in ('ok', 'not_found') or fetched_on > date '{AS_OF}' - interval 30 day)) order by docid limit 500""",
     "props", "register",
 )
 def _(t):
-    return joins.register_candidates(t("props"), t("register"), AS_OF, 500).withColumn("sale_date", text("sale_date"))
+    k = F.col("o_orderkey")
+    lot = F.concat((F.col("o_custkey") % 900).cast("string"), F.lit("-"), (k % 4).cast("string"))
+    rows = t("props").withColumn("emd_code", F.when(k % 14 != 0, F.col("emd_code"))).withColumn("lot_no", F.when(k % 9 != 0, lot))
+    return joins.register_candidates(rows, t("register"), AS_OF, 500)
 
 
 @query("d7_backlog", "select docid from props where lng is not null and docid not in (select docid from register)", "props", "register")
@@ -285,6 +289,17 @@ def _(t):
     return joins.anti_backlog(t("props"), t("register"), F.col("lng").isNotNull()).select("docid")
 
 
+@query("d7_photo_backlog", "select docid, seq from rounds_seq where path is null order by docid, seq limit 400".replace("rounds_seq", "(select docid, seq, case when (l_partkey + l_suppkey) % 3 = 0 then docid end as path from (select * from rounds qualify row_number() over (partition by docid, seq order by l_partkey desc, l_suppkey desc, round_price desc, round_date desc) = 1))"), "rounds")
+def _(t):
+    photos = windows.dedupe_last(t("rounds"), ["docid", "seq"], ["l_partkey", "l_suppkey", "round_price", "round_date"])
+    return joins.photo_backlog(photos.withColumn("storage_path", F.when((F.col("l_partkey") + F.col("l_suppkey")) % 3 == 0, F.col("docid"))), 400)
+
+
+@query("d7_jp_photo_backlog", "select sale_unit_id, photo_url from jp where photo_url <> '' and o_orderkey % 5 <> 0 order by sale_unit_id limit 300", "jp")
+def _(t):
+    return joins.jp_photo_backlog(t("jp"), t("jp").where("o_orderkey % 5 = 0"), 300)
+
+
 @query(
     "d10_prior_round_ceiling",
     "select docid, min(round_price) as ceiling from props join rounds using (docid) where round_price > 0 and round_date < sale_date group by 1",
@@ -301,9 +316,18 @@ REGION = """, s as (select sd_code, sgg_code, usage_lcl_cd, count(*) as total_co
  select docid, avg_rate, total_count from props left join big using (sd_code, sgg_code) where props.usage_lcl_cd is null)"""
 
 
-@query("d11_region_stat", REGION + " select * from rs", "props", "results")
+@query(
+    "d11_region_stat",
+    REGION + """, n as (select rs.*, case when o_orderkey % 7 = 0 then avg_rate else round(cast(min_sale_price as double) / appraisal_amount * 100, 2) end as rate from rs join props using (docid))
+ select docid, avg_rate, total_count, case when rate < avg_rate then '현재 최저가는 평균 매각가율보다 ' || cast(round(avg_rate - rate) as bigint) || '%p 낮음 — 잠재 할인'
+ when rate > avg_rate then '현재 최저가는 평균 매각가율보다 ' || cast(round(rate - avg_rate) as bigint) || '%p 높음 — 가격 매력 약함' when rate = avg_rate then '평균 수준' end as note from n""",
+    "props", "results",
+)
 def _(t):
-    return joins.region_stat_for(t("props"), stats.stats_by_region(t("results"), AS_OF))
+    region = joins.region_stat_for(t("props"), stats.stats_by_region(t("results"), AS_OF))
+    own = t("props").select("docid", "o_orderkey", sc.sale_rate_pct(F.col("min_sale_price"), F.col("appraisal_amount")).alias("own"))
+    rate = F.when(F.col("o_orderkey") % 7 == 0, F.col("avg_rate")).otherwise(F.col("own"))
+    return region.join(own, "docid").select("docid", "avg_rate", "total_count", joins.rate_note(rate, F.col("avg_rate")).alias("note"))
 
 
 @query(
@@ -359,6 +383,18 @@ def _(t):
     return windows.regional_cases(t("props"), t("results"))
 
 
+@query(
+    "f4_cases_by_usage",
+    """, sold as (select * from results where sale_amount > 0), x as (select p.docid, p.emd_code, r.docid as case_docid, r.sale_amount, r.sale_date, r.emd_code as other from props p join sold r using (sd_code, sgg_code) where p.usage_lcl_cd is null or p.usage_lcl_cd = r.usage_lcl_cd),
+ k as (select docid, count(*) filter (emd_code = other) as k from x group by 1), y as (select x.*, k >= 3 as close from x join k using (docid) where k < 3 or emd_code = other),
+ z as (select docid, case_docid, sale_amount, cast(row_number() over (partition by docid order by sale_date desc, case_docid) as int) as rank, case when close then 'emd' else 'sgg' end as scope from y)
+ select docid, case_docid, sale_amount, rank, scope from props left join (select * from z where rank <= 8) using (docid)""".replace("from props p join sold", "from (select docid, sd_code, sgg_code, emd_code, usage_lcl_cd from props) p join sold"),
+    "props", "results",
+)
+def _(t):
+    return windows.regional_cases(t("props"), t("results"), by_usage=True, keep_missing=True)
+
+
 @query(
     "f5_change_runs",
     "select event_id, user_id, status, prev_status from (select *, lag(status) over (partition by user_id order by seen_at, event_id) as prev_status, row_number() over (partition by user_id order by seen_at, event_id) as n from scan) where n > 1 and status is distinct from prev_status",
@@ -450,32 +486,35 @@ def _(t):
 
 
 def _flagged(t):
+    """Listings with a detail JSON made of the remarks; some have none, and one in seventeen isn't JSON."""
     c = F.col
-    note = F.struct(F.lit("1").alias("aeeWevlMnpntItmCd"), c("remark").alias("aeeWevlMnpntCtt"))
-    detail = F.to_json(F.struct(
-        F.struct(c("suspension").alias("auctnSuspStatCd"), F.lit(" ").alias("rmk")).alias("csBaseInfo"), F.struct(F.lit("").alias("dspslGdsRmk"), c("terms")).alias("dspslGdsDxdyInfo"),
-        F.array(note).alias("aeeWevlMnpntLst"),
+    known = F.to_json(F.struct(
+        F.struct(c("min_sale_price").cast("string").alias("clmAmt"), c("suspension").alias("auctnSuspStatCd"), F.lit(7).alias("rmk")).alias("csBaseInfo"),
+        F.struct(c("remark").alias("dspslGdsRmk"), c("terms").alias("gdsSpcfcCtt"), F.lit(20).alias("prchDposRate")).alias("dspslGdsDxdyInfo"),
+        F.array(F.struct(F.concat(F.lit("준공 "), "built").alias("bldDtlDts")), F.struct(F.lit(None).cast("string").alias("bldDtlDts"))).alias("gdsDspslObjctLst"),
     ))
-    rows = t("props").join(t("remarks").withColumn("detail", detail), "docid").withColumn("texts", rules.detail_texts(c("detail")))
+    detail = F.when(c("doc_id") % 13 == 12, None).when(c("doc_id") % 17 == 16, "{").otherwise(known)
+    rows = details.flag_inputs(t("props").join(t("remarks"), "docid").withColumn("detail", detail).drop("suspension", "built"))
     flags = rules.risk_flags(
-        c("texts.text"), c("fail_count"), c("texts.special"), c("min_sale_price"), c("appraisal_amount"), F.get_json_object("detail", "$.csBaseInfo.auctnSuspStatCd"), c("usage_nm"),
-        c("conv_addr"), c("usage_mcl_cd"), c("building_summary"), c("built"), AS_OF_YEAR,
+        c("detail_text"), c("fail_count"), c("special"), c("claim"), c("appraisal_amount"), c("suspension"), c("usage_nm"), c("conv_addr"), c("usage_mcl_cd"), c("building_summary"), c("built"), AS_OF_YEAR,
     )
     return rows.withColumn("flags", flags)
 
 
-FLAGS = f""", f as (select p.docid, conv_addr, usage_lcl_cd, list_sort(list_filter([
+FLAGS = f""", f as (select p.docid, conv_addr, usage_lcl_cd, has_detail, list_sort(list_filter([
  case when regexp_matches(remark, '지분|[0-9]+분의\\s*[0-9]+') then 'share_sale' end, case when remark like '%맹지%' then 'maeng_ji' end, case when remark like '%유치권%' then 'yuchi' end,
  case when regexp_matches(remark, '법정\\s*지상권') then 'legal_ground' end, case when regexp_matches(remark, '선순위.{{0,8}}임차|대항력[^\\n]{{0,4}}(있|존재|인정|발생)') then 'senior_tenant' end,
  case when regexp_matches(remark, '(임대관계|점유관계).{{0,6}}미상') then 'rent_unknown' end, case when regexp_matches(remark, '위반건축물|위반 건축물') then 'illegal_bld' end,
- case when remark like '%보전산지%' then 'reserve_forest' end, case when regexp_matches(remark, '파묘|분묘') then 'pamyo' end, case when regexp_matches(remark, '송전선|구분지상권') then 'power_line' end,
+ case when remark like '%보전산지%' then 'reserve_forest' end, case when remark like '%임업용%' then 'forestry_land' end, case when remark like '%농림지역%' then 'agri_zone' end,
+ case when remark like '%자연보전권역%' then 'nat_protect' end, case when regexp_matches(remark, '사도법|(^|[\\s,(])사도($|[\\s,)])') then 'private_road' end, case when remark like '%포락%' then 'pollak' end, case when regexp_matches(remark, '파묘|분묘') then 'pamyo' end, case when regexp_matches(remark, '송전선|구분지상권') then 'power_line' end,
  case when remark like '%제시외%' then 'show_only' end, case when fail_count >= 5 then 'many_fails' end,
  case when regexp_matches(terms, '특별매각|보증금.{{0,4}}20\\s*%') then 'special_20' end, case when suspension = '01' then 'stopped' end,
- case when min_sale_price <> 0 and cast(min_sale_price as double) / appraisal_amount >= 0.9 then 'claim_90' end, case when usage_nm like '%전답%' then 'farm_land' end,
+ case when has_detail and min_sale_price <> 0 and cast(min_sale_price as double) / appraisal_amount >= 0.9 then 'claim_90' end, case when usage_nm like '%전답%' then 'farm_land' end,
  case when usage_nm = '임야' then 'forest_only' end, case when try_cast(regexp_extract(conv_addr, '([0-9.]+)㎡', 1) as double) <= 30 then 'tiny_area' end,
  case when (usage_mcl_cd = '10103' or building_summary like '%빌라%') and (building_summary like '%신축%' or greatest(try_cast(regexp_extract(building_summary, '(19[6-9][0-9]|20[0-9][0-9])\\s*년', 1) as int), try_cast(built as int)) >= {AS_OF_YEAR} - 5) then 'new_villa' end,
  case when regexp_matches(remark, '지분|[0-9]+분의\\s*[0-9]+') and remark like '%맹지%' then 'share_maeng' end], lambda x : x is not null)) as flags
- from props p join remarks r on p.docid = r.docid)"""
+ from props p join (select docid, doc_id, has_detail, case when has_detail then remark end as remark, case when has_detail then terms end as terms, case when has_detail then suspension end as suspension,
+ case when has_detail then built end as built from (select *, doc_id % 13 <> 12 and doc_id % 17 <> 16 as has_detail from remarks)) r on p.docid = r.docid)"""
 
 
 @query("j1_risk_flags", FLAGS + " select docid, array_to_string(flags, ',') as flags from f", "props", "remarks")
@@ -485,19 +524,24 @@ def _(t):
 
 @query(
     "j5_safety_score",
-    FLAGS + """, g as (select f.docid, flags, building_year, case when conv_addr like '%집합건물%' then 'collective' when conv_addr like '%건물%' then 'building' when conv_addr like '%토지%' then 'land'
+    FLAGS + """, g as (select f.docid, flags, has_detail, building_year, case when conv_addr like '%집합건물%' then 'collective' when conv_addr like '%건물%' then 'building' when conv_addr like '%토지%' then 'land'
  when usage_lcl_cd = '10000' then 'land' when usage_lcl_cd = '20000' then 'building' when usage_lcl_cd is not null then 'other' else 'unknown' end as kind,
  coalesce(list_sum(list_transform(flags, lambda x : case x """
     + " ".join(f"when '{k}' then {v}" for k, v in rules.PENALTIES.items())
     + f""" else 0 end)), 0) as penalty from f left join register using (docid)), h as (select *, case kind when 'building' then -3 when 'land' then -5 when 'other' then -6 when 'unknown' then -2 else 0 end as adj,
  case when kind in ('collective', 'building') and {AS_OF_YEAR} - building_year > 40 then -4 when kind in ('collective', 'building') and {AS_OF_YEAR} - building_year > 30 then -2 else 0 end as age from g)
- select docid, cast(greatest(0, least(100, 100 - penalty + adj + age)) as int) as score, case when kind in ('collective', 'building') and building_year is null then 'medium' else 'high' end as confidence, kind from h""",
+ select docid, cast(case when has_detail then greatest(0, least(100, 100 - penalty + adj + age)) else least(65, greatest(0, least(100, 100 - penalty + adj + age))) end as int) as score,
+ case when not has_detail then 'low' when kind in ('collective', 'building') and building_year is null then 'medium' else 'high' end as confidence, kind,
+ array_to_string(list_transform(list_sort(list_transform(flags, lambda x : {{'p': -(case x """
+    + " ".join(f"when '{k}' then {v}" for k, v in rules.PENALTIES.items())
+    + """ end), 'f': x}))[1:6], lambda y : y.f || ':' || (-y.p)), ',') as factors from h""",
     "props", "remarks", "register",
 )
 def _(t):
     rows = _flagged(t).join(t("register").select("docid", "building_year"), "docid", "left")
-    scored = rows.select("docid", rules.safety_score(F.col("flags"), F.col("conv_addr"), F.col("usage_lcl_cd"), F.col("building_year"), F.lit(True), AS_OF_YEAR).alias("s"))
-    return scored.select("docid", F.col("s.score").cast("int").alias("score"), "s.confidence", "s.kind")
+    scored = rows.select("docid", rules.safety_score(F.col("flags"), F.col("conv_addr"), F.col("usage_lcl_cd"), F.col("building_year"), F.col("has_detail"), AS_OF_YEAR).alias("s"))
+    factors = F.array_join(F.transform("s.factors", lambda x: F.concat(x["flag"], F.lit(":"), x["penalty"].cast("string"))), ",")
+    return scored.select("docid", F.col("s.score").cast("int").alias("score"), "s.confidence", "s.kind", factors.alias("factors"))
 
 
 @query(
@@ -611,25 +655,33 @@ def _(t):
     return reports.kr_report(props, rounds, as_of=AS_OF)
 
 
+CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace({v}, '\\b0+([0-9]+)', '\\1', 'g'), '-0+\\b', '', 'g'), '\\s+', ' ', 'g'))"
+
+
 @query(
     "b10_to_properties",
-    """select court_code, case_no, cast(1 as bigint) as item_no, docid, appraisal_amount, min_sale_price, cast(fail_count as bigint) as fail_count, cast(sale_date as string) as sale_date, usage_lcl_cd, usage_nm, sgg_code, conv_addr,
- trim(regexp_replace(regexp_replace(regexp_replace(road_addr, '\\b0+([0-9]+)', '\\1', 'g'), '-0+\\b', '', 'g'), '\\s+', ' ', 'g')) || ' (A, B)' as road_addr from props""",
+    f"""select court_code, case_no, case when o_orderkey % 5 = 0 then cast(3 as bigint) else cast(1 as bigint) end as item_no, docid, appraisal_amount, min_sale_price, min_sale_price + 1 as current_sale_price, cast(fail_count as bigint) as fail_count, cast(sale_date as string) as sale_date,
+ cast(sale_date + 7 as string) as sale_decision_date, case when o_orderkey % 3 = 0 then '02' else 'S' end as status_cd, usage_lcl_cd, usage_mcl_cd, cast(null as string) as usage_scl_cd, usage_nm, sd_code, sgg_code, emd_code, 'R' || o_orderkey % 9 as rd_code, (o_custkey % 90) || '-1' as lot_no,
+ coalesce(conv_addr, 'D ' || docid) as conv_addr, building_summary, (o_orderkey % 700) || '㎡' as area_summary, case when o_orderkey % 4 <> 1 then o_orderkey % 7 end as mokmul_ser, round(cast(min_sale_price as double) / appraisal_amount * 100, 2) as sale_rate_pct,
+ {CLEAN.format(v="road_addr")} || ' (A, B)' as road_addr, nullif({CLEAN.format(v="lot_addr")}, '') as lot_addr, case when lng between 124 and 132 and lat between 33 and 39 then lng end as lng, case when lng between 124 and 132 and lat between 33 and 39 then lat end as lat,
+ docid as raw_docid from props""",
     "props",
 )
 def _(t):
-    c = F.col
+    c, k = F.col, F.col("o_orderkey")
     raw = t("props").select(
         F.to_json(F.struct(
-            c("court_code").alias("boCd"), c("case_no").alias("srnSaNo"), F.lit("0").alias("maemulSer"), c("docid"), F.format_number("appraisal_amount", 0).alias("gamevalAmt"),
-            c("min_sale_price").cast("string").alias("minmaePrice"), c("fail_count").cast("string").alias("yuchalCnt"), F.date_format("sale_date", "yyyyMMdd").alias("maeGiil"),
-            F.coalesce("usage_lcl_cd", F.lit("00000")).alias("lclsUtilCd"), c("usage_nm").alias("dspslUsgNm"), F.lit("").alias("daepyoSiguCd"), c("sgg_code").alias("daepyoSggCd"),
-            c("conv_addr").alias("convAddr"), c("road_addr").alias("bgPlaceRdAllAddr"), F.lit("(A,B)").alias("rdAddrSub"),
-        )).alias("raw"), "o_orderkey",
+            c("court_code").alias("boCd"), c("case_no").alias("srnSaNo"), F.when(k % 5 == 0, "3").otherwise("0").alias("maemulSer"), c("docid"), F.format_number("appraisal_amount", 0).alias("gamevalAmt"),
+            c("min_sale_price").cast("string").alias("minmaePrice"), (c("min_sale_price") + 1).alias("maemaePrice"), c("fail_count").cast("string").alias("yuchalCnt"), F.date_format("sale_date", "yyyyMMdd").alias("maeGiil"),
+            F.date_format(F.date_add("sale_date", 7), "yyyy-MM-dd").alias("maegyuljGiil"), F.when(k % 3 == 0, " 02 ").alias("maemulStatCd"), F.lit("S").alias("statCd"), F.coalesce("usage_lcl_cd", F.lit("00000")).alias("lclsUtilCd"),
+            c("usage_mcl_cd").alias("mclsUtilCd"), F.lit("0").alias("sclsUtilCd"), c("usage_nm").alias("dspslUsgNm"), c("sd_code").alias("daepyoSidoCd"), F.lit("").alias("daepyoSiguCd"), c("sgg_code").alias("daepyoSggCd"),
+            c("emd_code").alias("daepyoEmdCd"), F.concat(F.lit("R"), k % 9).alias("daepyoRdCd"), F.concat(c("o_custkey") % 90, F.lit("-1")).alias("daepyoLotno"), c("conv_addr").alias("convAddr"), F.concat(F.lit("D "), "docid").alias("daepyoAddr"),
+            c("road_addr").alias("bgPlaceRdAllAddr"), F.lit("(A,B)").alias("rdAddrSub"), c("lot_addr").alias("lotAllAddr"), c("building_summary").alias("buldList"), F.concat(k % 700, F.lit("㎡")).alias("areaList"),
+            F.when(k % 4 == 1, "7.5").otherwise((k % 7).cast("string")).alias("mokmulSer"), F.lit("0").alias("xCordi"), F.lit(0).alias("yCordi"), c("lng").alias("wgs84Xcordi"), c("lat").cast("string").alias("wgs84Ycordi"), F.repeat(F.lit("x"), 200).alias("unused"),
+        )).alias("row"), "o_orderkey",
     )
-    rows = raw.select(F.from_json("raw", "map<string,string>").alias("row"), "o_orderkey")
-    props = scan.to_properties(rows, ["o_orderkey"]).withColumn("sale_date", text("sale_date"))
-    return props.select("court_code", "case_no", "item_no", "docid", "appraisal_amount", "min_sale_price", "fail_count", "sale_date", "usage_lcl_cd", "usage_nm", "sgg_code", "conv_addr", "road_addr")
+    props = scan.to_properties(raw, ["o_orderkey"]).withColumn("sale_date", text("sale_date")).withColumn("sale_decision_date", text("sale_decision_date"))
+    return props.withColumn("raw_docid", F.get_json_object("search_row", "$.docid")).drop("search_row")
 
 
 @query(

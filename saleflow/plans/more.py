@@ -415,9 +415,26 @@ def _(t):
     return filters.page_total(filters.filter_listings(t("props"), {"usage_lcl_cd": "20000"}, AS_OF))
 
 
-@query("g1_jp_page", "select sale_unit_id, standard_price from jp order by standard_price desc nulls last, sale_unit_id offset 50 limit 50", "jp")
+JP_SORTED = {"sale_unit_id": "sale_unit_id", "sale_cls": "sale_cls_label", "price": "standard_price", "bid_period": "fetched_on", "status": "status", "address": "address", "none": "fetched_on"}
+
+
+@query(
+    "g1_jp_page",
+    ", z as ("
+    + " union all ".join(
+        f"(select '{m} {d}' as page, sale_unit_id from jp order by {x} {'asc' if m == 'none' else d} nulls last, sale_unit_id offset 50 limit 50)" for m, x in JP_SORTED.items() for d in ("asc", "desc")
+    )
+    + ") select * from z",
+    "jp",
+)
 def _(t):
-    return filters.jp_page(t("jp").withColumn("docid", c("sale_unit_id")), "standard_price", False, 2, 50).select("sale_unit_id", "standard_price")
+    rows = t("jp").select("sale_unit_id", c("sale_cls_label").alias("sale_cls"), "standard_price", c("fetched_on").alias("bid_start"), "status", c("address").alias("address_text"))
+    out = None
+    for m in JP_SORTED:
+        for d in ("asc", "desc"):
+            page = filters.jp_page(rows, m, d == "asc", 2, 50).select(lit(f"{m} {d}").alias("page"), "sale_unit_id")
+            out = page if out is None else out.unionByName(page)
+    return out
 
 
 @query("g2_detail_queue", "select docid from props where deleted_on is null and (o_orderkey % 3 = 0 or o_orderkey % 5 = 0) order by sale_date nulls last, docid limit 200", "props")

@@ -68,9 +68,10 @@ SHAPES = {
         from part""",
     "remarks": """
         select concat('D', cast(doc_id as string)) as docid,
-               concat(case doc_id % 12 when 0 then '유치권 신고 있음 ' when 1 then '지분 매각 맹지 ' when 2 then '법정 지상권 성립 여지 ' when 3 then '대항력 있음 '
+               concat(case doc_id % 18 when 0 then '유치권 신고 있음 ' when 1 then '지분 매각 맹지 ' when 2 then '법정 지상권 성립 여지 ' when 3 then '대항력 있음 '
                       when 4 then '대항력 없음 ' when 5 then '위반건축물 제시외 건물 ' when 6 then '임대관계 미상 보전산지 ' when 7 then '3분의 1 분묘 '
-                      when 8 then '송전선 공실 일괄매각 ' when 9 then '토지별도등기 점유자 없음 ' else '' end, coalesce(text, '')) as remark,
+                      when 8 then '송전선 공실 일괄매각 ' when 9 then '토지별도등기 점유자 없음 '
+                      when 12 then '임업용 산지 ' when 13 then '농림지역 자연보전권역 ' when 14 then '인접 사도 포함 ' when 15 then '포락지 사도법 ' when 16 then '사도가 ' else '' end, coalesce(text, '')) as remark,
                case doc_id % 7 when 0 then '특별매각조건 있음' when 1 then '매수신청보증금 20%' when 2 then '보증금 10%' else cast(null as string) end as terms,
                case doc_id % 9 when 0 then '01' when 1 then '00' when 2 then '' else cast(null as string) end as suspension,
                case doc_id % 5 when 0 then cast(1990 + doc_id % 15 as string) else cast(null as string) end as built, doc_id

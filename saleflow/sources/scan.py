@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from saleflow.functions import katec
 from saleflow.functions import scalars as sc
@@ -58,29 +59,35 @@ LISTING_KEYS = {
     "current": "currentMaemaePrice maemaePrice", "fails": "yuchalCnt", "sale": "maeGiil", "decision": "maegyuljGiil", "status_cd": "maemulStatCd statCd",
     "lcl": "lclsUtilCd", "mcl": "mclsUtilCd", "scl": "sclsUtilCd", "usage_nm": "dspslUsgNm", "sd_code": "daepyoSidoCd", "sgg_code": "daepyoSiguCd daepyoSggCd",
     "emd_code": "daepyoDongCd daepyoEmdCd", "rd_code": "daepyoRdCd", "lot_no": "daepyoLotno", "conv_addr": "convAddr daepyoAddr", "road": "bgPlaceRdAllAddr rdAllAddr",
-    "road_sub": "rdAddrSub", "lot": "bgPlaceLotAllAddr lotAllAddr", "building_summary": "buldList", "area_summary": "areaList", "mokmul_ser": "mokmulSer",
+    "road_sub": "rdAddrSub", "lot": "bgPlaceLotAllAddr lotAllAddr", "building_summary": "buldList", "area_summary": "areaList", "mokmul": "mokmulSer",
     "x": "xCordi", "y": "yCordi", "wgs_x": "wgs84Xcordi", "wgs_y": "wgs84Ycordi",
 }
 
+#: Whole numbers of a listing: text column and name.
+LISTING_NUMBERS = {"appraisal": "appraisal_amount", "minimum": "min_sale_price", "current": "current_sale_price", "fails": "fail_count", "mokmul": "mokmul_ser"}
+
 
 def to_properties(scan: DataFrame, order: list[str], row: str = "row", coordinates: bool = True) -> DataFrame:
     """Typed listings with coordinates and the raw row, last wins on (court_code, case_no, item_no).
 
-    Each text is taken from the row once: they pass a generator, which keeps later expressions from being pushed into it.
+    `row` is a map of strings or, better, the JSON text itself: it is parsed once, into a struct of the keys that are
+    needed. Parsed rows pass a generator, which keeps later expressions from being pushed into the parsing.
     """
-    scan = scan.select(F.inline(F.array(F.struct(F.col(row).alias("_row")))), *order)  # a parsed row isn't parsed again
+    names = dict.fromkeys(k for keys in LISTING_KEYS.values() for k in keys.split())
+    told = isinstance(scan.schema[row].dataType, StringType)
+    parsed = F.from_json(row, ", ".join(f"{k} string" for k in names)) if told else F.col(row)
+    scan = scan.select(F.inline(F.array(F.struct(parsed.alias("_row"), (F.col(row) if told else F.to_json(row)).alias("search_row")))), *order)
     r = F.col("_row")
-    texts = F.struct(*(_key(r, *keys.split()).alias(name) for name, keys in LISTING_KEYS.items()))
-    raw = scan.select(F.inline(F.array(texts)), F.to_json(r).alias("search_row"), *order).where("court_code is not null and case_no is not null")
+    key = (lambda r, *keys: sc.clean_str(F.coalesce(*(sc.truthy(r[k]) for k in keys)))) if told else _key
+    texts = F.struct(*(key(r, *keys.split()).alias(name) for name, keys in LISTING_KEYS.items()))
+    raw = scan.select(F.inline(F.array(texts)), "search_row", *order).where("court_code is not null and case_no is not null")
     c, item = F.col, sc.to_int(F.col("item"))
     keys = ["court_code", "case_no", "item_no"]
     raw = dedupe_last(raw.withColumn("item_no", F.when(item != 0, item).otherwise(1)), keys, order)
-    same = ["docid", "status_cd", "usage_nm", "sd_code", "sgg_code", "emd_code", "rd_code", "lot_no", "conv_addr", "building_summary", "area_summary", "mokmul_ser"]
+    same = ["docid", "status_cd", "usage_nm", "sd_code", "sgg_code", "emd_code", "rd_code", "lot_no", "conv_addr", "building_summary", "area_summary"]
     typed = raw.select(
-        *keys, *same, sc.to_int(c("appraisal")).alias("appraisal_amount"), sc.to_int(c("minimum")).alias("min_sale_price"), sc.to_int(c("current")).alias("current_sale_price"),
-        sc.to_int(c("fails")).alias("fail_count"), sc.to_date8(c("sale")).alias("sale_date"), sc.to_date8(c("decision")).alias("sale_decision_date"),
-        sc.usage_code(c("lcl")).alias("usage_lcl_cd"), sc.usage_code(c("mcl")).alias("usage_mcl_cd"), sc.usage_code(c("scl")).alias("usage_scl_cd"),
-        sc.road_addr(c("road"), c("road_sub")).alias("road_addr"), sc.clean_addr(c("lot")).alias("lot_addr"), "search_row",
+        *keys, *same, *(sc.to_int(c(a)).alias(b) for a, b in LISTING_NUMBERS.items()), sc.to_date8(c("sale")).alias("sale_date"), sc.to_date8(c("decision")).alias("sale_decision_date"),
+        *(sc.usage_code(c(x)).alias(f"usage_{x}_cd") for x in ("lcl", "mcl", "scl")), sc.road_addr(c("road"), c("road_sub")).alias("road_addr"), sc.clean_addr(c("lot")).alias("lot_addr"), "search_row",
         *(sc.to_float(c(x)).alias(x) for x in ("x", "y", "wgs_x", "wgs_y")),
     )
     rate = sc.sale_rate_pct(c("min_sale_price"), c("appraisal_amount")).alias("sale_rate_pct")
