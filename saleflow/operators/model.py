@@ -1,17 +1,16 @@
-"""Sale-rate model: boosted trees for the median, residual percentiles of a calibration fold for the band."""
+"""Sale-rate model: boosted trees for the 0.1, 0.5 and 0.9 quantiles, by pinball loss."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleflow.functions.scalars import deal_type, max_area
 
+from . import quantile_trees
 from .estimate import fallback_rates
 
+#: The features, numbers and codes.
 NUMBERS = ["appraisal_amount", "min_rate", "fail_count", "sale_month", "area_m2", "building_age", "region_price_m2", "region_avg_rate"]
 LEVELS = ["usage_lcl_cd", "usage_mcl_cd", "sd_code", "lawd_cd", "court_code"]
 #: Rows of a segment from which on the model is used, rows that a fit needs, and rows that a test and a hold-out need.
@@ -37,42 +36,27 @@ def features(rows: DataFrame, register: DataFrame, prices: DataFrame, stats: Dat
     return keyed.join(age, "docid", "left").join(price, ["lawd_cd", "deal_type"], "left").join(rate, ["lawd_cd", "usage_lcl_cd"], "left")
 
 
-def fit(rows: DataFrame, least: int = LEAST, seed: int = 7) -> tuple[PipelineModel, DataFrame] | None:
-    """(model, bands: usage, low, high as residuals), or None with under `least` rows."""
+def fit(rows: DataFrame, least: int = LEAST, **options) -> quantile_trees.Trees | None:
+    """The fitted trees, or None with under `least` rows; `options` go to `quantile_trees.fit`."""
     known = rows.where("target is not null")
     if known.limit(least).count() < least:
         return None
-    part = F.pmod(F.xxhash64("docid"), F.lit(5))
-    indexed = [f"{c}_i" for c in LEVELS]
-    numbers = [f"{c}_n" for c in NUMBERS]
-    stages = [
-        StringIndexer(inputCols=LEVELS, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        Imputer(inputCols=NUMBERS, outputCols=numbers, strategy="median"),
-        VectorAssembler(inputCols=indexed + numbers, outputCol="x"),
-        GBTRegressor(featuresCol="x", labelCol="target", predictionCol="rate", lossType="absolute", maxIter=15, maxDepth=4, maxBins=256, seed=seed),
-    ]
-    model = Pipeline(stages=stages).fit(known.where(part != 0))
-    rest = model.transform(known.where(part == 0)).select(F.col("usage_lcl_cd").alias("usage"), (F.col("target") - F.col("rate")).alias("r"))
-    band = lambda p: F.percentile("r", F.lit(p))
-    by_usage = rest.groupBy("usage").agg(band(0.1).alias("low"), band(0.9).alias("high"), F.count(F.lit(1)).alias("n"))
-    return model, by_usage.where("n >= 30").drop("n").unionByName(rest.agg(F.lit("*").alias("usage"), band(0.1).alias("low"), band(0.9).alias("high")))
-
-
-def predict(model: PipelineModel, bands: DataFrame, rows: DataFrame) -> DataFrame:
+    return quantile_trees.fit(known, NUMBERS, LEVELS, "target", **options)
+
+
+def predict(fitted: quantile_trees.Trees, rows: DataFrame) -> DataFrame:
     """docid, rate, low_rate, high_rate, with low <= rate <= high, clipped to 0.1 and 2.0."""
-    own = bands.where("usage <> '*'")
-    every = bands.where("usage = '*'").select("low", "high").first()
-    out = model.transform(rows).withColumn("usage", F.col("usage_lcl_cd")).join(own, "usage", "left")
+    out = quantile_trees.predict(fitted, rows, "docid")
     clip = lambda c: F.least(F.lit(2.0), F.greatest(F.lit(0.1), c))
-    low, high = F.least(F.lit(0.0), F.coalesce("low", F.lit(every.low))), F.greatest(F.lit(0.0), F.coalesce("high", F.lit(every.high)))
-    return out.select("docid", clip(F.col("rate")).alias("rate"), clip(F.col("rate") + low).alias("low_rate"), clip(F.col("rate") + high).alias("high_rate"))
+    low, rate, high = (F.get("values", F.lit(i)) for i in range(3))
+    return out.select("docid", clip(rate).alias("rate"), clip(F.least(low, rate)).alias("low_rate"), clip(F.greatest(high, rate)).alias("high_rate"))
 
 
 #: Features whose presence an estimate tells.
 TOLD = ["area_m2", "building_age", "region_price_m2", "region_avg_rate"]
 
 
-def estimates(fitted: tuple[PipelineModel, DataFrame] | None, rows: DataFrame, segments: DataFrame) -> DataFrame:
+def estimates(fitted: quantile_trees.Trees | None, rows: DataFrame, segments: DataFrame) -> DataFrame:
     """docid, method, samples, rate, low_rate, high_rate, features_used: the model where the listing's segment (sgg_code,
     usage_lcl_cd) has SEGMENT training rows, else the regional mean and 15 percent either way, else no row.
 
@@ -88,7 +72,7 @@ def estimates(fitted: tuple[PipelineModel, DataFrame] | None, rows: DataFrame, s
     out = rest.select("*", F.lit("region_avg").alias("method"), *fallback_rates(F.col("region_avg_rate"))).select(*keep)
     if fitted is None:
         return out
-    told = by_model.select("docid", F.lit("model").alias("method"), "samples", "features_used").join(predict(*fitted, by_model), "docid")
+    told = by_model.select("docid", F.lit("model").alias("method"), "samples", "features_used").join(predict(fitted, by_model), "docid")
     return told.select(*keep).unionByName(out)
 
 
@@ -110,4 +94,4 @@ def evaluate(rows: DataFrame, as_of: str, holdout_days: int = 60) -> DataFrame:
     fitted = fit(known.where(F.col("sale_date") < cut)) if n.n >= LEAST_ALL and n.held >= LEAST_HELD else None
     if fitted is None:
         return rows.sparkSession.createDataFrame([], "n long, mae double, mape double, baseline_mae double")
-    return metrics(predict(*fitted, held), held.select("docid", "target", "region_avg_rate"))
+    return metrics(predict(fitted, held), held.select("docid", "target", "region_avg_rate"))

@@ -755,7 +755,20 @@ RATES = ["docid", "rate", "low_rate", "high_rate"]
 def _(t):
     _sold, rows = _model_rows(t)
     fitted = model.fit(rows)
-    return model.predict(*fitted, rows) if fitted else rows.select("docid", *(F.lit(0.0).alias(c) for c in RATES[1:])).limit(0)
+    return model.predict(fitted, rows) if fitted else rows.select("docid", *(F.lit(0.0).alias(c) for c in RATES[1:])).limit(0)
+
+
+@query("k3_coverage")
+def _(t):
+    """A fifth of the sales held out: how many lie between the 0.1 and 0.9 quantiles of trees fitted to the others, by SQL."""
+    rows = _model_rows(t)[1].where("target is not null").withColumn("held", F.pmod(F.xxhash64("docid"), F.lit(5)) == 0)
+    fitted = model.fit(rows.where("not held"))
+    if not fitted:
+        return rows.limit(0).selectExpr("count(*) as n", "cast(null as double) as inside", "cast(null as double) as below")
+    both = model.predict(fitted, rows.where("held")).join(rows.select("docid", "target"), "docid")
+    return both.sparkSession.sql(
+        "select count(*) as n, avg(case when target between low_rate and high_rate then 1.0D else 0.0D end) as inside, avg(case when target < low_rate then 1.0D else 0.0D end) as below from {rows}", rows=both
+    )
 
 
 @query("k4_estimates")

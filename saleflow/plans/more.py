@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleflow.functions import katec, rules
 from saleflow.functions import scalars as sc
 from saleflow.operators import details, filters, joins, merge, reports, stats
+from saleflow.shared import shared_folder
 from saleflow.sources import cards, scan
 
 from .listing import ORACLES, QUERIES, REGION, VISIBLE, query, text
@@ -18,12 +17,7 @@ from .shaping import AS_OF, oracle, shape
 c, lit = F.col, F.lit
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new name in the shared folder; only a local session may lack one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/saleflow-{name}-{spark.sql('select uuid()').first()[0]}"
+_folder = shared_folder
 
 
 # --- sources

@@ -43,6 +43,8 @@ def test_model_bands_and_error(spark):
     sf = SF.replace("0.001", "0.01")
     rows = QUERIES["k3_quantile_model"](spark, sf).collect()
     assert rows and all(r.low_rate <= r.rate <= r.high_rate and 0.1 <= r.rate <= 2.0 for r in rows)
+    covered = QUERIES["k3_coverage"](spark, sf).first()
+    assert covered.n > 200 and 0.76 <= covered.inside <= 0.84
     m = QUERIES["k6_evaluate"](spark, sf).first()
     assert m.n > 0 and m.mae < 0.8 * m.baseline_mae  # the shaped sale rates fall with failed rounds
     chosen = {r.method: r["n"] for r in QUERIES["k4_estimates"](spark, sf).groupBy("method").agg(F.count("rate").alias("n")).collect()}
