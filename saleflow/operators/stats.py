@@ -37,6 +37,28 @@ def price_by_quarter(deals: DataFrame, exact: bool = True) -> DataFrame:
     return out.withColumn("label", label)
 
 
+#: Size of a price sketch, and its rank error (DataSketches' KLL at 99 percent for that size); it is exact up to that many deals.
+SKETCH, SKETCH_ERROR = 400, 0.0075
+
+
+def price_sketches(deals: DataFrame, period: str = "month", k: int = SKETCH) -> DataFrame:
+    """Deals and a KLL sketch of the price per square metre for each district, type and period.
+
+    A sketch has a bounded size however many deals it takes in, and sketches merge, so a hot group is combined before
+    the shuffle and months add up to quarters without the deals.
+    """
+    rows = deals.where("area > 0 and amount > 0 and deal_date is not null").groupBy("lawd_cd", "deal_type", F.trunc("deal_date", period).alias("start"))
+    per = (F.col("amount") / F.col("area")).cast("double")
+    return rows.agg(F.count(F.lit(1)).alias("n_deals"), F.kll_sketch_agg_double(per, F.lit(k)).alias("sketch"))
+
+
+def quarter_prices(sketches: DataFrame, share: float = 0.5) -> DataFrame:
+    """Deals and the quantile of the price by quarter, from the sketches of shorter periods."""
+    rows = sketches.groupBy("lawd_cd", "deal_type", F.trunc("start", "quarter").alias("quarter_start"))
+    merged = rows.agg(F.sum("n_deals").alias("n_deals"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.withColumn("price", F.kll_sketch_get_quantile_double("sketch", F.lit(share))).drop("sketch")
+
+
 def latest_price(prices: DataFrame, least: int = 3) -> DataFrame:
     some = prices.where((F.col("n_deals") >= least) & F.col("median_price").isNotNull())
     return some.groupBy("lawd_cd", "deal_type").agg(F.max_by("median_price", "quarter_start").alias("latest_price"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleflow.operators import merge
+from saleflow.functions import scalars as sc
+from saleflow.operators import cells, merge, stats, substring_index
 from saleflow.operators.windows import dedupe_last
-from saleflow.sources import keyed_table, partition_table
+from saleflow.sources import keyed_table, partition_table, scan
 from saleflow.streaming.scan_stream import scan_stream
 
-from .more import ORACLES, QUERIES, _folder
+from .more import NOTE, ORACLES, QUERIES, _folder, _pages
 from .shaping import oracle, shape
 
 SIGNALS, ORDER = ["status_cd", "price"], ["seen_at", "event_id"]
@@ -45,16 +46,16 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def i2_apply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after a scan, rewritten whole: refresh requests, sync dates and the columns that a return clears too."""
-    old, scan = _state(spark, sf_dir)
-    return merge.apply_scan(old, scan, "user_id", SIGNALS, ORDER, F.lit("2024-02-01"))[0]
+    old, seen = _state(spark, sf_dir)
+    return merge.apply_scan(old, seen, "user_id", SIGNALS, ORDER, F.lit("2024-02-01"))[0]
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> str:
     root = _folder(spark, "keyed")
-    old, scan = _state(spark, sf_dir)
+    old, seen = _state(spark, sf_dir)
     keyed_table.create(old, root, "user_id", buckets=16)
     kinds = {"status_cd": ["view", "click", "signup", "purchase", "error"]}
-    keyed_table.merge_scan(root, scan, SIGNALS, ORDER, F.lit("2024-02-01"), complete=True, started_at="2024-02-01", regions=kinds)
+    keyed_table.merge_scan(root, seen, SIGNALS, ORDER, F.lit("2024-02-01"), complete=True, started_at="2024-02-01", regions=kinds)
     return root
 
 
@@ -148,4 +149,120 @@ ORACLES["i10_stream_history"] = oracle(
     "scan",
 )
 
+def _bundles(spark: SparkSession, sf_dir: str) -> str:
+    """The response pages in bundles of one page a line, in the shared folder."""
+    root = _folder(spark, "bundles")
+    _pages(lambda n: shape(spark, sf_dir, n)).select("value").write.text(root)
+    return root
+
+
+def _streamed_pages(spark: SparkSession, sf_dir: str, kind: int) -> DataFrame:
+    path, out = _bundles(spark, sf_dir), _folder(spark, "pages")
+    rows = scan.stream_scan(spark, path)[kind]
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+def a1_read_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings from bundles of pages on disk."""
+    rows = scan.read_scan(spark, _bundles(spark, sf_dir), whole=False)
+    return rows.select("row.docid", sc.to_int(F.col("row.minmaePrice")).alias("min_sale_price"))
+
+
+def a1_stream_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same listings through a stream of files."""
+    return _streamed_pages(spark, sf_dir, 0).select("row.docid", sc.to_int(F.col("row.minmaePrice")).alias("min_sale_price"))
+
+
+def a2_stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of the stream, counted by note."""
+    return _streamed_pages(spark, sf_dir, 1).groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+
+
+for _f in (a1_read_bundles, a1_stream_bundles):
+    QUERIES[_f.__name__], ORACLES[_f.__name__] = _f, ORACLES["a1_read_rows"]
+QUERIES["a2_stream_dead_letters"] = a2_stream_dead_letters
+ORACLES["a2_stream_dead_letters"] = oracle(f"select {NOTE} as note, count(*) as n from (select distinct o_orderkey // 40 as page from props) where {NOTE} is not null group by 1", "props")
+
+
+def e3_price_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians by quarter from monthly sketches, and whether each one's rank among its deals is within the stated error."""
+    deals = shape(spark, sf_dir, "deals")
+    monthly = stats.price_sketches(deals).write.mode("overwrite")
+    folder = _folder(spark, "sketches")
+    monthly.parquet(folder)
+    found = stats.quarter_prices(spark.read.parquet(folder))
+    keys = ["lawd_cd", "deal_type", "quarter_start"]
+    rows = deals.where("area > 0 and amount > 0").select("lawd_cd", "deal_type", F.trunc("deal_date", "quarter").alias("quarter_start"), (F.col("amount") / F.col("area")).cast("double").alias("v"))
+    below, upto = F.avg((F.col("v") < F.col("price")).cast("double")), F.avg((F.col("v") <= F.col("price")).cast("double"))
+    error = F.greatest(below - 0.5, 0.5 - upto, F.lit(0.0))
+    told = rows.join(found, keys).groupBy(*keys, "n_deals").agg((error <= F.greatest(F.lit(stats.SKETCH_ERROR), 1 / F.first("n_deals"))).alias("within"))
+    return told.withColumn("quarter_start", F.col("quarter_start").cast("string"))
+
+
+QUERIES["e3_price_sketches"] = e3_price_sketches
+ORACLES["e3_price_sketches"] = oracle(
+    "select lawd_cd, deal_type, strftime(date_trunc('quarter', deal_date), '%Y-%m-%d') as quarter_start, count(*) as n_deals, true as within from deals where area > 0 and amount > 0 group by 1, 2, 3", "deals"
+)
+METRES = "2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))))"
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "cells")
+    cells.clustered(shape(spark, sf_dir, "props").select("docid", "lng", "lat"), files=8).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def c7_cell_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings around three points, of very different radius, over rows clustered by cell."""
+    rows = _clustered(spark, sf_dir)
+    out = None
+    for lng, lat, metres in CIRCLES:
+        near = cells.around(rows, lng, lat, metres).select(F.lit(metres).alias("radius"), "docid")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+CIRCLES = [(127.5, 36.5, 30_000), (127.123, 37.456, 2_500), (126.0, 34.0, 400_000)]
+QUERIES["c7_cell_radius"] = c7_cell_radius
+ORACLES["c7_cell_radius"] = oracle(
+    f", c as (select unnest([{', '.join(f'{{lng: {x}, lat: {y}, radius: {r}}}' for x, y, r in CIRCLES)}], recursive := true)) select cast(c.radius as int) as radius, p.docid from props p, c where p.lng is not null and " + METRES.format(a="p", b="c") + " <= c.radius",
+    "props",
+)
+
+
+def c7_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every active listing the sold ones within 1,500 metres: how many, and their mean price."""
+    props = shape(spark, sf_dir, "props").select("docid", "lng", "lat", "min_sale_price", "deleted_on", "sold")
+    pairs = cells.radius_join(props.where("deleted_on is null").select("docid", "lng", "lat"), props.where("sold").select("docid", "lng", "lat", "min_sale_price"), 1500)
+    return pairs.groupBy("docid").agg(F.count(F.lit(1)).alias("n"), F.sum("r_min_sale_price").alias("total"))
+
+
+QUERIES["c7_radius_join"] = c7_radius_join
+ORACLES["c7_radius_join"] = oracle(
+    "select a.docid, count(*) as n, cast(sum(b.min_sale_price) as bigint) as total from props a, props b where a.deleted_on is null and b.sold and a.lat between b.lat - 0.02 and b.lat + 0.02 and a.lng between b.lng - 0.03 and b.lng + 0.03 and "
+    + METRES.format(a="a", b="b") + " <= 1500 group by 1",
+    "props",
+)
+PATTERNS = ["LOT 12", "애월읍", "000", "타경100", "road 0001-00001", "x", "1", "ot 7 ", "집합건물 철근", "no such"]
+
+
+def c2_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings by parts of their case number and addresses, through posting lists; patterns under three letters scan."""
+    rows = shape(spark, sf_dir, "props").select("docid", *KEYED)
+    folder = _folder(spark, "postings")
+    substring_index.postings(rows, "docid", KEYED).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(folder)
+    index, out = spark.read.parquet(folder), None
+    for p in PATTERNS:
+        found = substring_index.search(index, rows, "docid", KEYED, p).select(F.lit(p).alias("pattern"), "docid")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+KEYED = ["case_no", "lot_addr", "road_addr", "conv_addr"]
+QUERIES["c2_substring_index"] = c2_substring_index
+ORACLES["c2_substring_index"] = oracle(
+    f", q as (select unnest({PATTERNS!r}) as pattern) select pattern, docid from props, q where " + " or ".join(f"contains(lower({k}), lower(pattern))" for k in KEYED), "props"
+)
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -32,13 +32,23 @@ def split_envelopes(raw: DataFrame, column: str = "value", expect: tuple[str, ..
     return told.where("note is null").withColumn("rows", rows).drop("note"), told.where("note is not null")
 
 
-def read_scan(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listing of the pages at `path`: page file, place on the page, `row` (map of strings)."""
-    pages = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("page"))
+def read_scan(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """One row per listing of the pages at `path`: page file, place on the page, `row` (map of strings).
+
+    A file is a page, or with `whole=False` a bundle with a page in each line.
+    """
+    pages = spark.read.text(path, wholetext=whole).select("value", F.input_file_name().alias("page"))
     good, _ = split_envelopes(pages)
     return good.select("page", F.posexplode("rows").alias("place", "row"))
 
 
+def stream_scan(spark: SparkSession, path: str, files: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(listings as of `read_scan`, dead letters) of bundles that arrive at `path`; the file source keeps the offsets."""
+    pages = spark.readStream.option("maxFilesPerTrigger", files).text(path).select("value", F.input_file_name().alias("page"))
+    good, dead = split_envelopes(pages)
+    return good.select("page", F.posexplode("rows").alias("place", "row")), dead
+
+
 def _key(row: Column, *names: str) -> Column:
     return sc.clean_str(F.coalesce(*(sc.truthy(F.try_element_at(row, F.lit(n))) for n in names)))
 
