@@ -2,8 +2,10 @@
 
 Each task turns its documents, a shard of about SHARD_BYTES at a time, into word ids and sorts the suffixes of the
 shard by their leading words. Every benchmark suffix (a window of `window` words, or a whole shorter item) is then
-binary-searched in that array; the range found gives all its verbatim places, and windows that follow each other on
-one diagonal join into the longest match. Suffixes whose leading words don't all occur in the benchmark match nothing,
+binary-searched in that array; the range found gives all its verbatim places. Of places that follow each other the longest
+matches are read off a suffix automaton of the item (built for items that a shard hits, in memory of some 500 bytes a
+word): a match is kept if no match with the same item covers its words, at its first place in the item. So a passage of
+n repeated words meets an item of n repeated words in n steps, not in n x n pairs. Suffixes whose leading words don't all occur in the benchmark match nothing,
 so they are left out before the sort. Documents stay whole in one task: there is no shuffle, and hot passages cost one
 range each.
 
@@ -41,23 +43,86 @@ _FOLD = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128)).low
 _END = b"|"
 
 
+class Automaton:
+    """The suffix automaton of a sequence: which stretches occur in it, and where each ends first."""
+
+    def __init__(self, sequence: list[int]) -> None:
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.end = [-1], [0], [-1]
+        last = 0
+        for at, symbol in enumerate(sequence):
+            last = self._add(last, symbol, at)
+
+    def _state(self, follow: dict[int, int], link: int, length: int, end: int) -> int:
+        self.next.append(follow)
+        self.link.append(link)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.link) - 1
+
+    def _add(self, last: int, symbol: int, at: int) -> int:
+        new = self._state({}, 0, self.length[last] + 1, at)
+        state = last
+        while state >= 0 and symbol not in self.next[state]:
+            self.next[state][symbol] = new
+            state = self.link[state]
+        if state >= 0:
+            to = self.next[state][symbol]
+            if self.length[to] == self.length[state] + 1:
+                self.link[new] = to
+            else:
+                twin = self._state(dict(self.next[to]), self.link[to], self.length[state] + 1, self.end[to])
+                while state >= 0 and self.next[state].get(symbol) == to:
+                    self.next[state][symbol] = twin
+                    state = self.link[state]
+                self.link[to] = self.link[new] = twin
+        return new
+
+    def longest(self, sequence: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(place, place in the automaton's sequence, length) of the matches that no other match covers."""
+        state = length = 0
+        for at, symbol in enumerate([*sequence, None]):
+            if symbol in self.next[state]:
+                state, length = self.next[state][symbol], length + 1
+                continue
+            if length:
+                yield at - length, self.end[state] - length + 1, length
+            while state and symbol not in self.next[state]:
+                state = self.link[state]
+            length = self.length[state]
+            if symbol in self.next[state]:
+                state, length = self.next[state][symbol], length + 1
+
+
 class BenchmarkSuffixes:
     """Windows of a block of benchmark items, as arrays of word ids."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         self.window, self.vocabulary = window, {_END: -1}
         self.item_ids = [x for x, _ in items]
-        where: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        known: dict[tuple[int, ...], int] = {}
+        self.rows: list[list[int]] = []  # the windows of each item in their order
+        self.items_of: list[list[int]] = []  # the items of each window
+        self.automata: dict[int, Automaton] = {}
         for k, (_, text) in enumerate(items):
             words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in text.encode().translate(_FOLD).split()]
             size = min(window, len(words))
-            for p in range(len(words) - size + 1 if size else 0):
-                where.setdefault(tuple(words[p : p + size]), []).append((k, p))
-        self.windows = list(where)
-        self.places = list(where.values())
+            row = [known.setdefault(tuple(words[p : p + size]), len(known)) for p in range(len(words) - size + 1 if size else 0)]
+            self.items_of.extend([] for _ in range(len(known) - len(self.items_of)))
+            self.rows.append(row)
+            for w in set(row):
+                self.items_of[w].append(k)
+        self.windows = list(known)
         self.least = min(map(len, self.windows), default=0)
         self.by_size = {n: [i for i, w in enumerate(self.windows) if len(w) == n] for n in {len(w) for w in self.windows}}
 
+    def automaton(self, item: int) -> Automaton:
+        if item not in self.automata:
+            if len(self.automata) > 200:
+                self.automata.clear()
+            self.automata[item] = Automaton(self.rows[item])
+        return self.automata[item]
+
     def keys(self, size: int, filler: int) -> np.ndarray:
         rows = np.full((len(self.by_size[size]), 4 * self.window), filler, np.uint8)
         rows[:, : 4 * size] = np.array([self.windows[i] for i in self.by_size[size]], ">i4").view(np.uint8).reshape(-1, 4 * size)
@@ -98,22 +163,22 @@ class BenchmarkSuffixes:
         for first, end in zip(np.flatnonzero(mask > 0), np.flatnonzero(mask < 0), strict=True):
             d = np.searchsorted(ends, first)
             out[d][1].extend((int(first - firsts[d]), int(end - firsts[d])))
-        # all (document, item, diagonal, place): places that follow each other are one longer match
-        places = [len(self.places[w]) for w in window]
-        pairs = np.array([x for w in window for x in self.places[w]]).reshape(-1, 2)
-        at, size = np.repeat(at, places), np.repeat(size, places)
+        # every place with each item of its window; places that follow each other are looked up together
+        several = [self.items_of[w] for w in window]
+        item = np.fromiter((k for ks in several for k in ks), np.int64)
+        counts = np.fromiter(map(len, several), np.int64, len(several))
+        at, size, window = np.repeat(at, counts), np.repeat(size, counts), np.repeat(window, counts)
         d = np.searchsorted(ends, at)
-        diagonal = at - pairs[:, 1]
-        order = np.lexsort((at, diagonal, pairs[:, 0], d))
-        d, item, place, at, size, diagonal = d[order], pairs[order, 0], pairs[order, 1], at[order], size[order], diagonal[order]
+        order = np.lexsort((at, item, d))
+        d, item, at, size, window = d[order], item[order], at[order], size[order], window[order]
         new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
+        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(d)) - 1
-        for h, t in zip(heads, tails, strict=True):
-            k = d[h]
-            out[k][2].add(int(item[h]))
-            out[k][3].append((int(item[h]), int(at[h] - firsts[k]), int(place[h]), int(at[t] + size[t] - at[h])))
+        for h, t in zip(heads, np.append(heads[1:], len(d)), strict=True):
+            k, which = d[h], int(item[h])
+            out[k][2].add(which)
+            for place, in_item, n in self.automaton(which).longest(window[h:t].tolist()):
+                out[k][3].append((which, int(at[h] + place - firsts[k]), in_item, n + int(size[h]) - 1))
         return out
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -56,3 +58,42 @@ def test_clean_documents_stay_with_their_columns(spark, docs, no_docs, benchmark
     assert left.count() == d.report(d.find(docs, benchmark)).where("not contaminated").count()
     none = benchmark.limit(0)
     assert d.decontaminate(docs, none).count() == docs.count() and d.decontaminate(no_docs, benchmark).count() == 0
+
+
+def naive_matches(text, item):
+    """Longest matches of at least a window: for each place in the text the longest stretch that the item has, unless covered."""
+    a, b = words(text), words(item)
+    n = min(10, len(b))
+    best = []
+    for i in range(len(a)):
+        length, where = 0, 0
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if k > length:
+                length, where = k, j
+        if n and length >= n:
+            best.append((i, where, length))
+    return [m for m in best if not any(o != m and o[0] <= m[0] and m[0] + m[2] <= o[0] + o[2] for o in best)]
+
+
+def test_longest_matches_equal_a_naive_matcher():
+    r = random.Random(8)
+    for trial in range(60):
+        letters = "ab" if trial % 3 else "abcdefgh"
+        items = [(str(k), " ".join(r.choice(letters) for _ in range(r.randint(1, 40)))) for k in range(4)]
+        text = " ".join(r.choice(letters) for _ in range(60)) + " x " + items[1][1] + " y " + items[0][1][:30]
+        (_, _, found, matches), = d.BenchmarkSuffixes(items, 10).search([text.encode()])
+        want = {(k, *m) for k, (_, t) in enumerate(items) for m in naive_matches(text, t)}
+        assert set(matches) == want and len(matches) == len(want) and found == {k for k, *_ in want}
+
+
+def test_repeated_words_take_no_pairs():
+    text, items = "same " * 20_000, [("long", "same " * 20_000), ("short", "same " * 12)]
+    tracemalloc.start()
+    (n, hits, found, matches), = d.BenchmarkSuffixes(items, 10).search([text.encode()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n, hits, found) == (20_000, [0, 20_000], {0, 1}) and peak < 200 << 20
+    assert [m for m in matches if m[0] == 0] == [(0, 0, 0, 20_000)] and len([m for m in matches if m[0] == 1]) == 20_000 - 11
