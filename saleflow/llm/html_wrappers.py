@@ -7,7 +7,10 @@ far: unmatched stretches become optional groups, a single copy of a repeated gro
 
 A slot is of the article if its text lies in the container that holds most of the sample's text, in no element that says
 menu, header, footer, sidebar, notice, advert, form, share bar or comments, and isn't repeated by most sample pages
-(a text inside an <article> may be, and all may where such texts are most of the sample: near copies of one page). The wrapper is compiled with a capture group at each article slot, and every page is
+(a text inside an <article> may be, and all may where such texts are most of the sample: near copies of one page). A form, or a
+class, id or role word, says so only of an element that holds under half of the sample's text, or not the headings: a page
+may stand in a form, and a layout may be called `has-sidebar`. Texts are told apart by their containers and by being
+repeated, so a wrapper has one reading of a page. It is compiled with a capture group at each article slot, and every page is
 matched as a whole: the text of a page is what the article slots capture. A page that the wrapper doesn't match (`matched`
 is false: an unseen layout) is cut by the container and element rules directly, so no page and no text is dropped by the sample.
 
@@ -42,15 +45,16 @@ ALIGN_CELLS = 1_000_000
 #: Wrappers of at most so many characters in all are broadcast; more are joined by a shuffle on the host.
 BROADCAST_CHARS = 32 << 20
 #: Fixed values of HTML: elements whose content isn't text, inline elements, blocks that end by themselves, void blocks.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas|math|button"
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|button"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr object canvas math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup "
+    "msubsup munder mover munderover semantics annotation".split()
 )
 ENDS = {x: {x} for x in ("p", "li", "option", "tr")} | {x: {"dt", "dd"} for x in ("dt", "dd")} | {x: {"td", "th"} for x in ("td", "th")}
 VOID = frozenset("br hr meta link input base col area embed source track param".split())
-#: Elements, and words of classes, ids and roles, of what isn't the article.
-OTHER = frozenset("head nav header footer aside form menu dialog".split())
+#: Elements, and words of classes, ids and roles, of what isn't the article; the last two unless they hold most of it.
+OTHER, FORM = frozenset("head nav header footer aside menu dialog".split()), "form"
 OTHER_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|overlay|sidebar|"
     r"side|widgets?|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|discussion|disqus|menu|nav\w*|"
@@ -64,10 +68,10 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Symbols of text in a stream, and of a slot of the article in a wrapper.
-TEXT, SLOT = "#", "#article"
+#: The symbol of text in a stream; in a wrapper, what texts and slots of the article begin with (their containers follow).
+TEXT, SLOT = "#", "@"
 #: The characters that stand for symbols in an expression; a host with more symbols has no wrapper.
-TEXT_CODE, FIRST_CODE, LAST_CODE = "\U000f0000", 0xF0001, 0x10FFFD
+FIRST_CODE, LAST_CODE = 0xF0001, 0x10FFFD
 
 
 def lex(page: str) -> list[tuple[str, str]]:
@@ -118,39 +122,81 @@ def lex(page: str) -> list[tuple[str, str]]:
 
 
 def is_other(symbol: str) -> bool:
-    """Whether an opening symbol is of what isn't the article."""
+    """Whether an opening symbol is of what is never the article."""
+    return symbol[1:].partition(" ")[0] in OTHER
+
+
+def may_be_other(symbol: str) -> bool:
+    """Whether an opening symbol is of what isn't the article unless it holds most of it."""
     name, _, names = symbol[1:].partition(" ")
-    return name in OTHER or (name not in ("html", "body", "article", "main") and bool(OTHER_WORDS.search(names)))
+    return name == FORM or (name not in ("html", "body", "article", "main") and name not in OTHER and bool(OTHER_WORDS.search(names)))
 
 
 def block_text(raw: str) -> str:
     return " ".join(html.unescape(raw).split())
 
 
-def blocks(stream: list[tuple[str, str]]) -> Iterator[tuple[tuple[str, ...], bool, str]]:
-    """(open containers, whether one is other than the article, raw text) of each text."""
+Path = tuple[str, ...]
+
+
+def blocks(stream: list[tuple[str, str]], spared: frozenset[Path] = frozenset()) -> Iterator[tuple[Path, bool, str]]:
+    """(open containers, whether one is other than the article, raw text) of each text; `spared` containers aren't other."""
     path: list[str] = []
-    other = 0
+    others: list[bool] = []
     for symbol, raw in stream:
         if symbol[0] == "<" and symbol != "<br":
             path.append(symbol)
-            other += is_other(symbol)
+            others.append(is_other(symbol) or may_be_other(symbol) and tuple(path) not in spared)
         elif symbol[0] == "/":
-            other -= is_other(path.pop())
+            path.pop()
+            others.pop()
         elif symbol == TEXT:
-            yield tuple(path), other > 0, raw
+            yield tuple(path), any(others), raw
+
+
+HEADS = re.compile(r"<(?:h1|article|main)\b")
+
+
+def spare(streams: list[list[tuple[str, str]]]) -> frozenset[Path]:
+    """Containers that a form's name or a word would rule out, but that hold half of the text and of the headings."""
+    total = heads = 0
+    mass: Counter[Path] = Counter()
+    led: Counter[Path] = Counter()
+    for stream in streams:
+        path: list[str] = []
+        soft: list[Path] = []
+        hard = 0
+        for symbol, raw in stream:
+            if symbol[0] == "<" and symbol != "<br":
+                path.append(symbol)
+                hard += is_other(symbol)
+                if may_be_other(symbol):
+                    soft.append(tuple(path))
+                if not hard and HEADS.match(symbol):
+                    heads += 1
+                    led.update(soft)
+            elif symbol[0] == "/":
+                if soft and len(soft[-1]) == len(path):
+                    soft.pop()
+                hard -= is_other(path.pop())
+            elif symbol == TEXT and not hard:
+                n = len(block_text(raw))
+                total += n
+                for p in soft:
+                    mass[p] += n
+    return frozenset(p for p, n in mass.items() if 2 * n >= total and 2 * led[p] >= heads)
 
 
 # A wrapper is a list of items: a symbol, ("r", items) for a repeated group, ("o", items) for an optional one.
 def fold_repeats(items: list, longest: int = 8) -> list:
-    """Fold stretches that stand two or more times in a row into repeated groups, short ones first."""
+    """Fold stretches that stand two or more times in a row, none beginning with an end tag, into repeated groups, short ones first."""
     for size in range(1, longest + 1):
         out, i = [], 0
         while i < len(items):
             unit, n = items[i : i + size], 1
             while len(unit) == size and items[i + n * size : i + (n + 1) * size] == unit:
                 n += 1
-            if n > 1 and any(x not in (TEXT, SLOT) for x in unit):
+            if n > 1 and not (isinstance(unit[0], str) and unit[0][0] == "/") and any(not isinstance(x, str) or x[0] not in (TEXT, SLOT) for x in unit):
                 group = unit[0] if size == 1 and unit[0][0] == "r" else ("r", unit)
                 out.append(group)
                 i += n * size
@@ -169,6 +215,21 @@ def fold_repeats(items: list, longest: int = 8) -> list:
     return items
 
 
+def repeatable(items: list) -> list:
+    """A paragraph, list item or cell of the article, alone or in a row, is a repeated group from the start."""
+    out, i = [], 0
+    while i < len(items):
+        unit = items[i : i + 3]
+        if len(unit) == 3 and all(isinstance(x, str) for x in unit) and unit[0][0] == "<" and unit[1][0] == SLOT and unit[2] == f"/{unit[0][1:].split(' ')[0]}" and unit[2][1:] in ENDS:
+            if not out or out[-1] != ("r", unit):
+                out.append(("r", unit))
+            i += 3
+        else:
+            out.append(items[i])
+            i += 1
+    return out
+
+
 def _key(item) -> str:
     return item if isinstance(item, str) else json.dumps(item)
 
@@ -241,29 +302,50 @@ def align(wrapper: list, page: list) -> list:
     return fold_repeats(out)
 
 
+def loosened(items: list) -> list:
+    """Groups take all they can and give nothing back; where the same unit follows again, with optional groups alone
+    between, it may be there any number of times (`*`)."""
+    out: list = []
+    i = 0
+    while i < len(items):
+        k = len(out)
+        while k and not isinstance(out[k - 1], str) and out[k - 1][0] == "o":
+            k -= 1
+        last = out[k - 1] if k else None
+        unit = last[1] if last is not None and not isinstance(last, str) else None
+        x = items[i]
+        if unit and items[i : i + len(unit)] == unit:
+            out.append(("*", unit))
+            i += len(unit)
+            continue
+        again = not isinstance(x, str) and x[0] == "r" and (unit == x[1] or out[max(0, k - len(x[1])) : k] == x[1])
+        out.append(("*", x[1]) if again else x)
+        i += 1
+    return out
+
+
 def pattern(items: list, code: dict[str, str]) -> str:
     """The regular expression of a wrapper, a character per symbol and a group `a` at each article slot."""
     parts = []
-    for x in items:
-        if x == SLOT:
-            parts.append(f"(?P<a>{TEXT_CODE})?")
-        elif x == TEXT:
-            parts.append(f"{TEXT_CODE}?")
-        elif isinstance(x, str):
-            parts.append(code.setdefault(x, chr(FIRST_CODE + len(code))))
-        else:
-            parts.append(f"(?:{pattern(x[1], code)})" + ("+" if x[0] == "r" else "?"))
+    for x in loosened(items):
+        if not isinstance(x, str):
+            parts.append(f"(?:{pattern(x[1], code)})" + {"r": "+", "o": "?", "*": "*"}[x[0]])
+            continue
+        name = x if x[0] != SLOT else TEXT + x[1:]
+        char = code.setdefault(name, chr(FIRST_CODE + len(code)))
+        parts.append(f"(?P<a>{char})?" if x[0] == SLOT else f"{char}?" if x[0] == TEXT else char)
     return "".join(parts)
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of one host's sample pages: pattern, symbols, main container, texts that most pages repeat."""
+    """The wrapper of one host's sample pages: pattern, symbols, main container, texts that most pages repeat, spared containers."""
     streams = [lex(p) for p in pages]
-    mass: Counter[tuple[str, ...]] = Counter()
+    spared = spare(streams)
+    mass: Counter[Path] = Counter()
     seen: Counter[str] = Counter()
     found = []
     for stream in streams:
-        mine = [(path, block_text(raw)) for path, other, raw in blocks(stream) if not other]
+        mine = [(path, block_text(raw)) for path, other, raw in blocks(stream, spared) if not other]
         seen.update({t for _, t in mine})
         found.append(mine)
     fixed = {t for t, n in seen.items() if n >= 3 and 2 * n > len(streams)}
@@ -276,7 +358,7 @@ def infer(pages: list[str]) -> dict:
                 for k in range(1, len(path) + 1):
                     mass[path[:k]] += len(text)
     total = max((n for path, n in mass.items() if len(path) == 1), default=0)
-    best: tuple[str, ...] = ()
+    best: Path = ()
     for path, n in mass.items():
         leaf = path[-1][1:].split(" ")[0] in ENDS or re.match(r"<h\d", path[-1])
         if not leaf and n >= 0.8 * total and (len(path), n) > (len(best), mass[best]):
@@ -285,51 +367,66 @@ def infer(pages: list[str]) -> dict:
         if symbol[1:].split(" ")[0] == "article":
             best = best[: k + 1]
             break
-    rules = Rules(best, frozenset(fixed))
+    rules = Rules(best, frozenset(fixed), spared)
     wrapper: list = []
     for k, stream in enumerate(streams):
-        told = iter(rules.article(stream))
-        items = fold_repeats([(SLOT if next(told) else TEXT) if s == TEXT else s for s, _ in stream if s != "<br"])
+        told = iter(zip(rules.names(stream), rules.article(stream), strict=True))
+        items = []
+        for symbol, _ in stream:
+            if symbol == TEXT:
+                name, mine = next(told)
+                items.append(SLOT + name[1:] if mine else name)
+            elif symbol != "<br":
+                items.append(symbol)
+        items = fold_repeats(repeatable(items))
         wrapper = align(wrapper, items) if k else items
     code: dict[str, str] = {}
     try:
         expression = pattern(wrapper, code)
     except ValueError:  # more symbols than characters
         expression, code = "", {}
-    return {"pattern": expression if FIRST_CODE + len(code) <= LAST_CODE else "", "code": code, "main": list(best), "fixed": sorted(fixed)}
+    spec = {"pattern": expression if FIRST_CODE + len(code) <= LAST_CODE else "", "code": code, "main": list(best)}
+    return spec | {"fixed": sorted(fixed), "spared": sorted(map(list, spared))}
 
 
 class Rules:
     """Which texts of a stream are of the article, by container and elements alone."""
 
-    def __init__(self, main: tuple[str, ...], fixed: frozenset[str]) -> None:
-        self.main, self.fixed = main, fixed
+    def __init__(self, main: Path, fixed: frozenset[str], spared: frozenset[Path] = frozenset()) -> None:
+        self.main, self.fixed, self.spared = main, fixed, spared
         self.in_article = any(x[1:].split(" ")[0] == "article" for x in main)
+        if self.in_article:
+            self.fixed = frozenset()  # a text inside an article may be repeated
+
+    def repeated(self, raw: str) -> bool:
+        return bool(self.fixed) and block_text(raw) in self.fixed
+
+    def names(self, stream: list[tuple[str, str]]) -> list[str]:
+        """The symbol of each text: its containers, and whether most sample pages repeat it."""
+        return [f"{TEXT}{'!' * self.repeated(raw)}{' '.join(path)}" for path, _, raw in blocks(stream)]
 
-    def article(self, stream: list[tuple[str, str]]) -> list[bool]:
+    def article(self, stream: list[tuple[str, str]], spared: frozenset[Path] | None = None) -> list[bool]:
         depth = len(self.main)
-        parts = list(blocks(stream))
+        parts = list(blocks(stream, self.spared if spared is None else spared))
         inside = [path[:depth] == self.main for path, _, _ in parts] if depth else [False] * len(parts)
         if not any(inside):  # another layout: its article or main element, else all of it
             inside = [any(re.match(r"<(article|main)\b", x) for x in path) for path, _, _ in parts]
             if not any(inside):
                 inside = [True] * len(parts)
-        return [
-            mine and not other and (self.in_article or not self.fixed or block_text(raw) not in self.fixed)
-            for mine, (path, other, raw) in zip(inside, parts, strict=True)
-        ]
+        return [mine and not other and not self.repeated(raw) for mine, (path, other, raw) in zip(inside, parts, strict=True)]
 
 
 class Wrapper:
     def __init__(self, spec: dict) -> None:
-        self.code = {TEXT: TEXT_CODE, **spec["code"]}
-        self.rules = Rules(tuple(spec["main"]), frozenset(spec["fixed"]))
+        self.code = spec["code"]
+        self.rules = Rules(tuple(spec["main"]), frozenset(spec["fixed"]), frozenset(map(tuple, spec["spared"])))
         self.pattern = regex.compile(_possessive(spec["pattern"]), regex.S) if spec["pattern"] else None
 
     def extract(self, page: str) -> tuple[str, bool]:
         """(main text, whether the page matches the wrapper)."""
         stream = lex(page)
-        symbols = [(s, raw) for s, raw in stream if s != "<br"]
+        names = iter(self.rules.names(stream))
+        symbols = [(next(names) if s == TEXT else s, raw) for s, raw in stream if s != "<br"]
         told = "".join(self.code.get(s, "\n") for s, _ in symbols)  # no expression matches an unknown symbol
         found = self.pattern.fullmatch(told) if self.pattern else None
         if found:  # an expression without an article slot has no group
@@ -337,13 +434,16 @@ class Wrapper:
             raws = [symbols[k][1] for k in sorted(at)]
         else:
             texts = [raw for s, raw in stream if s == TEXT]
-            raws = [raw for raw, keep in zip(texts, self.rules.article(stream), strict=True) if keep]
+            kept = self.rules.article(stream)
+            if not any(kept):  # a layout of its own: what it holds decides
+                kept = self.rules.article(stream, self.rules.spared | spare([stream]))
+            raws = [raw for raw, keep in zip(texts, kept, strict=True) if keep]
         return " ".join(t for t in map(block_text, raws) if t), bool(found)
 
 
 def _possessive(expression: str) -> str:
     """Groups don't give back what they took, so a match takes one pass over the page."""
-    return re.sub(r"\)([+?])", r")\1+", expression)
+    return re.sub(r"\)([+?*])", r")\1+", expression)
 
 
 def host(url: Column) -> Column:
@@ -401,7 +501,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
-        empty = {"pattern": "", "code": {}, "main": [], "fixed": []}
+        empty = {"pattern": "", "code": {}, "main": [], "fixed": [], "spared": []}
         for batch in batches:
             texts, matched = [], []
             for page, spec in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
