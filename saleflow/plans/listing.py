@@ -779,6 +779,35 @@ def _(t):
     return out.select("docid", "method", "samples", "rate", "low_rate", "high_rate", F.to_json("features_used").alias("features_used"))
 
 
+@query(
+    "k4_region_estimates",
+    REGION.split(" big as")[0].rstrip(", \n") + PRICES + f""", lp as (select lawd_cd, deal_type from prices where n_deals >= 3 and median_price is not null group by 1, 2),
+ n as (select coalesce(sgg_code, '') as g, coalesce(usage_lcl_cd, '') as u, count(*) as n from results group by 1, 2), f as (select *, coalesce({KIND}, 'apt') as dt, sd_code || coalesce(sgg_code, '') as lawd from props where deleted_on is null),
+ r as (select f.docid, coalesce(n.n, 0) as samples, avg_rate / 100 as r, conv_addr like '%㎡%' as area, building_year is not null as age, lp.lawd_cd is not null as price from f left join register g on g.docid = f.docid and fetch_status = 'ok'
+ left join lp on lp.lawd_cd = lawd and lp.deal_type = dt join s on s.sd_code || s.sgg_code = lawd and coalesce(s.usage_lcl_cd, '') = coalesce(f.usage_lcl_cd, '') left join n on n.g = f.sgg_code and n.u = coalesce(f.usage_lcl_cd, '') where avg_rate is not null)
+ select docid, 'region_avg' as method, samples, greatest(0.1, least(2.0, r)) as rate, greatest(0.1, least(2.0, r * 0.85)) as low_rate, greatest(0.1, least(2.0, r * 1.15)) as high_rate,
+ '{{"area_m2":' || coalesce(area, false) || ',"building_age":' || age || ',"region_price_m2":' || price || ',"region_avg_rate":true}}' as features_used from r""",
+    "props", "results", "deals", "register",
+)
+def _(t):
+    active = t("props").where("deleted_on is null").withColumn("area_text", F.col("conv_addr"))
+    out = model.estimates(None, _features(t, t("results"), active), stats.segment_counts(t("results")))
+    return out.select("docid", "method", "samples", "rate", "low_rate", "high_rate", F.to_json("features_used").alias("features_used"))
+
+
+@query(
+    "e8_backtest_metrics",
+    """, x as (select cast(sale_amount as double) / appraisal_amount as y, 1.0 - 0.04 * fail_count as r, case when o_orderkey % 4 <> 0 then 70.0 + fail_count end as g from results where sale_amount > 0)
+ select count(*) as n, round(avg(abs(r - y)), 9) as mae, round(avg(abs(r / y - 1)), 9) as mape, round(avg(abs(g / 100 - y)), 9) as baseline_mae from x where y between 0.1 and 3.0""",
+    "results",
+)
+def _(t):
+    rows = t("results").withColumn("target", estimate.target(F.col("sale_amount"), F.col("appraisal_amount")))
+    predicted = rows.select("docid", (1.0 - 0.04 * F.col("fail_count")).alias("rate"), F.when(F.col("o_orderkey") % 4 != 0, 70.0 + F.col("fail_count")).alias("region_avg_rate"))
+    out = model.metrics(predicted, rows.where("sale_amount > 0").select("docid", "target"))
+    return out.select("n", *(F.round(c, 9).alias(c) for c in ("mae", "mape", "baseline_mae")))
+
+
 @query(
     "k1_features",
     REGION.split(" big as")[0].rstrip(", \n") + PRICES + f""", lp as (select lawd_cd, deal_type, arg_max(median_price, quarter_start) as region_price_m2 from prices where n_deals >= 3 and median_price is not null group by 1, 2),
