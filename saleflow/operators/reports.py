@@ -14,6 +14,23 @@ CHECK_NOTE = "- ※ 자동 추출 — 정확한 권리분석은 매각물건명
 SCORE_NOTE = "- ※ 법적 위험 기반 점수 (가격 매력도 제외) — 입찰 판단은 권리분석 직접 확인 필수"
 ESTIMATE_NOTE = "- ※ 통계 모델의 추정치이며 실제 낙찰가와 다를 수 있음. 입찰 판단 책임은 이용자에게 있음"
 LISTS = {"gdsRletStLtnoLstAll": "임차인현황", "rgltLandLstAll": "등기부 / 토지 권리", "gdsDspslObjctLst": "매각대상물"}
+#: Headings of appraisal items by their code, names of the fields of a detail's lists, names of the flags.
+APPRAISALS = {
+    "00083001": "위치 / 인근 환경", "00083002": "교통", "00083003": "교통", "00083004": "주위 환경", "00083005": "도로 인접", "00083006": "이용 상태", "00083007": "공법상 규제", "00083008": "이용 상태",
+    "00083009": "토지 형상·지세", "00083010": "토지 명세", "00083011": "도시계획 / 용도지역", "00083012": "토지 이용 계획", "00083013": "건물 명세", "00083014": "건물 명세", "00083015": "건물 구조",
+    "00083016": "건물 설비", "00083017": "부대 설비", "00083018": "위반 건축물", "00083019": "기타", "00083020": "임대 관계", "00083021": "임대 관계", "00083022": "임대 관계", "00083023": "기타 참고사항",
+    "00083024": "기타 참고사항", "00083025": "임대 관계", "00083026": "임대 관계", "00083027": "감정평가 의견",
+}
+FIELDS = {
+    "rletStLtnoAddr": "소재지", "rdnmRefcAddr": "도로명주소", "auctnLstDvsCd": "구분", "mclDspslGdsLstUsgCd": "용도", "rgltLandLtnoAddr": "소재지", "landArDts": "면적", "auctnRgltKndCd": "권리종류",
+    "rgltDvsDts": "구분", "pjbBuldList": "건물내역", "objctArDts": "면적", "bldNm": "건물명", "ldcgDts": "지목",
+}
+FLAGS = {
+    "senior_tenant": "선순위 임차인(대항력)", "yuchi": "유치권", "legal_ground": "법정지상권", "stopped": "정지/연기/취하", "share_sale": "지분 매각", "maeng_ji": "맹지", "illegal_bld": "위반건축물",
+    "share_maeng": "지분+맹지 조합", "rent_unknown": "점유관계 미상", "reserve_forest": "보전산지", "pollak": "포락지", "private_road": "사도", "claim_90": "청구액 감정가 90%+", "power_line": "송전선/구분지상권",
+    "special_20": "특별매각 보증금 20%", "many_fails": "유찰 5회+", "pamyo": "분묘/파묘", "forest_only": "임야 단독", "agri_zone": "농림지역", "nat_protect": "자연보전권역", "show_only": "제시외 물건",
+    "forestry_land": "임업용 산지", "farm_land": "농지", "tiny_area": "초소형(30㎡ 이하)", "new_villa": "신축 빌라",
+}
 JP_STATUS = {"period_bid": "期間入札", "special_sale": "特別売却", "reval_pending": "評価再調整", "re_bid": "再入札", "closed": "終結", "aborted": "中止"}
 JP_KINDS = {"ケ": "(担保不動産競売)", "ヌ": "(強制競売)"}
 
@@ -49,6 +66,17 @@ def _split(text: Column, before: str) -> Column:
     return F.coalesce(F.transform(rows, lambda x: F.concat(F.lit(before), x)), F.array().cast("array<string>"))
 
 
+def _named(code: Column, names: dict[str, str]) -> Column:
+    """A code's name, or null."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), code)
+
+
+def _footer(site: str, source: str) -> Column:
+    """The last lines, where the site that publishes and the official source are known."""
+    host = site.split("://")[-1].strip("/")
+    return _lines("---", f"Exported from {host} · 데이터는 {source}를 우선 확인하세요") if site and source else F.array().cast("array<string>")
+
+
 def _getter(df: DataFrame):
     """A column by name, null where the table hasn't it."""
     return lambda name, kind="string": F.col(name) if name in df.columns else F.lit(None).cast(kind)
@@ -64,13 +92,15 @@ def _listed(detail: Column, key: str) -> Column:
     rows = F.from_json(F.get_json_object(detail, f"$.{key}"), "array<map<string,string>>")
     plain = F.transform(rows, lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]")))
     some = F.filter(plain, lambda m: F.size(m) > 0)
-    told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit("**"), e["key"], F.lit("**: "), e["value"])), " · ")
+    told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit("**"), F.coalesce(_named(e["key"], FIELDS), e["key"]), F.lit("**: "), e["value"])), " · ")
     return F.coalesce(F.transform(some, lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), told(m))), F.array().cast("array<string>"))
 
 
-def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = None, as_of: str | None = None, site: str = "") -> DataFrame:
+def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = None, as_of: str | None = None, site: str = "", source: str = "") -> DataFrame:
     """docid, filename, markdown: one document per listing, sections in a fixed order, empty ones left out.
 
+    `site` is the address that documents link to, `source` the name of the official site.
+
     `props` may have: case_no, item_no, case_name, court_name, dept_name, received, usage_label, region, addresses, prices, dates,
     sold columns, remark, lien, progress, suspension, reason, deposit_rate, special_remark, claim, lng, lat, score (the
     struct of `safety_score`), estimate (struct est, low, high, rate_pct, method, samples), summaries and the detail JSON;
@@ -132,12 +162,14 @@ def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = No
     if "score" in props.columns:
         s = F.col("score")
         doubt = F.when(s["confidence"] == "low", " (⚠ 상세정보 미확보, 잠정치)").when(s["confidence"] == "medium", " (건물 연식 정보 일부 부족)").otherwise("")
-        why = F.array_join(F.transform(s["factors"], lambda f: F.concat(f["flag"], F.lit(" (−"), f["penalty"].cast("string"), F.lit("점)"))), " · ")
+        why = F.array_join(F.transform(s["factors"], lambda f: F.concat(F.coalesce(_named(f["flag"], FLAGS), f["flag"]), F.lit(" (−"), f["penalty"].cast("string"), F.lit("점)"))), " · ")
         lines = _lines(_text("- **점수**: ", s["score"], "/100 — ", sc.score_grade(s["score"]), doubt), _text("- **감점 요인**: ", sc.truthy(why)))
         parts.append(_section("## 매수 안전도 (참고)", lines, SCORE_NOTE))
     if "estimate" in props.columns:
         e = F.col("estimate")
-        how = F.when(e["method"] == "model", _text("자체 낙찰 데이터 예측 모델 · 학습 표본 ", F.coalesce(e["samples"], F.lit(0)), "건")).otherwise("지역 평균 매각가율 추정 (모델 표본 부족 — 참고용)")
+        known = "model_version" in props.schema["estimate"].dataType.fieldNames()
+        version = F.coalesce(_text(" (", e["model_version"], ")"), F.lit("")) if known else F.lit("")
+        how = F.when(e["method"] == "model", _text("자체 낙찰 데이터 예측 모델", version, " · 학습 표본 ", F.coalesce(e["samples"], F.lit(0)), "건")).otherwise("지역 평균 매각가율 추정 (모델 표본 부족 — 참고용)")
         lines = _lines(
             _text("- **예상가**: ", sc.money(e["est"]), F.coalesce(_text(" (감정가의 ", e["rate_pct"], "%)"), F.lit(""))),
             F.when(e["low"].isNotNull() & e["high"].isNotNull(), _text("- **범위**: ", sc.money(e["low"]), " ~ ", sc.money(e["high"]))), _text("- **방법**: ", how),
@@ -150,14 +182,17 @@ def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = No
     if "detail" in props.columns:
         notes = F.from_json(F.get_json_object("detail", "$.aeeWevlMnpntLst"), "array<struct<aeeWevlMnpntItmCd:string,aeeWevlMnpntCtt:string>>")
         real = F.filter(F.transform(notes, lambda n, i: F.struct(n.alias("n"), (i + 1).alias("i"))), lambda x: ~F.trim(x["n"]["aeeWevlMnpntCtt"]).isin("", "-", "-."))
-        told = lambda x: F.concat(F.array(_text("### 항목 ", F.coalesce(sc.truthy(x["n"]["aeeWevlMnpntItmCd"]), x["i"].cast("string")))), _split(x["n"]["aeeWevlMnpntCtt"], "> "), F.array(F.lit("")))
+        code = lambda x: sc.truthy(x["n"]["aeeWevlMnpntItmCd"])
+        title = lambda x: F.coalesce(_named(code(x), APPRAISALS), _text("항목 ", F.coalesce(code(x), x["i"].cast("string"))))
+        told = lambda x: F.concat(F.array(_text("### ", title(x))), _split(x["n"]["aeeWevlMnpntCtt"], "> "), F.array(F.lit("")))
         appraised = F.flatten(F.transform(real, told))
         parts.append(F.when(F.size(notes) > 0, F.concat(F.array(F.lit("## 감정평가 요항")), appraised)))
         parts += [_section(f"## {title}", _listed(F.col("detail"), k)) for k, title in LISTS.items()]
     if photos is not None:
         parts.append(_section("## 사진", F.transform("_photos", lambda p: F.concat(F.lit("- "), p["storage_path"]))))
-    origin = _lines(_text("- **법원경매정보**: 사건번호 `", case, "`, 법원 `", g("court_code"), "`"), _text("- **본 사이트 상세**: ", page))
-    parts.append(_section("## 원본", origin))
+    from_ = f"- **법원경매정보 ({source})**: 사건번호 `" if source else "- **법원경매정보**: 사건번호 `"
+    origin = _lines(_text(from_, case, "`, 법원 `", g("court_code"), "`"), _text("- **본 사이트 상세**: ", page))
+    parts += [_section("## 원본", origin), _footer(site, source and f"공식 사이트({source})")]
     return rows.select("docid", F.concat(F.coalesce(case, g("docid")), F.lit(".md")).alias("filename"), _document(*parts).alias("markdown"))
 
 
@@ -165,7 +200,7 @@ def _yen(c: Column) -> Column:
     return F.coalesce(F.concat(F.format_number(c, 0), F.lit("円")), F.lit(NONE))
 
 
-def jp_report(rows: DataFrame, photos: DataFrame | None = None, site: str = "") -> DataFrame:
+def jp_report(rows: DataFrame, photos: DataFrame | None = None, site: str = "", source: str = "") -> DataFrame:
     """sale_unit_id, filename, markdown of Japanese listings: head, facts, three prices, dates, place, items, photos.
 
     `rows` may have: case_no, court_name, court_code, case_kind, sale_cls_label, status, yen_10k_trap, has_three_set_pdf, the prices,
@@ -213,7 +248,8 @@ def jp_report(rows: DataFrame, photos: DataFrame | None = None, site: str = "")
         parts.append(F.when(F.size("items") > 0, F.concat(F.array(F.lit("## 物件 명세")), F.flatten(each))))
     if photos is not None:
         parts.append(_section("## 사진", F.transform("_photos", lambda p: F.concat(F.lit("- "), p["photo_url"]))))
-    parts.append(_section("## 원본", _lines("- **BIT 사이트**: <https://www.bit.courts.go.jp/>", _text("  - 상세 페이지: ", page))))
+    where = _text(f"  - 매물 상세는 form POST 기반이라 직접 링크 불가. 본 사이트 상세 페이지 ({site}/jp/p/", unit, ") 사용 권장") if site else _text("  - 상세 페이지: ", page)
+    parts += [_section("## 원본", _lines("- **BIT 사이트**: <https://www.bit.courts.go.jp/>", where)), _footer(site, source and f"{source} 정보")]
     return rows.select("sale_unit_id", F.concat(F.coalesce(g("case_no"), unit), F.lit(".md")).alias("filename"), _document(*parts).alias("markdown"))
 
 

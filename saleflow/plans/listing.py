@@ -655,6 +655,54 @@ def _(t):
     return reports.kr_report(props, rounds, as_of=AS_OF)
 
 
+SITE, SOURCE = "https://listings.example", "courts.example"
+
+
+@query(
+    "a7_kr_sections",
+    """, k as (select *, o_orderkey as k, o_orderkey % 101 as score, cast(floor(appraisal_amount * 0.5) as bigint) as est, o_orderkey % 4 = 0 as won from props)
+ select docid, case_no || '.md' as filename, concat_ws(chr(10), '# 🇰🇷 ' || case_no, '', '> Generated from https://listings.example/p/' || docid, '', '## 메타', '- **사건번호**: `' || case_no || '`', '- **사건명**: —', '- **법원·경매계**: —', '- **접수일**: -', '- **용도**: —', '',
+ case when won then concat_ws(chr(10), '## 낙찰 완료', '- **낙찰가**: ' || """ + MONEY.format(v="est") + """ || ' (감정가의 50%)', '- **낙찰일**: 2001.05.06', '') end,
+ '## 주소', '- **행정 구역**: 서울 ' || sgg_code, case when lng is not null then concat_ws(chr(10), '- **좌표**: `' || (k % 30) || '.5, 127.25`', '  - [Naver 지도](https://map.naver.com/v5/?c=127.25,' || (k % 30) || '.5,18,0,0,0,dh)',
+ '  - [Google 지도](https://www.google.com/maps?q=' || (k % 30) || '.5,127.25&z=18)') end, '', '## 가격', '| 항목 | 값 |', '|---|---:|', '| 감정가 | ' || """ + MONEY.format(v="appraisal_amount") + """ || ' |', '| 최저매각가 | - |', '| 매각가율 | - |', '| 할인율 | - |', '| 유찰횟수 | — |', '| 매각기일 | - |', '| 매각결정기일 | - |', '',
+ '## 매수 안전도 (참고)', '- **점수**: ' || score || '/100 — ' || case when score >= 80 then '안전' when score >= 65 then '양호' when score >= 45 then '주의' else '위험' end || case k % 3 when 0 then ' (⚠ 상세정보 미확보, 잠정치)' when 1 then ' (건물 연식 정보 일부 부족)' else '' end,
+ case when k % 2 = 0 then '- **감점 요인**: 선순위 임차인(대항력) (−25점) · 초소형(30㎡ 이하) (−3점)' end, '- ※ 법적 위험 기반 점수 (가격 매력도 제외) — 입찰 판단은 권리분석 직접 확인 필수', '',
+ case when not won then concat_ws(chr(10), '## 낙찰 예상가 (베타)', '- **예상가**: ' || """ + MONEY.format(v="est") + """ || ' (감정가의 50.5%)', case when k % 5 <> 0 then '- **범위**: ' || """ + MONEY.format(v="est") + """ || ' ~ ' || """ + MONEY.format(v="appraisal_amount") + """ end,
+ '- **방법**: ' || case when k % 2 = 0 then '자체 낙찰 데이터 예측 모델' || case when k % 3 = 0 then ' (v20010901)' else '' end || ' · 학습 표본 ' || (k % 90) || '건' else '지역 평균 매각가율 추정 (모델 표본 부족 — 참고용)' end, '- ※ 통계 모델의 추정치이며 실제 낙찰가와 다를 수 있음. 입찰 판단 책임은 이용자에게 있음', '') end,
+ '## 감정평가 요항', '### 교통', '> 버스 ' || k, '> 지하철', '', '### 항목 00089999', '> 기타', '', '### 항목 4', '> 무', '', '## 임차인현황', '1. **소재지**: 주소 ' || k || ' · **other**: 7', '', '## 매각대상물', '1. **건물명**: 동 · **면적**: ' || (k % 70) || '㎡', '2. **지목**: 대', '',
+ case when k % 3 <> 0 then concat_ws(chr(10), '## 사진', '- a/1.jpg', '- a/2.jpg', '') end, '## 원본', '- **법원경매정보 (courts.example)**: 사건번호 `' || case_no || '`, 법원 `' || court_code || '`', '- **본 사이트 상세**: https://listings.example/p/' || docid, '',
+ '---', 'Exported from listings.example · 데이터는 공식 사이트(courts.example)를 우선 확인하세요') as markdown from k""",
+    "props",
+)
+def _(t):
+    c, k = F.col, F.col("o_orderkey")
+    part = lambda **v: F.struct(*(x.alias(n) for n, x in v.items()))
+    factor = lambda flag, n: part(flag=F.lit(flag), penalty=F.lit(n))
+    note = lambda code, text: part(aeeWevlMnpntItmCd=F.lit(code), aeeWevlMnpntCtt=text)
+    est = F.floor(c("appraisal_amount") * 0.5).cast("bigint")
+    detail = part(
+        aeeWevlMnpntLst=F.array(note("00083002", F.concat(F.lit(" 버스 "), k, F.lit("\n\n 지하철 "))), note("00089999", F.lit("기타")), note("00083001", F.lit("-.")), note(None, F.lit("무"))),
+        gdsRletStLtnoLstAll=F.array(part(rletStLtnoAddr=F.concat(F.lit("주소 "), k), other=F.lit("7"), inner=part(x=F.lit(1)))),
+        rgltLandLstAll=F.array(part(landArDts=F.lit(""))),
+        gdsDspslObjctLst=F.array(part(bldNm=F.lit("동"), objctArDts=F.concat(k % 70, F.lit("㎡")), ldcgDts=F.lit(None).cast("string")), part(bldNm=F.lit(None).cast("string"), objctArDts=F.lit(""), ldcgDts=F.lit("대"))),
+    )
+    score = part(
+        score=(k % 101).cast("int"), confidence=F.when(k % 3 == 0, "low").when(k % 3 == 1, "medium").otherwise("high"),
+        factors=F.when(k % 2 == 0, F.array(factor("senior_tenant", 25), factor("tiny_area", 3))).otherwise(F.array().cast("array<struct<flag:string,penalty:int>>")),
+    )
+    estimate_of = part(
+        est=est, low=F.when(k % 5 != 0, est), high=c("appraisal_amount"), rate_pct=F.lit(50.5), method=F.when(k % 2 == 0, "model").otherwise("region_avg"), samples=(k % 90).cast("int"),
+        model_version=F.when(k % 3 == 0, "v20010901"),
+    )
+    rows = t("props").select(
+        "docid", "case_no", "court_code", "appraisal_amount", F.concat(F.lit("서울 "), "sgg_code").alias("region"), F.when(c("lng").isNotNull(), 127.25).alias("lng"), ((k % 30) + 0.5).alias("lat"), (k % 4 == 0).alias("sold"), est.alias("sold_amount"),
+        F.lit("2001-05-06").cast("date").alias("sold_date"), score.alias("score"), estimate_of.alias("estimate"), F.to_json(detail).alias("detail"), "o_orderkey",
+    )
+    photos = rows.where("o_orderkey % 3 <> 0").select("docid", F.explode(F.array(*(part(seq=F.lit(n), storage_path=F.lit(p)) for n, p in ((2, "a/2.jpg"), (1, "a/1.jpg"), (3, None))))).alias("p")).select("docid", "p.*")
+    none = t("rounds").limit(0)
+    return reports.kr_report(rows.drop("o_orderkey"), none, photos, site=SITE, source=SOURCE)
+
+
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace({v}, '\\b0+([0-9]+)', '\\1', 'g'), '-0+\\b', '', 'g'), '\\s+', ' ', 'g'))"
 
 
