@@ -77,8 +77,13 @@ def register_candidates(props: DataFrame, register: DataFrame, as_of: str, limit
 
 
 def prior_round_ceiling(props: DataFrame, rounds: DataFrame) -> DataFrame:
-    """docid, ceiling: least price of rounds before the listing's sale date."""
-    earlier = props.select("docid", "sale_date").join(rounds.where("round_price > 0"), "docid").where("round_date < sale_date")
+    """docid, ceiling: least price of rounds before the listing's sale date.
+
+    Rounds are first one for each listing and day, combined before the shuffle, so a listing with very many rounds comes
+    to the join with no more rows than the calendar has days.
+    """
+    daily = rounds.where("round_price > 0").groupBy("docid", "round_date").agg(F.min("round_price").alias("round_price"))
+    earlier = props.select("docid", "sale_date").join(daily, "docid").where("round_date < sale_date")
     return earlier.groupBy("docid").agg(F.min("round_price").alias("ceiling"))
 
 

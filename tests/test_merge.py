@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from saleflow.operators import estimate, merge, windows
+from saleflow.operators import estimate, joins, merge, windows
 from saleflow.sources import commits, scan
 
 STATE = "id long, price long, status string, note string, last_seen string, deleted_at string"
@@ -108,3 +108,19 @@ def test_replacing_also_by_nothing(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
     out = merge.replace_partitions(old, old.where("k = 'a'").withColumn("v", F.lit(9)), old.where("k <> 'c'"), ["k"])
     assert sorted(map(tuple, out.collect())) == [("a", 9), ("c", 3)]
+
+
+def test_a_listing_with_half_of_all_rounds(spark):
+    """The hot listing meets the join with a row for each day, and the ceiling is the same."""
+    days = F.expr("date_add(date '2020-01-01', cast(id % 400 as int))")
+    rounds = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 500)).alias("docid"), days.alias("round_date"), (F.pmod(F.xxhash64("id"), F.lit(9999)) - 5).alias("round_price"))
+    props = rounds.groupBy("docid").agg(F.expr("date_add(min(round_date), 150)").alias("sale_date"))
+    got = {r.docid: r.ceiling for r in joins.prior_round_ceiling(props, rounds).collect()}
+    want: dict = {}
+    sale = {r.docid: r.sale_date for r in props.collect()}
+    for r in rounds.collect():
+        if r.round_price > 0 and r.round_date < sale[r.docid]:
+            want[r.docid] = min(r.round_price, want.get(r.docid, r.round_price))
+    assert got == want and len(got) > 400
+    plan = joins.prior_round_ceiling(props, rounds)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(round_price" in plan
