@@ -208,6 +208,35 @@ def _(t):
     return filters.filter_listings(t("props"), given, AS_OF).select("docid", "appraisal_amount", "fail_count")
 
 
+#: Sets of filters, and what they mean in SQL.
+FILTER_SETS = [
+    ({"court_code": "B000003", "sd_code": "12", "mode": "with_sold"}, f"court_code = 'B000003' and sd_code = '12' and {VISIBLE}"),
+    ({"sd_code": "11", "sgg_code": "002", "usage_mcl_cd": "20201"}, "sd_code = '11' and sgg_code = '002' and usage_mcl_cd = '20201' and deleted_on is null"),
+    ({"usage_scl_cd": "S3", "max_appraisal": 9000, "min_price": 100, "max_price": 20000}, "o_orderkey % 9 = 3 and appraisal_amount <= 90000000 and min_sale_price >= 1000000 and min_sale_price <= 200000000 and deleted_on is null"),
+    ({"max_fails": 1, "min_rate": 70, "max_rate": 85, "mode": "active"}, "fail_count <= 1 and rate >= 70 and rate <= 85 and deleted_on is null"),
+    ({"date_from": "1995-03-01", "date_to": "1995-09-30", "has_road": True, "mode": "sold_only", "upcoming": True}, "sale_date between date '1995-03-01' and date '1995-09-30' and o_orderkey % 4 <> 0 and sold"),
+    ({"has_road": False, "upcoming": True, "min_safety": 90}, f"o_orderkey % 4 = 0 and sale_date >= date '{AS_OF}' and safety >= 90 and deleted_on is null"),
+    ({"has_road": False, "min_fails": 0, "mode": "sold_only"}, "o_orderkey % 4 = 0 and sold"),
+]
+
+
+@query(
+    "c1_filter_sets",
+    ", r as (select *, round(cast(min_sale_price as double) / appraisal_amount * 100, 2) as rate from props) "
+    + " union all ".join(f"select {i} as filters, docid from r where {sql}" for i, (_, sql) in enumerate(FILTER_SETS)),
+    "props",
+)
+def _(t):
+    k = F.col("o_orderkey")
+    rows = t("props").withColumn("usage_scl_cd", F.concat(F.lit("S"), k % 9)).withColumn("road_addr", F.when(k % 4 != 0, F.col("road_addr")))
+    rows = rows.withColumn("sale_rate", sc.sale_rate_pct(F.col("min_sale_price"), F.col("appraisal_amount")))
+    out = None
+    for i, (given, _sql) in enumerate(FILTER_SETS):
+        some = filters.filter_listings(rows, given, AS_OF).select(F.lit(i).alias("filters"), "docid")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 @query("c2_keyword", "select docid, lot_addr from props where lot_addr ilike '%lot 12%' or road_addr ilike '%lot 12%' or conv_addr ilike '%lot 12%'", "props")
 def _(t):
     return t("props").where(filters.keyword("LOT 12%")).select("docid", "lot_addr")
@@ -544,6 +573,23 @@ def _(t):
     return scored.select("docid", F.col("s.score").cast("int").alias("score"), "s.confidence", "s.kind", factors.alias("factors"))
 
 
+@query(
+    "j2_places_and_shares",
+    """, p as (select *, case o_orderkey % 5 when 0 then '애월읍' when 1 then '화도면' when 2 then '신림동' end as emd, case when o_orderkey % 3 = 0 then '가평군' else '서초구' end as sgg, o_orderkey % 7 = 0 as share, concat_ws(' ', conv_addr, road_addr, building_summary) as one from props),
+ q as (select *, coalesce(regexp_matches(emd, '[읍면]$'), false) or sgg like '%군' or coalesce(lot_addr, '') like '%애월읍' as rural,
+ coalesce(usage_nm in ('단독주택', '다가구주택') and not share and concat_ws(' ', conv_addr, building_summary) not like '%집합건물%' and not (coalesce(conv_addr, '') like '%[토지%' and concat_ws(' ', conv_addr, building_summary) not like '%건물%'), false) as h from p)
+ select docid, array_to_string(list_sort(list_filter([case when usage_nm in ('단독주택', '다가구주택', '근린시설') and conv_addr like '%[건물%' and not share then 'whole_building' end,
+ case when h and regexp_matches(one, '별장|펜션|산장|리조트') then 'vacation_home' end, case when h and regexp_matches(one, '농가|축사|농장|농어촌') then 'farm_house' end,
+ case when h and (rural or regexp_matches(one, '전원|농가|농어촌')) then 'country_house' end, case when h and not (rural or regexp_matches(one, '전원|농가|농어촌')) then 'townhouse' end], lambda x : x is not null)), ',') as categories from q""",
+    "props",
+)
+def _(t):
+    c, k = F.col, F.col("o_orderkey")
+    emd, sgg = F.when(k % 5 == 0, "애월읍").when(k % 5 == 1, "화도면").when(k % 5 == 2, "신림동"), F.when(k % 3 == 0, "가평군").otherwise("서초구")
+    cats = rules.kr_categories(c("usage_nm"), c("conv_addr"), c("road_addr"), c("lot_addr"), c("building_summary"), emd, sgg, k % 7 == 0)
+    return t("props").select("docid", F.array_join(cats, ",").alias("categories"))
+
+
 @query(
     "j2_kr_categories",
     """select docid, array_to_string(list_sort(list_filter([case when usage_nm in ('단독주택', '다가구주택', '근린시설') and conv_addr like '%[건물%' then 'whole_building' end,

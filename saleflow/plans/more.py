@@ -187,6 +187,20 @@ def _(t):
     return t("props").select("docid", p.alias("p")).select("docid", F.round("p.lng", 5).alias("lng"), F.round("p.lat", 5).alias("lat"))
 
 
+@query(
+    "b8_grid_first",
+    GRID.rpartition(" select docid, case when ok")[0]
+    + """, x as (select p.docid, p.lng, p.lat, case when o_custkey % 3 <> 0 and b.lng between 124 and 132.5 and b.lat between 33 and 39 then b.lng end as glng, b.lat as glat from props p join b using (docid))
+ select docid, round(coalesce(glng, case when lng between 124 and 132 and lat between 33 and 39 then lng end), 5) as lng, round(case when glng is not null then glat when lng between 124 and 132 and lat between 33 and 39 then lat end, 5) as lat from x""",
+    "props",
+)
+def _(t):
+    k = c("o_custkey")
+    grid = lambda v: F.when(k % 3 != 0, v).otherwise(0.0)
+    p = katec.lnglat(grid(250_000.0 + k % 300 * 1000), grid(300_000.0 + k % 500 * 800), c("lng"), c("lat"))
+    return t("props").select("docid", p.alias("p")).select("docid", F.round("p.lng", 5).alias("lng"), F.round("p.lat", 5).alias("lat"))
+
+
 @query(
     "b8_fallback_coordinates",
     "select docid, case when ok then lng end as lng, case when ok then lat end as lat from (select *, coalesce(lng between 124 and 132 and lat between 33 and 39 and o_orderkey % 3 <> 0, false) as ok from props)",
