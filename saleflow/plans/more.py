@@ -649,3 +649,27 @@ def _(t):
     )
     photos = t("jp").where("photo_url is not null").select("sale_unit_id", lit(1).alias("seq"), "photo_url")
     return reports.jp_report(rows, photos)
+
+
+@query(
+    "a8_jp_sections",
+    "select sale_unit_id, coalesce(case_no, sale_unit_id) || '.md' as filename, concat_ws(chr(10), '# 🇯🇵 ' || coalesce(case_no, 'BIT ' || sale_unit_id), '', '> Generated from https://listings.example/jp/p/' || sale_unit_id, '', '## 메타', "
+    "'- **사건번호**: `' || coalesce(case_no, sale_unit_id) || '`', '- **법원**: —', '- **사건 종류**: ' || case o_orderkey % 3 when 0 then 'ケ (担保不動産競売)' when 1 then 'ヌ (強制競売)' when 2 then 'リ ' end, '- **종별**: —', "
+    "'- **상태**: ' || case o_orderkey % 4 when 0 then '評価再調整' when 1 then '再入札' when 2 then '中止' else 'unknown' end, "
+    "case when detail like '%true%' then '- 📑 **三点セット PDF 제공** — `https://listings.example/api/jp/pdf/' || sale_unit_id || '`' end, '- **BIT saleUnitId**: `' || sale_unit_id || '`', '', '## 3종 가격', '| 항목 | 금액 | 비고 |', '|---|---:|---|', "
+    "'| 売却基準価額 | — | 법원이 정한 기준가 |', '| 買受可能価額 | ' || " + YEN.format(v="standard_price") + " || ' | 매수 가능 최저가 (= 기준 × 80%) |', '| 買受申出保証金 | — | 입찰 보증금 (= 기준 × 20%) |', '| 鑑定評価額 | (미수집) | 상세 페이지 추가 정찰 필요 |', '', "
+    "'## 매각 일정', '- **公示開始日**: ' || strftime(fetched_on, '%Y-%m-%d'), '- **閲覧開始日**: —', '- **入札期間**: —', '- **開札期日**: ' || strftime(fetched_on, '%Y-%m-%d'), '- **売却決定期日**: ' || strftime(fetched_on, '%Y-%m-%d'), '- **特別売却期間**: ? ~ ' || strftime(fetched_on, '%Y-%m-%d'), '', "
+    "case when o_orderkey % 6 <> 5 or o_orderkey % 5 <> 4 then concat_ws(chr(10), '## 위치', case when o_orderkey % 6 <> 5 then concat_ws(chr(10), '- **좌표**: `35.5, 139.25` (WGS84)', '  - [Google 지도](https://www.google.com/maps?q=35.5,139.25&z=18)', "
+    "'  - [OpenStreetMap](https://www.openstreetmap.org/?mlat=35.5&mlon=139.25&zoom=18)') end, case when o_orderkey % 5 <> 4 then concat_ws(chr(10), '- **교통**:', '  - 駅 ' || o_orderkey, '  - バス') end, '') end, "
+    "'## 원본', '- **BIT 사이트**: <https://www.bit.courts.go.jp/>', '  - 매물 상세는 form POST 기반이라 직접 링크 불가. 본 사이트 상세 페이지 (https://listings.example/jp/p/' || sale_unit_id || ') 사용 권장', '', "
+    "'---', 'Exported from listings.example · 데이터는 BIT 사이트 정보를 우선 확인하세요') as markdown from jp",
+    "jp",
+)
+def _(t):
+    k, day = c("o_orderkey"), F.date_format("fetched_on", "yyyy-MM-dd")
+    rows = t("jp").select(
+        "sale_unit_id", "case_no", F.when(k % 3 == 0, "ケ").when(k % 3 == 1, "ヌ").otherwise("リ").alias("case_kind"), F.when(k % 4 == 0, "reval_pending").when(k % 4 == 1, "re_bid").when(k % 4 == 2, "aborted").otherwise("unknown").alias("status"),
+        (F.get_json_object("detail", "$.has_three_set_pdf") == "true").alias("has_three_set_pdf"), c("standard_price").alias("purchase_price"), day.alias("koji_start"), day.alias("open_date"), day.alias("decision_date"), day.alias("special_end"),
+        lit(None).cast("string").alias("special_start"), F.when(k % 6 != 5, 35.5).alias("lat"), lit(139.25).alias("lng"), F.when(k % 5 != 4, F.concat(lit(" 駅 "), k, lit("\n\nバス"))).alias("transit_info"),
+    )
+    return reports.jp_report(rows, site="https://listings.example", source="BIT 사이트")
