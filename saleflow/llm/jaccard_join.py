@@ -35,9 +35,9 @@ from .shingles import shingle_sets
 from .tokens import text_slices
 
 SLOTS, CHUNKS = 1 << 20, 64
-BLOCK_SETS, BLOCK_SHINGLES = 3000, 3_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 3000, 1_500_000
 #: UTF-8 bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 FANOUT = 16
 #: Buckets of one shingle beyond BUCKET are connected by a star, without a tree: exact too, as blocks are compared whole; those up to SMALL are tried pair by pair.
 BUCKET, SMALL = 20_000, 6

@@ -44,7 +44,7 @@ from .tokens import text_slices
 
 K, PERCENT, LINE_WORDS, WINDOW, SPREAD, RECALL = 5, 80, 20, 20, 20, 0.99
 #: UTF-8 bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
