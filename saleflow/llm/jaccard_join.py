@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import HOT_ROWS, HOT_SHARE, saved, split_by_keys
 from .components import components
 from .shingles import shingle_sets
-from .tokens import text_slices
+from .tokens import release, text_slices
 
 SLOTS, CHUNKS = 1 << 20, 64
 BLOCK_SETS, BLOCK_SHINGLES = 3000, 1_500_000
@@ -44,6 +44,7 @@ BUCKET, SMALL = 20_000, 6
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], text: int, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    release()
     for batch in batches:
         for first, n in text_slices(batch.column(text), SLICE_BYTES):
             part = batch.slice(first, n)

@@ -40,7 +40,7 @@ from .common import forget, join_on_hot, saved, split_by_keys
 from .components import components
 from .jaccard_join import BLOCK_SETS, BLOCK_SHINGLES, block_links
 from .shingles import _mix, shingle_hashes, word_hashes
-from .tokens import text_slices
+from .tokens import release, text_slices
 
 K, PERCENT, LINE_WORDS, WINDOW, SPREAD, RECALL = 5, 80, 20, 20, 20, 0.99
 #: UTF-8 bytes of text handled at once; a longer text is handled alone.
@@ -142,6 +142,7 @@ def units(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def unit_table(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start, n in text_slices(batch.column(1), SLICE_BYTES):
                 ids = batch.column(0).slice(start, n)
@@ -207,6 +208,7 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
             columns = [pa.array([x[c] for x in out], pa.int32() if 0 < c < 4 else pa.int64()) for c in range(5)]
             return pa.RecordBatch.from_arrays([*columns, pa.array([x[5] for x in out], pa.list_(pa.int64()))], names)
 
+        release()
         for batch in batches:
             for start, n in text_slices(batch.column(0), SLICE_BYTES):
                 part = batch.slice(start, n)
@@ -320,6 +322,7 @@ def dedup(docs: DataFrame, classes: bool = True) -> DataFrame:
     schema = T.StructType([T.StructField("row", row), *T._parse_datatype_string(found).fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start, n in text_slices(batch.column(0).field(at), SLICE_BYTES):
                 part = batch.slice(start, n)

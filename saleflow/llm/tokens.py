@@ -8,6 +8,8 @@ vocabularies runs of white space) go to the library whole, so every id is the li
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +31,14 @@ def encoder(path: str, memo_chunks: int = MEMO_CHUNKS, slice_bytes: int = SLICE_
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Give up the encoders of this worker. Spark's workers serve one stage after another: a stage that doesn't tokenize
+    needn't carry the memos of one that did."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """(first row, rows) of runs of about `limit` bytes each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
