@@ -28,13 +28,15 @@ from .tokens import encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, padded_length long"
 GROUP_PIECES = 20_000
+#: UTF-8 bytes of text tokenized at once.
+SLICE_BYTES = 4 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece of at most `capacity` ids; `with_ids` adds them (`ids`, little-endian uint32)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, slice_bytes=SLICE_BYTES)
         for batch in batches:
             flat, counts = encode(batch.column(1))
             keys, out, ids_out = batch.column(0).to_pylist(), [], []
