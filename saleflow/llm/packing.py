@@ -29,7 +29,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long, padded_length long"
 GROUP_PIECES = 20_000
 #: UTF-8 bytes of text tokenized at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 7 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
