@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,18 @@ def forget(*written: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(df: DataFrame, *written: DataFrame) -> DataFrame:
+    """`df` (a table of `saved`), once tables that it was made of are deleted with the shuffle files of the jobs before it.
+
+    Spark deletes shuffle files when the driver happens to collect the plans that made them; a driver with a large heap
+    may not do so within a run, so that the files of all steps would lie on the disks together.
+    """
+    forget(*written)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

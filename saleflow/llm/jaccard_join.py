@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, saved, split_by_keys
+from .common import HOT_ROWS, HOT_SHARE, forget, saved, split_by_keys, swept
 from .components import components
 from .shingles import shingle_sets
 from .tokens import release, text_slices
@@ -219,15 +219,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
         yield np.array([0, len(held[0])]), held, goes_on
 
 
-def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
+def class_table(sets: DataFrame) -> DataFrame:
+    """A row for each class: class_key, its least doc_id, n, prefix, often, bitmap."""
+    first = [F.first(c).alias(c) for c in ("n", "prefix", "often", "bitmap")]
+    return saved(sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), *first), "classes")
+
+
+def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes that connect all those with a common prefix shingle that their bitmaps let link.
 
     Prefix shingles are shuffled once. Buckets of up to SMALL classes give their pairs of fitting sizes, each of which is
     tried on bitmaps once; of larger buckets the classes go on to the trees, but for those beyond BUCKET, a star. Shingles
     of over BUCKET classes and HOT_SHARE of all (so fewer than 1 / HOT_SHARE) aren't shuffled: their stars are made by a broadcast.
     """
-    first = [F.first(c).alias(c) for c in ("n", "prefix", "often", "bitmap")]
-    classes = saved(sets.where("class_key is not null").groupBy("class_key").agg(*first), "classes")
     of = lambda c: classes.select(F.explode(c).alias("token"), "class_key", F.col("n").cast("int").alias("n"))
     centres = of("often").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("class_key").alias("least"))
     centres = saved(centres.where(F.col("m") > max(BUCKET, HOT_ROWS, int(classes.count() * HOT_SHARE))).drop("m"), "hot")
@@ -257,7 +261,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(pairs), pa.string()), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
 
     rows = tokens.repartition("token").sortWithinPartitions("token")
-    found = saved(rows.mapInArrow(buckets, "kind string, a long, b long"), "buckets")  # b of large: the shingle
+    found = swept(saved(rows.mapInArrow(buckets, "kind string, a long, b long"), "buckets"))  # b of large: the shingle
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,10 +302,13 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     of = lambda c: classes.select(F.col("class_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"m_{c}"))
     pairs = found.where("kind = 'pair'").select("a", "b").distinct()
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(prune, "a long, b long")
+    pairs = swept(saved(pairs, "pairs"))  # one kind after the other, so that their bitmaps aren't on disk together
     many = found.where("kind = 'large'").join(of("a"), "a").select(F.col("b").alias("token"), "a", "n_a", "m_a")
     many = many.repartition("token").sortWithinPartitions("token").mapInArrow(trees, "a long, b long")
+    many = swept(saved(many, "many"))
     stars = found.where("kind = 'star'").unionByName(hot).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.unionByName(many).unionByName(stars).distinct()
+    edges = saved(pairs.unionByName(many).unionByName(stars).distinct(), "candidates")
+    return swept(edges, centres, found, pairs, many)
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -355,12 +362,14 @@ def _parts(members: DataFrame) -> DataFrame:
     return blocks.select("block", (F.col("all") > 1).alias("cut"), F.when(F.col("all") > 1, F.col("parts")).otherwise(one).alias("parts"))
 
 
-def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes; enough of them to connect every two that are linked."""
-    blocks = components(candidate_edges(sets, percent))
-    classes = sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = blocks.join(classes.hint("merge"), blocks["node"] == classes["class_key"]).select("class_key", "doc_id", "n", F.col("component").alias("block"))
+def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes; enough of them to connect every two that are linked. `classes` is deleted on the way."""
+    candidates = candidate_edges(classes, percent)
+    blocks = components(candidates)
+    forget(candidates)
+    members = blocks.join(classes.select("class_key", "doc_id", "n").hint("merge"), F.col("node") == F.col("class_key")).select("class_key", "doc_id", "n", F.col("component").alias("block"))
     members = saved(members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / (-math.log(percent / 100) * 1.0001)).cast("long")), "blocks")
+    swept(members, classes)
     dealt = members.join(_parts(members), "block")
     size = F.when(F.col("cut"), F.col("size")).otherwise(0)
     own = size * PARTS + F.pmod(F.xxhash64("class_key"), F.col("parts")[size])
@@ -371,7 +380,7 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
 
     meets = [parts_of(size + d) for d in (-1, 0, 1)]
     dealt = dealt.select("class_key", "doc_id", "block", own.alias("own"), F.explode(F.concat(*meets)).alias("other"))
-    members = dealt.select("class_key", "doc_id", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    tasks = dealt.select("class_key", "doc_id", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -395,16 +404,22 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
                     held[key] = (s, own)
         yield from done()
 
-    members = saved(members.withColumnRenamed("doc_id", "of"), "members")
+    members = swept(saved(tasks.withColumnRenamed("doc_id", "of"), "members"), members)
     texts, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("doc_id"), members, F.col("of"))
     rows = texts.join(members.hint("merge"), F.col("doc_id") == F.col("of")).select("class_key", "block", "i", "j", "own", "text")
-    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(verify, "a long, b long")
+    rows = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return swept(saved(rows.mapInArrow(verify, "a long, b long"), "links"), members)
 
 
 def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (least doc_id that it reaches over links)."""
-    sets = set_table(docs, k, percent)
-    found = components(links(docs, sets, k, percent))
+    wide = set_table(docs, k, percent)
+    classes = class_table(wide)
+    sets = saved(wide.select("doc_id", "n", "class_key"), "narrow")
+    swept(sets, wide)
+    edges = links(docs, classes, k, percent)
+    found = components(edges)
+    forget(edges)
     classes = sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("least"))
     named = classes.join(found, classes["class_key"] == found["node"], "left")
     named = named.select("class_key", "least", F.coalesce("component", "class_key").alias("component"))
@@ -419,10 +434,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share a doc_id with each other and a group are one document; rows without words or doc_id all stay.
     """
-    found = saved(groups(docs, k, percent), "groups")
+    found = swept(saved(groups(docs, k, percent), "groups"))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("of"), F.lit(True).alias("goes"))
     again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("of"), F.lit(False).alias("goes"))
     touched = saved(gone.unionByName(again).groupBy("of").agg(F.max("goes").alias("goes")), "touched")
+    swept(touched, found)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     near, far = split_by_keys(whole, F.col("row.doc_id").cast("long"), touched, F.col("of"))  # the others stay as they are, without a shuffle
     rows = near.join(touched.hint("merge"), F.col("row.doc_id") == F.col("of"), "left")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, join_on_hot, saved, split_by_keys
+from .common import join_on_hot, saved, split_by_keys, swept
 from .components import components
 from .jaccard_join import BLOCK_SETS, BLOCK_SHINGLES, block_links
 from .shingles import _mix, shingle_hashes, word_hashes
@@ -163,10 +163,8 @@ def colliding(table: DataFrame) -> DataFrame:
     """Paragraphs by band (doc_id, first, end, key, band), but for most of the bands that stand in one document alone."""
     banded = table.select("doc_id", "first", "end", "key", F.explode("bands").alias("band"))
     seen = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
-    shared = saved(seen.where("low < top").select(F.col("band").alias("of")), "bands")
-    found = saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding")
-    forget(shared)
-    return found
+    shared = swept(saved(seen.where("low < top").select(F.col("band").alias("of")), "bands"))
+    return swept(saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding"), shared)
 
 
 def _connected(sets: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, int]]:
@@ -195,7 +193,7 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
     parts = F.ceil(F.greatest(F.col("lines") / BLOCK_SETS, F.col("n") / BLOCK_SHINGLES)).cast("int")
     buckets = buckets.select("band", F.xxhash64("of", "lines", parts).alias("block"), parts.alias("parts"))
     members = banded.join(buckets.hint("merge"), "band").groupBy("key").agg(F.collect_set(F.struct("block", "parts")).alias("blocks"))  # at most BANDS
-    members = saved(members, "members")
+    members = swept(saved(members, "members"))
     wanted, _ = split_by_keys(table.select("key", "doc_id", "first", "end"), F.col("key"), members.select(F.col("key").alias("of")), F.col("of"))
     places = wanted.groupBy("key").agg(F.min(F.struct("doc_id", "first", "end")).alias("u"))
     places = places.join(members.hint("merge"), "key").select("key", "u.doc_id", "u.first", "u.end", "blocks")
@@ -250,23 +248,25 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     mine = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "end", "blocks")).alias("mine"))  # a document's own paragraphs
-    mine = saved(mine.withColumnRenamed("doc_id", "of"), "places")
+    mine = swept(saved(mine.withColumnRenamed("doc_id", "of"), "places"), members)
     near, _ = split_by_keys(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("doc_id"), mine, F.col("of"))
     texts = near.join(mine.hint("merge"), F.col("doc_id") == F.col("of")).select("text", "mine")
     tasks = texts.mapInArrow(sets, "block long, i int, j int, side int, key long, s array<bigint>")
     tasks = tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return tasks.mapInArrow(compare, "a long, b long").distinct()
+    return swept(saved(tasks.mapInArrow(compare, "a long, b long").distinct(), "links"), mine)
 
 
 def removals(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Per paragraph of `unit_table` that goes: doc_id, first and end word, and the doc_id that keeps it (`source`)."""
     collided = colliding(table)
     keys = saved(collided.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "keys")
-    named = keys.join(components(similar(docs, collided)).hint("merge"), F.col("key") == F.col("node"), "left")
+    edges = similar(docs, collided)
+    named = keys.join(components(edges).hint("merge"), F.col("key") == F.col("node"), "left")
     named = saved(named.select("key", "low", "top", "n", F.coalesce("component", "key").alias("cluster")), "clusters")
-    forget(collided, keys)
+    swept(named, collided, keys, edges)
     sources = named.groupBy("cluster").agg(F.min("low").alias("source"), F.max("top").alias("last")).where("source < last")
     kept = saved(named.join(sources.drop("last").hint("merge"), "cluster").select("key", "source", "n"), "kept")
+    swept(kept, named)
     rows, _ = split_by_keys(table.select("doc_id", "first", "end", "key"), F.col("key"), kept.select(F.col("key").alias("of")), F.col("of"))
     total = kept.agg(F.sum("n").alias("n")).first().n or 0
     return join_on_hot(rows, kept, "key", "n", total).where("doc_id > source").select("doc_id", "first", "end", "source")
@@ -304,7 +304,7 @@ def dedup(docs: DataFrame, classes: bool = True) -> DataFrame:
     table = unit_table(docs)
     parts = removals(docs, table).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end", "source")).alias("parts"))
     parts = saved(parts.withColumnRenamed("doc_id", "of"), "parts")  # a document's own paragraphs
-    forget(table)
+    swept(parts, table)
     if classes:
         named = components(parts.select(F.col("of").alias("a"), F.explode("parts.source").alias("b")))
         both = parts.join(named.hint("merge"), F.col("of") == F.col("node"), "full_outer")
