@@ -113,3 +113,16 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float, widest: float
     b = renamed.select(*renamed.columns, *place(renamed, "r_")).withColumnsRenamed({"x": "_x", "y": "_y"})
     apart = haversine_m(F.col("lng"), F.col("lat"), F.col("r_lng"), F.col("r_lat"))
     return a.join(b, ["_x", "_y"]).drop("_x", "_y").withColumn("metres", apart).where(F.col("metres") <= metres)
+
+
+def radius_totals(left: DataFrame, right: DataFrame, metres: float, totals: list[Column], merged: list[Column]) -> DataFrame:
+    """Rows of `left` that have rows of `right` within a radius, with `totals` of those; `merged` adds up totals of points.
+
+    Rows of one place have the same neighbours: places are compared, each once, whatever number of rows stands there.
+    """
+    known = "lng is not null and lat is not null"
+    there = right.where(known).groupBy("lng", "lat").agg(*totals)
+    pairs = radius_join(left.where(known).select("lng", "lat").distinct(), there, metres)
+    back = {f"r_{c}": c for c in there.columns if c not in ("lng", "lat")}
+    found = pairs.select("lng", "lat", *(F.col(a).alias(b) for a, b in back.items())).groupBy("lng", "lat").agg(*merged)
+    return left.join(found, ["lng", "lat"])
