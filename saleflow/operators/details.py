@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from saleflow.functions import scalars as sc
 from saleflow.operators.windows import dedupe_last
+from saleflow.shared import once
 from saleflow.sources.scan import _key
 
 
 def to_sale_results(scan: DataFrame, order: list[str], row: str = "row") -> DataFrame:
     """Closed-sale rows, last wins on docid."""
+    scan = once(scan, row)  # all fields are read from it
     r = F.col(row)
     out = scan.select(
         _key(r, "docid").alias("docid"), _key(r, "boCd", "cortOfcCd").alias("court_code"), _key(r, "srnSaNo").alias("case_no"), _key(r, "daepyoSidoCd").alias("sd_code"),

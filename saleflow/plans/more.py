@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from saleflow.functions import katec, rules
 from saleflow.functions import scalars as sc
 from saleflow.operators import details, filters, joins, merge, reports, stats
-from saleflow.shared import shared_folder
+from saleflow.shared import once, shared_folder
 from saleflow.sources import cards, scan
 
 from .listing import ORACLES, QUERIES, REGION, VISIBLE, query, text
@@ -275,7 +275,8 @@ def _(t):
         lit("dealDay"), F.when(c("l_suppkey") % 5 == 0, "3일").otherwise(F.dayofmonth("l_shipdate").cast("string")),
     )
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return t("lineitem_rows").select(*keys, details.normalize_deal(row).alias("d")).select(*keys, "d.name", "d.area", "d.amount", text("d.deal_date").alias("deal_date"))
+    deals = once(t("lineitem_rows").select(*keys, row.alias("row")), "row")
+    return deals.select(*keys, details.normalize_deal(c("row")).alias("d")).select(*keys, "d.name", "d.area", "d.amount", text("d.deal_date").alias("deal_date"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from saleflow.functions import katec
 from saleflow.functions import scalars as sc
 from saleflow.operators.windows import dedupe_last
+from saleflow.shared import once
 
 from . import commits
 
@@ -136,14 +137,15 @@ def photo_manifest(details: DataFrame, keys: tuple[str, str, str] = ("court_code
     rows = rows if first is None else F.slice(rows, 1, first)
     out = details.select(*keys, F.posexplode(rows).alias("place", "r"))
     r = F.col("r")
-    seq = sc.to_int(sc.first_truthy(*(sc.truthy(F.try_element_at(r, F.lit(k))) for k in ("cortAuctnPicSeq", "picSeq", "seq"))))
-    seq = F.when(seq != 0, seq).otherwise(F.col("place") + 1)
-    title = F.try_element_at(r, F.lit("picTitlNm"))
-    ending = F.lower(F.regexp_extract(title, r"\.([^.]*)$", 1))
+    given = sc.to_int(sc.first_truthy(*(sc.truthy(F.try_element_at(r, F.lit(k))) for k in ("cortAuctnPicSeq", "picSeq", "seq"))))
+    ending = F.lower(F.regexp_extract(F.try_element_at(r, F.lit("picTitlNm")), r"\.([^.]*)$", 1))
+    size = F.octet_length(F.try_to_binary(F.regexp_replace(F.try_element_at(r, F.lit("picFile")), r"^data:[^,]*,", ""), F.lit("base64")))
+    out = once(out.select(*keys, "place", "r", given.alias("given"), ending.alias("ending"), size.alias("n")), "given", "ending", "n")
+    seq = F.when(F.col("given") != 0, F.col("given")).otherwise(F.col("place") + 1)
+    ending, n = F.col("ending"), F.col("n")
     path = [F.col(court), ascii_name(F.col(case)), F.col(item).cast("string")]
     number = F.when(seq < 10, F.concat(F.lit("0"), seq.cast("string"))).otherwise(seq.cast("string"))
     name = F.concat(number, F.lit("."), F.when(ending.rlike("^[a-z0-9]{1,5}$"), ending).otherwise("jpg"))
-    n = F.octet_length(F.try_to_binary(F.regexp_replace(F.try_element_at(r, F.lit("picFile")), r"^data:[^,]*,", ""), F.lit("base64")))
     return out.select(
         *keys, seq.alias("seq"), _key(r, "cortAuctnPicDvsCd").alias("kind"), _key(r, "picDesc", "picTitlNm").alias("description"), n.alias("n_bytes"),
         F.coalesce(n >= least, F.lit(False)).alias("ok"), F.when(n.isNotNull(), F.concat_ws("/", *path, name)).alias("storage_path"),
