@@ -3,7 +3,7 @@
 Rows are binned once and written: numbers by quantiles of the training rows, missing ones in bin 0; codes by the frozen
 levels of the training rows, in the order of their mean target, with unseen and empty codes in bin 0 too (level -1).
 For each level of a tree one job counts, per quantile, node, feature and bin, the rows and those below their prediction;
-the counts are whole numbers, summed over the partitions before the shuffle, so the trees don't depend on how rows are dealt.
+the rows' predictions are kept beside the bins and carried on by a tree at a time; the counts are whole numbers, summed over the partitions before the shuffle, so the trees don't depend on how rows are dealt.
 The gradient of the pinball loss at q is q for a row at or above its prediction, q - 1 below. A split maximises the sum of
 squared gradients over rows; a leaf's step is the q-quantile of its rows' residuals, from counts on a grid. All that comes to
 the driver are these counts: quantiles x nodes x features x 256 bins at most.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleflow.shared import shared_folder
+from saleflow.shared import shared_folder, spread
 
 QUANTILES = (0.1, 0.5, 0.9)
 #: Trees, their depth, the share of a leaf's step that is taken, and rows that both sides of a split need.
@@ -54,9 +54,12 @@ class Trees:
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         """A column for each quantile."""
-        out = np.tile(np.array(self.start), (len(bins), 1))
+        return self.add(np.tile(np.array(self.start), (len(bins), 1)), bins)
+
+    def add(self, out: np.ndarray, bins: np.ndarray, first: int = 0) -> np.ndarray:
+        """`out` with the steps of the trees from `first` on, in their order."""
         for q, trees in enumerate(self.trees):
-            for tree in trees:
+            for tree in trees[first:]:
                 out[:, q] += tree[2][leaves(bins, tree[0], tree[1])]
         return out
 
@@ -84,15 +87,14 @@ def best_split(below: np.ndarray, n: np.ndarray, q: float, least: int) -> tuple[
 
 
 def _counted(rows: DataFrame, count, width: int) -> np.ndarray:
-    """Sums over all partitions of `count(bins, target)`: arrays of (key, values...) per batch; `width` keys."""
+    """Sums over all partitions of `count(bins, target, predictions)`: arrays of (key, values...) per batch; `width` keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, width), np.int64)
         for batch in batches:
             y = batch.column(0).to_numpy()
-            bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(y), -1)
             if len(y):
-                sums += count(bins, y)
+                sums += count(_packed(batch.column(1)), y, _packed(batch.column(2), np.float64) if batch.num_columns > 2 else None)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["key", "n", "below"])
 
@@ -103,6 +105,11 @@ def _counted(rows: DataFrame, count, width: int) -> np.ndarray:
     return out
 
 
+def _packed(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    """A row of numbers for each binary of the column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def _quantile_of(counts: np.ndarray, q: float) -> float:
     """The q-quantile of residuals counted by cell, at the middle of its cell."""
     total = counts.sum()
@@ -149,27 +156,39 @@ def fit(rows: DataFrame, numbers: list[str], codes: list[str], target: str, roun
     rows.select(F.col(target).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in numbers), *codes).write.parquet(f"{folder}/rows")
     raw = spark.read.parquet(f"{folder}/rows")
     model = frozen(raw, numbers, codes, "y")
-    encoded(model, raw, ["y"]).write.parquet(f"{folder}/bins")
+    encoded(model, spread(raw, *numbers[:1], "y"), ["y"]).write.parquet(f"{folder}/bins")
     data = spark.read.parquet(f"{folder}/bins")
     nq, nf = len(quantiles), len(numbers) + len(codes)
     model.quantiles, model.start, model.trees = quantiles, [0.0] * nq, [[] for _ in quantiles]
 
-    def residuals(bins: np.ndarray, y: np.ndarray, own: Trees = model) -> np.ndarray:
-        return y[:, None] - own.predict(bins)
+    def advanced(rows: DataFrame, first: int, at: int) -> DataFrame:
+        """The rows with the predictions of the trees so far, written: each tree is tried on a row once."""
+        own = Trees(numbers, codes, start=list(model.start), trees=[list(x) for x in model.trees])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    bins = _packed(batch.column(1))
+                    out = own.add(_packed(batch.column(2), np.float64).copy(), bins, first) if batch.num_columns > 2 else own.predict(bins)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r.tobytes() for r in out], pa.binary())], ["y", "bins", "p"])
+
+        rows.mapInArrow(run, "y double, bins binary, p binary").write.parquet(f"{folder}/at{at}")
+        return spark.read.parquet(f"{folder}/at{at}")
 
-    def whole(bins: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def whole(bins: np.ndarray, y: np.ndarray, _) -> np.ndarray:
         n = np.bincount(_cells(y), minlength=2 * CELLS)
         return np.stack([n, n * 0])
 
     first = _counted(data, whole, 2 * CELLS)[0]
     model.start = [_quantile_of(first, q) for q in quantiles]
-    for _ in range(rounds):
+    data = advanced(data, 0, 0)
+    for made in range(1, rounds + 1):
         tree = [(np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, 255, np.int64)) for _ in quantiles]
         for level in range(depth):
             nodes = 2**level
 
-            def level_counts(bins: np.ndarray, y: np.ndarray, tree=tree, nodes=nodes) -> np.ndarray:
-                below = residuals(bins, y) < 0
+            def level_counts(bins: np.ndarray, y: np.ndarray, p: np.ndarray, tree=tree, nodes=nodes) -> np.ndarray:
+                below = y[:, None] - p < 0
                 sums = np.zeros((2, nq * nodes * nf * 256), np.int64)
                 for q, (feature, cut) in enumerate(tree):
                     node = leaves(bins, feature[: nodes - 1], cut[: nodes - 1]) if nodes > 1 else np.zeros(len(y), np.int64)
@@ -183,8 +202,8 @@ def fit(rows: DataFrame, numbers: list[str], codes: list[str], target: str, roun
                 for k in range(nodes):
                     feature[nodes - 1 + k], cut[nodes - 1 + k] = best_split(below[q, k], n[q, k], quantiles[q], least)
 
-        def leaf_counts(bins: np.ndarray, y: np.ndarray, tree=tree) -> np.ndarray:
-            cell = _cells(residuals(bins, y))
+        def leaf_counts(bins: np.ndarray, y: np.ndarray, p: np.ndarray, tree=tree) -> np.ndarray:
+            cell = _cells(y[:, None] - p)
             n = np.zeros(nq * 2**depth * 2 * CELLS, np.int64)
             for q, (feature, cut) in enumerate(tree):
                 n += np.bincount((q * 2**depth + leaves(bins, feature, cut)) * 2 * CELLS + cell[:, q], minlength=len(n))
@@ -194,6 +213,8 @@ def fit(rows: DataFrame, numbers: list[str], codes: list[str], target: str, roun
         for q, (feature, cut) in enumerate(tree):
             steps = np.array([rate * _quantile_of(cells[q, k], quantiles[q]) for k in range(2**depth)])
             model.trees[q].append((feature, cut, steps))
+        if made < rounds:
+            data = advanced(data, made - 1, made)
     return model
 
 
@@ -208,4 +229,4 @@ def predict(model: Trees, rows: DataFrame, key: str) -> DataFrame:
 
     narrow = rows.select(key, *(F.col(c).cast("double").alias(c) for c in model.numbers), *model.codes)
     kind = dict(narrow.dtypes)[key]
-    return encoded(model, narrow, [key]).mapInArrow(run, f"`{key}` {kind}, values array<double>")
+    return encoded(model, spread(narrow, key), [key]).mapInArrow(run, f"`{key}` {kind}, values array<double>")
