@@ -13,6 +13,7 @@ ICONS = {"danger": "🔴", "warn": "🟠", "info": "🔵"}
 CHECK_NOTE = "- ※ 자동 추출 — 정확한 권리분석은 매각물건명세서·등기부등본 직접 확인"
 SCORE_NOTE = "- ※ 법적 위험 기반 점수 (가격 매력도 제외) — 입찰 판단은 권리분석 직접 확인 필수"
 ESTIMATE_NOTE = "- ※ 통계 모델의 추정치이며 실제 낙찰가와 다를 수 있음. 입찰 판단 책임은 이용자에게 있음"
+NOTES = "aeeWevlMnpntLst"
 LISTS = {"gdsRletStLtnoLstAll": "임차인현황", "rgltLandLstAll": "등기부 / 토지 권리", "gdsDspslObjctLst": "매각대상물"}
 #: Headings of appraisal items by their code, names of the fields of a detail's lists, names of the flags.
 APPRAISALS = {
@@ -45,19 +46,30 @@ def _or(c: Column, other: str = NONE) -> Column:
 
 
 def _lines(*lines: Column | str) -> Column:
-    some = F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines))
-    return F.filter(some.cast("array<string>"), lambda x: x.isNotNull())
+    """Texts and arrays of texts, a line each; nulls are left out, and of nothing comes an empty text."""
+    return F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
 
 
-def _section(title: str, lines: Column, note: str | None = None) -> Column:
+def _section(title: str, lines: Column, note: str | None = None) -> tuple[str, Column, str | None]:
     """Title, lines, note and an empty line; nothing where there are no lines."""
-    parts = [F.array(F.lit(title)), lines, F.array(*([F.lit(note)] if note else []), F.lit(""))]
-    return F.when(F.size(lines) > 0, F.concat(*parts)).otherwise(F.array().cast("array<string>"))
+    return title, lines, note
 
 
-def _document(*parts: Column) -> Column:
-    empty = F.array().cast("array<string>")
-    return F.array_join(F.concat(*(F.coalesce(p, empty) for p in parts)), "\n")
+def _document(rows: DataFrame, name: str, filename: Column, parts: list) -> DataFrame:
+    """Name, filename and markdown: the parts (texts and sections), one below the other; null ones are left out.
+
+    Their texts are columns of a select of their own, so that a section that asks whether it has lines doesn't make them twice.
+    """
+    texts = [p if isinstance(p, Column) else p[1] for p in parts]
+    made = rows.select(name, filename.alias("filename"), *(x.alias(f"_part{i}") for i, x in enumerate(texts)))
+
+    def told(part, x: Column) -> Column:
+        if isinstance(part, Column):
+            return x
+        title, _, note = part
+        return F.when(x != "", _lines(title, x, *([note] if note else []), ""))
+
+    return made.select(name, "filename", _lines(*(told(p, F.col(f"_part{i}")) for i, p in enumerate(parts))).alias("markdown"))
 
 
 def _split(text: Column, before: str) -> Column:
@@ -71,10 +83,10 @@ def _named(code: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), code)
 
 
-def _footer(site: str, source: str) -> Column:
+def _footer(site: str, source: str) -> list[Column]:
     """The last lines, where the site that publishes and the official source are known."""
     host = site.split("://")[-1].strip("/")
-    return _lines("---", f"Exported from {host} · 데이터는 {source}를 우선 확인하세요") if site and source else F.array().cast("array<string>")
+    return [_lines("---", f"Exported from {host} · 데이터는 {source}를 우선 확인하세요")] if site and source else []
 
 
 def _getter(df: DataFrame):
@@ -87,9 +99,9 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.when((part != 0) & (whole != 0), _text(" (감정가의 ", sc.js_round(part / whole * 100), "%)")), F.lit(""))
 
 
-def _listed(detail: Column, key: str) -> Column:
-    """Numbered lines of the plain values of each entry of a list in a detail JSON."""
-    rows = F.from_json(F.get_json_object(detail, f"$.{key}"), "array<map<string,string>>")
+def _listed(entries: Column) -> Column:
+    """Numbered lines of the plain values of each entry of a JSON list."""
+    rows = F.from_json(entries, "array<map<string,string>>")
     plain = F.transform(rows, lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & (v != "") & ~v.rlike(r"^[\[{]")))
     some = F.filter(plain, lambda m: F.size(m) > 0)
     told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit("**"), F.coalesce(_named(e["key"], FIELDS), e["key"]), F.lit("**: "), e["value"])), " · ")
@@ -123,33 +135,32 @@ def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = No
         _text("- **사건번호**: `", _or(case), "`", item), _text("- **사건명**: ", _or(g("case_name"))), _text("- **법원·경매계**: ", _or(sc.truthy(court))),
         _text("- **접수일**: ", sc.fmt_date(g("received", "date"))), _text("- **용도**: ", _or(F.coalesce(g("usage_label"), g("usage_nm")))),
     )
+    once = {"_lien": sc.primary_lien(g("primary_liens"))}  # what the document names more than once
     won = F.coalesce(g("sold", "boolean"), F.lit(False))
     amount = g("sold_amount", "bigint")
     sold = F.when(won, _lines(_text("- **낙찰가**: ", sc.money(amount), _share(amount, ap)), _text("- **낙찰일**: ", F.date_format(g("sold_date", "date"), "yyyy.MM.dd"))))
     status, reason = sc.case_status(g("progress"), g("suspension")), sc.suspension_reason(g("suspension"), g("reason"))
-    rate, lien = sc.deposit_rate(g("deposit_rate")), sc.primary_lien(g("primary_liens"))
+    rate, lien = sc.deposit_rate(g("deposit_rate")), F.col("_lien")
     days = sc.d_day(g("sale_date", "date"), as_of) if as_of else F.lit(None).cast("int")
     icons = F.create_map(*(F.lit(x) for kv in ICONS.items() for x in kv))
-    badges = F.transform(sc.remark_badges(g("remark")), lambda b: F.concat(F.try_element_at(icons, b["level"]), F.lit(" "), b["label"]))
+    once["_badges"] = F.transform(sc.remark_badges(g("remark")), lambda b: F.concat(F.try_element_at(icons, b["level"]), F.lit(" "), b["label"]))
     later = F.size(lien["others"])
     special = g("special_remark")
     special = F.when(~F.trim(special).isin("", "-"), special)
-    key = F.concat(
-        _lines(
-            _text("- **매각기일까지**: ", sc.d_day_label(days), " (", sc.fmt_date(g("sale_date", "date")), ")"),
-            _text("- **진행 상태**: ", status, F.coalesce(_text(" · ", reason), F.lit(""))),
-            _text("- **매수신청 보증금**: ", F.regexp_replace(rate.cast("string"), r"\.0$", ""), "%", F.when(rate != 10, " (특별매각조건)").otherwise("")),
-            F.when(F.size(badges) > 0, _text("- **물건 비고 배지**: ", F.array_join(badges, " · "))),
-            _text("- **말소기준권리 (후보)**: ", lien["date"], " ", lien["kind"], F.when(later > 0, _text(" (후순위 ", later, "건)")).otherwise("")),
-        ),
-        F.coalesce(F.transform(F.slice(lien["others"], 1, 5), lambda o: F.concat(F.lit("  - 후순위: "), o)), F.array().cast("array<string>")),
-        F.when(special.isNotNull(), F.concat(F.array(F.lit("- **물건 특정 비고**:")), _split(special, "  > "))).otherwise(F.array().cast("array<string>")),
+    key = _lines(
+        _text("- **매각기일까지**: ", sc.d_day_label(days), " (", sc.fmt_date(g("sale_date", "date")), ")"),
+        _text("- **진행 상태**: ", status, F.coalesce(_text(" · ", reason), F.lit(""))),
+        _text("- **매수신청 보증금**: ", F.regexp_replace(rate.cast("string"), r"\.0$", ""), "%", F.when(rate != 10, " (특별매각조건)").otherwise("")),
+        F.when(F.size("_badges") > 0, _text("- **물건 비고 배지**: ", F.array_join("_badges", " · "))),
+        _text("- **말소기준권리 (후보)**: ", lien["date"], " ", lien["kind"], F.when(later > 0, _text(" (후순위 ", later, "건)")).otherwise("")),
+        F.transform(F.slice(lien["others"], 1, 5), lambda o: F.concat(F.lit("  - 후순위: "), o)),
+        F.when(special.isNotNull(), "- **물건 특정 비고**:"), F.when(special.isNotNull(), _split(special, "  > ")),
     )
     lng, lat = g("lng", "double"), g("lat", "double")
     place = _lines(
-        _text("- **도로명**: ", g("road_addr")), _text("- **지번**: ", g("lot_addr")), _text("- **행정 구역**: ", sc.truthy(g("region"))),
+        "## 주소", _text("- **도로명**: ", g("road_addr")), _text("- **지번**: ", g("lot_addr")), _text("- **행정 구역**: ", sc.truthy(g("region"))),
         _text("- **표시 주소**: ", g("conv_addr")), _text("- **좌표**: `", lat, ", ", lng, "`"),
-        _text("  - [Naver 지도](https://map.naver.com/v5/?c=", lng, ",", lat, ",18,0,0,0,dh)"), _text("  - [Google 지도](https://www.google.com/maps?q=", lat, ",", lng, "&z=18)"),
+        _text("  - [Naver 지도](https://map.naver.com/v5/?c=", lng, ",", lat, ",18,0,0,0,dh)"), _text("  - [Google 지도](https://www.google.com/maps?q=", lat, ",", lng, "&z=18)"), "",
     )
     claim = g("claim", "bigint")
     price = _lines(
@@ -158,12 +169,12 @@ def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = No
         _text("| 유찰횟수 | ", _or(_text(g("fail_count", "int"), "회")), " |"), F.when(claim > 0, _text("| 청구금액 | ", sc.money(claim), _share(claim, ap), " |")),
         _text("| 매각기일 | ", sc.fmt_date(g("sale_date", "date")), " |"), _text("| 매각결정기일 | ", sc.fmt_date(g("sale_decision_date", "date")), " |"),
     )
-    parts = [head, _section("## 메타", meta), _section("## 낙찰 완료", sold), _section("## 입찰 전 핵심 정보", key, CHECK_NOTE), F.concat(F.array(F.lit("## 주소")), place, F.array(F.lit(""))), _section("## 가격", price)]
+    parts = [head, _section("## 메타", meta), _section("## 낙찰 완료", sold), _section("## 입찰 전 핵심 정보", key, CHECK_NOTE), place, _section("## 가격", price)]
     if "score" in props.columns:
         s = F.col("score")
         doubt = F.when(s["confidence"] == "low", " (⚠ 상세정보 미확보, 잠정치)").when(s["confidence"] == "medium", " (건물 연식 정보 일부 부족)").otherwise("")
-        why = F.array_join(F.transform(s["factors"], lambda f: F.concat(F.coalesce(_named(f["flag"], FLAGS), f["flag"]), F.lit(" (−"), f["penalty"].cast("string"), F.lit("점)"))), " · ")
-        lines = _lines(_text("- **점수**: ", s["score"], "/100 — ", sc.score_grade(s["score"]), doubt), _text("- **감점 요인**: ", sc.truthy(why)))
+        once["_why"] = F.array_join(F.transform(s["factors"], lambda f: F.concat(F.coalesce(_named(f["flag"], FLAGS), f["flag"]), F.lit(" (−"), f["penalty"].cast("string"), F.lit("점)"))), " · ")
+        lines = _lines(_text("- **점수**: ", s["score"], "/100 — ", sc.score_grade(s["score"]), doubt), _text("- **감점 요인**: ", sc.truthy(F.col("_why"))))
         parts.append(_section("## 매수 안전도 (참고)", lines, SCORE_NOTE))
     if "estimate" in props.columns:
         e = F.col("estimate")
@@ -176,24 +187,24 @@ def kr_report(props: DataFrame, rounds: DataFrame, photos: DataFrame | None = No
         )
         parts.append(_section("## 낙찰 예상가 (베타)", F.when(~won & e["est"].isNotNull(), lines), ESTIMATE_NOTE))
     built = _lines(_text("- **건물 요약**: ", g("building_summary")), _text("- **면적 요약**: ", g("area_summary")))
-    turns = F.transform("_rounds", lambda r: r["line"])
-    turns = F.when(F.size(turns) > 0, F.concat(F.array(F.lit("| 회차 | 기일 | 장소 | 최저가 | 결과 |"), F.lit("|---:|---|---|---:|---|")), turns))
+    turns = F.when(F.size("_rounds") > 0, _lines("| 회차 | 기일 | 장소 | 최저가 | 결과 |", "|---:|---|---|---:|---|", F.transform("_rounds", lambda r: r["line"])))
     parts += [_section("## 건물·면적", built), _section("## 매각기일 이력", turns)]
     if "detail" in props.columns:
-        notes = F.from_json(F.get_json_object("detail", "$.aeeWevlMnpntLst"), "array<struct<aeeWevlMnpntItmCd:string,aeeWevlMnpntCtt:string>>")
-        real = F.filter(F.transform(notes, lambda n, i: F.struct(n.alias("n"), (i + 1).alias("i"))), lambda x: ~F.trim(x["n"]["aeeWevlMnpntCtt"]).isin("", "-", "-."))
+        listed = [NOTES, *LISTS]
+        rows = rows.select("*", F.json_tuple("detail", *listed).alias(*(f"_{k}" for k in listed)))  # read once for all lists
+        once["_notes"] = F.from_json(f"_{NOTES}", "array<struct<aeeWevlMnpntItmCd:string,aeeWevlMnpntCtt:string>>")
+        real = F.filter(F.transform("_notes", lambda n, i: F.struct(n.alias("n"), (i + 1).alias("i"))), lambda x: ~F.trim(x["n"]["aeeWevlMnpntCtt"]).isin("", "-", "-."))
         code = lambda x: sc.truthy(x["n"]["aeeWevlMnpntItmCd"])
         title = lambda x: F.coalesce(_named(code(x), APPRAISALS), _text("항목 ", F.coalesce(code(x), x["i"].cast("string"))))
-        told = lambda x: F.concat(F.array(_text("### ", title(x))), _split(x["n"]["aeeWevlMnpntCtt"], "> "), F.array(F.lit("")))
-        appraised = F.flatten(F.transform(real, told))
-        parts.append(F.when(F.size(notes) > 0, F.concat(F.array(F.lit("## 감정평가 요항")), appraised)))
-        parts += [_section(f"## {title}", _listed(F.col("detail"), k)) for k, title in LISTS.items()]
+        told = lambda x: _lines(_text("### ", title(x)), _split(x["n"]["aeeWevlMnpntCtt"], "> "), "")
+        parts.append(F.when(F.size("_notes") > 0, _lines("## 감정평가 요항", F.transform(real, told))))
+        parts += [_section(f"## {title}", _lines(_listed(F.col(f"_{k}")))) for k, title in LISTS.items()]
     if photos is not None:
-        parts.append(_section("## 사진", F.transform("_photos", lambda p: F.concat(F.lit("- "), p["storage_path"]))))
+        parts.append(_section("## 사진", _lines(F.transform("_photos", lambda p: F.concat(F.lit("- "), p["storage_path"])))))
     from_ = f"- **법원경매정보 ({source})**: 사건번호 `" if source else "- **법원경매정보**: 사건번호 `"
     origin = _lines(_text(from_, case, "`, 법원 `", g("court_code"), "`"), _text("- **본 사이트 상세**: ", page))
-    parts += [_section("## 원본", origin), _footer(site, source and f"공식 사이트({source})")]
-    return rows.select("docid", F.concat(F.coalesce(case, g("docid")), F.lit(".md")).alias("filename"), _document(*parts).alias("markdown"))
+    parts += [_section("## 원본", origin), *_footer(site, source and f"공식 사이트({source})")]
+    return _document(rows.withColumns(once), "docid", F.concat(F.coalesce(case, g("docid")), F.lit(".md")), parts)
 
 
 def _yen(c: Column) -> Column:
@@ -233,24 +244,21 @@ def jp_report(rows: DataFrame, photos: DataFrame | None = None, site: str = "",
     )
     lat, lng = g("lat", "double"), g("lng", "double")
     ways = _split(g("transit_info"), "  - ")
-    place = F.concat(
-        _lines(
-            _text("- **所在地**: ", g("address_text")), _text("- **좌표**: `", lat, ", ", lng, "` (WGS84)"), _text("  - [Google 지도](https://www.google.com/maps?q=", lat, ",", lng, "&z=18)"),
-            _text("  - [OpenStreetMap](https://www.openstreetmap.org/?mlat=", lat, "&mlon=", lng, "&zoom=18)"), F.when(F.size(ways) > 0, "- **교통**:"),
-        ),
-        ways,
+    place = _lines(
+        _text("- **所在地**: ", g("address_text")), _text("- **좌표**: `", lat, ", ", lng, "` (WGS84)"), _text("  - [Google 지도](https://www.google.com/maps?q=", lat, ",", lng, "&z=18)"),
+        _text("  - [OpenStreetMap](https://www.openstreetmap.org/?mlat=", lat, "&mlon=", lng, "&zoom=18)"), F.when(F.size(ways) > 0, "- **교통**:"), ways,
     )
     parts = [head, _section("## 메타", meta), _section("## 3종 가격", price), _section("## 매각 일정", dates), _section("## 위치", place)]
     if "items" in rows.columns:
         told = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(F.lit("| "), e["key"], F.lit(" | "), e["value"], F.lit(" |")))
         some = F.filter("items", lambda x: F.size(x["fields"]) > 0)
-        each = F.transform(some, lambda x: F.concat(_lines(_text("### ", x["head"])), F.array(F.lit("| 항목 | 값 |"), F.lit("|---|---|")), told(x["fields"]), F.array(F.lit(""))))
-        parts.append(F.when(F.size("items") > 0, F.concat(F.array(F.lit("## 物件 명세")), F.flatten(each))))
+        each = F.transform(some, lambda x: _lines(_text("### ", x["head"]), "| 항목 | 값 |", "|---|---|", told(x["fields"]), ""))
+        parts.append(F.when(F.size("items") > 0, _lines("## 物件 명세", each)))
     if photos is not None:
-        parts.append(_section("## 사진", F.transform("_photos", lambda p: F.concat(F.lit("- "), p["photo_url"]))))
+        parts.append(_section("## 사진", _lines(F.transform("_photos", lambda p: F.concat(F.lit("- "), p["photo_url"])))))
     where = _text(f"  - 매물 상세는 form POST 기반이라 직접 링크 불가. 본 사이트 상세 페이지 ({site}/jp/p/", unit, ") 사용 권장") if site else _text("  - 상세 페이지: ", page)
-    parts += [_section("## 원본", _lines("- **BIT 사이트**: <https://www.bit.courts.go.jp/>", where)), _footer(site, source and f"{source} 정보")]
-    return rows.select("sale_unit_id", F.concat(F.coalesce(g("case_no"), unit), F.lit(".md")).alias("filename"), _document(*parts).alias("markdown"))
+    parts += [_section("## 원본", _lines("- **BIT 사이트**: <https://www.bit.courts.go.jp/>", where)), *_footer(site, source and f"{source} 정보")]
+    return _document(rows, "sale_unit_id", F.concat(F.coalesce(g("case_no"), unit), F.lit(".md")), parts)
 
 
 def _day(c: str, zone: str = "Asia/Seoul") -> Column:
