@@ -20,6 +20,9 @@ MEMO_CHUNKS = 300_000
 #: UTF-8 bytes of text handled at once; a longer text is handled alone.
 SLICE_BYTES = 10 << 20
 
+#: Chunks encoded together in one text, and what stands between them: a chunk of its own.
+TOGETHER, BETWEEN = 48, "\x01"
+
 _ENCODERS: dict[tuple[str, int, int], "ChunkEncoder"] = {}
 
 
@@ -91,6 +94,8 @@ class ChunkEncoder:
         pre = spec["pre_tokenizer"]
         self.byte_level = pre["type"] == "ByteLevel"
         self.special = "|".join(_quoted(x["content"]) for x in spec["added_tokens"])
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 and not self.byte_level else None
         self.memo_chunks, self.slice_bytes = memo_chunks, slice_bytes
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -99,26 +104,40 @@ class ChunkEncoder:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32).tobytes() for x in out]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks, many of them encoded in one text, as a text of its own costs each about as much as its merges.
+
+        The id of BETWEEN ends each chunk's ids. Where it isn't there exactly so often, chunks hold it too, and each is encoded alone.
+        """
+        if self.between is None:
+            return self._library(words)
+        texts = [f" {BETWEEN} ".join([*words[i : i + TOGETHER], ""]) for i in range(0, len(words), TOGETHER)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        ends = np.flatnonzero(flat == self.between)
+        if len(ends) != len(words):
+            return self._library(words)
+        data, starts = flat.tobytes(), [0, *(4 * ends + 4).tolist()]
+        return [data[a : b - 4] for a, b in zip(starts, starts[1:])]
+
     def _chunks(self, keys: list[str]) -> list[bytes]:
         """Ids of distinct chunks. In byte-level keys a leading NUL stands for "at the start of the text",
         and a key that starts with neither NUL nor newline has a blank before it."""
-        found: list[bytes | None] = []
         young, old = self.young, self.old
+        found: list[bytes | None] = list(map(young.get, keys))
         missing = []
-        for k in keys:
-            ids = young.get(k)
+        for i, ids in enumerate(found):
             if ids is None:
-                ids = old.get(k)
+                ids = old.get(keys[i])
                 if ids is None:
-                    missing.append(len(found))
+                    missing.append(i)
                 else:
-                    young[k] = ids
-            found.append(ids)
+                    found[i] = young[keys[i]] = ids
         if missing:
             words = [keys[i] for i in missing]
             if self.byte_level:
                 words = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else f" {w}" for w in words]
-            for i, ids in zip(missing, self._library(words), strict=True):
+            for i, ids in zip(missing, self._joined(words), strict=True):
                 found[i] = young[keys[i]] = ids
         if len(young) > self.memo_chunks:
             self.old, self.young = young, {}
@@ -153,7 +172,7 @@ class ChunkEncoder:
         words = lists.flatten().dictionary_encode()
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
-        parts = self._chunks(words.dictionary.to_pylist())
+        parts = self._chunks(words.dictionary.to_numpy(zero_copy_only=False).tolist())  # texts without a scalar each
         table = np.frombuffer(b"".join(parts), np.uint32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
