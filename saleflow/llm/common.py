@@ -53,6 +53,16 @@ def swept(df: DataFrame, *written: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows to shuffle from which on a shuffle is made in rounds, and how many these are.
+ROUND_ROWS, ROUNDS = 1_000_000, 4
+
+
+def in_rounds(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """`df` in parts by its (hashed, long) key, so that the shuffles of one after the other take a ROUNDS-th of the disk each."""
+    n = ROUNDS if rows > ROUND_ROWS else 1
+    return [df.where(F.pmod(F.col(key), F.lit(n)) == i) if n > 1 else df for i in range(n)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,13 +23,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, forget, saved, split_by_keys, swept
+from .common import HOT_ROWS, HOT_SHARE, forget, in_rounds, saved, split_by_keys, swept
 from .components import components
 from .shingles import shingle_sets
 from .tokens import release, text_slices
@@ -51,19 +52,23 @@ def sets_of(batches: Iterator[pa.RecordBatch], text: int, k: int) -> Iterator[tu
             yield part, shingle_sets(part.column(text), k)
 
 
-def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """log2, rounded, of the document count of each of SLOTS hash slots, over all documents (a megabyte, whatever the input).
+def narrow_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(per row doc_id, n, class_key: a hash of the set, null without shingles or doc_id; level of each of SLOTS hash slots).
 
-    Each task sends its counts' logarithms, a byte a slot; they only order shingles, so that is exact enough.
+    A level is log2, rounded, of a slot's document count over all documents (a megabyte, whatever the input). Each task
+    sends its counts' logarithms, a byte a slot; they only order shingles, so that is exact enough.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
-        for _, sets in sets_of(batches, 0, k):
+        for part, sets in sets_of(batches, 1, k):
             counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+            keys = [None if doc_id is None or not len(s) else class_key(s) for s, doc_id in zip(sets, part.column(0).to_pylist(), strict=True)]
+            none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.int64()), *none], names)
         levels = np.rint(np.log2(counts + 1.0) * 4).astype(np.uint8)  # quarters of a power of two
         parts = [x.tobytes() for x in np.split(levels, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "levels"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(CHUNKS, pa.int64())] * 3, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS // CHUNKS)
@@ -73,12 +78,19 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
         level = np.rint(np.log2(np.maximum(total, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
 
-    schema = "chunk int, levels binary"
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    names = ["doc_id", "n", "class_key", "chunk", "levels"]
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    both = saved(texts.mapInArrow(count, "doc_id long, n long, class_key long, chunk int, levels binary"), "sets")
+    totals = both.where("chunk is not null").select("chunk", "levels").groupBy("chunk").applyInArrow(add, "chunk int, levels binary").collect()
     levels = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8)
-    for r in rows:
+    for r in totals:
         levels[r.chunk] = np.frombuffer(r.levels, np.uint8)
-    return levels.ravel()
+    sets = saved(both.where("chunk is null").select("doc_id", "n", "class_key"), "narrow")
+    return swept(sets, both), levels.ravel()
+
+
+def class_key(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -86,22 +98,25 @@ def _needed(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, class_key (hash of the set; null without shingles), its rarest shingles (`prefix`, and `often`
-    for those whose slot has so many documents that they may be in over BUCKET of them), bitmap."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
+def class_table(docs: DataFrame, sets: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
+    """A row for each class: class_key, its least doc_id, n, its rarest shingles (`prefix`, and `often` for those whose slot
+    has so many documents that they may be in over BUCKET of them), bitmap.
+
+    Only documents that may share their class with another row (told by a bitmap) are shuffled to their class.
+    """
+    level_of = docs.sparkSession.sparkContext.broadcast(levels)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value.astype(np.uint64)
+        level = level_of.value.astype(np.uint64)
         for part, sets in sets_of(batches, 1, k):
-            keys, prefixes, frequent, bitmaps = [], [], [], []
+            ids, sizes, keys, prefixes, frequent, bitmaps = [], [], [], [], [], []
             for s, doc_id in zip(sets, part.column(0).to_pylist(), strict=True):
                 if not len(s) or doc_id is None:
-                    for x in (keys, prefixes, frequent, bitmaps):
-                        x.append(None)
                     continue
+                ids.append(doc_id)
+                sizes.append(len(s))
+                keys.append(class_key(s))
                 bitmaps.append(bitmap(s, width(len(s))).tobytes())
-                keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 p = len(s) - _needed(len(s), percent) + 1
                 order = (level[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
                 rare = np.argpartition(order, p - 1)[:p]
@@ -109,11 +124,19 @@ def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 prefixes.append(s[rare[~often]].view(np.int64))
                 frequent.append(s[rare[often]].view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, frequent)]
-            columns = [part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.int64()), *lists, pa.array(bitmaps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class_key", "prefix", "often", "bitmap"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, ids, sizes)), *lists, pa.array(bitmaps, pa.binary())], names)
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return saved(narrow.mapInArrow(describe, "doc_id long, n long, class_key long, prefix array<bigint>, often array<bigint>, bitmap binary"), "sets")
+    names = ["class_key", "doc_id", "n", "prefix", "often", "bitmap"]
+    schema = "class_key long, doc_id long, n long, prefix array<bigint>, often array<bigint>, bitmap binary"
+    again = sets.where("class_key is not null").groupBy("class_key").count().where("count > 1").select("class_key")
+    shared = saved(sets.join(again, "class_key", "left_semi").select(F.col("doc_id").alias("of")).distinct(), "shared")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    near, far = split_by_keys(texts, F.col("doc_id"), shared, F.col("of"))
+    first = [F.first(c).alias(c) for c in names[2:]]
+    classes = near.mapInArrow(describe, schema).groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), *first)
+    if far is not None:
+        classes = classes.unionByName(far.mapInArrow(describe, schema))
+    return swept(saved(classes, "classes"), shared)
 
 
 def width(n: int) -> int:
@@ -219,22 +242,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
         yield np.array([0, len(held[0])]), held, goes_on
 
 
-def class_table(sets: DataFrame) -> DataFrame:
-    """A row for each class: class_key, its least doc_id, n, prefix, often, bitmap."""
-    first = [F.first(c).alias(c) for c in ("n", "prefix", "often", "bitmap")]
-    return saved(sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), *first), "classes")
-
-
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes that connect all those with a common prefix shingle that their bitmaps let link.
 
-    Prefix shingles are shuffled once. Buckets of up to SMALL classes give their pairs of fitting sizes, each of which is
+    Prefix shingles are shuffled once, a ROUNDS-th of them at a time. Buckets of up to SMALL classes give their pairs of fitting sizes, each of which is
     tried on bitmaps once; of larger buckets the classes go on to the trees, but for those beyond BUCKET, a star. Shingles
     of over BUCKET classes and HOT_SHARE of all (so fewer than 1 / HOT_SHARE) aren't shuffled: their stars are made by a broadcast.
     """
     of = lambda c: classes.select(F.explode(c).alias("token"), "class_key", F.col("n").cast("int").alias("n"))
     centres = of("often").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("class_key").alias("least"))
-    centres = saved(centres.where(F.col("m") > max(BUCKET, HOT_ROWS, int(classes.count() * HOT_SHARE))).drop("m"), "hot")
+    all_ = classes.agg(F.count(F.lit(1)).alias("classes"), F.sum(F.size("prefix") + F.size("often")).alias("tokens")).first()
+    centres = saved(centres.where(F.col("m") > max(BUCKET, HOT_ROWS, int(all_.classes * HOT_SHARE))).drop("m"), "hot")
     hot = of("often").join(F.broadcast(centres), "token").select(F.lit("star").alias("kind"), F.col("class_key").alias("a"), F.col("least").alias("b"))
     tokens = of("prefix").unionByName(of("often").join(F.broadcast(centres.select("token")), "token", "left_anti"))
 
@@ -260,8 +278,11 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(["star" if star else "large"] * count, pa.string()), pa.array(part), pa.array(other)], names)
             yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(pairs), pa.string()), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))], names)
 
-    rows = tokens.repartition("token").sortWithinPartitions("token")
-    found = swept(saved(rows.mapInArrow(buckets, "kind string, a long, b long"), "buckets"))  # b of large: the shingle
+    found = []
+    for part in in_rounds(tokens, "token", all_.tokens or 0):
+        rows = part.repartition("token").sortWithinPartitions("token")
+        found.append(swept(saved(rows.mapInArrow(buckets, "kind string, a long, b long"), "buckets")))  # b of large: the shingle
+    steps, found = found, reduce(DataFrame.unionByName, found)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +329,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     many = swept(saved(many, "many"))
     stars = found.where("kind = 'star'").unionByName(hot).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = saved(pairs.unionByName(many).unionByName(stars).distinct(), "candidates")
-    return swept(edges, centres, found, pairs, many)
+    return swept(edges, centres, *steps, pairs, many)
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -400,7 +421,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
                 if (block, i, j) != task:
                     yield from done()
                     task, held = (block, i, j), {}
-                if key == int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True):
+                if key == class_key(s):
                     held[key] = (s, own)
         yield from done()
 
@@ -413,11 +434,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
 
 def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (least doc_id that it reaches over links)."""
-    wide = set_table(docs, k, percent)
-    classes = class_table(wide)
-    sets = saved(wide.select("doc_id", "n", "class_key"), "narrow")
-    swept(sets, wide)
-    edges = links(docs, classes, k, percent)
+    sets, levels = narrow_sets(docs, k)
+    edges = links(docs, class_table(docs, sets, levels, k, percent), k, percent)
     found = components(edges)
     forget(edges)
     classes = sets.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("least"))

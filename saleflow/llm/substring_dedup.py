@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_on_hot, saved, split_by_keys, swept
+from .common import in_rounds, join_on_hot, saved, split_by_keys, swept
 from .components import components
 from .jaccard_join import BLOCK_SETS, BLOCK_SHINGLES, block_links
 from .shingles import _mix, shingle_hashes, word_hashes
@@ -162,9 +163,12 @@ def unit_table(docs: DataFrame) -> DataFrame:
 def colliding(table: DataFrame) -> DataFrame:
     """Paragraphs by band (doc_id, first, end, key, band), but for most of the bands that stand in one document alone."""
     banded = table.select("doc_id", "first", "end", "key", F.explode("bands").alias("band"))
-    seen = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
-    shared = swept(saved(seen.where("low < top").select(F.col("band").alias("of")), "bands"))
-    return swept(saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding"), shared)
+    steps = []
+    for part in in_rounds(banded, "band", table.count()):
+        seen = part.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
+        steps.append(swept(saved(seen.where("low < top").select(F.col("band").alias("of")), "bands")))
+    shared = reduce(DataFrame.unionByName, steps)
+    return swept(saved(split_by_keys(banded, F.col("band"), shared, F.col("of"))[0], "colliding"), *steps)
 
 
 def _connected(sets: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, int]]:
@@ -257,9 +261,15 @@ def similar(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Per paragraph of `unit_table` that goes: doc_id, first and end word, and the doc_id that keeps it (`source`)."""
+    """Per paragraph of `unit_table` that goes: doc_id, first and end word, and the doc_id that keeps it (`source`).
+
+    `table` is deleted on the way: only paragraphs whose key may stand among those that collide are read again.
+    """
     collided = colliding(table)
     keys = saved(collided.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "keys")
+    again, _ = split_by_keys(table.select("doc_id", "first", "end", "key"), F.col("key"), keys.select(F.col("key").alias("of")), F.col("of"))
+    again = saved(again, "again")
+    swept(again, table)
     edges = similar(docs, collided)
     named = keys.join(components(edges).hint("merge"), F.col("key") == F.col("node"), "left")
     named = saved(named.select("key", "low", "top", "n", F.coalesce("component", "key").alias("cluster")), "clusters")
@@ -267,9 +277,10 @@ def removals(docs: DataFrame, table: DataFrame) -> DataFrame:
     sources = named.groupBy("cluster").agg(F.min("low").alias("source"), F.max("top").alias("last")).where("source < last")
     kept = saved(named.join(sources.drop("last").hint("merge"), "cluster").select("key", "source", "n"), "kept")
     swept(kept, named)
-    rows, _ = split_by_keys(table.select("doc_id", "first", "end", "key"), F.col("key"), kept.select(F.col("key").alias("of")), F.col("of"))
+    rows, _ = split_by_keys(again, F.col("key"), kept.select(F.col("key").alias("of")), F.col("of"))
     total = kept.agg(F.sum("n").alias("n")).first().n or 0
-    return join_on_hot(rows, kept, "key", "n", total).where("doc_id > source").select("doc_id", "first", "end", "source")
+    gone = join_on_hot(rows, kept, "key", "n", total).where("doc_id > source").select("doc_id", "first", "end", "source")
+    return swept(saved(gone, "removals"), again, kept)
 
 
 def _spans(parts: list[dict]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -301,10 +312,10 @@ def _without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
 def dedup(docs: DataFrame, classes: bool = True) -> DataFrame:
     """Per document: `row` (its columns), text (what stays), n_words, n_removed (words), sources (doc_ids that keep them) and,
     if asked for, class_id (null for documents alone in theirs). Texts are shuffled once, those that lose or lend something."""
-    table = unit_table(docs)
-    parts = removals(docs, table).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end", "source")).alias("parts"))
+    gone = removals(docs, unit_table(docs))
+    parts = gone.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end", "source")).alias("parts"))
     parts = saved(parts.withColumnRenamed("doc_id", "of"), "parts")  # a document's own paragraphs
-    swept(parts, table)
+    swept(parts, gone)
     if classes:
         named = components(parts.select(F.col("of").alias("a"), F.explode("parts.source").alias("b")))
         both = parts.join(named.hint("merge"), F.col("of") == F.col("node"), "full_outer")
